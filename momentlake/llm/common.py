@@ -72,7 +72,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TO_LOWER = np.arange(256, dtype=np.uint64)
 _TO_LOWER[65:91] += 32
-_POWERS = np.cumprod(np.full(4096, np.uint64(0x100000001B3) * np.uint64(2) + np.uint64(0x2F1), np.uint64))
+_POWERS = np.cumprod(np.full(4096, 0x20000000657, np.uint64))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -132,9 +132,9 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if not len(words):
         return words
     k_here = min(k, len(words))
-    total, m = np.zeros(len(words) - k_here + 1, np.uint64), np.uint64(1)
+    total = np.zeros(len(words) - k_here + 1, np.uint64)
     for j in range(k_here):
-        m *= _MUL
+        m = np.uint64(pow(int(_MUL), j + 1, 1 << 64))
         total += mix64(words[j : len(words) - k_here + 1 + j] ^ m) * m
     return mix64(total + np.uint64(k_here))
 

@@ -16,7 +16,7 @@ from .common import bind, materialize
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
 _SPACES = " \t\n\x0b\x0c\r"
-ITERATIONS, LEAST_ACCURACY, MOST_ACCURACY = 60, 0.55, 0.99
+ITERATIONS, LEAST_GOOD, MOST_GOOD = 40, 0.05, 0.95
 #: rule: (measure, good from, good to, bad below, bad above); between them it abstains.
 RULES: dict[str, tuple[str, float, float, float, float]] = {
     "length": ("n_words", 40, 100_000, 20, 1e9),
@@ -87,24 +87,30 @@ def vote(rule: str) -> Column:
     return F.when((x < bad_below) | (x > bad_above), -1).when((x >= low) & (x <= high), 1).otherwise(0)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float]]:
-    """(prior log odds, log odds of each rule's accuracy) by expectation-maximisation over (votes, how many texts)."""
+def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, float]]]:
+    """(prior log odds, per rule the log odds that each vote speaks for good) by expectation-maximisation over (votes, how many texts).
+
+    A rule's accuracy is its rate of each vote among good and among bad texts, the three votes smoothed by one text each; it starts
+    from the guess that a text is bad if any rule says so.
+    """
     rules = len(patterns[0][0]) if patterns else len(RULES)
-    accuracy, prior = [0.8] * rules, 0.7
+    odds, prior = [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in range(rules)], 0.0
     total = sum(n for _, n in patterns)
-    for _ in range(ITERATIONS if total else 0):
-        right, cast, good = [0.0] * rules, [0.0] * rules, 0.0
+    for step in range(ITERATIONS if total else 0):
+        good, rates = 0.0, [{v: [1.0, 1.0] for v in (-1, 0, 1)} for _ in range(rules)]
         for votes, n in patterns:
-            z = log(prior / (1 - prior)) + sum(v * log(a / (1 - a)) for v, a in zip(votes, accuracy, strict=True))
+            z = (-2.0 if -1 in votes else 2.0) if step == 0 else prior + sum(odds[r][v] for r, v in enumerate(votes))
             p = 1 / (1 + exp(-max(-40.0, min(40.0, z))))
             good += n * p
             for r, v in enumerate(votes):
-                if v:
-                    cast[r] += n
-                    right[r] += n * (p if v > 0 else 1 - p)
-        prior = min(0.95, max(0.05, good / total))
-        accuracy = [min(MOST_ACCURACY, max(LEAST_ACCURACY, (x + 1.6) / (c + 2))) for x, c in zip(right, cast, strict=True)]
-    return log(prior / (1 - prior)), [log(a / (1 - a)) for a in accuracy]
+                rates[r][v][0] += n * p
+                rates[r][v][1] += n * (1 - p)
+        share = min(MOST_GOOD, max(LEAST_GOOD, good / total))
+        prior = log(share / (1 - share))
+        for r in range(rules):
+            sums = [sum(rates[r][v][c] for v in (-1, 0, 1)) for c in (0, 1)]
+            odds[r] = {v: log(rates[r][v][0] / sums[0]) - log(rates[r][v][1] / sums[1]) for v in (-1, 0, 1)}
+    return prior, odds
 
 
 def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
@@ -119,7 +125,7 @@ def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     prior, weights = estimate([(tuple(r[n] for n in names), r["count"]) for r in sorted(patterns)])
     odds = F.lit(prior)
     for name, w in zip(names, weights, strict=True):
-        odds = odds + F.col(name) * F.lit(w)
+        odds = odds + F.when(F.col(name) == -1, w[-1]).when(F.col(name) == 1, w[1]).otherwise(w[0])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     out = measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.create_map(*[x for r in RULES for x in (F.lit(r), F.col(f"v_{r}"))]).alias("votes"), (1 / (1 + F.exp(-odds))).alias("posterior"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))

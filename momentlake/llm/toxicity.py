@@ -51,7 +51,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         alive &= byte > 0
         prefix |= byte << np.uint64(8 * j)
         if j + 1 in PREFIXES:
-            parts.append(mix64(prefix[alive] + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15)))
+            parts.append(mix64(prefix[alive] + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))))
             docs.append(doc[alive])
     ids = (np.concatenate(parts) & np.uint64((1 << BITS) - 1)).astype(np.int64)
     both = np.unique(np.concatenate(docs) << BITS | ids)
