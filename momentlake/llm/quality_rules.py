@@ -27,6 +27,7 @@ RULES: dict[str, tuple[str, float, float, float, float]] = {
     "dup_lines": ("dup_line_share", 0.0, 0.05, -1.0, 0.3),
     "shouts": ("shouts_per_word", 0.0, 0.05, -1.0, 0.3),
     "letters": ("letter_share", 0.85, 1.0, 0.7, 2.0),
+    "lone_signs": ("lone_share", 0.0, 0.05, -1.0, 0.2),
     "variety": ("distinct_share", 0.3, 1.0, 0.1, 2.0),
 }
 
@@ -63,7 +64,7 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """doc_id, the base counts and what the rules look at, from whole texts; a null text counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = bind(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    counts = bind(words_of(t), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"), repeated_words(w).alias("repeated")))
+    counts = bind(words_of(t), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"), repeated_words(w).alias("repeated"), F.size(F.filter(w, lambda x: (F.length(x) == 1) & x.rlike(r"[^\p{L}\p{N}]"))).alias("lone")))
     raw = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), counts.alias("w"), lines.alias("l"),
         F.length(F.translate(t, _SPACES, "")).alias("word_chars"), without(t, "#*$%&|<>").alias("n_symbols"), without(t, "!").alias("shouts"),
@@ -76,6 +77,7 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         (F.col("word_chars") / words).alias("word_length"), (F.col("n_symbols") / words).alias("symbols_per_word"), (F.col("shouts") / words).alias("shouts_per_word"),
         (F.col("capitals") / F.greatest("letters", F.lit(1))).alias("capital_share"), (F.col("letters") / F.greatest("word_chars", F.lit(1))).alias("letter_share"),
         (F.col("w.repeated") / words).alias("repeat_share"), (F.col("l.dup") / F.greatest(F.col("l.n"), F.lit(1))).alias("dup_line_share"),
+        (F.col("w.lone") / words).alias("lone_share"),
         # A long text repeats words more: the share is of at most six times the root of its length.
         F.least(F.lit(1.0), F.col("w.distinct") / F.least(words.cast("double"), F.sqrt(words) * 6)).alias("distinct_share"),
     )
@@ -121,7 +123,7 @@ def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """
     measured = materialize(measures(docs, doc_id, text), "measures").withColumns({f"v_{r}": vote(r) for r in RULES})
     names = [f"v_{r}" for r in RULES]
-    patterns = measured.groupBy(*names).count().collect()  # at most 3^9 rows
+    patterns = measured.groupBy(*names).count().collect()  # at most 3^10 rows
     prior, weights = estimate([(tuple(r[n] for n in names), r["count"]) for r in sorted(patterns)])
     odds = F.lit(prior)
     for name, w in zip(names, weights, strict=True):
