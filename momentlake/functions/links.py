@@ -55,15 +55,16 @@ def _objects(text: str) -> Iterator[object]:
             continue
 
 
-def _recording(value: object, wanted: str) -> str | None:
-    """Depth first: the recording of the object with the wanted id that isn't live."""
-    if isinstance(value, dict):
-        if str(value.get("id")) == wanted and value.get("is_live") is not True:
-            url = value.get("recording_url") or value.get("source")
-            if isinstance(url, str) and url.startswith("https://") and ".m3u8" in url:
-                return url
-        value = list(value.values())
-    return next((u for child in value if (u := _recording(child, wanted))), None) if isinstance(value, list) else None
+def _playlists(value: object, wanted: str) -> Iterator[str]:
+    """HTTPS playlists of the wanted id's objects that aren't live, in document order."""
+    waiting = [value]
+    while waiting:
+        now = waiting.pop()
+        children = list(now.values()) if isinstance(now, dict) else now if isinstance(now, list) else []
+        if isinstance(now, dict) and now.get("is_live") is not True and str(now.get("id")) == wanted:
+            links = [now.get("recording_url") or now.get("source")]
+            yield from (u for u in links if isinstance(u, str) and re.match(r"https://.*\.m3u8", u, re.S))
+        waiting += reversed(children)
 
 
 def find_recordings(pages: DataFrame, key: str, html: str, wanted: str) -> DataFrame:
@@ -80,7 +81,7 @@ def find_recordings(pages: DataFrame, key: str, html: str, wanted: str) -> DataF
                         texts += [v for v in pushed if isinstance(v, str)]
                     except (ValueError, TypeError):
                         continue
-                out.append(next((u for t in texts for o in _objects(t) if video and (u := _recording(o, video))), None))
+                out.append(next((u for t in texts for o in _objects(t) if video for u in _playlists(o, video)), None))
             yield pd.DataFrame({"key": pdf["key"], "recording": pd.Series(out, dtype=object)})
 
     kind = dict(pages.dtypes)[key]

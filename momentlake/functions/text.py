@@ -151,8 +151,9 @@ def caption_errors(caption: Column, long_form: Column | bool = False) -> Column:
 
 def strip_names(text: Column, names: list[str], allowed: Column) -> Column:
     """Remove names that aren't allowed (an array), in any case; spaces collapse where something was removed."""
+    low = F.transform(allowed, F.lower)
     for name in names:
-        hidden = ~F.exists(allowed, lambda a, n=name: F.lower(a) == n.lower()) & F.contains(F.lower(text), F.lit(name.lower()))
+        hidden = ~F.array_contains(low, name.lower()) & F.contains(F.lower(text), F.lit(name.lower()))
         text = F.when(hidden, F.trim(F.regexp_replace(F.regexp_replace(text, f"(?i){re.escape(name)}", ""), r"\s{2,}", " "))).otherwise(text)
     return text
 

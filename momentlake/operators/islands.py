@@ -6,8 +6,10 @@ whose totals are carried in. A source with a third of all rows is thus spread ov
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,3 +47,28 @@ def with_island(df: DataFrame, keys: list[str], time: str, order: list[str], ope
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def fold_sorted(df: DataFrame, keys: list[str], order: list[Column | str], columns: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple | None], schema: str) -> DataFrame:
+    """Rows of step(state, row) over each key's rows in order, None left out; state begins with start() at each key's first row.
+
+    Keys are dealt by hash and sorted within partitions, and rows stream through, so neither a key's size nor the number of keys costs
+    memory. step sees the values of keys and columns.
+    """
+    n, wanted = len(keys), [*keys, *columns]
+    names = [f.split()[0].strip("`") for f in schema.split(", ")]
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*wanted)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = object(), None
+        for pdf in parts:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                if row[:n] != last:
+                    last, state = row[:n], start()
+                made = step(state, row)
+                if made is not None:
+                    out.append(made)
+            yield pd.DataFrame(out, columns=names)
+
+    return dealt.mapInPandas(run, schema)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .islands import running_before
+from .islands import fold_sorted, running_before
 
 TERMINAL = ("completed", "completed_empty", "partial", "failed", "refunded")
 
@@ -57,21 +56,25 @@ def settlement_rows(settled: DataFrame) -> DataFrame:
     return settled.select("job_id", F.explode(kinds).alias("t")).select("job_id", "t.kind", "t.amount").where("amount > 0")
 
 
+class _Balance:
+    """What is left of an account."""
+
+    left: float | None = None
+
+    def take(self, row: tuple) -> tuple:
+        account, hold, amount, opening = row
+        left = opening if self.left is None else self.left
+        accepted = amount <= left
+        self.left = left - amount if accepted else left
+        return account, hold, amount, accepted, self.left
+
+
 def accept_holds(holds: DataFrame, accounts: DataFrame) -> DataFrame:
     """holds (account_id, hold_id, amount) with accepted and balance after, in hold_id order: a hold is accepted if the balance covers it.
 
-    accounts: account_id, balance; an account without a row has 0. One account's holds are replayed in one task, as arrays of numbers.
+    accounts: account_id, balance; an account without a row has 0. Holds stream through in order.
     """
     joined = holds.join(accounts.select("account_id", "balance").hint("shuffle_merge"), "account_id", "left").withColumn("balance", F.coalesce("balance", F.lit(0.0)))
     types = dict(holds.dtypes)
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("hold_id")
-        left, taken, after = float(pdf["balance"].iloc[0]), [], []
-        for amount in pdf["amount"]:
-            taken.append(amount <= left)
-            left -= amount if taken[-1] else 0.0
-            after.append(left)
-        return pd.DataFrame({"account_id": pdf["account_id"], "hold_id": pdf["hold_id"], "amount": pdf["amount"], "accepted": taken, "balance": after})
-
-    return joined.select("account_id", "hold_id", "amount", "balance").groupBy("account_id").applyInPandas(replay, f"account_id {types['account_id']}, hold_id {types['hold_id']}, amount double, accepted boolean, balance double")
+    return fold_sorted(joined, ["account_id"], ["hold_id"], ["hold_id", "amount", "balance"], _Balance, _Balance.take, f"account_id {types['account_id']}, hold_id {types['hold_id']}, amount double, accepted boolean, balance double")

@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.scores import scores_compatible
 from ..functions.text import topic_overlap
-from .islands import running_before, with_island, with_previous
+from .islands import fold_sorted, running_before, with_island, with_previous
 
 
 def is_action(kind: Column) -> Column:
@@ -39,15 +38,16 @@ def joinable(candidates: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return rows.withColumns({"action": action, "cap": F.when(action, s.irl_span).otherwise(s.merge_span), "joins": F.coalesce(joins, F.lit(False))})
 
 
-def _fold_caps(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Group heads inside one island: a row that would stretch its group over its cap opens the next."""
-    pdf = pdf.sort_values(["start", "candidate_id"])
-    heads, head, head_id = [], None, None
-    for start, end, cap, cid in zip(pdf["start"], pdf["end"], pdf["cap"], pdf["candidate_id"], strict=True):
-        if head is None or end - head > cap:
-            head, head_id = start, cid
-        heads.append(head_id)
-    return pd.DataFrame({"source_id": pdf["source_id"], "candidate_id": pdf["candidate_id"], "group_id": heads})
+class _Head:
+    """The start and the id of the open group of an island."""
+
+    start, id = None, None
+
+    def take(self, row: tuple) -> tuple:
+        source, _, candidate, start, end, cap = row
+        if self.start is None or end - self.start > cap:  # a row that would stretch its group over its cap opens the next
+            self.start, self.id = start, candidate
+        return source, candidate, self.id
 
 
 def group_candidates(candidates: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -55,8 +55,9 @@ def group_candidates(candidates: DataFrame, settings: Settings = DEFAULTS) -> Da
     marked = joinable(candidates, settings)
     rows = with_island(marked, ["source_id"], "start", ["candidate_id"], ~F.col("joins"))
     types = dict(candidates.dtypes)
-    small = rows.select("source_id", "island", "candidate_id", "start", "end", "cap")
-    heads = small.groupBy("source_id", "island").applyInPandas(_fold_caps, f"source_id {types['source_id']}, candidate_id {types['candidate_id']}, group_id {types['candidate_id']}")
+    small = rows.withColumn("island", F.xxhash64("island"))
+    schema = f"source_id {types['source_id']}, candidate_id {types['candidate_id']}, group_id {types['candidate_id']}"
+    heads = fold_sorted(small, ["source_id", "island"], ["start", "candidate_id"], ["candidate_id", "start", "end", "cap"], _Head, _Head.take, schema)
     return candidates.join(heads.hint("shuffle_merge"), ["source_id", "candidate_id"])
 
 
@@ -88,29 +89,29 @@ def decide_merges(groups: DataFrame, rescored: DataFrame, settings: Settings = D
     return out.withColumns({"out_start": take("start", "peak_start"), "out_end": take("end", "peak_end"), "out_score": take("merged_score", "peak_score")})
 
 
-def _suppress(min_share: float, max_gap: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "start", "candidate_id"], ascending=[False, True, True])
-        kept: list[tuple[float, float, float]] = []  # (center, start, end), by center
-        spans: list[tuple[float, float]] = []
-        out = []
-        for start, end, cid in zip(pdf["start"], pdf["end"], pdf["candidate_id"], strict=True):
-            center = (start + end) / 2
-            i = bisect_left(kept, (center,))
-            near = any(abs(k[0] - center) <= max_gap for k in kept[max(0, i - 1) : i + 1])
-            if not near:
-                for a, b in spans:
-                    shorter = min(end - start, b - a)
-                    if shorter > 0 and max(0.0, min(end, b) - max(start, a)) / shorter >= min_share:
-                        near = True
-                        break
-            if not near:
-                insort(kept, (center, start, end))
-                spans.append((start, end))
-                out.append(cid)
-        return pd.DataFrame({"source_id": [pdf["source_id"].iloc[0]] * len(out), "candidate_id": out})
-
-    return run
+class _Kept:
+    """What stays of an island: centers in order, and spans."""
+
+    def __init__(self, min_share: float, max_gap: float) -> None:
+        self.min_share, self.max_gap = min_share, max_gap
+        self.centers: list[float] = []
+        self.spans: list[tuple[float, float]] = []
+
+    def meets(self, start: float, end: float) -> bool:
+        center = (start + end) / 2
+        at = bisect_left(self.centers, center)
+        if any(abs(c - center) <= self.max_gap for c in self.centers[max(0, at - 1) : at + 1]):
+            return True
+        shorter = [(min(end - start, b - a), min(end, b) - max(start, a)) for a, b in self.spans]
+        return any(n > 0 and max(0.0, both) / n >= self.min_share for n, both in shorter)
+
+    def take(self, row: tuple) -> tuple | None:
+        source, _, candidate, start, end = row
+        if self.meets(start, end):
+            return None
+        insort(self.centers, (start + end) / 2)
+        self.spans.append((start, end))
+        return source, candidate
 
 
 def suppress_repeats(candidates: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -124,7 +125,9 @@ def suppress_repeats(candidates: DataFrame, settings: Settings = DEFAULTS) -> Da
     before = running_before(wide, ["source_id"], "_a", ["candidate_id"], "max", F.col("_b"), "_reach")
     islands = with_island(before, ["source_id"], "_a", ["candidate_id"], F.coalesce(F.col("_a") > F.col("_reach"), F.lit(True)))
     types = dict(candidates.dtypes)
-    kept = islands.select("source_id", "island", "candidate_id", "start", "end", "score").groupBy("source_id", "island").applyInPandas(_suppress(settings.overlap_share, settings.center_gap), f"source_id {types['source_id']}, candidate_id {types['candidate_id']}")
+    small = islands.withColumn("island", F.xxhash64("island"))
+    schema = f"source_id {types['source_id']}, candidate_id {types['candidate_id']}"
+    kept = fold_sorted(small, ["source_id", "island"], [F.desc("score"), "start", "candidate_id"], ["candidate_id", "start", "end"], lambda: _Kept(settings.overlap_share, settings.center_gap), _Kept.take, schema)
     return candidates.join(kept.hint("shuffle_merge"), ["source_id", "candidate_id"], "left_semi")
 
 

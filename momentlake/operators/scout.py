@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.scores import WEIGHTS, editor_fields
-from ..functions.text import FALLBACK_SIGNALS, keep_local_window, local_score, quote_or_blank
+from ..functions.text import FALLBACK_SIGNALS, KEEP_SIGNALS, keep_local_window, local_score, quote_or_blank
 from .intervals import points_in_intervals, words_text
 
 
@@ -148,9 +148,9 @@ def expand_context(candidates: DataFrame, words: DataFrame, settings: Settings =
     return out.where("text != ''")
 
 
-def local_candidates(windows: DataFrame, words: DataFrame, signals: tuple[str, ...] = FALLBACK_SIGNALS, min_words: int = 8) -> DataFrame:
+def local_candidates(windows: DataFrame, words: DataFrame, signals: tuple[str, ...] = FALLBACK_SIGNALS, min_words: int = 8, keep: tuple[str, ...] = KEEP_SIGNALS) -> DataFrame:
     """The local scorer: one candidate per warm window about its first single word that holds a signal (12 s before, 45 s after), else its last 45 s; under 6 s goes."""
-    warm = windows.where(keep_local_window(F.col("text"), min_words))
+    warm = windows.where(keep_local_window(F.col("text"), min_words, keep))
     spoken = words.select("source_id", F.col("start").alias("_at"), F.lower("text").alias("_w"))
     has = F.exists(F.array(*[F.lit(s) for s in signals]), lambda s: F.contains(F.col("_w"), s))
     anchors = points_in_intervals(warm.select("source_id", "window_id", "start", "end"), spoken.where(has), at="_at").groupBy("source_id", "window_id").agg(F.min("_at").alias("anchor"))

@@ -22,7 +22,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS = r"""
 words AS (SELECT source_id, turn * 100000 + i - 1 AS word_idx, w[i] AS text, CAST(turn * 1024 + (i - 1) * 0.5 AS DOUBLE) AS s, CAST(turn * 1024 + (i - 1) * 0.5 + 0.25 AS DOUBLE) AS e, ((source_id * 31 + i - 1) % 100) / 128.0 AS confidence, role AS speaker, turn
-  FROM (SELECT source_id, turn, role, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id AS source_id, turn, role, list_filter(string_split_regex(text, '[ \t\n\r]+'), x -> x <> '') AS w FROM conversations)))
+  FROM (SELECT source_id, turn, role, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id AS source_id, turn, role, list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> '') AS w FROM conversations)))
 """
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -24,14 +24,26 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 # --- spans ---------------------------------------------------------------------------------------------------
 
 _SPAN_IN = "i AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN (1000 + l_quantity) * 1000 WHEN l_linenumber = 5 THEN l_quantity ELSE 900 + l_quantity * 5 END AS a, CASE WHEN l_linenumber = 6 THEN (1010 + l_quantity) * 1000 WHEN l_linenumber = 5 THEN l_quantity + 20 WHEN l_linenumber = 4 THEN 900 ELSE 900 + l_quantity * 5 + l_discount * 1000 + l_linenumber END AS b FROM lineitem)"
-_SPAN_SQL = f"""WITH {_SPAN_IN}, n AS (SELECT *, CASE WHEN a > 100000 THEN a / 1000 ELSE a END AS x, CASE WHEN b > 100000 THEN b / 1000 ELSE b END AS y FROM i),
+_SPANS = f"""{_SPAN_IN}, n AS (SELECT *, CASE WHEN a > 100000 THEN a / 1000 ELSE a END AS x, CASE WHEN b > 100000 THEN b / 1000 ELSE b END AS y FROM i),
 o AS (SELECT *, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN least(x, y) END AS p, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN greatest(x, y) END AS q FROM n),
 r AS (SELECT *, CASE WHEN q <= 205 AND p < 995 THEN p + 1000 ELSE p END AS p2, CASE WHEN q <= 205 AND p < 995 THEN q + 1000 ELSE q END AS q2 FROM o),
 c AS (SELECT l_orderkey, l_linenumber, p, greatest(998, greatest(0, p2)) AS a, least(least(1202, least(1150, q2)), 1150) AS b FROM r),
-m AS (SELECT *, (a + b) / 2 AS mid FROM c)
-SELECT l_orderkey, l_linenumber, CASE WHEN p IS NULL THEN 'missing_timestamp' WHEN b <= a THEN 'end_le_start' WHEN b - a < 8 THEN 'expand_short' WHEN b - a > 90 THEN 'clamp_long' ELSE 'keep' END AS action,
+m AS (SELECT *, (a + b) / 2 AS mid FROM c)"""
+#: (order, line) isn't unique in lineitem; these queries need lines that are.
+_SINGLE = "single AS (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)"
+
+
+@query(f"""WITH {_SPANS} SELECT l_orderkey, l_linenumber, CASE WHEN p IS NULL THEN 'missing_timestamp' WHEN b <= a THEN 'end_le_start' WHEN b - a < 8 THEN 'expand_short' WHEN b - a > 90 THEN 'clamp_long' ELSE 'keep' END AS action,
 round(CASE WHEN p IS NULL OR b <= a THEN NULL WHEN b - a < 8 THEN greatest(0, least(1150, greatest(1000, mid - 4) + 8) - 8) WHEN b - a > 90 THEN greatest(1000, mid - 45) ELSE a END, 2) AS start_at,
-round(CASE WHEN p IS NULL OR b <= a THEN NULL WHEN b - a < 8 THEN least(1150, greatest(1000, mid - 4) + 8) WHEN b - a > 90 THEN least(1150, greatest(1000, mid - 45) + 90) ELSE b END, 2) AS end_at FROM m"""
+round(CASE WHEN p IS NULL OR b <= a THEN NULL WHEN b - a < 8 THEN least(1150, greatest(1000, mid - 4) + 8) WHEN b - a > 90 THEN least(1150, greatest(1000, mid - 45) + 90) ELSE b END, 2) AS end_at FROM m""")
+def p7_accept_span(spark: SparkSession, sf: str) -> DataFrame:
+    span = scout.accept_span(F.col("a"), F.col("b"), F.lit(1000.0), F.lit(1200.0), F.lit(1150.0))
+    return _span_inputs(lines(spark, sf)).withColumn("s", span).select(*_KEY, "s.action", F.round("s.start", 2).alias("start_at"), F.round("s.end", 2).alias("end_at"))
+
+
+def single_lines(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.count("*").over(Window.partitionBy(*_KEY))
+    return lines(spark, sf).withColumn("_n", n).where("_n = 1").drop("_n")
 
 
 def _span_inputs(df: DataFrame) -> DataFrame:
@@ -41,25 +53,22 @@ def _span_inputs(df: DataFrame) -> DataFrame:
     return df.withColumns({"a": a, "b": b})
 
 
-@query(_SPAN_SQL)
-def p7_accept_span(spark: SparkSession, sf: str) -> DataFrame:
-    span = scout.accept_span(F.col("a"), F.col("b"), F.lit(1000.0), F.lit(1200.0), F.lit(1150.0))
-    return _span_inputs(lines(spark, sf)).withColumn("s", span).select(*_KEY, "s.action", F.round("s.start", 2).alias("start_at"), F.round("s.end", 2).alias("end_at"))
-
-
 def scout_responses(spark: SparkSession, sf: str) -> DataFrame:
     """One window per order, with a JSON response of a candidate per line."""
-    rows = _span_inputs(lines(spark, sf)).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("a").alias("start"), F.col("b").alias("end"), (F.col("l_quantity") * 3).alias("preliminary_score"), (F.col("l_discount") * 1000).alias("needs_more_context_before"), F.col("l_linenumber").alias("needs_more_context_after")))).alias("candidates"))
+    rows = _span_inputs(single_lines(spark, sf)).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("a").alias("start"), F.col("b").alias("end"), (F.col("l_quantity") * 3).alias("preliminary_score"), (F.col("l_discount") * 1000).alias("needs_more_context_before"), F.col("l_linenumber").alias("needs_more_context_after")))).alias("candidates"))
     return rows.select(F.col("l_orderkey").alias("source_id"), F.lit(0).alias("window_id"), F.lit(1000.0).alias("start"), F.lit(1200.0).alias("end"), F.to_json(F.struct("candidates")).alias("response"))
 
 
-@query(_SPAN_SQL.replace("SELECT l_orderkey, l_linenumber, CASE WHEN p IS NULL", "SELECT l_orderkey AS source_id, count(*) AS n, CAST(sum(least(100, l_quantity * 3)) AS DOUBLE) AS total_score, round(sum(least(45, l_discount * 1000)), 4) AS total_before FROM m JOIN lineitem USING (l_orderkey, l_linenumber) WHERE p IS NOT NULL AND b > a GROUP BY l_orderkey --", 1).split("--")[0])
+_ACCEPTED = f"WITH {_SINGLE}, {_SPANS}, ok AS (SELECT s.* FROM single s JOIN m USING (l_orderkey, l_linenumber) WHERE p IS NOT NULL AND m.b > m.a)"
+
+
+@query(f"{_ACCEPTED} SELECT l_orderkey AS source_id, count(*) AS n, CAST(sum(least(100, l_quantity * 3)) AS DOUBLE) AS total_score, round(sum(least(45, l_discount * 1000)), 4) AS total_before FROM ok GROUP BY 1")
 def p8_scout_candidates(spark: SparkSession, sf: str) -> DataFrame:
     found = scout.scout_candidates(scout_responses(spark, sf), limit=F.lit(1150.0))
     return found.groupBy("source_id").agg(F.count("*").alias("n"), F.sum("preliminary_score").alias("total_score"), F.round(F.sum("before"), 4).alias("total_before"))
 
 
-@query(_SPAN_SQL.replace("SELECT l_orderkey, l_linenumber, CASE WHEN p IS NULL", "SELECT l_orderkey AS source_id, count(*) AS n FROM m JOIN lineitem USING (l_orderkey, l_linenumber) WHERE p IS NOT NULL AND b > a AND least(100, l_quantity * 3) >= 36 GROUP BY l_orderkey --", 1).split("--")[0])
+@query(f"{_ACCEPTED} SELECT l_orderkey AS source_id, count(*) AS n FROM ok WHERE least(100, l_quantity * 3) >= 36 GROUP BY 1")
 def p13_scout_threshold(spark: SparkSession, sf: str) -> DataFrame:
     found = scout.scout_candidates(scout_responses(spark, sf), limit=F.lit(1150.0))
     return found.where(F.col("preliminary_score") >= 36).groupBy("source_id").agg(F.count("*").alias("n"))
@@ -73,11 +82,12 @@ def p14_expand_context(spark: SparkSession, sf: str) -> DataFrame:
     return scout.expand_context(c, w).select("source_id", "window_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "text")
 
 
-@query("SELECT o_orderkey AS batch_id, l_linenumber - 1 AS \"index\", CAST(l_quantity AS DOUBLE) AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+@query(f"WITH {_SINGLE} SELECT l_orderkey AS batch_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS \"index\", CAST(l_quantity AS DOUBLE) AS score FROM single WHERE l_orderkey % 3 <> 0 AND l_orderkey NOT IN (SELECT l_orderkey FROM single WHERE l_quantity > 49)")
 def p9_strict_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Batches whose key is a multiple of 3 expect a row more than they have; scores over 49 are out of range."""
     bad = F.when(F.col("l_quantity") > 49, F.lit(101.0)).otherwise(F.col("l_quantity"))
-    rows = lines(spark, sf).groupBy("l_orderkey").agg(F.to_json(F.collect_list(F.struct((F.col("l_linenumber") - 1).alias("index"), bad.alias("score")))).alias("response"), F.count("*").alias("have"))
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", bad.alias("score"))))
+    rows = single_lines(spark, sf).groupBy("l_orderkey").agg(F.to_json(F.transform(ordered, lambda x, i: F.struct(i.alias("index"), x["score"].alias("score")))).alias("response"), F.count("*").alias("have"))
     batches = rows.select(F.col("l_orderkey").alias("batch_id"), "response", (F.col("have") + F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0)).alias("n"))
     return scout.strict_scores(batches).withColumn("index", F.col("index").cast("long"))
 
@@ -93,8 +103,8 @@ def p10_tolerant_json(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- scores --------------------------------------------------------------------------------------------------
 
-#: Six components from a line: dyadic, so that both engines add the same numbers.
-_PARTS = {"hook": "(l_partkey % 41) / 4.0", "payoff": "(l_suppkey % 21) / 2.0", "emotion": "l_linenumber * 1.0", "standalone": "(l_orderkey % 11) * 1.0", "subject": "(l_partkey % 21) / 2.0", "technical": "(l_suppkey % 11) * 1.0"}
+#: Six components from a line; the odd offset keeps scores away from ties in rounding.
+_PARTS = {"hook": "(l_partkey % 41 + 0.01) / CAST(4.1037 AS DOUBLE)", "payoff": "(l_suppkey % 21) / 2.0", "emotion": "l_linenumber * 1.0", "standalone": "(l_orderkey % 11) * 1.0", "subject": "(l_partkey % 21) / 2.0", "technical": "(l_suppkey % 11) * 1.0"}
 
 
 def parts() -> Column:
@@ -102,31 +112,27 @@ def parts() -> Column:
 
 
 _MOMENT = "10 * (" + " + ".join(f"{w} * ({_PARTS[k]})" for k, w in S.WEIGHTS.items()) + ")"
-_FINAL = f"""f AS (SELECT *, {_MOMENT} AS moment, CAST(l_quantity * 2 AS DOUBLE) AS t, l_linenumber % 2 = 0 AS action FROM lineitem),
+_FINAL = f"""f AS (SELECT *, {_MOMENT} AS moment, CAST(l_quantity * 1.9 + 0.0123 AS DOUBLE) AS t, l_linenumber % 2 = 0 AS action FROM lineitem),
 g AS (SELECT *, greatest(0, least(100, t - 2.0 * greatest(0, l_linenumber * 2.0 - 3) - 1.2 * greatest(0, 100 - 60.0 - 3))) AS c0 FROM f),
 h AS (SELECT *, greatest(0, least(100, c0 - CASE WHEN l_linenumber * 2.0 > 8 THEN 15 ELSE 0 END - CASE WHEN action THEN 10 ELSE 0 END)) AS cut FROM g),
 k AS (SELECT *, 0.65 * moment + 0.35 * cut AS f0 FROM h), l AS (SELECT *, CASE WHEN {_PARTS['payoff']} < 3 THEN least(f0, 49) ELSE f0 END AS f1 FROM k),
 scored AS (SELECT *, greatest(0, least(100, CASE WHEN t < CASE WHEN action THEN 60 ELSE 55 END OR action OR l_linenumber * 2.0 > 8 THEN least(f1, 79) ELSE f1 END)) AS final FROM l)"""
 
 
-@query(f"WITH {_FINAL} SELECT l_orderkey, l_linenumber, floor(moment) AS moment, floor(cut) AS cut, floor(final + 0.001) AS final FROM scored WHERE abs(moment - round(moment)) > 0.06 AND abs(cut - round(cut)) > 0.06 AND abs(final - round(final)) > 0.06")
+@query(f"WITH {_FINAL} SELECT l_orderkey, l_linenumber, round(moment, 1) AS moment, round(cut, 1) AS cut, round(final, 1) AS final FROM scored")
 def f8_component_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole points of the scores, of lines whose scores don't lie at a whole point (so that rounding can't differ)."""
     n = F.col("l_linenumber")
     kind = F.when(n % 2 == 0, "IRL_ACTION").otherwise("QUOTE")
-    c = S.component_score(parts(), kind, F.col("l_quantity") * 2, F.lit(True), F.lit(0.0), F.lit(100.0), n * 2.0, F.lit(60.0))
-    rows = lines(spark, sf).withColumn("c", c)
-    clear = lambda x: F.abs(F.col(x) - F.round(x)) > 0.06
-    return rows.where(clear("c.moment") & clear("c.cut") & clear("c.final")).select(*_KEY, F.floor("c.moment").cast("double").alias("moment"), F.floor("c.cut").cast("double").alias("cut"), F.floor("c.final").cast("double").alias("final"))
+    c = S.component_score(parts(), kind, F.col("l_quantity") * 1.9 + 0.0123, F.lit(True), F.lit(0.0), F.lit(100.0), n * 2.0, F.lit(60.0))
+    return lines(spark, sf).withColumn("c", c).select(*_KEY, "c.moment", "c.cut", "c.final")
 
 
 _LEGACY = f"CASE WHEN {_PARTS['payoff']} < 3 THEN least(b, 49) ELSE b END"
 
 
-@query(f"WITH m AS (SELECT *, {_MOMENT} AS e, CAST(l_quantity * 2 AS DOUBLE) AS t FROM lineitem), n AS (SELECT *, 0.7 * e + 0.3 * t AS b0 FROM m), o AS (SELECT *, CASE WHEN t < 60 THEN least(b0, 79) ELSE b0 END AS b FROM n), p AS (SELECT *, {_LEGACY} AS x FROM o) SELECT l_orderkey, l_linenumber, floor(x) AS score FROM p WHERE abs(x - round(x)) > 0.06")
+@query(f"WITH m AS (SELECT *, {_MOMENT} AS e, CAST(l_quantity * 1.9 + 0.0123 AS DOUBLE) AS t FROM lineitem), n AS (SELECT *, 0.7 * e + 0.3 * t AS b0 FROM m), o AS (SELECT *, CASE WHEN t < 60 THEN least(b0, 79) ELSE b0 END AS b FROM n) SELECT l_orderkey, l_linenumber, round({_LEGACY}, 1) AS score FROM o")
 def f9_legacy_score(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lines(spark, sf).withColumn("x", S.legacy_score(parts(), F.col("l_quantity") * 2, F.lit(True)))
-    return rows.where(F.abs(F.col("x") - F.round("x")) > 0.06).select(*_KEY, F.floor("x").cast("double").alias("score"))
+    return lines(spark, sf).select(*_KEY, S.legacy_score(parts(), F.col("l_quantity") * 1.9 + 0.0123, F.lit(True)).alias("score"))
 
 
 @query(f"WITH {CANDIDATES} SELECT candidate_id, CASE WHEN score >= 90 THEN 'S' WHEN score >= 75 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' ELSE 'D' END AS tier FROM cands")
@@ -139,7 +145,7 @@ def f11_scores_compatible(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select(*_KEY, S.scores_compatible(F.col("l_quantity") * 2, (F.col("l_partkey") % 100) * 1.0, F.col("l_linenumber") == 1).alias("ok"))
 
 
-@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN {_PARTS['payoff']} < 3 OR NOT (l_linenumber * 10.0 BETWEEN 2 AND 48) THEN least(49, applied) ELSE applied END AS score FROM (SELECT *, CASE WHEN l_discount >= 0.05 THEN greatest(l_quantity - 12, least(l_quantity + 12, (l_partkey % 100) * 1.0)) ELSE l_quantity END AS applied FROM lineitem)".replace("OR NOT (l_linenumber * 10.0 BETWEEN 2 AND 48)", "OR NOT (l_linenumber * 10.0 BETWEEN 2 AND 48)"))
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN {_PARTS['payoff']} < 3 OR NOT (l_linenumber * 10.0 BETWEEN 2 AND 48) THEN least(49, applied) ELSE applied END AS score FROM (SELECT *, CASE WHEN l_discount >= 0.05 THEN greatest(l_quantity - 12, least(l_quantity + 12, (l_partkey % 100) * 1.0)) ELSE l_quantity END AS applied FROM lineitem)")
 def f12_reviewed_score(spark: SparkSession, sf: str) -> DataFrame:
     payoff = F.expr(_PARTS["payoff"]).cast("double")
     ok = S.payoff_ok(F.col("l_linenumber") * 10.0, F.lit(0.0), F.lit(50.0), F.lit("verbal"), payoff)
@@ -160,20 +166,20 @@ def p16_editor_fields(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).withColumn("f", f).select(*_KEY, "f.event_class", "f.tightness", "f.payoff_type")
 
 
-@query(f"WITH x AS (SELECT l_orderkey AS batch_id, l_linenumber AS idx, l_linenumber % 5 <> 0 AND l_quantity <= 45 AS good FROM lineitem) SELECT batch_id, CAST(idx AS BIGINT) AS \"index\", good AS scored, CASE WHEN idx = 4 THEN 'skipped' WHEN good THEN 'why' END AS reason FROM x WHERE idx <> 4 UNION ALL SELECT batch_id, CAST(idx AS BIGINT), TRUE, 'skipped' FROM x WHERE idx = 4")
+@query(f"WITH {_SINGLE}, x AS (SELECT l_orderkey AS batch_id, l_linenumber AS idx, l_linenumber % 5 <> 0 AND l_quantity <= 45 AS good FROM single) SELECT batch_id, CAST(idx AS BIGINT) AS \"index\", good AS scored, CASE WHEN idx = 4 THEN 'skipped' WHEN good THEN 'why' END AS reason FROM x WHERE idx <> 4 UNION ALL SELECT batch_id, CAST(idx AS BIGINT), TRUE, 'skipped' FROM x WHERE idx = 4")
 def p17_score_results(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth line misses a component, quantities over 45 are out of range, and the texts of fourth lines are blank."""
     n, q = F.col("l_linenumber"), F.col("l_quantity")
     row = F.struct(n.alias("index"), F.when(q <= 45, q / 5).otherwise(10.5).alias("hook"), F.lit(3.0).alias("payoff"), F.lit(1.0).alias("emotion"), F.when(n % 5 != 0, 2.0).alias("standalone"), F.lit(4.0).alias("novelty"), F.lit(5.0).alias("technical"), F.lit("why").alias("reason"), F.lit("quote").alias("quote"))
-    responses = lines(spark, sf).groupBy(F.col("l_orderkey").alias("batch_id")).agg(F.concat(F.lit("```json\n"), F.to_json(F.collect_list(row)), F.lit("\n```")).alias("response"))
-    windows = lines(spark, sf).select(F.col("l_orderkey").alias("batch_id"), n.cast("int").alias("index"), F.when(n == 4, " ").otherwise("some text").alias("text"))
+    responses = single_lines(spark, sf).groupBy(F.col("l_orderkey").alias("batch_id")).agg(F.concat(F.lit("```json\n"), F.to_json(F.collect_list(row)), F.lit("\n```")).alias("response"))
+    windows = single_lines(spark, sf).select(F.col("l_orderkey").alias("batch_id"), n.cast("int").alias("index"), F.when(n == 4, " ").otherwise("some text").alias("text"))
     done = scout.score_results(windows, responses)
     return done.select("batch_id", F.col("index").cast("long").alias("index"), F.col("breakdown").isNotNull().alias("scored"), "reason")
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN upper(substr(text, 3, 10)) ELSE '' END AS quote FROM conversations WHERE length(text) >= 20")
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN upper(substr(text, 3, 10)) ELSE '' END AS quote FROM conversations WHERE regexp_matches(left(text, 20), '^[ -~]{20}$')")
 def p18_quote_or_blank(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where(F.length("text") >= 20)
+    c = table(spark, sf, "conversations").where(F.substring("text", 1, 20).rlike("^[ -~]{20}$"))
     quote = F.when(F.col("turn") % 2 == 0, F.upper(F.substring("text", 3, 10))).otherwise("~never said~")
     return c.select("conv_id", "turn", T.quote_or_blank(quote, F.col("text")).alias("quote"))
 
@@ -247,12 +253,13 @@ def q4_decide_merges(spark: SparkSession, sf: str) -> DataFrame:
     return decided(spark, sf).select("source_id", "group_id", "decision")
 
 
-_KEPT = """o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, s, candidate_id) AS rn FROM pool),
-f AS (SELECT source_id, rn, candidate_id, TRUE AS keep, [{'a': s, 'b': e}] AS kept FROM o WHERE rn = 1 UNION ALL
-  SELECT x.source_id, x.rn, x.candidate_id, x.ok, CASE WHEN x.ok THEN list_append(x.kept, {'a': x.s, 'b': x.e}) ELSE x.kept END FROM (SELECT o.*, f.kept, len(list_filter(f.kept, k -> abs((k.a + k.b) / 2 - (o.s + o.e) / 2) <= 18 OR (least(o.e - o.s, k.b - k.a) > 0 AND greatest(0, least(o.e, k.b) - greatest(o.s, k.a)) / least(o.e - o.s, k.b - k.a) >= 0.45))) = 0 AS ok FROM f JOIN o ON o.source_id = f.source_id AND o.rn = f.rn + 1) x)"""
+#: Greedy suppression over `pool` (source_id, candidate_id, s, e, score), one row of a source per step; `kept` holds the spans so far.
+_KEPT = """ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, s, candidate_id) AS rn FROM pool),
+walk AS (SELECT source_id, rn, candidate_id, TRUE AS keep, [{'a': s, 'b': e}] AS kept FROM ranked WHERE rn = 1 UNION ALL
+  SELECT x.source_id, x.rn, x.candidate_id, x.ok, CASE WHEN x.ok THEN list_append(x.kept, {'a': x.s, 'b': x.e}) ELSE x.kept END FROM (SELECT r.*, walk.kept, len(list_filter(walk.kept, lambda k: abs((k.a + k.b) / 2 - (r.s + r.e) / 2) <= 18 OR (least(r.e - r.s, k.b - k.a) > 0 AND greatest(0, least(r.e, k.b) - greatest(r.s, k.a)) / least(r.e - r.s, k.b - k.a) >= 0.45))) = 0 AS ok FROM walk JOIN ranked r ON r.source_id = walk.source_id AND r.rn = walk.rn + 1) x)"""
 
 
-@query(f"WITH RECURSIVE {CANDIDATES}, pool AS (SELECT * FROM cands WHERE score >= 32), {_KEPT} SELECT source_id, candidate_id FROM f WHERE keep")
+@query(f"WITH RECURSIVE {CANDIDATES}, pool AS (SELECT * FROM cands WHERE score >= 32), {_KEPT} SELECT source_id, candidate_id FROM walk WHERE keep")
 def q5_suppress_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return moments.suppress_repeats(strong(spark, sf)).select("source_id", "candidate_id")
 
@@ -268,7 +275,11 @@ def p12_candidate_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return strong(spark, sf).select("candidate_id", "score")
 
 
-@query(f"WITH RECURSIVE {_DECIDE.removeprefix('RECURSIVE ')}, pool AS (SELECT d.source_id, d.group_id AS candidate_id, CASE WHEN decision = 'merged' THEN d.s ELSE p.s END AS s, CASE WHEN decision = 'merged' THEN d.e ELSE p.e END AS e, CASE WHEN decision = 'merged' THEN m ELSE peak_score END AS score FROM decided d JOIN (SELECT source_id, group_id, arg_max(s, score) AS s, arg_max(e, score) AS e FROM grouped GROUP BY 1, 2) p USING (source_id, group_id) WHERE decision <> 'drop'), {_KEPT.replace('o AS', 'o2 AS', 1).replace('FROM o WHERE', 'FROM o2 WHERE').replace('SELECT o.*', 'SELECT o2.*').replace('JOIN o ON o.', 'JOIN o2 ON o2.').replace('o.rn', 'o2.rn').replace('o.e', 'o2.e').replace('o.s', 'o2.s').replace('o2.source_id = f.', 'o2.source_id = f2.').replace('f.rn', 'f2.rn').replace('f.kept', 'f2.kept').replace('f AS', 'f2 AS', 1).replace('FROM f JOIN', 'FROM f2 JOIN')}, top AS (SELECT f2.source_id, f2.candidate_id, row_number() OVER (PARTITION BY f2.source_id ORDER BY pool.score DESC, pool.s, pool.candidate_id) AS rank FROM f2 JOIN pool USING (source_id, candidate_id) WHERE keep) SELECT source_id, candidate_id, rank FROM top WHERE rank <= 10")
+_POOL = """pool AS (SELECT d.source_id, d.group_id AS candidate_id, CASE WHEN decision = 'merged' THEN d.s ELSE p.s END AS s, CASE WHEN decision = 'merged' THEN d.e ELSE p.e END AS e, CASE WHEN decision = 'merged' THEN m ELSE peak_score END AS score FROM decided d
+  JOIN (SELECT source_id, group_id, arg_max(s, score) AS s, arg_max(e, score) AS e FROM grouped GROUP BY 1, 2) p USING (source_id, group_id) WHERE decision <> 'drop')"""
+
+
+@query(f"WITH {_DECIDE}, {_POOL}, {_KEPT} SELECT source_id, candidate_id, rank FROM (SELECT walk.source_id, walk.candidate_id, row_number() OVER (PARTITION BY walk.source_id ORDER BY pool.score DESC, pool.s, pool.candidate_id) AS rank FROM walk JOIN pool USING (source_id, candidate_id) WHERE keep) WHERE rank <= 10")
 def top_moments(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: candidates, grouped, decided, without repeats, the ten best of each source."""
     d = decided(spark, sf).where("decision != 'drop'").select("source_id", F.col("group_id").alias("candidate_id"), F.col("out_start").alias("start"), F.col("out_end").alias("end"), F.col("out_score").alias("score"))
@@ -368,7 +379,7 @@ def _by_length(texts: list[str]) -> list[float | None]:
     return [float(min(100, c)) for c in counts]
 
 
-_COUNT = "len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), x -> x <> ''))"
+_COUNT = "len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> ''))"
 
 
 @query(f"SELECT conv_id AS source_id, turn, CASE WHEN {_COUNT} = 13 THEN NULL ELSE CAST(least(100, {_COUNT}) AS DOUBLE) END AS score, CASE WHEN {_COUNT} = 13 THEN 'ValueError' END AS error FROM conversations")

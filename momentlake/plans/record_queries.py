@@ -33,10 +33,10 @@ def f1_normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).where("lang = 'en'").select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("normal"))
 
 
-_STEM = "CASE WHEN ends_with(w, 'ing') AND len(w) > 6 THEN w[:-4] WHEN ends_with(w, 'ed') AND len(w) > 5 THEN w[:-3] ELSE w END"
+_STEM = "CASE WHEN ends_with(w, 'ing') AND len(w) > 6 THEN left(w, len(w) - 3) WHEN ends_with(w, 'ed') AND len(w) > 5 THEN left(w, len(w) - 2) ELSE w END"
 
 
-@query(f"WITH n AS (SELECT doc_id, unnest(string_split({_NORM}, ' ')) AS w FROM documents WHERE lang = 'en') SELECT doc_id, count(DISTINCT {_STEM}) AS stems FROM n WHERE w <> '' GROUP BY 1".replace("w[:-4]", "left(w, len(w) - 3)").replace("w[:-3]", "left(w, len(w) - 2)"))
+@query(f"WITH n AS (SELECT doc_id, unnest(string_split({_NORM}, ' ')) AS w FROM documents WHERE lang = 'en') SELECT doc_id, count(DISTINCT {_STEM}) AS stems FROM n WHERE w <> '' GROUP BY 1")
 def f2_stems(spark: SparkSession, sf: str) -> DataFrame:
     stems = F.array_distinct(F.transform(T.tokens(T.normalize_text(F.col("text"))), T.stem))
     return documents(spark, sf).where("lang = 'en'").select("doc_id", F.size(stems).cast("long").alias("stems")).where("stems > 0")
@@ -46,22 +46,22 @@ def f2_stems(spark: SparkSession, sf: str) -> DataFrame:
 _LEXICON, _PHRASES = ("thened", "eresh", "onthing"), (r"\bof the\b",)
 
 
-@query(rf"SELECT doc_id, regexp_matches({_NORM}, '\bof the\b') OR regexp_matches(' ' || {_NORM} || ' ', ' (thened|eresh|onthing|onthinging|onthinged|ereshed|ereshing|theneded|thenened) ') AS action FROM documents WHERE lang = 'en'")
+@query(rf"SELECT doc_id, regexp_matches({_NORM}, '\bof the\b') OR len(list_intersect(list_transform(string_split({_NORM}, ' '), lambda w: {_STEM}), ['thened', 'then', 'eresh', 'onthing', 'onth'])) > 0 AS action FROM documents WHERE lang = 'en'")
 def f3_has_action(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).where("lang = 'en'").select("doc_id", T.stem_hit(F.col("text"), _LEXICON, _PHRASES).alias("action"))
 
 
-@query(rf"WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents WHERE lang = 'en') SELECT doc_id, len(list_filter(string_split(t, ' '), w -> w <> '' AND w NOT IN ({', '.join(repr(w) for w in T.NOISE_WORDS)}))) < 25 AND CAST(contains(t, 'ou') AS INT) + CAST(contains(t, 'er') AS INT) >= 2 AND NOT regexp_matches(t, '\bof the\b') AS spam FROM n")
+@query(rf"WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents WHERE lang = 'en') SELECT doc_id, len(list_filter(string_split(t, ' '), lambda w: w <> '' AND w NOT IN ({', '.join(repr(w) for w in T.NOISE_WORDS)}))) < 25 AND CAST(contains(t, 'ou') AS INT) + CAST(contains(t, 'er') AS INT) >= 2 AND NOT regexp_matches(t, '\bof the\b') AS spam FROM n")
 def f4_name_only_spam(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).where("lang = 'en'").select("doc_id", T.name_only_spam(F.col("text"), ["Ou", "er"], ["zzz"], list(_PHRASES)).alias("spam"))
 
 
-@query(r"SELECT doc_id, len(w) >= 8 AND (contains(lower(text), 'what') OR contains(lower(text), 'thonth') OR len(text) - len(replace(text, '?', '')) >= 2 OR len(text) - len(replace(text, '!', '')) >= 2 OR len(list_filter(w, x -> len(x) > 2 AND x = upper(x) AND x <> lower(x))) >= 2) AS keep FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), x -> x <> '') AS w FROM documents WHERE lang = 'en')")
+@query(r"SELECT doc_id, len(w) >= 8 AND (contains(lower(text), 'what') OR contains(lower(text), 'thonth') OR len(text) - len(replace(text, '?', '')) >= 2 OR len(text) - len(replace(text, '!', '')) >= 2 OR len(list_filter(w, lambda x: len(x) > 2 AND x = upper(x) AND x <> lower(x))) >= 2) AS keep FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en')")
 def f5_keep_local_window(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).where("lang = 'en'").select("doc_id", T.keep_local_window(F.col("text"), 8, ("what", "thonth")).alias("keep"))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split({_NORM}, ' '), w -> w <> '' AND w NOT IN ({', '.join(repr(w) for w in T.NOISE_WORDS)}))) AS w FROM conversations)
+@query(f"""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split({_NORM}, ' '), lambda w: w <> '' AND w NOT IN ({', '.join(repr(w) for w in T.NOISE_WORDS)}))) AS w FROM conversations)
 SELECT a.conv_id, a.turn, round(CASE WHEN least(len(a.w), len(b.w)) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) END, 6) AS overlap FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def f6_topic_overlap(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
@@ -80,9 +80,9 @@ def f14_redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return log_lines(spark, sf).select("event_id", T.redact_secrets(F.col("line")).alias("line"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\b(thened|ouon)\w*\b', '[redacted]', 'gi'), '\s{2,}', ' ', 'g'))) AS clean FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '(thened|ouon)[a-z]*', '[redacted]', 'gi'), '\s{2,}', ' ', 'g'))) AS clean FROM documents WHERE lang = 'en'")
 def f15_redact_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).where("lang = 'en'").select("doc_id", F.md5(T.redact_terms(F.col("text"), [r"\b(thened|ouon)\w*\b"])).alias("clean"))
+    return documents(spark, sf).where("lang = 'en'").select("doc_id", F.md5(T.redact_terms(F.col("text"), [r"(thened|ouon)[a-z]*"])).alias("clean"))
 
 
 _CATEGORY = "CASE WHEN event_id % 11 = 0 THEN 'processing' WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'warning' WHEN event_id % 17 = 0 THEN 'quota' WHEN event_id % 19 = 0 THEN 'credentials' WHEN event_id % 23 = 0 THEN 'processing' ELSE NULL END"
@@ -95,12 +95,12 @@ def f16_classify_lines(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.incidents(log_lines(spark, sf)).select("event_id", "category", "severity")
 
 
-@query(r"SELECT doc_id, CAST(n < 12 AS INT) + CAST(n > 85 AS INT) + CAST(regexp_matches(trim(text), '^(during|recently,?)\b', 'i') AS INT) AS n_errors FROM (SELECT *, len(list_filter(string_split_regex(trim(text), '\s+'), x -> x <> '')) AS n FROM documents)")
+@query(r"SELECT doc_id, CAST(n < 12 AS INT) + CAST(n > 85 AS INT) + CAST(regexp_matches(trim(text), '^(during|recently,?)\b', 'i') AS INT) AS n_errors FROM (SELECT *, len(list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')) AS n FROM documents)")
 def f17_caption_errors(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", F.size(T.caption_errors(F.col("text"))).alias("n_errors"))
 
 
-@query(r"SELECT doc_id, md5(CASE WHEN contains(lower(text), 'thened') AND lang <> 'en' OR contains(lower(text), 'thened') AND doc_id % 2 = 0 THEN trim(regexp_replace(regexp_replace(text, 'thened', '', 'gi'), '\s{2,}', ' ', 'g')) ELSE text END) AS clean FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, md5(CASE WHEN contains(lower(text), 'thened') AND doc_id % 2 = 0 THEN trim(regexp_replace(regexp_replace(text, 'thened', '', 'gi'), '\s{2,}', ' ', 'g')) ELSE text END) AS clean FROM documents WHERE lang = 'en'")
 def f18_strip_names(spark: SparkSession, sf: str) -> DataFrame:
     allowed = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("other"))).otherwise(F.array(F.lit("THENED")))
     return documents(spark, sf).where("lang = 'en'").select("doc_id", F.md5(T.strip_names(F.col("text"), ["Thened"], allowed)).alias("clean"))
@@ -405,10 +405,10 @@ def st9_merged_results(spark: SparkSession, sf: str) -> DataFrame:
     return library.merged_results(old, new).select("doc_id", "complete")
 
 
-@query("SELECT vec_id, round(20 * log10(greatest(sqrt(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x)) / len(embedding)), 1e-9)), 1) AS rms_dbfs, round(20 * log10(greatest(list_max(list_transform(embedding, x -> abs(CAST(x AS DOUBLE)))), 1e-9)), 1) AS peak_dbfs FROM embeddings")
+@query("SELECT vec_id, round(20 * log10(greatest(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding)), 1e-9)), 2) AS rms_dbfs, round(20 * log10(greatest(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 1e-9)), 2) AS peak_dbfs FROM embeddings")
 def a11_audio_level(spark: SparkSession, sf: str) -> DataFrame:
     level = table(spark, sf, "embeddings").withColumn("l", media.audio_level(F.col("embedding")))
-    return level.select("vec_id", F.round("l.rms_dbfs", 1).alias("rms_dbfs"), F.round("l.peak_dbfs", 1).alias("peak_dbfs"))
+    return level.select("vec_id", "l.rms_dbfs", "l.peak_dbfs")
 
 
 def faces(spark: SparkSession, sf: str) -> DataFrame:
@@ -518,7 +518,7 @@ def st1_rolling_windows(spark: SparkSession, sf: str) -> DataFrame:
     return live.rolling_windows(timed_words(spark, sf)).select("source_id", "win_start", "n_words")
 
 
-@query(f"WITH {CANDIDATES}, x AS (SELECT source_id, s, score, coalesce(s - lag(s) OVER (PARTITION BY source_id ORDER BY s, candidate_id) > 18, TRUE) AS fresh, candidate_id FROM cands), y AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY source_id ORDER BY s, candidate_id) AS g FROM x) SELECT source_id, min(s) + 86400 AS session_start, count(*) AS n, max(score) AS best FROM y GROUP BY source_id, g".replace("> 18, TRUE", ">= 18, TRUE"))
+@query(f"WITH {CANDIDATES}, x AS (SELECT source_id, s, score, coalesce(s - lag(s) OVER (PARTITION BY source_id ORDER BY s, candidate_id) > 18, TRUE) AS fresh, candidate_id FROM cands), y AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY source_id ORDER BY s, candidate_id) AS g FROM x) SELECT source_id, min(s) + 86400 AS session_start, count(*) AS n, max(score) AS best FROM y GROUP BY source_id, g")
 def st5_quiet_sessions(spark: SparkSession, sf: str) -> DataFrame:
     c = candidates(spark, sf).withColumn("ts", F.timestamp_seconds(F.col("start") + 86_400))
     return live.quiet_sessions(c).select("source_id", "session_start", "n", "best")

@@ -58,7 +58,7 @@ KEEP, ACTION = ("thth", "ouon", "zue"), ("tionth", "eresh")
 _LOW = "lower(text)"
 _KEEP_SQL = " OR ".join(f"contains({_LOW}, '{k}')" for k in KEEP)
 _ACTION_SQL = " OR ".join(f"contains({_LOW}, '{k}')" for k in ACTION)
-_WARM = f"len(list_filter(string_split_regex(text, '\\s+'), x -> x <> '')) >= 8 AND ({_ACTION_SQL} OR {_KEEP_SQL} OR len({_LOW}) - len(replace({_LOW}, '?', '')) >= 2 OR len({_LOW}) - len(replace({_LOW}, '!', '')) >= 2)"
+_WARM = f"len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) >= 8 AND ({_ACTION_SQL} OR {_KEEP_SQL} OR len({_LOW}) - len(replace({_LOW}, '?', '')) >= 2 OR len({_LOW}) - len(replace({_LOW}, '!', '')) >= 2)"
 
 
 @query(f"WITH {WINDOWS} SELECT source_id, window_id FROM wins WHERE {_WARM}")
@@ -221,14 +221,17 @@ def q8_apply_repair(spark: SparkSession, sf: str) -> DataFrame:
 _TURNS = "turns AS (SELECT conv_id AS source_id, turn AS window_id, turn * 1024.0 AS s, turn * 1024.0 + 30 AS e, text FROM conversations)"
 
 
+_HITS = "CAST(contains(lower(text), 'thth') AS INT) + CAST(contains(lower(text), 'ouon') AS INT)"
+
+
 @query(f"""WITH {WORDS}, {_TURNS}, a AS (SELECT t.source_id, t.window_id, min(w.s) AS anchor FROM turns t JOIN words w ON w.source_id = t.source_id AND w.s >= t.s AND w.s < t.e AND (contains(lower(w.text), 'thth') OR contains(lower(w.text), 'ouon')) GROUP BY 1, 2),
-k AS (SELECT t.*, a.anchor FROM turns t LEFT JOIN a USING (source_id, window_id) WHERE {_WARM.replace(_ACTION_SQL + " OR ", "") if False else "len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), x -> x <> '')) >= 8 AND (contains(lower(text), 'thth') OR contains(lower(text), 'ouon'))"})
-SELECT source_id, window_id, CASE WHEN anchor IS NULL THEN greatest(s, e - 45) ELSE greatest(s, anchor - 12) END AS start_at, CASE WHEN anchor IS NULL THEN e ELSE least(e, anchor + 45) END AS end_at, 40.0 + least(20, 6 * (CAST(contains(lower(text), 'thth') AS INT) + CAST(contains(lower(text), 'ouon') AS INT)) + 2 * (len(text) - len(replace(replace(text, '!', ''), '?', '')))) AS preliminary_score FROM k""")
+k AS (SELECT t.*, a.anchor FROM turns t LEFT JOIN a USING (source_id, window_id) WHERE len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) >= 8 AND {_HITS} >= 1)
+SELECT source_id, window_id, CASE WHEN anchor IS NULL THEN greatest(s, e - 45) ELSE greatest(s, anchor - 12) END AS start_at, CASE WHEN anchor IS NULL THEN e ELSE least(e, anchor + 45) END AS end_at, 40.0 + least(20, 6 * ({_HITS}) + 2 * (len(text) - len(replace(replace(text, '!', ''), '?', '')))) AS preliminary_score FROM k""")
 def f7_local_candidates(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("window_id"), (F.col("turn") * 1024.0).alias("start"), (F.col("turn") * 1024.0 + 30).alias("end"), "text")
     signals = ("thth", "ouon")
-    gated = turns.where(T.keep_local_window(F.col("text"), 8, signals) & (T.count_contained(F.lower("text"), signals) >= 1))
-    out = scout.local_candidates(gated, words(spark, sf), signals, min_words=0)
+    hit = turns.where(T.count_contained(F.lower("text"), signals) >= 1)
+    out = scout.local_candidates(hit, words(spark, sf), signals, keep=signals)
     return out.select("source_id", "window_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "preliminary_score")
 
 
