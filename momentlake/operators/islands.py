@@ -49,26 +49,30 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def fold_sorted(df: DataFrame, keys: list[str], order: list[Column | str], columns: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple | None], schema: str) -> DataFrame:
-    """Rows of step(state, row) over each key's rows in order, None left out; state begins with start() at each key's first row.
+def fold_sorted(df: DataFrame, keys: list[str], order: list[Column | str], columns: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple | list | None], schema: str, finish: Callable[[object], list] | None = None) -> DataFrame:
+    """Rows of step(state, row) over each key's rows in order, then of finish(state); state begins with start() at each key's first row.
 
-    Keys are dealt by hash and sorted within partitions, and rows stream through, so neither a key's size nor the number of keys costs
-    memory. step sees the values of keys and columns.
+    step gives a row, a list of rows or None; it sees the values of keys and columns. Keys are dealt by hash and sorted within
+    partitions, and rows stream through, so only the state costs memory, and many small keys cost no call each.
     """
     n, wanted = len(keys), [*keys, *columns]
     names = [f.split()[0].strip("`") for f in schema.split(", ")]
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*wanted)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = object(), None
+        last, state = None, None
         for pdf in parts:
-            out = []
+            out: list[tuple] = []
             for row in pdf.itertuples(index=False, name=None):
-                if row[:n] != last:
+                if last is None or row[:n] != last:
+                    if last is not None and finish is not None:
+                        out += finish(state)
                     last, state = row[:n], start()
                 made = step(state, row)
                 if made is not None:
-                    out.append(made)
+                    out += made if isinstance(made, list) else [made]
             yield pd.DataFrame(out, columns=names)
+        if last is not None and finish is not None:
+            yield pd.DataFrame(finish(state), columns=names)
 
     return dealt.mapInPandas(run, schema)

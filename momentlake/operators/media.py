@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .islands import fold_sorted
+
 
 def audio_level(samples: Column) -> Column:
     """STRUCT<available, rms_dbfs, peak_dbfs> of an array of samples; floor 1e-9, two digits."""
@@ -34,18 +35,16 @@ def active_speaker(faces: DataFrame, recent: int = 3) -> DataFrame:
 def frame_picks(samples: DataFrame, clips: DataFrame, most: int = 6, slots: int = 24) -> DataFrame:
     """(clip_id, second): the first, middle and last sample and those of most change, none closer than a 24th of the clip, at most 6."""
     joined = samples.join(clips.select("clip_id", "start", "end").hint("shuffle_merge"), "clip_id")
-    kind = dict(samples.dtypes)["clip_id"]
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("second").reset_index(drop=True)
-        seconds, apart = pdf["second"].tolist(), (pdf["end"].iloc[0] - pdf["start"].iloc[0]) / slots
-        chosen = {0, len(pdf) // 2, len(pdf) - 1}
-        for i in pdf.sort_values("change", ascending=False, kind="stable").index:
+    def pick(seen: list[tuple]) -> list[tuple]:
+        clip, seconds, apart = seen[0][0], [r[1] for r in seen], (seen[0][4] - seen[0][3]) / slots
+        chosen = {0, len(seen) // 2, len(seen) - 1}
+        for i in sorted(range(len(seen)), key=lambda i: -seen[i][2]):
             if len(chosen) < most and all(abs(seconds[i] - seconds[j]) >= apart for j in chosen):
                 chosen.add(i)
-        return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[0], "second": [seconds[i] for i in sorted(chosen)]})
+        return [(clip, seconds[i]) for i in sorted(chosen)]
 
-    return joined.groupBy("clip_id").applyInPandas(pick, f"clip_id {kind}, second double")
+    return fold_sorted(joined, ["clip_id"], ["second"], ["second", "change", "start", "end"], list, list.append, f"clip_id {dict(samples.dtypes)['clip_id']}, second double", pick)
 
 
 def snap_clips(clips: DataFrame, words: DataFrame, pad_before: float = 0.8, pad_after: float = 1.2, least: float = 12.0, most: float | None = 45.0) -> DataFrame:

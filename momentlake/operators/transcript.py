@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import points_in_intervals
-from .islands import with_previous
+from .islands import fold_sorted, with_previous
 
 
 def chunk_plan(sources: DataFrame, minutes: float = 15, overlap: float = 8) -> DataFrame:
@@ -94,43 +93,57 @@ def _confidence(value: float | None) -> float:
     return -1.0 if value is None or pd.isna(value) else value
 
 
-class _Merged:
-    """Words merged so far, in (start, end) order, with lookup by key near a time."""
+class _Seam:
+    """The words of one seam (or source), chunk by chunk; merged words stay in (start, end) order."""
 
     def __init__(self) -> None:
         self.rows: list[dict] = []
-
-    def add_chunk(self, audio_start: float, words: list[dict]) -> None:
+        self.chunk: tuple | None = None
+        self.waiting: list[dict] = []
+
+    def take(self, row: tuple) -> None:
+        source, _, audio_start, index, text, start, end, confidence, speaker, uncertain = row
+        if self.chunk not in (None, (audio_start, index)):
+            self.merge()
+        self.chunk = audio_start, index
+        self.waiting.append({"source_id": source, "text": text, "start": start, "end": end, "confidence": None if pd.isna(confidence) else confidence, "speaker": speaker, "uncertain": uncertain})
+
+    def merge(self) -> None:
+        """Words of the waiting chunk meet those that end no earlier than a second before its audio."""
+        words, self.waiting = self.waiting, []
         first = len(self.rows)
-        while first and self.rows[first - 1]["end"] >= audio_start - 1:
+        while first and self.rows[first - 1]["end"] >= self.chunk[0] - 1:
             first -= 1
         seam, taken, fresh = self.rows[first:], set(), []
+        keys = [_words_key(x["text"]) for x in seam]
         for word in words:
             key = _words_key(word["text"])
-            twins = [(abs(x["start"] - word["start"]), -i) for i, x in enumerate(seam) if i not in taken and abs(x["start"] - word["start"]) <= 0.55 and abs(x["end"] - word["end"]) <= 0.75 and _words_key(x["text"]) == key]
+            near = [(i, abs(x["start"] - word["start"]), abs(x["end"] - word["end"])) for i, x in enumerate(seam)]
+            # The latest of equally near twins wins, as the seam is looked through from its end.
+            twins = [(a, -i) for i, a, b in near if a <= 0.55 and b <= 0.75 and i not in taken and keys[i] == key]
             if twins:
                 i = -min(twins)[1]
                 taken.add(i)
                 if _confidence(word["confidence"]) > _confidence(seam[i]["confidence"]):
                     seam[i] = word
                 continue
-            rivals = [x for x in seam if abs(x["start"] - word["start"]) < 0.15 and abs(x["end"] - word["end"]) < 0.2]
-            for x in rivals:
-                x["uncertain"] = True
+            rivals = [i for i, a, b in near if a < 0.15 and b < 0.2]
+            for i in rivals:
+                seam[i] = seam[i] | {"uncertain": True}
             fresh.append(word | {"uncertain": True} if rivals else word)
         self.rows[first:] = sorted(seam + fresh, key=lambda w: (w["start"], w["end"]))
 
+    def finish(self) -> list[tuple]:
+        self.merge()
+        return [tuple(r.values()) for r in self.rows]
+
 
 _MERGE_SCHEMA = "source_id string, text string, start double, end double, confidence double, speaker string, uncertain boolean"
 
 
-def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    merged = _Merged()
-    for (audio_start, _), part in pdf.groupby(["audio_start", "index"], sort=True):
-        ordered = part.sort_values(["start", "end", "text"], kind="stable")
-        rows = [{**r, "confidence": None if pd.isna(r["confidence"]) else r["confidence"]} for r in ordered[["source_id", "text", "start", "end", "confidence", "speaker", "uncertain"]].to_dict("records")]
-        merged.add_chunk(float(audio_start), rows)
-    return pd.DataFrame(merged.rows, columns=["source_id", "text", "start", "end", "confidence", "speaker", "uncertain"])
+def _merged(words: DataFrame) -> DataFrame:
+    columns = ["audio_start", "index", "text", "start", "end", "confidence", "speaker", "uncertain"]
+    return fold_sorted(words, ["source_id", "seam"], ["audio_start", "index", "start", "end", "text"], columns, _Seam, _Seam.take, _MERGE_SCHEMA, _Seam.finish)
 
 
 def merge_overlaps(words: DataFrame, chunk_seconds: float, overlap: float) -> DataFrame:
@@ -144,7 +157,7 @@ def merge_overlaps(words: DataFrame, chunk_seconds: float, overlap: float) -> Da
     words = words.select(F.col("source_id").cast("string").alias("source_id"), "index", "audio_start", "audio_end", "text", "start", "end", "confidence", "speaker", "uncertain")
     columns = ["source_id", "text", "start", "end", "confidence", "speaker", "uncertain"]
     if chunk_seconds <= 2 * overlap + 3:
-        return words.groupBy("source_id").applyInPandas(_merge_group, _MERGE_SCHEMA)
+        return _merged(words.withColumn("seam", F.lit(0)))
     index = F.col("index")
     ends = words.select("source_id", "index", "audio_start", "audio_end").distinct()
     later = ends.select("source_id", (index - 1).alias("index"), F.col("audio_start").alias("next_start"))
@@ -153,7 +166,7 @@ def merge_overlaps(words: DataFrame, chunk_seconds: float, overlap: float) -> Da
     right = F.coalesce(F.col("start") <= F.col("prev_end") + 1.55, F.lit(False))
     left = F.coalesce(F.col("end") >= F.col("next_start") - 1, F.lit(False)) & ~right
     seamed = placed.withColumn("seam", F.when(right, index - 1).when(left, index))
-    near = seamed.where("seam is not null").groupBy("source_id", "seam").applyInPandas(_merge_group, _MERGE_SCHEMA)
+    near = _merged(seamed.where("seam is not null"))
     return seamed.where("seam is null").select(*columns).unionByName(near)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import evaluation, moments, ranking, review, scorers, scout
-from .bindings import CANDIDATES, candidates, table, words
+from .bindings import CANDIDATES, WORDS, candidates, table, words
 from .registry import Registry
 
 R = Registry()
@@ -74,7 +74,9 @@ def p13_scout_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(F.col("preliminary_score") >= 36).groupBy("source_id").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(f"""WITH {WORDS}, ends AS (SELECT source_id, min(s) AS f, max(e) AS l FROM words GROUP BY 1), c AS (SELECT w.source_id, w.word_idx AS window_id, greatest(0, f, s - 5) AS a, least(l, s + 13) AS b, l FROM words w JOIN ends USING (source_id) WHERE word_idx % 100000 = 4 AND confidence * 100 >= 36),
+x AS (SELECT source_id, window_id, CASE WHEN b - a < 8 THEN least(b, greatest(a, (a + b) / 2 - 4) + 8) ELSE b END AS e, CASE WHEN b - a < 8 THEN greatest(0, least(b, greatest(a, (a + b) / 2 - 4) + 8) - 8) ELSE a END AS s FROM c WHERE b > a)
+SELECT x.source_id, x.window_id, round(x.s, 3) AS start_at, round(x.e, 3) AS end_at, string_agg(trim(w.text), ' ' ORDER BY w.s, w.word_idx) AS text FROM x JOIN words w ON w.source_id = x.source_id AND w.s >= x.s AND w.s < x.e GROUP BY 1, 2, 3, 4""")
 def p14_expand_context(spark: SparkSession, sf: str) -> DataFrame:
     w = words(spark, sf)
     turns = w.where(F.col("word_idx") % 100_000 == 4)

@@ -118,7 +118,10 @@ def f20_caption_time(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.caption_time(F.floor("l_extendedprice").cast("double")).alias("at"))
 
 
-@query(None)
+_SEED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query(rf"SELECT doc_id, CASE WHEN t = '' THEN 'Live Stream Moment' ELSE t END AS title FROM (SELECT doc_id, trim(array_to_string(string_split(coalesce(nullif(regexp_extract({_SEED}, '^(.*?[.!?]) ', 1), ''), {_SEED}), ' ')[1:12], ' '), ' .,!?:;') AS t FROM documents)")
 def f21_fallback_title(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", T.fallback_title(F.col("text")).alias("title"))
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULTS, Settings
 from ..functions.links import chunk_start
+from ..operators.islands import fold_sorted
 
 
 def live_words(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -105,19 +106,24 @@ def pending_moments(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFra
 def pending_moments_batch(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """pending_moments over a table: each source's windows are replayed in end order; what still waits at the end is flushed last."""
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        waiting, out, flushes = Pending(settings), [], 0
-        rows = pdf.sort_values(["end", "start"])
-        for a, b, s in zip(rows["start"], rows["end"], rows["score"], strict=True):
-            done = waiting.take(float(a), float(b), None if pd.isna(s) else float(s))
-            out += [(flushes, *r) for r in done]
-            flushes += bool(done)
-        out += [(flushes, *r) for r in waiting.rows]
-        frame = pd.DataFrame(out, columns=["flush_id", "start", "end", "score"])
-        frame.insert(0, "source_id", str(pdf["source_id"].iloc[0]))
-        return frame
-
-    return scored.groupBy("source_id").applyInPandas(replay, FLUSHED)
+    named = scored.select(F.col("source_id").cast("string").alias("source_id"), "start", "end", F.col("score").cast("double").alias("score"))
+    return fold_sorted(named, ["source_id"], ["end", "start"], ["start", "end", "score"], lambda: _Replay(settings), _Replay.take, FLUSHED, _Replay.finish)
+
+
+class _Replay:
+    """One source's windows in order, and the number of its next flush."""
+
+    def __init__(self, settings: Settings) -> None:
+        self.waiting, self.flushes, self.source = Pending(settings), 0, ""
+
+    def take(self, row: tuple) -> list[tuple]:
+        self.source, start, end, score = row
+        done = [(self.source, self.flushes, *r) for r in self.waiting.take(start, end, None if pd.isna(score) else score)]
+        self.flushes += bool(done)
+        return done
+
+    def finish(self) -> list[tuple]:
+        return [(self.source, self.flushes, *r) for r in self.waiting.rows]
 
 
 def progressive_windows(windows: DataFrame, settings: Settings = DEFAULTS, lead: float = 30.0) -> DataFrame:
