@@ -2,9 +2,11 @@
 
 1. One scan hashes every text into its set of word shingles and writes the set's size, a 128-bit hash of it and its MinHash
    signature. Texts with equal sets form a class; the class's smallest doc_id represents it, and only it goes on.
-2. Bands of the signature are grouped. A band bucket's pairs aren't listed: first each member is compared with one centre of its
-   bucket (twice, with other centres), then members that still lie in different components. So a group of many near copies
-   costs a star, and no pair of a bucket stays unexamined unless its two texts are already connected.
+2. Bands of the signature are grouped. A band bucket's pairs aren't listed: each member is compared with one centre of its
+   bucket, twice, with other centres. So a group of many near copies costs a star. Buckets whose members still lie in different
+   components are left; their members are paired by a shared shingle among their rarest ones. A pair at the threshold must share
+   one within its first 20 % (longer text) and 11 % (shorter text) in any fixed order, at places that leave room for the overlap
+   it needs, so no link is lost, while texts that share a frequent passage but differ elsewhere aren't paired at all.
 3. A pair's signatures are compared batch by batch. After each, the posterior of the similarity (uniform prior) tells whether the
    chance that it reaches the threshold is below `miss`; then the pair is dropped. Survivors are verified on their full sets.
 4. Links become components (large-star, small-star).
@@ -17,7 +19,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, release, shingle_hashes, text_chunks, word_hashes
@@ -27,7 +29,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 5 values: a pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6.
 BANDS, ROWS = 32, 5
 #: Values compared at a time, and the posterior chance below which a pair is dropped.
-BATCH, MISS = 32, 1e-7
+BATCH, MISS = 32, 1e-6
 #: Values a scan holds at once: shingles times hash functions.
 _TILE = 4096
 STAR_ROUNDS = 2
@@ -87,11 +89,11 @@ def _bands(bands: int, rows: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint32).reshape(-1, bands, rows).astype(np.uint64)
+                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, bands, rows).astype(np.uint64)
                 h = np.broadcast_to(salt, (len(sig), bands)).copy()
                 for r in range(rows):
                     h = mix64(h * np.uint64(31) + sig[:, :, r])
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), bands)), pa.array(np.repeat(np.asarray(part.column(1)), bands))], names=["bucket", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), bands))], names=["bucket", "id"])
 
     return run
 
@@ -128,6 +130,40 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch.column(2)):
+                words, first = word_hashes(data, offsets)
+                sets = [np.unique(shingle_hashes(words[first[d] : first[d + 1]], k)).view(np.int64) for d in range(j - i)]
+                sizes = [len(x) for x in sets]
+                row = pa.array(np.repeat(np.arange(i, j), sizes))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["id", "comp", "n", "g"])
+
+    return run
+
+
+def rare_shingle_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of texts (id, comp, text) of different components that may reach the threshold, by prefix filtering.
+
+    Shingles are ordered by how many of these texts have them. Those of a single text come first and pair nothing, so only shared
+    ones are ranked, after them.
+    """
+    own = materialize(texts.select("id", "comp", "text").mapInArrow(_sets(k), "id long, comp long, n long, g long"), "shingles")
+    shared = own.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    each = Window.partitionBy("id")  # one text's shingles
+    ranked = own.join(shared.hint("shuffle_merge"), "g").select("id", "comp", "n", "g", (F.col("n") - F.count("*").over(each) + F.row_number().over(each.orderBy("df", "g"))).alias("at"))
+    n = F.col("n")
+    prefix = materialize(ranked.where(F.col("at") <= n - F.ceil(n * percent / 100) + 1), "prefix")
+    release(own)
+    x, y = (prefix.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", "at")]) for s in "xy")
+    y = y.where(F.col("at_y") <= F.col("n_y") - F.ceil(F.col("n_y") * (2 * percent) / (100 + percent)) + 1)
+    longer = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") > F.col("id_y")))
+    room = (1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))) * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y"))
+    met = (x.g == y.g) & (F.col("comp_x") != F.col("comp_y")) & longer & (100 * F.col("n_y") >= percent * F.col("n_x")) & room
+    return x.join(y.hint("shuffle_merge"), met).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+
+
 def _linked(pairs: DataFrame, members: DataFrame, steps: list[tuple[int, int]], k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that hold: dropped on signatures where hopeless, then compared as full sets."""
 
@@ -148,8 +184,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Words are runs without ASCII white space, A-Z lowered; a text's set is its distinct `shingle`-word windows, with fewer words the
     whole sequence as one. Null, empty and blank texts have no set and are linked with nothing. Rows with a null id are returned,
-    unlinked, kept, with a null component. Repeated rows get the same answer each; a repeated id with different texts is judged row
-    by row. Other columns are ignored; an empty table gives no rows.
+    unlinked, kept, with a null component. Repeated rows get the same answer each; of a repeated id with different texts, one text
+    stands for the id in comparisons, and each row keeps the answer of its own text. Other columns are ignored; an empty table gives no rows.
     """
     percent = round(100 * similarity)
     steps = least_matches(bands * rows, batch, similarity, miss)
@@ -158,25 +194,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keys = ["n_shingles", "h1", "h2"]
     real = scanned.where("doc_id is not null and n_shingles > 0")
     classes = materialize(real.groupBy(*keys).agg(F.min("doc_id").alias("id")), "classes")
-    chosen = real.join(classes.hint("shuffle_merge"), keys).where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["id"])
+    chosen = real.join(classes.hint("shuffle_merge"), keys).where("doc_id = id").select("id", "sig").dropDuplicates(["id"])
 
-    spread = materialize(chosen.mapInArrow(_bands(bands, rows), "bucket long, id long, n long"), "bands")
+    spread = materialize(chosen.mapInArrow(_bands(bands, rows), "bucket long, id long"), "bands")
     shared = spread.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last")
-    buckets = materialize(spread.join(shared.hint("shuffle_merge"), "bucket").select("bucket", "id", "n", "centre", "last"), "buckets")
+    buckets = materialize(spread.join(shared.hint("shuffle_merge"), "bucket").select("bucket", "id", "centre"), "buckets")
     release(spread)
     involved = materialize(buckets.select("id").distinct(), "involved")
     signatures = real.select(F.col("doc_id").alias("id"), "sig").join(involved, "id", "left_semi").dropDuplicates(["id"])
-    members = materialize(texts.withColumnRenamed("doc_id", "id").join(involved.hint("shuffle_merge"), "id", "left_semi").join(signatures.hint("shuffle_merge"), "id"), "members")
+    members = materialize(texts.withColumnRenamed("doc_id", "id").join(involved.hint("shuffle_merge"), "id", "left_semi").dropDuplicates(["id"]).join(signatures.hint("shuffle_merge"), "id"), "members")
     release(involved)
 
-    alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent  # no pair of other sizes can reach the threshold
     links, component = None, None
     for turn in range(STAR_ROUNDS + 1):
         now = buckets
         if component is not None:
             named = buckets.join(component.withColumnRenamed("node", "id").hint("shuffle_merge"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
             mixed = named.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max_by("id", F.xxhash64("id")).alias("mid")).where("c1 != c2").select("bucket", "mid")
-            now = materialize(named.select("bucket", "id", "n", "comp").join(mixed.hint("shuffle_merge"), "bucket"), "mixed")
+            now = materialize(named.select("bucket", "id", "comp").join(mixed.hint("shuffle_merge"), "bucket"), "mixed")
         if turn < STAR_ROUNDS:
             if component is None:
                 centre = F.col("centre")
@@ -185,8 +220,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 middle = now.where("id = mid").select("bucket", F.col("comp").alias("comp_mid")).dropDuplicates(["bucket"])
                 pairs = now.join(middle.hint("shuffle_merge"), "bucket").where("comp != comp_mid").select(F.least("id", "mid").alias("a"), F.greatest("id", "mid").alias("b"))
         else:
-            left, right = (now.select("bucket", F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.col("comp").alias(f"comp_{s}")) for s in "ab")
-            pairs = left.join(right.hint("shuffle_merge"), (left.bucket == right.bucket) & (left.comp_a < right.comp_b) & alike).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+            left = now.select("id", "comp").distinct()
+            pairs = rare_shingle_pairs(members.join(left.hint("shuffle_merge"), "id"), shingle, percent)
         found = _linked(pairs.distinct(), members, steps, shingle, percent)
         if component is not None:
             release(now)
