@@ -23,13 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: By application, the temporary folder of a session that names no shared one (local tests).
+_own_roots: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (local tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="momentlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    app = spark.sparkContext.applicationId
+    if app not in _own_roots:
+        _own_roots[app] = tempfile.mkdtemp(prefix="momentlake-")
+    return _own_roots[app]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -55,6 +61,26 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def plain_spaces(text: Column, characters: str = "\t\n\x0b\x0c\r") -> Column:
+    """Other white space turned into spaces: plain replacements, and a split at one space, are far cheaper than a pattern."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def words_between(text: Column) -> Column:
+    """Runs without ASCII white space; a null text has none."""
+    return F.filter(F.split(plain_spaces(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
+
+
+def occurrences(text: Column, characters: str) -> Column:
+    """How many of the given characters stand in the text."""
+    rest = text
+    for c in characters:
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+    return F.length(text) - F.length(rest)
+
+
 def in_three(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`: the fold of a document."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

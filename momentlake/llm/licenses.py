@@ -37,7 +37,8 @@ TEMPLATES = (
 
 def words_of(text: Column) -> Column:
     """Runs of digits, letters and characters beyond ASCII, A-Z lowered; a null text has none."""
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    plain = F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def grams(words: Column, k: int = K) -> Column:

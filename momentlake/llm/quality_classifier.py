@@ -15,8 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, materialize
-from .quality_rules import words_of, without
+from .common import bind, materialize, occurrences, plain_spaces, words_between
 
 POOLED, SPHERE, LEAST_SCORE = 0.3, 0.05, 0.7
 #: Log-density differences are divided by this before the sigmoid: the statistics aren't normal, and their tails overstate.
@@ -27,17 +26,17 @@ STATISTICS = ("log_words", "word_length", "symbols", "capitals", "shouts", "digi
 def statistics(text: Column) -> Column:
     """The statistics of a whole text as an array of doubles; a null text counts as empty."""
     t = F.coalesce(text, F.lit(""))
-    words = bind(words_of(t), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"), F.size(F.filter(w, lambda x: F.length(x) <= 3)).alias("short")))
+    words = bind(words_between(t), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"), F.size(F.filter(w, lambda x: F.length(x) <= 3)).alias("short")))
     lines = bind(F.filter(F.split(t, "\n"), lambda x: x != ""), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("distinct")))
 
     def together(w: Column, x: Column) -> Column:
-        n, chars = F.greatest(w["n"], F.lit(1)), F.greatest(F.length(F.translate(t, " \t\n\x0b\x0c\r", "")), F.lit(1))
+        n, chars = F.greatest(w["n"], F.lit(1)), F.greatest(F.length(F.replace(plain_spaces(t), F.lit(" "), F.lit(""))), F.lit(1))
         root = lambda c: F.sqrt(c.cast("double"))  # noqa: E731  spreads small shares
         return F.array(
-            F.log1p(w["n"].cast("double")), F.log1p(chars / n), root(without(t, "#*$%&<>") / chars), root(F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")) / chars),
-            root(without(t, "!") / n), root(without(t, "0123456789") / chars), root(without(t, "|") / n), root(F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) / chars),
+            F.log1p(w["n"].cast("double")), F.log1p(chars / n), root(occurrences(t, "#*$%&<>") / chars), root(F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")) / chars),
+            root(occurrences(t, "!") / n), root(F.length(F.regexp_replace(t, "[^0-9]+", "")) / chars), root(occurrences(t, "|") / n), root(F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) / chars),
             F.least(F.lit(1.0), w["distinct"] / F.least(n.cast("double"), 6 * F.sqrt(n))), root(1 - x["distinct"] / F.greatest(x["n"], F.lit(1))), F.log1p(n / F.greatest(x["n"], F.lit(1))),
-            root(w["short"] / n), root(without(t, ".") / n),
+            root(w["short"] / n), root(occurrences(t, ".") / n),
         )
 
     return bind(F.struct(words.alias("w"), lines.alias("l")), lambda s: together(s["w"], s["l"]))

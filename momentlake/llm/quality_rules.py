@@ -12,10 +12,9 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, materialize
+from .common import bind, materialize, occurrences, plain_spaces, words_between
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
-_SPACES = " \t\n\x0b\x0c\r"
 ITERATIONS, LEAST_GOOD, MOST_GOOD = 40, 0.05, 0.95
 #: rule: (measure, good from, good to, bad below, bad above); between them it abstains.
 RULES: dict[str, tuple[str, float, float, float, float]] = {
@@ -32,14 +31,6 @@ RULES: dict[str, tuple[str, float, float, float, float]] = {
 }
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
-def without(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
-
-
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in windows of `window` words that stand twice or more in the text (hashes of windows are compared)."""
 
@@ -64,10 +55,10 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """doc_id, the base counts and what the rules look at, from whole texts; a null text counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = bind(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    counts = bind(words_of(t), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"), repeated_words(w).alias("repeated"), F.size(F.filter(w, lambda x: (F.length(x) == 1) & x.rlike(r"[^\p{L}\p{N}]"))).alias("lone")))
+    counts = bind(words_between(t), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"), repeated_words(w).alias("repeated"), F.size(F.filter(w, lambda x: (F.length(x) == 1) & x.rlike(r"[^\p{L}\p{N}]"))).alias("lone")))
     raw = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), counts.alias("w"), lines.alias("l"),
-        F.length(F.translate(t, _SPACES, "")).alias("word_chars"), without(t, "#*$%&|<>").alias("n_symbols"), without(t, "!").alias("shouts"),
+        F.length(F.replace(plain_spaces(t), F.lit(" "), F.lit(""))).alias("word_chars"), occurrences(t, "#*$%&|<>").alias("n_symbols"), occurrences(t, "!").alias("shouts"),
         F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).alias("capitals"), F.length(F.regexp_replace(t, r"[^\p{L}]+", "")).alias("letters"),
     )
     words = F.greatest(F.col("w.n"), F.lit(1))
