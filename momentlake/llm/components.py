@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select("b", "m").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    return out.where(F.col("a") != F.col("b"))
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
-        new = materialize(_star(_star(now, True), False), "edges")
+        new = materialize(_star(_star(now, True), False).distinct(), "edges")
         release(now)
         now, before, mark = new, mark, _mark(new)
         if mark == before:

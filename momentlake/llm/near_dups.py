@@ -2,8 +2,8 @@
 
 1. One scan hashes every text into its set of word shingles and writes the set's size, a 128-bit hash of it and its MinHash
    signature. Texts with equal sets form a class; the class's smallest doc_id represents it, and only it goes on.
-2. Bands of the signature are grouped. A band bucket's pairs aren't listed: each member is compared with one centre of its
-   bucket, twice, with other centres. So a group of many near copies costs a star. Buckets whose members still lie in different
+2. Bands of the signature are grouped. A band bucket's pairs aren't listed: each member is compared with two centres of its
+   bucket. So a group of many near copies costs a star. Buckets whose members still lie in different
    components are left; their members are paired by a shared shingle among their rarest ones. A pair at the threshold must share
    one within its first 20 % (longer text) and 11 % (shorter text) in any fixed order, at places that leave room for the overlap
    it needs, so no link is lost, while texts that share a frequent passage but differ elsewhere aren't paired at all.
@@ -32,7 +32,6 @@ BANDS, ROWS = 32, 5
 BATCH, MISS = 32, 1e-6
 #: Values a scan holds at once: shingles times hash functions.
 _TILE = 4096
-STAR_ROUNDS = 2
 
 
 def hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,8 +172,8 @@ def _linked(pairs: DataFrame, members: DataFrame, steps: list[tuple[int, int]],
             some = some.join(own.hint("shuffle_merge"), side)
         return some.select("a", "b", f"{column}_a", f"{column}_b")
 
-    left = materialize(beside(pairs, "sig").mapInArrow(_prune(steps), "a long, b long").distinct(), "pairs")
-    out = materialize(beside(left, "text").mapInArrow(_verify(k, percent), "a long, b long").distinct(), "links")
+    left = materialize(beside(pairs, "sig").mapInArrow(_prune(steps), "a long, b long"), "pairs")
+    out = materialize(beside(left, "text").mapInArrow(_verify(k, percent), "a long, b long"), "links")
     release(left)
     return out
 
@@ -197,39 +196,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     chosen = real.join(classes.hint("shuffle_merge"), keys).where("doc_id = id").select("id", "sig").dropDuplicates(["id"])
 
     spread = materialize(chosen.mapInArrow(_bands(bands, rows), "bucket long, id long"), "bands")
-    shared = spread.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last")
-    buckets = materialize(spread.join(shared.hint("shuffle_merge"), "bucket").select("bucket", "id", "centre"), "buckets")
+    shared = spread.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("bucket")
+    buckets = materialize(spread.join(shared.hint("shuffle_merge"), "bucket", "left_semi"), "buckets")
     release(spread)
     involved = materialize(buckets.select("id").distinct(), "involved")
     signatures = real.select(F.col("doc_id").alias("id"), "sig").join(involved, "id", "left_semi").dropDuplicates(["id"])
     members = materialize(texts.withColumnRenamed("doc_id", "id").join(involved.hint("shuffle_merge"), "id", "left_semi").dropDuplicates(["id"]).join(signatures.hint("shuffle_merge"), "id"), "members")
     release(involved)
 
-    links, component = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        now = buckets
-        if component is not None:
-            named = buckets.join(component.withColumnRenamed("node", "id").hint("shuffle_merge"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-            mixed = named.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max_by("id", F.xxhash64("id")).alias("mid")).where("c1 != c2").select("bucket", "mid")
-            now = materialize(named.select("bucket", "id", "comp").join(mixed.hint("shuffle_merge"), "bucket"), "mixed")
-        if turn < STAR_ROUNDS:
-            if component is None:
-                centre = F.col("centre")
-                pairs = now.where("id != centre").select(F.least("id", centre).alias("a"), F.greatest("id", centre).alias("b"))
-            else:
-                middle = now.where("id = mid").select("bucket", F.col("comp").alias("comp_mid")).dropDuplicates(["bucket"])
-                pairs = now.join(middle.hint("shuffle_merge"), "bucket").where("comp != comp_mid").select(F.least("id", "mid").alias("a"), F.greatest("id", "mid").alias("b"))
-        else:
-            left = now.select("id", "comp").distinct()
-            pairs = rare_shingle_pairs(members.join(left.hint("shuffle_merge"), "id"), shingle, percent)
-        found = _linked(pairs.distinct(), members, steps, shingle, percent)
-        if component is not None:
-            release(now)
-        links = found if links is None else links.unionByName(found)
-        component = connected_components(links)
+    # Stars: each member against the smallest id of its bucket, and against one picked by a hash.
+    centres = buckets.groupBy("bucket").agg(F.min("id").alias("least"), F.max_by("id", F.xxhash64("id")).alias("other"))
+    rays = buckets.join(centres.hint("shuffle_merge"), "bucket").select("id", F.explode(F.array_distinct(F.array("least", "other"))).alias("centre")).where("id != centre")
+    links = _linked(rays.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), members, steps, shingle, percent)
+    component = connected_components(links)
+    named = buckets.join(component.withColumnRenamed("node", "id").hint("shuffle_merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("bucket")
+    left = materialize(named.join(mixed.hint("shuffle_merge"), "bucket", "left_semi").select("id", "comp").distinct(), "left")
+    rest = rare_shingle_pairs(members.join(left.hint("shuffle_merge"), "id"), shingle, percent)
+    found = _linked(rest.distinct(), members, steps, shingle, percent)
+    if not found.isEmpty():
+        component = connected_components(found.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     mapped = classes.join(component.withColumnRenamed("node", "id").hint("shuffle_merge"), "id", "left").select(*keys, F.coalesce("component", "id").alias("component_id"))
-    release(buckets)
-    release(members)
+    for done in (buckets, members, left):
+        release(done)
     named = real.select("doc_id", *keys).join(mapped.hint("shuffle_merge"), keys).select("doc_id", "n_shingles", "component_id")
     alone = scanned.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
