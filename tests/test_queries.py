@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -22,9 +23,12 @@ def con():
 
 
 def plain(v):
-    if isinstance(v, float) and not math.isnan(v):
-        return f"{v + 0.0:.9g}"
-    return f"{float(v):.9g}" if isinstance(v, int) and not isinstance(v, bool) else str(v)
+    """Whole numbers alike whatever their type, others to six digits."""
+    if isinstance(v, Decimal):
+        v = float(v)
+    if isinstance(v, float) and math.isfinite(v):
+        return str(int(v)) if v == int(v) else f"{v:.6g}"
+    return str(v)
 
 
 @pytest.mark.parametrize("name", QUERIES)
