@@ -23,7 +23,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the minimum can stand in
 KINDS = ("assign", "access", "hex", "random")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 #: The method's candidates, and what it leaves out: digests of usual lengths, UUIDs, words joined by signs, plain numbers.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})\Z")
 IDENTIFIER = re.compile(r"(?:[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}|[0-9+/_=-]+|(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+))*[+/_=-]*)\Z")
 VOCABULARY, PATTERN_RATIO = "byte_bpe_50k.tiktoken", 2.0

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from momentlake.llm import secrets
@@ -27,6 +28,17 @@ def test_base_spans_and_method(spark):
         assert bool([k for k in kinds if k[1] == 3]) == (r["doc_id"] == 5)
 
 
+def test_long_runs(spark):
+    """Random runs of any length are found whole; long runs of words or of one repeated letter are not."""
+    rng = random.Random(4)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(signs) for _ in range(n)) for n in (200, 201, 300, 5000, 100_000)]
+    texts = [f"see {k} there" for k in keys] + ["see " + "many-plain-words-" * 300 + "and1more there", "x" * 5000 + "1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["spans"]] for r in secrets.find_secrets(docs).collect()}
+    assert found == {i: [("random", keys[i])] if i < len(keys) else [] for i in range(len(texts))}
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = secrets.find_secrets(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r["spans"] == [] for r in rows if r["doc_id"] in (1, 2, 3))
