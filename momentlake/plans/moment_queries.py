@@ -179,10 +179,12 @@ def p17_score_results(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("batch_id", F.col("index").cast("long").alias("index"), F.col("breakdown").isNotNull().alias("scored"), "reason")
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN upper(substr(text, 3, 10)) ELSE '' END AS quote FROM conversations WHERE regexp_matches(left(text, 20), '^[ -~]{20}$')")
+@query("SELECT conv_id, turn, CASE WHEN contains(lower(text), lower(q)) THEN q ELSE '' END AS quote FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN replace(upper(substr(text, 3, 10)), 'ẞ', 'SS') ELSE '~never said~' END AS q FROM conversations)")
 def p18_quote_or_blank(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where(F.substring("text", 1, 20).rlike("^[ -~]{20}$"))
-    quote = F.when(F.col("turn") % 2 == 0, F.upper(F.substring("text", 3, 10))).otherwise("~never said~")
+    c = table(spark, sf, "conversations")
+    # Inside a transform, as Catalyst takes lower(upper(x)) for lower(x), which differs for a sharp s.
+    upper = F.get(F.transform(F.array(F.substring("text", 3, 10)), F.upper), F.lit(0))
+    quote = F.when(F.col("turn") % 2 == 0, upper).otherwise("~never said~")
     return c.select("conv_id", "turn", T.quote_or_blank(quote, F.col("text")).alias("quote"))
 
 

@@ -28,37 +28,37 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 _NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9''\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, md5({_NORM}) AS normal FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, md5({_NORM}) AS normal FROM documents")
 def f1_normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).where("lang = 'en'").select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("normal"))
+    return documents(spark, sf).select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("normal"))
 
 
 _STEM = "CASE WHEN ends_with(w, 'ing') AND len(w) > 6 THEN left(w, len(w) - 3) WHEN ends_with(w, 'ed') AND len(w) > 5 THEN left(w, len(w) - 2) ELSE w END"
 
 
-@query(f"WITH n AS (SELECT doc_id, unnest(string_split({_NORM}, ' ')) AS w FROM documents WHERE lang = 'en') SELECT doc_id, count(DISTINCT {_STEM}) AS stems FROM n WHERE w <> '' GROUP BY 1")
+@query(f"WITH n AS (SELECT doc_id, unnest(string_split({_NORM}, ' ')) AS w FROM documents) SELECT doc_id, count(DISTINCT {_STEM}) AS stems FROM n WHERE w <> '' GROUP BY 1")
 def f2_stems(spark: SparkSession, sf: str) -> DataFrame:
     stems = F.array_distinct(F.transform(T.tokens(T.normalize_text(F.col("text"))), T.stem))
-    return documents(spark, sf).where("lang = 'en'").select("doc_id", F.size(stems).cast("long").alias("stems")).where("stems > 0")
+    return documents(spark, sf).select("doc_id", F.size(stems).cast("long").alias("stems")).where("stems > 0")
 
 
 #: Frequent words of the corpus in place of the action lexicon.
 _LEXICON, _PHRASES = ("thened", "eresh", "onthing"), (r"\bof the\b",)
 
 
-@query(rf"SELECT doc_id, regexp_matches({_NORM}, '\bof the\b') OR len(list_intersect(list_transform(string_split({_NORM}, ' '), lambda w: {_STEM}), ['thened', 'then', 'eresh', 'onthing', 'onth'])) > 0 AS action FROM documents WHERE lang = 'en'")
+@query(rf"SELECT doc_id, regexp_matches({_NORM}, '\bof the\b') OR len(list_intersect(list_transform(string_split({_NORM}, ' '), lambda w: {_STEM}), ['thened', 'then', 'eresh', 'onthing', 'onth'])) > 0 AS action FROM documents")
 def f3_has_action(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).where("lang = 'en'").select("doc_id", T.stem_hit(F.col("text"), _LEXICON, _PHRASES).alias("action"))
+    return documents(spark, sf).select("doc_id", T.stem_hit(F.col("text"), _LEXICON, _PHRASES).alias("action"))
 
 
-@query(rf"WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents WHERE lang = 'en') SELECT doc_id, len(list_filter(string_split(t, ' '), lambda w: w <> '' AND w NOT IN ({', '.join(repr(w) for w in T.NOISE_WORDS)}))) < 25 AND CAST(contains(t, 'ou') AS INT) + CAST(contains(t, 'er') AS INT) >= 2 AND NOT regexp_matches(t, '\bof the\b') AS spam FROM n")
+@query(rf"WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents) SELECT doc_id, len(list_filter(string_split(t, ' '), lambda w: w <> '' AND w NOT IN ({', '.join(repr(w) for w in T.NOISE_WORDS)}))) < 25 AND CAST(contains(t, 'ou') AS INT) + CAST(contains(t, 'er') AS INT) >= 2 AND NOT regexp_matches(t, '\bof the\b') AS spam FROM n")
 def f4_name_only_spam(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).where("lang = 'en'").select("doc_id", T.name_only_spam(F.col("text"), ["Ou", "er"], ["zzz"], list(_PHRASES)).alias("spam"))
+    return documents(spark, sf).select("doc_id", T.name_only_spam(F.col("text"), ["Ou", "er"], ["zzz"], list(_PHRASES)).alias("spam"))
 
 
-@query(r"SELECT doc_id, len(w) >= 8 AND (contains(lower(text), 'what') OR contains(lower(text), 'thonth') OR len(text) - len(replace(text, '?', '')) >= 2 OR len(text) - len(replace(text, '!', '')) >= 2 OR len(list_filter(w, lambda x: len(x) > 2 AND x = upper(x) AND x <> lower(x))) >= 2) AS keep FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en')")
+@query(r"SELECT doc_id, len(w) >= 8 AND (contains(lower(text), 'what') OR contains(lower(text), 'thonth') OR len(text) - len(replace(text, '?', '')) >= 2 OR len(text) - len(replace(text, '!', '')) >= 2 OR len(list_filter(w, lambda x: len(x) > 2 AND x = upper(x) AND x <> lower(x))) >= 2) AS keep FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
 def f5_keep_local_window(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).where("lang = 'en'").select("doc_id", T.keep_local_window(F.col("text"), 8, ("what", "thonth")).alias("keep"))
+    return documents(spark, sf).select("doc_id", T.keep_local_window(F.col("text"), 8, ("what", "thonth")).alias("keep"))
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split({_NORM}, ' '), lambda w: w <> '' AND w NOT IN ({', '.join(repr(w) for w in T.NOISE_WORDS)}))) AS w FROM conversations)
@@ -80,9 +80,9 @@ def f14_redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return log_lines(spark, sf).select("event_id", T.redact_secrets(F.col("line")).alias("line"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '(thened|ouon)[a-z]*', '[redacted]', 'gi'), '\s{2,}', ' ', 'g'))) AS clean FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '(thened|ouon)[a-z]*', '[redacted]', 'gi'), '\s{2,}', ' ', 'g'))) AS clean FROM documents")
 def f15_redact_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).where("lang = 'en'").select("doc_id", F.md5(T.redact_terms(F.col("text"), [r"(thened|ouon)[a-z]*"])).alias("clean"))
+    return documents(spark, sf).select("doc_id", F.md5(T.redact_terms(F.col("text"), [r"(thened|ouon)[a-z]*"])).alias("clean"))
 
 
 _CATEGORY = "CASE WHEN event_id % 11 = 0 THEN 'processing' WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'warning' WHEN event_id % 17 = 0 THEN 'quota' WHEN event_id % 19 = 0 THEN 'credentials' WHEN event_id % 23 = 0 THEN 'processing' ELSE NULL END"
@@ -100,15 +100,17 @@ def f17_caption_errors(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", F.size(T.caption_errors(F.col("text"))).alias("n_errors"))
 
 
-@query(r"SELECT doc_id, md5(CASE WHEN contains(lower(text), 'thened') AND doc_id % 2 = 0 THEN trim(regexp_replace(regexp_replace(text, 'thened', '', 'gi'), '\s{2,}', ' ', 'g')) ELSE text END) AS clean FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, md5(CASE WHEN contains(lower(text), 'thened') AND doc_id % 2 = 0 THEN trim(regexp_replace(regexp_replace(text, 'thened', '', 'gi'), '\s{2,}', ' ', 'g')) ELSE text END) AS clean FROM documents")
 def f18_strip_names(spark: SparkSession, sf: str) -> DataFrame:
     allowed = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("other"))).otherwise(F.array(F.lit("THENED")))
-    return documents(spark, sf).where("lang = 'en'").select("doc_id", F.md5(T.strip_names(F.col("text"), ["Thened"], allowed)).alias("clean"))
+    return documents(spark, sf).select("doc_id", F.md5(T.strip_names(F.col("text"), ["Thened"], allowed)).alias("clean"))
 
 
-@query("SELECT conv_id, turn, 'He said \"' || substr(text, 1, 12) || '\" and' AS clean FROM conversations WHERE length(text) >= 20 AND NOT contains(text, '\"') AND NOT regexp_matches(substr(text, 1, 12), '\\s\\s')")
+@query(r"""WITH p AS (SELECT *, 'He said "' || substr(text, 1, 12) || '" and "never said this" ' AS post FROM conversations),
+b AS (SELECT *, list_filter(regexp_extract_all(post, '"([^"]{4,})"', 1), lambda q: trim(rtrim(q, '.')) <> '' AND NOT contains(lower(text), lower(trim(rtrim(q, '.'))))) AS bad FROM p)
+SELECT conv_id, turn, trim(regexp_replace(list_reduce(list_prepend(post, bad), lambda t, q: replace(t, '"' || q || '"', '')), '\s{2,}', ' ', 'g'), ' -:') AS clean FROM b""")
 def f19_verify_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where((F.length("text") >= 20) & ~F.contains("text", F.lit('"')) & ~F.substring("text", 1, 12).rlike(r"\s\s"))
+    c = table(spark, sf, "conversations")
     post = F.concat(F.lit('He said "'), F.substring("text", 1, 12), F.lit('" and "never said this" '))
     return c.select("conv_id", "turn", T.verify_quotes(post, F.col("text")).alias("clean"))
 
@@ -169,10 +171,9 @@ def a14_names_present(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", F.size(T.names_present(F.col("text"), ["Idiot", "clown"])).alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, 'what') AND contains(text, 'idiot') THEN 2 WHEN contains(text, 'what') OR contains(text, 'idiot') THEN 1 ELSE 0 END AS shared FROM documents WHERE NOT regexp_matches(text, '[^ \\n]what|what[^ \\n]|[^ \\n]idiot|idiot[^ \\n]|What|Idiot|WHAT|IDIOT')")
+@query(r"SELECT doc_id, len(list_intersect(list_distinct(string_split_regex(text, '\s+')), ['what', 'idiot'])) AS shared FROM documents")
 def u5_keyword_intersection(spark: SparkSession, sf: str) -> DataFrame:
-    clear = documents(spark, sf).where(~F.col("text").rlike(r"[^ \n]what|what[^ \n]|[^ \n]idiot|idiot[^ \n]|What|Idiot|WHAT|IDIOT"))
-    return clear.select("doc_id", F.size(F.array_intersect(T.tokens(F.col("text")), F.array(F.lit("what"), F.lit("idiot")))).alias("shared"))
+    return documents(spark, sf).select("doc_id", F.size(F.array_intersect(T.tokens(F.col("text")), F.array(F.lit("what"), F.lit("idiot")))).alias("shared"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'b' ELSE 'a,b' END AS forbidden FROM documents")
@@ -282,10 +283,9 @@ def p22_recipe_errors(spark: SparkSession, sf: str) -> DataFrame:
 # --- ledger and telemetry ------------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, ceil(o_totalprice / 1024 * 10) / 10 AS hold FROM orders WHERE abs(o_totalprice / 102.4 - round(o_totalprice / 102.4)) > 0.001")
+@query("SELECT o_orderkey, ceil(o_totalprice / 1024 * 10) / 10 AS hold FROM orders")
 def f26_hold_amount(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where(F.abs(F.col("o_totalprice") / 102.4 - F.round(F.col("o_totalprice") / 102.4)) > 0.001)
-    return o.select("o_orderkey", ledger.hold_amount(F.col("o_totalprice") / 1024, F.lit(1.0)).cast("double").alias("hold"))
+    return table(spark, sf, "orders").select("o_orderkey", ledger.hold_amount(F.col("o_totalprice") / 1024, F.lit(1.0)).cast("double").alias("hold"))
 
 
 _SETTLED = """x AS (SELECT o_orderkey, o_orderkey % 9 = 0 AS done, o_orderkey % 7 = 0 AS crashed, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 100 AS DOUBLE) END AS hold, o_orderkey % 3 AS kept, CASE WHEN o_orderkey % 2 = 0 THEN 40.0 END AS cap FROM orders)"""
