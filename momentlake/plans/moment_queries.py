@@ -29,8 +29,8 @@ o AS (SELECT *, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN least(x, y) END A
 r AS (SELECT *, CASE WHEN q <= 205 AND p < 995 THEN p + 1000 ELSE p END AS p2, CASE WHEN q <= 205 AND p < 995 THEN q + 1000 ELSE q END AS q2 FROM o),
 c AS (SELECT l_orderkey, l_linenumber, p, greatest(998, greatest(0, p2)) AS a, least(least(1202, least(1150, q2)), 1150) AS b FROM r),
 m AS (SELECT *, (a + b) / 2 AS mid FROM c)"""
-#: (order, line) isn't unique in lineitem; these queries need lines that are.
-_SINGLE = "single AS (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)"
+#: (order, line) isn't unique in lineitem: the place of a row among its order's, and rows alike in line and quantity give the same answer.
+_RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS place FROM lineitem)"
 
 
 @query(f"""WITH {_SPANS} SELECT l_orderkey, l_linenumber, CASE WHEN p IS NULL THEN 'missing_timestamp' WHEN b <= a THEN 'end_le_start' WHEN b - a < 8 THEN 'expand_short' WHEN b - a > 90 THEN 'clamp_long' ELSE 'keep' END AS action,
@@ -41,9 +41,8 @@ def p7_accept_span(spark: SparkSession, sf: str) -> DataFrame:
     return _span_inputs(lines(spark, sf)).withColumn("s", span).select(*_KEY, "s.action", F.round("s.start", 2).alias("start_at"), F.round("s.end", 2).alias("end_at"))
 
 
-def single_lines(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy(*_KEY))
-    return lines(spark, sf).withColumn("_n", n).where("_n = 1").drop("_n")
+def ranked_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return lines(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity")))
 
 
 def _span_inputs(df: DataFrame) -> DataFrame:
@@ -55,11 +54,11 @@ def _span_inputs(df: DataFrame) -> DataFrame:
 
 def scout_responses(spark: SparkSession, sf: str) -> DataFrame:
     """One window per order, with a JSON response of a candidate per line."""
-    rows = _span_inputs(single_lines(spark, sf)).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("a").alias("start"), F.col("b").alias("end"), (F.col("l_quantity") * 3).alias("preliminary_score"), (F.col("l_discount") * 1000).alias("needs_more_context_before"), F.col("l_linenumber").alias("needs_more_context_after")))).alias("candidates"))
+    rows = _span_inputs(lines(spark, sf)).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("a").alias("start"), F.col("b").alias("end"), (F.col("l_quantity") * 3).alias("preliminary_score"), (F.col("l_discount") * 1000).alias("needs_more_context_before"), F.col("l_linenumber").alias("needs_more_context_after")))).alias("candidates"))
     return rows.select(F.col("l_orderkey").alias("source_id"), F.lit(0).alias("window_id"), F.lit(1000.0).alias("start"), F.lit(1200.0).alias("end"), F.to_json(F.struct("candidates")).alias("response"))
 
 
-_ACCEPTED = f"WITH {_SINGLE}, {_SPANS}, ok AS (SELECT s.* FROM single s JOIN m USING (l_orderkey, l_linenumber) WHERE p IS NOT NULL AND m.b > m.a)"
+_ACCEPTED = f"WITH {_SPANS.replace('SELECT l_orderkey, l_linenumber,', 'SELECT l_orderkey, l_linenumber, l_quantity, l_discount,')}, ok AS (SELECT * FROM m WHERE p IS NOT NULL AND m.b > m.a)"
 
 
 @query(f"{_ACCEPTED} SELECT l_orderkey AS source_id, count(*) AS n, CAST(sum(least(100, l_quantity * 3)) AS DOUBLE) AS total_score, round(sum(least(45, l_discount * 1000)), 4) AS total_before FROM ok GROUP BY 1")
@@ -74,22 +73,21 @@ def p13_scout_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(F.col("preliminary_score") >= 36).groupBy("source_id").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {WORDS}, ends AS (SELECT source_id, min(s) AS f, max(e) AS l FROM words GROUP BY 1), c AS (SELECT w.source_id, w.word_idx AS window_id, greatest(0, f, s - 5) AS a, least(l, s + 13) AS b, l FROM words w JOIN ends USING (source_id) WHERE word_idx % 100000 = 4 AND confidence * 100 >= 36),
-x AS (SELECT source_id, window_id, CASE WHEN b - a < 8 THEN least(b, greatest(a, (a + b) / 2 - 4) + 8) ELSE b END AS e, CASE WHEN b - a < 8 THEN greatest(0, least(b, greatest(a, (a + b) / 2 - 4) + 8) - 8) ELSE a END AS s FROM c WHERE b > a)
+@query(f"""WITH {WORDS}, ends AS (SELECT source_id, min(s) AS f, max(e) AS l FROM words GROUP BY 1), c AS (SELECT w.source_id, w.word_idx AS window_id, greatest(0, f, s - 5) AS a, least(l, s + 13) AS b, l FROM words w JOIN ends USING (source_id) WHERE confidence * 100 >= 36),
+x AS (SELECT source_id, window_id, CASE WHEN b - a < 8 THEN least(b, greatest(a, (a + b) / 2 - 4) + 8) ELSE b END AS e, CASE WHEN b - a < 8 THEN greatest(0, least(b, greatest(a, (a + b) / 2 - 4) + 8) - 8) ELSE a END AS s FROM c WHERE b > a QUALIFY row_number() OVER (PARTITION BY source_id, s, e ORDER BY window_id) = 1)
 SELECT x.source_id, x.window_id, round(x.s, 3) AS start_at, round(x.e, 3) AS end_at, string_agg(trim(w.text), ' ' ORDER BY w.s, w.word_idx) AS text FROM x JOIN words w ON w.source_id = x.source_id AND w.s >= x.s AND w.s < x.e GROUP BY 1, 2, 3, 4""")
 def p14_expand_context(spark: SparkSession, sf: str) -> DataFrame:
     w = words(spark, sf)
-    turns = w.where(F.col("word_idx") % 100_000 == 4)
-    c = turns.select("source_id", F.col("word_idx").alias("window_id"), F.lit(0).alias("candidate_no"), "start", (F.col("start") + 9).alias("end"), (F.col("confidence") * 100).alias("preliminary_score"), F.lit("r").alias("reason"), F.lit(5.0).alias("before"), F.lit(4.0).alias("after"))
+    c = w.select("source_id", F.col("word_idx").alias("window_id"), F.lit(0).alias("candidate_no"), "start", (F.col("start") + 9).alias("end"), (F.col("confidence") * 100).alias("preliminary_score"), F.lit("r").alias("reason"), F.lit(5.0).alias("before"), F.lit(4.0).alias("after"))
     return scout.expand_context(c, w).select("source_id", "window_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "text")
 
 
-@query(f"WITH {_SINGLE} SELECT l_orderkey AS batch_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS \"index\", CAST(l_quantity AS DOUBLE) AS score FROM single WHERE l_orderkey % 3 <> 0 AND l_orderkey NOT IN (SELECT l_orderkey FROM single WHERE l_quantity > 49)")
+@query(f"WITH {_RANKED} SELECT l_orderkey AS batch_id, place - 1 AS \"index\", CAST(l_quantity AS DOUBLE) AS score FROM ranked WHERE l_orderkey % 3 <> 0 AND l_orderkey NOT IN (SELECT l_orderkey FROM ranked WHERE l_quantity > 49)")
 def p9_strict_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Batches whose key is a multiple of 3 expect a row more than they have; scores over 49 are out of range."""
     bad = F.when(F.col("l_quantity") > 49, F.lit(101.0)).otherwise(F.col("l_quantity"))
     ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", bad.alias("score"))))
-    rows = single_lines(spark, sf).groupBy("l_orderkey").agg(F.to_json(F.transform(ordered, lambda x, i: F.struct(i.alias("index"), x["score"].alias("score")))).alias("response"), F.count("*").alias("have"))
+    rows = lines(spark, sf).groupBy("l_orderkey").agg(F.to_json(F.transform(ordered, lambda x, i: F.struct(i.alias("index"), x["score"].alias("score")))).alias("response"), F.count("*").alias("have"))
     batches = rows.select(F.col("l_orderkey").alias("batch_id"), "response", (F.col("have") + F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0)).alias("n"))
     return scout.strict_scores(batches).withColumn("index", F.col("index").cast("long"))
 
@@ -168,13 +166,13 @@ def p16_editor_fields(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).withColumn("f", f).select(*_KEY, "f.event_class", "f.tightness", "f.payoff_type")
 
 
-@query(f"WITH {_SINGLE}, x AS (SELECT l_orderkey AS batch_id, l_linenumber AS idx, l_linenumber % 5 <> 0 AND l_quantity <= 45 AS good FROM single) SELECT batch_id, CAST(idx AS BIGINT) AS \"index\", good AS scored, CASE WHEN idx = 4 THEN 'skipped' WHEN good THEN 'why' END AS reason FROM x WHERE idx <> 4 UNION ALL SELECT batch_id, CAST(idx AS BIGINT), TRUE, 'skipped' FROM x WHERE idx = 4")
+@query(f"WITH {_RANKED} SELECT l_orderkey AS batch_id, place AS \"index\", l_linenumber = 4 OR (l_linenumber % 5 <> 0 AND l_quantity <= 45) AS scored, CASE WHEN l_linenumber = 4 THEN 'skipped' WHEN l_linenumber % 5 <> 0 AND l_quantity <= 45 THEN 'why' END AS reason FROM ranked")
 def p17_score_results(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth line misses a component, quantities over 45 are out of range, and the texts of fourth lines are blank."""
     n, q = F.col("l_linenumber"), F.col("l_quantity")
-    row = F.struct(n.alias("index"), F.when(q <= 45, q / 5).otherwise(10.5).alias("hook"), F.lit(3.0).alias("payoff"), F.lit(1.0).alias("emotion"), F.when(n % 5 != 0, 2.0).alias("standalone"), F.lit(4.0).alias("novelty"), F.lit(5.0).alias("technical"), F.lit("why").alias("reason"), F.lit("quote").alias("quote"))
-    responses = single_lines(spark, sf).groupBy(F.col("l_orderkey").alias("batch_id")).agg(F.concat(F.lit("```json\n"), F.to_json(F.collect_list(row)), F.lit("\n```")).alias("response"))
-    windows = single_lines(spark, sf).select(F.col("l_orderkey").alias("batch_id"), n.cast("int").alias("index"), F.when(n == 4, " ").otherwise("some text").alias("text"))
+    row = F.struct(F.col("place").alias("index"), F.when(q <= 45, q / 5).otherwise(10.5).alias("hook"), F.lit(3.0).alias("payoff"), F.lit(1.0).alias("emotion"), F.when(n % 5 != 0, 2.0).alias("standalone"), F.lit(4.0).alias("novelty"), F.lit(5.0).alias("technical"), F.lit("why").alias("reason"), F.lit("quote").alias("quote"))
+    responses = ranked_lines(spark, sf).groupBy(F.col("l_orderkey").alias("batch_id")).agg(F.concat(F.lit("```json\n"), F.to_json(F.collect_list(row)), F.lit("\n```")).alias("response"))
+    windows = ranked_lines(spark, sf).select(F.col("l_orderkey").alias("batch_id"), F.col("place").alias("index"), F.when(n == 4, " ").otherwise("some text").alias("text"))
     done = scout.score_results(windows, responses)
     return done.select("batch_id", F.col("index").cast("long").alias("index"), F.col("breakdown").isNotNull().alias("scored"), "reason")
 
@@ -189,9 +187,9 @@ def p18_quote_or_blank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
-    """A review per first line of an order: odd keys have evidence outside, discounts over 0.08 a bad confidence."""
+    """A review per line of an order: odd keys have evidence outside, discounts over 0.08 a bad confidence."""
     k = F.col("l_orderkey")
-    rows = lines(spark, sf).where("l_linenumber = 1")
+    rows = lines(spark, sf)
     time = F.when(k % 2 == 1, 999.0).otherwise(10.0)
     return rows.select(
         k.alias("source_id"), F.col("l_linenumber").alias("candidate_id"), F.lit("e").alias("literal_event"), F.lit("s").alias("social_interpretation"), F.lit("k").alias("skeptic"), F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise("u").alias("uncertainties"),
@@ -199,7 +197,7 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("SELECT l_orderkey AS source_id, CAST(l_orderkey % 5 = 0 AS INT) + CAST(l_discount > 0.08 AS INT) + CAST(l_orderkey % 2 = 1 AS INT) AS n_errors FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey AS source_id, CAST(l_orderkey % 5 = 0 AS INT) + CAST(l_discount > 0.08 AS INT) + CAST(l_orderkey % 2 = 1 AS INT) AS n_errors FROM lineitem")
 def p19_review_errors(spark: SparkSession, sf: str) -> DataFrame:
     joined = reviews(spark, sf).withColumns({"c_start": F.lit(0.0), "c_end": F.lit(30.0)})
     return joined.select("source_id", F.size(review.review_errors()).alias("n_errors"))

@@ -6,12 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from momentlake.functions import text as T
+from momentlake.plans.bindings import words
 from momentlake.plans.queries import QUERIES
 from tests.test_queries import SF
 
 ROWS = {
     "documents": ("f1_normalize_text", "f3_has_action", "f4_name_only_spam", "f5_keep_local_window", "f15_redact_terms", "f18_strip_names", "u5_keyword_intersection"),
     "conversations": ("f19_verify_quotes", "p18_quote_or_blank"), "orders": ("f26_hold_amount",),
+    "lineitem": ("p17_score_results", "p19_review_errors"),
 }
 
 
@@ -23,3 +25,19 @@ def test_every_row_is_there(spark, table, name):
 def test_every_document_with_a_word_has_stems(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("text").rlike("[A-Za-z0-9']"))
     assert QUERIES["f2_stems"](spark, SF).count() == docs.count()
+
+
+def test_repeated_lines_are_there(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet")
+    good = rows.where("l_orderkey % 3 <> 0").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_quantity").alias("most")).where("most <= 49")
+    assert QUERIES["p9_strict_scores"](spark, SF).count() == good.agg(F.sum("n")).first()[0]
+    kept = QUERIES["p8_scout_candidates"](spark, SF).where("n > 7").count()
+    assert kept > 0  # more candidates than line numbers
+    high = QUERIES["p13_scout_threshold"](spark, SF).where("n > 7").count()
+    assert 0 < high <= kept
+
+
+def test_every_likely_word_is_a_candidate(spark):
+    likely = words(spark, SF).where("confidence * 100 >= 36").count()
+    turns = words(spark, SF).where("word_idx % 100000 = 4").count()
+    assert turns < QUERIES["p14_expand_context"](spark, SF).count() <= likely  # equal spans count once
