@@ -462,22 +462,22 @@ def u4_distinct_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """A conversation turn as a phrase-style ASR response of its first five words."""
-    w = F.slice(F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != ""), 1, 5)
+    """A conversation turn as a phrase-style ASR response of its words."""
+    w = F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != "")
     item = F.transform(w, lambda x, i: F.struct(x.alias("text"), (i * 500).alias("offsetMilliseconds"), F.lit(250).alias("durationMilliseconds")))
     phrase = F.array(F.struct(F.col("text"), F.col("role").alias("speaker"), F.lit("en").alias("locale"), F.lit(0.5).alias("confidence"), item.alias("words")))
     return table(spark, sf, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("index"), F.to_json(F.struct(phrase.alias("phrases"))).alias("response"))
 
 
-@query(f"WITH {WORDS} SELECT source_id, turn AS \"index\", s - turn * 1024 AS start_at, s - turn * 1024 + 0.25 AS end_at, text, 0.5 AS confidence FROM words WHERE word_idx % 100000 < 5")
+@query(f"WITH {WORDS} SELECT source_id, turn AS \"index\", s - turn * 1024 AS start_at, s - turn * 1024 + 0.25 AS end_at, text, 0.5 AS confidence FROM words")
 def s4_phrase_words(spark: SparkSession, sf: str) -> DataFrame:
     w = files.phrase_words(responses(spark, sf))
     return w.select("source_id", "index", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "text", "confidence")
 
 
-@query(f"WITH {WORDS} SELECT source_id, turn AS \"index\", CAST(word_idx % 100000 AS DOUBLE) AS start_at, text, CASE WHEN word_idx % 2 = 0 THEN 0.25 END AS confidence FROM words WHERE word_idx % 100000 < 5")
+@query(f"WITH {WORDS} SELECT source_id, turn AS \"index\", CAST(word_idx % 100000 AS DOUBLE) AS start_at, text, CASE WHEN word_idx % 2 = 0 THEN 0.25 END AS confidence FROM words")
 def s5_flat_words(spark: SparkSession, sf: str) -> DataFrame:
-    w = F.slice(F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != ""), 1, 5)
+    w = F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != "")
     item = F.transform(w, lambda x, i: F.struct(x.alias("word"), i.cast("double").alias("start"), (i + 0.5).alias("end"), F.when(i % 2 == 0, 0.25).otherwise(7.0).alias("confidence")))
     r = table(spark, sf, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("index"), F.to_json(F.struct(item.alias("words"))).alias("response"))
     return files.flat_words(r).select("source_id", "index", F.col("start").alias("start_at"), "text", "confidence")
@@ -501,11 +501,15 @@ def s7_read_table(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_table(spark, f"{sf}/orders.parquet").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
 
 
-@query(f"WITH {WORDS}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id, turn ORDER BY s) - 1 AS r FROM words) SELECT source_id, turn AS clip_id, 'Dialogue: 0,0:00:' || printf('%05.2f', min(r) * 0.5) || ',0:00:' || printf('%05.2f', max(r) * 0.5 + 0.25) || ',Default,' || string_agg(text, ' ' ORDER BY r) AS value FROM n WHERE r < 8 GROUP BY source_id, turn, r // 4")
+_AT = "printf('%d:%02d:%05.2f', CAST(floor({0} / 3600) AS INT), CAST(floor(({0} % 3600) / 60) AS INT), {0} % 60)"
+
+
+@query(f"WITH {WORDS}, n AS (SELECT *, (word_idx % 100000) AS r FROM words), g AS (SELECT source_id, turn AS clip_id, min(r) * 0.5::DOUBLE AS a, max(r) * 0.5::DOUBLE + 0.25 AS b, string_agg(text, ' ' ORDER BY r) AS text FROM n GROUP BY source_id, turn, r // 4) SELECT source_id, clip_id, 'Dialogue: 0,' || {_AT.format('a')} || ',' || {_AT.format('b')} || ',Default,' || text AS value FROM g")
 def s12_dialogue_lines(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.transcript import caption_groups
 
-    clips = table(spark, sf, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("clip_id"), (F.col("turn") * 1024.0).alias("start"), (F.col("turn") * 1024.0 + 3.75).alias("end"))
+    # A clip is as long as its turn.
+    clips = words(spark, sf).groupBy("source_id", F.floor(F.col("word_idx") / 100_000).alias("clip_id")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return files.dialogue_lines(caption_groups(clips, words(spark, sf))).select("source_id", "clip_id", "value")
 
 

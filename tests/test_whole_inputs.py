@@ -41,3 +41,11 @@ def test_every_likely_word_is_a_candidate(spark):
     likely = words(spark, SF).where("confidence * 100 >= 36").count()
     turns = words(spark, SF).where("word_idx % 100000 = 4").count()
     assert turns < QUERIES["p14_expand_context"](spark, SF).count() <= likely  # equal spans count once
+
+
+def test_whole_turns_are_parsed(spark):
+    spoken = words(spark, SF)
+    assert QUERIES["s4_phrase_words"](spark, SF).count() == QUERIES["s5_flat_words"](spark, SF).count() == spoken.count()
+    lines = QUERIES["s12_dialogue_lines"](spark, SF)
+    of_four = spoken.groupBy("source_id", F.floor(F.col("word_idx") / 100_000)).agg(F.ceil(F.count("*") / 4).alias("n")).agg(F.sum("n")).first()[0]
+    assert lines.count() == of_four and lines.where(F.col("value").rlike(r"^Dialogue: 0,0:0[1-9]:")).count() > 0
