@@ -1,7 +1,7 @@
 """Benchmark decontamination with SimHash.
 
-Each benchmark item gives fingerprints of item-sized windows (its first and its last; sizes are rounded down to a few classes, so
-that a text is fingerprinted once per class). Every window of every document is fingerprinted from running sums of its words' hash
+Each benchmark item gives fingerprints of windows so placed that one is whole in any item with words replaced up to the similarity
+asked for (see windows_of; sizes are rounded down to a few classes, so that a text is fingerprinted once per class). Every window of every document is fingerprinted from running sums of its words' hash
 bits. Multi-index blocks find all pairs within the radius: a fingerprint is four 16-bit blocks and an item stands in a block's
 table under its value and all values one bit away, so any fingerprint at most 7 bits away shares an entry (7 differing bits leave
 some block with one at most). Candidates are then verified on whole items: the weighted Jaccard similarity of word 5-gram counts.
@@ -37,9 +37,9 @@ class Index:
             words, _ = word_hashes(raw, np.array([0, len(raw)]))
             if not len(words):
                 continue
-            size = max([c for c in CLASSES if c <= len(words)], default=len(words))
+            size, places = windows_of(len(words), k)
             shingles, counts = np.unique(shingle_hashes(words, k), return_counts=True)
-            for at in {0, len(words) - size}:
+            for at in places:
                 entries.setdefault(size, []).append((len(self.items), at, int(fingerprints(words[at : at + size], size)[0])))
             self.items.append((item_id, words, shingles, counts))
         self.classes = {size: self._tables(found) for size, found in entries.items()}
@@ -57,6 +57,19 @@ class Index:
         return prints, np.array([(i, at) for i, at, _ in found]), tables
 
 
+def windows_of(n: int, k: int, least: float = SIMILARITY) -> tuple[int, list[int]]:
+    """Size and starts of the windows to index of an item of n words.
+
+    At the least similarity, replaced words may cost `lost` of the item's k-grams; one inside costs k, so at most lost // k lie
+    inside. One more window than that stand side by side from every start up to `lost`: whatever words are replaced, those begin
+    behind the ones at the start and end before the ones at the end, and one of them is whole.
+    """
+    lost = int(max(0, n - k + 1) * (1 - least) / (1 + least) + 1e-9)
+    row = lost // k + 1
+    size = max([c for c in CLASSES if c <= (n - lost) // row], default=max(1, (n - lost) // row))
+    return size, sorted({s + j * size for s in range(lost + 1) for j in range(row)} | {0, n - size})
+
+
 def fingerprints(words: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:
     """SimHash of every window of `size` words; each word's 64 hash bits vote with weight one."""
     sums = bit_sums(words) if sums is None else sums

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+
 from momentlake.llm import decontamination as D
 
 
@@ -45,6 +47,26 @@ def test_radius_is_covered():
         assert any(bin((x >> 16 * k ^ y >> 16 * k) & 0xFFFF).count("1") <= 1 for k in range(4))
 
 
+def test_edited_items_near_the_threshold_are_met():
+    """Every item with words replaced at its ends or inside, if still at 0.8, is a candidate at its place."""
+    rng = random.Random(8)
+    texts = [(n * 100 + i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))) for n in (13, 16, 19, 28, 42, 49, 59, 63, 100) for i in range(12)]
+    index, met, asked = D.Index(texts, D.SHINGLE), 0, 0
+    for which, (_, text) in enumerate(texts):
+        for _ in range(20):
+            words = text.split()
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.choice([0, 1, -1, -2, rng.randrange(len(words))])] = f"z{rng.randrange(10**6)}"
+            a, b = grams(words), grams(text.split())
+            if sum((a & b).values()) / sum((a | b).values()) < D.SIMILARITY:
+                continue
+            raw = np.frombuffer(" ".join(["pre"] * 7 + words + ["post"] * 7).encode(), np.uint8)
+            hashes, _ = D.word_hashes(raw, np.array([0, len(raw)]))
+            asked += 1
+            met += any((which, 7) in zip(i.tolist(), at.tolist(), strict=True) for i, at in D.candidates(hashes, index, D.RADIUS))
+    assert asked > 300 and met == asked, (met, asked)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (None, "one two three"), (3, "one two three"), (4, "One two three")], "item_id long, text string")
     found = sorted((r["doc_id"], r["item_id"]) for r in D.find_leaks(odd_docs, bench).collect())
