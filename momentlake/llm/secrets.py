@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
-Text that people write costs few tokens under a byte-pair vocabulary; a random key costs nearly one token for every one or two
-characters. Candidates are long runs of key characters; known digests and identifiers are set aside first.
+Text that people write costs few tokens under a byte-pair vocabulary; a random key costs a token for every one or two letters or
+digits. Candidates are runs of key characters of any length; known digests and identifiers are set aside first, unless they are
+assigned to a secret's name. A run passes as a whole, or by the stretch of its tokens that is least efficient (a key behind a name).
 """
 
 from __future__ import annotations
@@ -16,17 +17,21 @@ from pyspark.sql import functions as F
 
 from .common import tokenizer_file
 
-#: Fixed patterns of the base scan.
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+#: Fixed patterns of the base scan; letters in either case are the ASCII ones.
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the minimum can stand in the pattern
 KINDS = ("assign", "access", "hex", "random")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
-#: The method's candidates, and what it leaves out: digests of usual lengths, UUIDs, words joined by signs, plain numbers.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+#: The method's candidates, and what it sets aside: digests of usual lengths, UUIDs, numbers joined by signs.
+MIN_RUN = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")  # greedy, so whole runs
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})\Z")
-IDENTIFIER = re.compile(r"(?:[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}|[0-9+/_=-]+|(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+))*[+/_=-]*)\Z")
-VOCABULARY, PATTERN_RATIO = "byte_bpe_50k.tiktoken", 2.0
+IDENTIFIER = re.compile(r"(?:[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}|[0-9+/_-]+)\Z")
+#: Most letters and digits per token of a random run, and of a random stretch within a run.
+VOCABULARY, RUN_RATIO, STRETCH_RATIO = "byte_bpe_50k.tiktoken", 2.0, 1.7
+#: Runs are encoded in pieces of so many characters, so that the cost stays in proportion to their length.
+_PIECE = 2048
 _encoders: dict[str, object] = {}
 
 
@@ -40,33 +45,63 @@ def _encoder(name: str):
     return _encoders[name]
 
 
-def is_random(run: str, encoder, ratio: float) -> bool:
-    """Whether a run of key characters is neither a known digest or identifier nor cheap to encode."""
-    if DIGEST.match(run) or IDENTIFIER.match(run) or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-        return False
-    return len(run) < ratio * len(encoder.encode_ordinary(run))
-
-
-def scan(text: str, encoder, ratio: float) -> list[tuple[int, int, str]]:
-    """(start, kind's rank, end) of every span in code points; the method's spans never overlap base ones."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
+def tokens_of(run: str, encoder) -> list[tuple[int, bool]]:
+    """(length, whether letters or digits) of the tokens of a run."""
+    out = []
+    for i in range(0, len(run), _PIECE):
+        for part in encoder.decode_tokens_bytes(encoder.encode_ordinary(run[i : i + _PIECE])):
+            out.append((len(part), part.isalnum()))
+    return out
+
+
+def random_stretch(run: str, encoder, ratio: float) -> tuple[int, int] | None:
+    """Start and end, in the run, of what is random of it: the whole run, its least efficient stretch, or nothing."""
+    tokens = tokens_of(run, encoder)
+    own = [n for n, plain in tokens if plain]
+    if not own or sum(own) <= ratio * len(own):
+        return (0, len(run)) if own else None
+    # The stretch of the largest sum of (ratio - length) over tokens of letters or digits.
+    best, total, begin, at = (0.0, 0, 0), 0.0, 0, 0
+    for i, (n, plain) in enumerate(tokens):
+        if total <= 0:
+            total, begin = 0.0, i
+        total += (ratio - n) if plain else 0.0
+        if total > best[0]:
+            best = (total, begin, i + 1)
+    a, b = best[1:]
+    # A key may begin or end with a longer token, up to the next sign.
+    while a > 0 and tokens[a - 1][1] and tokens[a - 1][0] <= 3:
+        a -= 1
+    while b < len(tokens) and tokens[b][1] and tokens[b][0] <= 3:
+        b += 1
+    own = [n for n, plain in tokens[a:b] if plain]
+    at = sum(n for n, _ in tokens[:a])
+    end = at + sum(n for n, _ in tokens[a:b])
+    return (at, end) if end - at >= MIN_RUN and sum(own) <= min(ratio, STRETCH_RATIO) * len(own) else None
+
+
+def scan(text: str, encoder, ratio: float) -> list[tuple[int, int, int]]:
+    """(start, kind's rank, end) of every span in code points; the method judges all candidates, within base spans too."""
+    assigned = [m for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
+    found = [(m.start(), 0, m.end()) for m in assigned]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted(found)
+    values = {m.start(2) for m in assigned}
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in base) and is_random(m[0], encoder, ratio):
-            found.append((m.start(), 3, m.end()))
+        if m.start() in values or not (DIGEST.match(m[0]) or IDENTIFIER.match(m[0])):
+            if part := random_stretch(m[0], encoder, ratio):
+                found.append((m.start() + part[0], 3, m.start() + part[1]))
     return sorted(found)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("starts", pa.list_(pa.int64())), ("kinds", pa.list_(pa.string())), ("ends", pa.list_(pa.int64())), ("values", pa.list_(pa.string()))])
 
 
-def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, ratio: float = PATTERN_RATIO) -> DataFrame:
+def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, ratio: float = RUN_RATIO) -> DataFrame:
     """Per row of docs: doc_id and spans array<struct<start,kind,end,value>> by start, then kind (assign, access, hex, random).
 
-    Positions are code points, ends exclusive. A null or empty text has no spans; null ids, repeated rows and repeated ids are
+    Positions are code points, ends exclusive; spans of different kinds may overlap, those of one kind don't. A null or empty text has no spans; null ids, repeated rows and repeated ids are
     kept as rows of their own; other columns of docs are ignored; an empty table gives no rows. No shuffle.
     """
 
