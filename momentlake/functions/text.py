@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexicons import ACTION, JUDGMENT, PHRASES
+
 # Noise words of topic labels.
 NOISE_WORDS = ("uh", "um", "like", "yeah", "yo", "bro", "chat", "okay", "ok", "alright", "you", "know", "i", "mean", "the", "a", "an", "and", "to", "of", "in", "on", "is", "it", "was", "were", "for", "with")
 # Substrings that keep a window for scoring.
@@ -66,12 +68,22 @@ def stem_hit(text: Column, lexicon: list[str] | tuple[str, ...], phrases: list[s
     return F.coalesce(hit, F.lit(False))
 
 
+def has_action(text: Column) -> Column:
+    """Whether something happens: a phrase of a moment, or a word of action."""
+    return stem_hit(text, ACTION, PHRASES)
+
+
+def has_judgment_signal(text: Column) -> Column:
+    """Whether words of ego, money, hypocrisy or controversy occur."""
+    return stem_hit(text, JUDGMENT)
+
+
 def count_contained(text: Column, signals: list[str] | tuple[str, ...]) -> Column:
     """How many of the signals are substrings of the text."""
     return F.size(F.filter(_strings(signals), lambda s: F.contains(text, s)))
 
 
-def name_only_spam(text: Column, names: list[str], lexicon: list[str], phrases: list[str] = (), own: str = "") -> Column:
+def name_only_spam(text: Column, names: list[str], lexicon: list[str] = ACTION, phrases: list[str] | tuple[str, ...] = PHRASES, own: str = "") -> Column:
     """Fewer than 25 content words, two or more other names, and no action."""
     plain = normalize_text(text)
     content = F.size(F.filter(tokens(plain), lambda w: ~w.isin(*NOISE_WORDS)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import once
 from .islands import running_before
 
 BUCKET = 64.0
@@ -105,6 +106,7 @@ def nearest(times: DataFrame, marks: DataFrame, key: list[str], within: float, a
 
     As-of joins in both directions over the union, by windows in time chunks.
     """
+    times = once(times)
     t = times.select("source_id", *key, F.col(at).alias("_t"), F.lit(1).alias("_kind"))
     m = marks.select("source_id", *[F.lit(None).cast(dict(times.dtypes)[k]).alias(k) for k in key], F.col(mark).alias("_t"), F.lit(0).alias("_kind")).distinct()
     both = t.unionByName(m)
@@ -120,6 +122,7 @@ def nearest(times: DataFrame, marks: DataFrame, key: list[str], within: float, a
 
 def nearest_edges(clips: DataFrame, words: DataFrame, pad_before: float, pad_after: float, least: float, most: float | None) -> DataFrame:
     """Cut points on word edges: an as-of join forward to word starts and one backward to word ends (by the words' order)."""
+    words = once(words)
     s, e = F.greatest(F.lit(0.0), F.col("start") - pad_before), F.col("end") + pad_after
     edges = clips.select("source_id", "clip_id", "start", "end").withColumns({"_s": s, "_e": e})
     t = edges.select("source_id", "clip_id", (F.col("_s") - 0.4).alias("_t"), F.lit(1).alias("_kind"))

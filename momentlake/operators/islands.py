@@ -13,15 +13,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import once
+
 CHUNK_SECONDS = 4096.0
 
 
 def running_before(df: DataFrame, keys: list[str], time: str, order: list[str], kind: str, value: Column, name: str, chunk: float = CHUNK_SECONDS) -> DataFrame:
     """df with `name`: over the rows of the same keys before this one (by time, then order), the `max`, the `sum`, or the `last` non-null of value.
 
-    `last` wants a value that is null or a struct; it keeps the struct of the latest row. Rows with equal (time, order) have no defined order.
+    The rows are read twice, for the chunks' totals and for the values, so costly input is written first. `last` wants a value that is null or a struct; it keeps the struct of the latest row. Rows with equal (time, order) have no defined order.
     """
-    df = df.withColumns({"_chunk": F.floor(F.col(time) / chunk), "_value": value})
+    df = once(df).withColumns({"_chunk": F.floor(F.col(time) / chunk), "_value": value})
     place = F.struct(time, *order)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(time, *order).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

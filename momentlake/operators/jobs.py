@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import redact_secrets
+from ..scratch import once
 from .islands import running_before, with_island, with_previous
 
 # Ordered rules of a log line's category.
@@ -86,6 +87,7 @@ def job_eta(progress: DataFrame, keep: int = 24) -> DataFrame:
     prev = with_previous(progress, ["job_id"], "t", ["seq"], ["overall"])
     marked = prev.withColumn("_changed", F.coalesce(F.col("prev.overall") != F.col("overall"), F.lit(True)))
     counted = running_before(marked, ["job_id"], "t", ["seq"], "sum", F.col("_changed").cast("long"), "_n").withColumn("_n", F.col("_n") + F.col("_changed").cast("long"))
+    counted = once(counted)
     changes = counted.where("_changed").select("job_id", F.col("_n").alias("_first"), F.col("t").alias("_t0"), F.col("overall").alias("_p0"))
     joined = counted.withColumn("_first", F.greatest(F.lit(1), F.col("_n") - (keep - 1))).join(changes.hint("shuffle_merge"), ["job_id", "_first"], "left")
     dt, dp = F.col("t") - F.col("_t0"), F.col("overall") - F.col("_p0")

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions.scores import scores_compatible
 from ..functions.text import topic_overlap
+from ..scratch import once
 from .islands import fold_sorted, running_before, with_island, with_previous
+from .scorers import Scorer, apply_scorer
 
 
 def is_action(kind: Column) -> Column:
@@ -52,6 +54,7 @@ class _Head:
 
 def group_candidates(candidates: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """candidates (source_id, candidate_id, start, end, score, topic, moment_type) with group_id, the candidate_id of the group's first row."""
+    candidates = once(candidates)
     marked = joinable(candidates, settings)
     rows = with_island(marked, ["source_id"], "start", ["candidate_id"], ~F.col("joins"))
     types = dict(candidates.dtypes)
@@ -74,6 +77,17 @@ def group_stats(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("source_id", "group_id").agg(*aggs)
 
 
+def rescore_groups(groups: DataFrame, scorer: Scorer, batch: int = 8, partitions: int | None = None) -> DataFrame:
+    """(source_id, group_id, score, error) of the joined texts of groups; a group whose call fails has no score."""
+    return apply_scorer(groups, scorer, ["source_id", "group_id"], batch=batch, partitions=partitions)
+
+
+def merge_candidates(candidates: DataFrame, scorer: Scorer, settings: Settings = DEFAULTS) -> DataFrame:
+    """Candidates with text, grouped, scored anew as groups and decided: the columns of decide_merges."""
+    groups = once(group_stats(group_candidates(candidates, settings)))
+    return decide_merges(groups, once(rescore_groups(groups, scorer)), settings)
+
+
 def decide_merges(groups: DataFrame, rescored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """groups with merged_score (from rescored: source_id, group_id, score), decision (merged, peak or drop) and the span and score that follow."""
     s = settings
@@ -89,28 +103,35 @@ def decide_merges(groups: DataFrame, rescored: DataFrame, settings: Settings = D
     return out.withColumns({"out_start": take("start", "peak_start"), "out_end": take("end", "peak_end"), "out_score": take("merged_score", "peak_score")})
 
 
-class _Kept:
-    """What stays of an island: centers in order, and spans."""
+class Kept:
+    """What stays of an island: centers and spans in order."""
 
     def __init__(self, min_share: float, max_gap: float) -> None:
         self.min_share, self.max_gap = min_share, max_gap
         self.centers: list[float] = []
+        #: By start, with the longest span so far, so that only spans that can reach a new one are looked at.
         self.spans: list[tuple[float, float]] = []
+        self.longest = 0.0
 
     def meets(self, start: float, end: float) -> bool:
         center = (start + end) / 2
         at = bisect_left(self.centers, center)
         if any(abs(c - center) <= self.max_gap for c in self.centers[max(0, at - 1) : at + 1]):
             return True
-        shorter = [(min(end - start, b - a), min(end, b) - max(start, a)) for a, b in self.spans]
+        near = self.spans[bisect_left(self.spans, (start - self.longest,)) : bisect_left(self.spans, (end,))]
+        shorter = [(min(end - start, b - a), min(end, b) - max(start, a)) for a, b in near]
         return any(n > 0 and max(0.0, both) / n >= self.min_share for n, both in shorter)
 
+    def add(self, start: float, end: float) -> None:
+        insort(self.centers, (start + end) / 2)
+        insort(self.spans, (start, end))
+        self.longest = max(self.longest, end - start)
+
     def take(self, row: tuple) -> tuple | None:
         source, _, candidate, start, end = row
         if self.meets(start, end):
             return None
-        insort(self.centers, (start + end) / 2)
-        self.spans.append((start, end))
+        self.add(start, end)
         return source, candidate
 
 
@@ -120,6 +141,7 @@ def suppress_repeats(candidates: DataFrame, settings: Settings = DEFAULTS) -> Da
     Rows can only meet if their spans, widened to half the closest allowed distance about their centers, touch; so islands of touching
     widened spans are folded on their own. Equal scores go in start order.
     """
+    candidates = once(candidates)
     half, center = settings.center_gap / 2, (F.col("start") + F.col("end")) / 2
     wide = candidates.withColumns({"_a": F.least(F.col("start"), center - half), "_b": F.greatest(F.col("end"), center + half)})
     before = running_before(wide, ["source_id"], "_a", ["candidate_id"], "max", F.col("_b"), "_reach")
@@ -127,10 +149,23 @@ def suppress_repeats(candidates: DataFrame, settings: Settings = DEFAULTS) -> Da
     types = dict(candidates.dtypes)
     small = islands.withColumn("island", F.xxhash64("island"))
     schema = f"source_id {types['source_id']}, candidate_id {types['candidate_id']}"
-    kept = fold_sorted(small, ["source_id", "island"], [F.desc("score"), "start", "candidate_id"], ["candidate_id", "start", "end"], lambda: _Kept(settings.overlap_share, settings.center_gap), _Kept.take, schema)
+    kept = fold_sorted(small, ["source_id", "island"], [F.desc("score"), "start", "candidate_id"], ["candidate_id", "start", "end"], lambda: Kept(settings.overlap_share, settings.center_gap), Kept.take, schema)
     return candidates.join(kept.hint("shuffle_merge"), ["source_id", "candidate_id"], "left_semi")
 
 
+class _Reach:
+    """The time that opened the group of an island's current row."""
+
+    def __init__(self, reach: float) -> None:
+        self.reach, self.head = reach, None
+
+    def take(self, row: tuple) -> tuple:
+        source, _, t, src = row
+        if self.head is None or t - self.head > self.reach:
+            self.head = t
+        return source, self.head, t, src
+
+
 def cluster_offsets(offsets: DataFrame, radius: float = 10.0, least: int = 4, margin: float = 8.0) -> DataFrame:
     """Clusters of times (source_id, t, src): groups from their first time on for twice the radius; those of `least` or more give center (median), start, end, count, sources."""
     known = offsets.where("t is not null")
@@ -138,13 +173,8 @@ def cluster_offsets(offsets: DataFrame, radius: float = 10.0, least: int = 4, ma
     rows = known.withColumn("src", F.coalesce("src", F.lit("")))
     prev = with_previous(rows, ["source_id"], "t", ["src"], ["t"])
     islands = with_island(prev, ["source_id"], "t", ["src"], F.coalesce(F.col("t") - F.col("prev.t") > reach, F.lit(True)))
-
-    def step(acc: Column, x: Column) -> Column:
-        head = F.when(acc["head"].isNull() | (x["t"] - acc["head"] > reach), x["t"]).otherwise(acc["head"])
-        return F.struct(head.alias("head"), F.concat(acc["rows"], F.array(F.struct(head.alias("g"), x["t"].alias("t"), x["src"].alias("src")))).alias("rows"))
-
-    start = F.struct(F.lit(None).cast("double").alias("head"), F.array().cast("array<struct<g:double,t:double,src:string>>").alias("rows"))
-    folded = islands.groupBy("source_id", "island").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("t", "src"))), start, step, lambda a: a["rows"]).alias("rows"))
-    flat = folded.select("source_id", F.explode("rows").alias("r")).select("source_id", "r.*")
+    small = islands.select("source_id", F.xxhash64("island").alias("island"), F.col("t").cast("double").alias("t"), "src")
+    schema = f"source_id {dict(offsets.dtypes)['source_id']}, g double, t double, src string"
+    flat = fold_sorted(small, ["source_id", "island"], ["t", "src"], ["t", "src"], lambda: _Reach(reach), _Reach.take, schema)
     found = flat.groupBy("source_id", "g").agg(F.median("t").alias("center"), F.count("*").alias("count"), F.transform(F.array_sort(F.collect_list(F.struct("t", "src"))), lambda x: x["src"]).alias("sources")).where(F.col("count") >= least)
     return found.select("source_id", "center", F.greatest(F.lit(0.0), F.col("center") - margin).alias("start"), (F.col("center") + margin).alias("end"), "count", "sources")

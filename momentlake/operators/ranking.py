@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,49 @@ def picked_indices(responses: DataFrame, counts: str = "n", response: str = "res
     return responses.where(F.col(counts) > 0).select("source_id", F.explode(rows).alias("index"))
 
 
+#: From a shortlist's rows, in start order, the indices of those to keep.
+Ranker = Callable[[list[dict]], list[int]]
+
+
+def rank_shortlist(shortlist: DataFrame, ranker: Ranker, columns: list[str], least: int = 3, key: str = "candidate_id") -> DataFrame:
+    """The rows of each source's shortlist that the ranker picks; all of a short list, and all if the ranker fails or answers otherwise.
+
+    A shortlist is what suppression and caps have left of one source, a few hundred rows; sources are dealt to tasks by hash, and a
+    task holds one shortlist at a time.
+    """
+    fields, types = ["source_id", key, "start", *columns], dict(shortlist.dtypes)
+
+    def picked(rows: list[dict]) -> list[dict]:
+        if len(rows) <= least:
+            return rows
+        try:
+            chosen = ranker(rows)
+            good = {i for i in chosen if isinstance(i, int) and not isinstance(i, bool) and 0 <= i < len(rows)}
+        except Exception:  # noqa: BLE001  any failure of the user's ranker
+            return rows
+        return [rows[i] for i in sorted(good)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+
+        def done(rows: list[dict]) -> pd.DataFrame:
+            kept = picked(rows)
+            return pd.DataFrame({"source_id": [r["source_id"] for r in kept], key: [r[key] for r in kept]})
+
+        for pdf in parts:
+            for row in pdf.to_dict("records"):
+                if held and held[0]["source_id"] != row["source_id"]:
+                    yield done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield done(held)
+
+    dealt = shortlist.select(*fields).repartition("source_id").sortWithinPartitions("source_id", "start", key)
+    chosen = dealt.mapInPandas(run, f"source_id {types['source_id']}, `{key}` {types[key]}")
+    return shortlist.join(chosen.hint("shuffle_merge"), ["source_id", key], "left_semi")
+
+
 def keep_chosen(candidates: DataFrame, chosen: DataFrame, very_high: float = DEFAULTS.very_high) -> DataFrame:
     """Candidates that were chosen (source_id, candidate_id), and all peaks."""
     picked = chosen.select("source_id", "candidate_id").distinct().withColumn("_chosen", F.lit(True))

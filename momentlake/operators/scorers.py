@@ -11,6 +11,28 @@ from pyspark.sql import functions as F
 Scorer = Callable[[list[str]], list[float | None]]
 
 
+def score_texts(scorer: Scorer, texts: list[str], batch: int = 8) -> list[tuple[float | None, str | None]]:
+    """(score, error) per text: a failed batch is retried text by text."""
+
+    def one(some: list[str]) -> list[tuple[float | None, str | None]]:
+        scores = scorer(some)
+        if len(scores) != len(some):
+            raise ValueError("a scorer must return a score per text")
+        return [(s, None) for s in scores]
+
+    out: list[tuple[float | None, str | None]] = []
+    for at in range(0, len(texts), batch):
+        try:
+            out += one(texts[at : at + batch])
+        except Exception:  # noqa: BLE001  any failure of the user's scorer
+            for text in texts[at : at + batch]:
+                try:
+                    out += one([text])
+                except Exception as error:  # noqa: BLE001
+                    out.append((None, type(error).__name__))
+    return out
+
+
 def apply_scorer(df: DataFrame, scorer: Scorer, key: list[str], text: str = "text", batch: int = 8, partitions: int | None = None) -> DataFrame:
     """(key, score, error) per row. A failed batch is retried text by text; a text that fails again has a null score and the error's name.
 
@@ -18,26 +40,9 @@ def apply_scorer(df: DataFrame, scorer: Scorer, key: list[str], text: str = "tex
     """
     types = dict(df.dtypes)
 
-    def one(texts: list[str]) -> list[tuple[float | None, str | None]]:
-        scores = scorer(texts)
-        if len(scores) != len(texts):
-            raise ValueError("a scorer must return a score per text")
-        return [(s, None) for s in scores]
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out: list[tuple[float | None, str | None]] = []
-            texts = pdf[text].fillna("").tolist()
-            for at in range(0, len(texts), batch):
-                some = texts[at : at + batch]
-                try:
-                    out += one(some)
-                except Exception:  # noqa: BLE001  any failure of the user's scorer
-                    for t in some:
-                        try:
-                            out += one([t])
-                        except Exception as error:  # noqa: BLE001
-                            out.append((None, type(error).__name__))
+            out = score_texts(scorer, pdf[text].fillna("").tolist(), batch)
             result = pdf[key].copy()
             result["score"] = pd.Series([s for s, _ in out], index=pdf.index, dtype="float64")
             result["error"] = pd.Series([e for _, e in out], index=pdf.index, dtype=object)

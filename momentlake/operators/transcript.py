@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import once
 from .intervals import points_in_intervals
 from .islands import fold_sorted, with_previous
 
@@ -158,7 +160,7 @@ def merge_overlaps(words: DataFrame, chunk_seconds: float, overlap: float) -> Da
     columns = ["source_id", "text", "start", "end", "confidence", "speaker", "uncertain"]
     if chunk_seconds <= 2 * overlap + 3:
         return _merged(words.withColumn("seam", F.lit(0)))
-    index = F.col("index")
+    words, index = once(words), F.col("index")
     ends = words.select("source_id", "index", "audio_start", "audio_end").distinct()
     later = ends.select("source_id", (index - 1).alias("index"), F.col("audio_start").alias("next_start"))
     earlier = ends.select("source_id", (index + 1).alias("index"), F.col("audio_end").alias("prev_end"))
@@ -193,15 +195,16 @@ def repair_ranges(candidates: DataFrame, words: DataFrame, limit: int, least: fl
     spans = found.groupBy("source_id", "candidate_id", "score").agg(F.min("_at").alias("a"), F.max_by("_to", "_at").alias("b")).join(ends.hint("shuffle_merge"), "source_id")
     begin = F.greatest(F.lit(0.0), F.col("a") - margin)
     stop = F.least(F.least("_last", F.col("b") + margin), begin + longest)
-    ranked = spans.select("source_id", F.struct((-F.col("score")).alias("r"), "candidate_id", begin.alias("start"), stop.alias("end")).alias("c"))
+    ranked = spans.select("source_id", (-F.col("score")).alias("rank"), "candidate_id", begin.cast("double").alias("start"), stop.cast("double").alias("end"))
 
-    def step(kept: Column, c: Column) -> Column:
-        taken = (F.size(kept) >= limit) | F.exists(kept, lambda k: (k["start"] <= c["start"]) & (c["start"] <= k["end"]))
-        return F.when(taken, kept).otherwise(F.concat(kept, F.array(F.struct(c["start"].alias("start"), c["end"].alias("end")))))
+    def take(kept: list[tuple], row: tuple) -> tuple | None:
+        source, start, end = row
+        if len(kept) >= limit or any(a <= start <= b for a, b in kept):
+            return None
+        kept.append((start, end))
+        return source, len(kept) - 1, start, end
 
-    empty = F.array().cast("array<struct<start:double,end:double>>")
-    chosen = ranked.groupBy("source_id").agg(F.aggregate(F.array_sort(F.collect_list("c")), empty, step).alias("ranges"))
-    return chosen.select("source_id", F.posexplode("ranges").alias("range_id", "r")).select("source_id", "range_id", "r.start", "r.end")
+    return fold_sorted(ranked, ["source_id"], ["rank", "candidate_id"], ["start", "end"], list, take, f"source_id {dict(words.dtypes)['source_id']}, range_id int, start double, end double")
 
 
 def repair_decisions(ranges: DataFrame, words: DataFrame, improved: DataFrame) -> DataFrame:
@@ -217,6 +220,43 @@ def repair_decisions(ranges: DataFrame, words: DataFrame, improved: DataFrame) -
     return out.withColumn("accepted", F.coalesce(good, F.lit(False))).drop("inside")
 
 
+#: From a source and a range of its time, the words heard there: dicts of text, start, end, confidence, in the source's own time.
+Transcriber = Callable[[object, float, float], list[dict]]
+
+
+def retranscribe(ranges: DataFrame, transcriber: Transcriber, partitions: int | None = None) -> DataFrame:
+    """Words (source_id, range_id, text, start, end, confidence) that a transcriber hears in the ranges; a range it fails on has none.
+
+    One call per range; `partitions` bounds how many run at once.
+    """
+    kind = dict(ranges.dtypes)["source_id"]
+    columns = ["source_id", "range_id", "text", "start", "end", "confidence"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for source, range_id, start, end in pdf.itertuples(index=False, name=None):
+                try:
+                    heard = transcriber(source, start, end)
+                except Exception:  # noqa: BLE001  any failure of the user's transcriber leaves the old words
+                    heard = []
+                out += [(source, range_id, w["text"], float(w["start"]), float(w["end"]), w.get("confidence")) for w in heard]
+            yield pd.DataFrame(out, columns=columns)
+
+    wanted = ranges.select("source_id", F.col("range_id").cast("int"), "start", "end")
+    if partitions:
+        wanted = wanted.repartition(partitions)
+    return wanted.mapInPandas(run, f"source_id {kind}, range_id int, text string, start double, end double, confidence double")
+
+
+def repair(words: DataFrame, candidates: DataFrame, transcriber: Transcriber, limit: int) -> DataFrame:
+    """words with the doubtful ranges of the best candidates transcribed again, where the new words are clearer."""
+    words = once(words)
+    ranges = once(repair_ranges(candidates, words, limit))
+    improved = once(retranscribe(ranges, transcriber))
+    return apply_repair(words, repair_decisions(ranges, words, improved), improved)
+
+
 def apply_repair(words: DataFrame, decisions: DataFrame, improved: DataFrame) -> DataFrame:
     """words without those that start in an accepted range, and the improved words of these ranges."""
     accepted = decisions.where("accepted").select("source_id", "range_id", F.col("start").alias("_s"), F.col("end").alias("_e"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import warm_window
+from ..scratch import once
 from .intervals import nearest, words_text
 from .transcript import boundaries
 
@@ -14,6 +15,7 @@ from .transcript import boundaries
 def semantic_windows(words: DataFrame, settings: Settings = DEFAULTS, target: float | None = None, hop: float | None = None) -> DataFrame:
     """source_id, window_id, start, end, text: windows of about `target` seconds every `hop`, snapped to boundaries within 8 s; empty ones are left out."""
     target, hop = target or settings.window_seconds, max(1.0, hop or settings.window_hop)
+    words = once(words)
     spans = words.groupBy("source_id").agg(F.min("start").alias("t0"), F.max_by("end", F.struct("start", "word_idx")).alias("last"))
     steps = F.ceil((F.col("last") - F.col("t0")) / hop).cast("int") - 1
     grid = spans.where("last > t0").select("source_id", "t0", "last", F.explode(F.sequence(F.lit(0), steps)).alias("window_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import evaluation, moments, ranking, review, scorers, scout
+from ..scratch import once
 from .bindings import CANDIDATES, WORDS, candidates, table, words
 from .registry import Registry
 
@@ -246,7 +247,7 @@ decided AS (SELECT *, CASE WHEN m IS NULL THEN CASE WHEN peak_score >= 60 THEN '
 
 def decided(spark: SparkSession, sf: str) -> DataFrame:
     """The re-score stands in as the mean plus 5, missing for every seventh group."""
-    stats = moments.group_stats(moments.group_candidates(strong(spark, sf)))
+    stats = once(moments.group_stats(moments.group_candidates(strong(spark, sf))))
     return moments.decide_merges(stats, stats.where(F.col("group_id") % 7 != 0).select("source_id", "group_id", (F.col("mean_score") + 5).alias("score")))
 
 
@@ -255,6 +256,25 @@ def q4_decide_merges(spark: SparkSession, sf: str) -> DataFrame:
     return decided(spark, sf).select("source_id", "group_id", "decision")
 
 
+def _text_length(texts: list[str]) -> list[float]:
+    """A stand-in for a model: the text's length."""
+    return [float(len(t) % 101) for t in texts]
+
+
+@query(f"WITH {_GROUPS} SELECT source_id, group_id, CAST(len(string_agg(topic, ' ' ORDER BY rn)) % 101 AS DOUBLE) AS score FROM grouped GROUP BY 1, 2")
+def x2_rescored_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups scored anew by a callable, on their members' texts."""
+    groups = moments.group_stats(moments.group_candidates(strong(spark, sf).withColumn("text", F.col("topic"))))
+    return moments.rescore_groups(groups, _text_length).select("source_id", "group_id", "score")
+
+
+@query(f"WITH {CANDIDATES}, o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY s, candidate_id) - 1 AS i, count(*) OVER (PARTITION BY source_id) AS n FROM cands WHERE score >= 60) SELECT source_id, candidate_id FROM o WHERE n <= 3 OR i % 2 = 0")
+def x3_ranked_shortlist(spark: SparkSession, sf: str) -> DataFrame:
+    """Every other row of a source's strong candidates, picked by a callable that also answers with nonsense."""
+    picked = ranking.rank_shortlist(candidates(spark, sf).where("score >= 60"), lambda rows: [*range(0, len(rows), 2), 10**6, -1, "x"], ["score", "topic"])
+    return picked.select("source_id", "candidate_id")
+
+
 #: Greedy suppression over `pool` (source_id, candidate_id, s, e, score), one row of a source per step; `kept` holds the spans so far.
 _KEPT = """ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, s, candidate_id) AS rn FROM pool),
 walk AS (SELECT source_id, rn, candidate_id, TRUE AS keep, [{'a': s, 'b': e}] AS kept FROM ranked WHERE rn = 1 UNION ALL
@@ -397,7 +417,14 @@ def a13_incomplete_scan(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("source_id", "windows", "failed", F.round("failed_share", 6).alias("failed_share"))
 
 
-@query(None)
+_REVIEWED = f"""WITH {CANDIDATES}, r AS (SELECT *, candidate_id % 4 = 0 AS seen, candidate_id % 8 = 0 AS sure, (candidate_id + {list(S.WEIGHTS).index('payoff')}) % 10 + 1 AS payoff, 10 * ({' + '.join(f'{w} * ((candidate_id + {i}) % 10 + 1)' for i, w in enumerate(S.WEIGHTS.values()))}) AS m FROM cands),
+f AS (SELECT *, round(least(79, CASE WHEN payoff < 3 THEN least(49, 0.65 * m + 0.35 * 48.4) ELSE 0.65 * m + 0.35 * 48.4 END), 1) AS final FROM r),
+a AS (SELECT *, CASE WHEN sure THEN greatest(score - 12, least(score + 12, final)) ELSE score END AS applied FROM f)
+SELECT source_id, candidate_id, CASE WHEN sure THEN s - 2 ELSE s END AS start_at, CASE WHEN sure THEN e + 2 ELSE e END AS end_at, round(CASE WHEN seen AND payoff < 3 THEN least(applied, 49) WHEN seen THEN applied ELSE score END, 4) AS score,
+  CASE WHEN seen THEN round(m, 1) END AS moment_score, CASE WHEN seen THEN 48.4 END AS cut_score, CASE WHEN seen THEN printf('%.2f-%.2f', s + 5, e + 2) ELSE '' END AS suggested_trim FROM a"""
+
+
+@query(_REVIEWED)
 def x4_apply_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """A review for the candidates whose id is a multiple of 4."""
     c = candidates(spark, sf).withColumns({"breakdown": F.create_map(F.lit("payoff"), F.lit(5.0)), "tightness": F.lit(80.0)})

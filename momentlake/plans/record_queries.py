@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as LEXICONS
 from ..functions import links as L
 from ..functions import text as T
 from ..operators import jobs, ledger, library, media, ranking, telemetry
+from ..scratch import scratch_root
 from ..sources import files
 from ..streaming import live
 from .bindings import CANDIDATES, LINES, WORDS, candidates, log_lines, table, words
@@ -51,6 +53,35 @@ def f3_has_action(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", T.stem_hit(F.col("text"), _LEXICON, _PHRASES).alias("action"))
 
 
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _spoken(words) -> str:
+    """The text and two words of a lexicon, inflected by turns, which the corpus lacks."""
+    return f"coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ' ' || {_sql_list(words)}[1 + doc_id % {len(words)}] || CASE WHEN doc_id % 2 = 0 THEN 'ing' ELSE '' END WHEN doc_id % 11 = 1 THEN ' he walked OFF, no eye contact!' ELSE ' unhelpful' END"
+
+
+def _spoken_column(words):
+    n = F.col("doc_id")
+    word = F.get(F.array(*[F.lit(w) for w in words]), (n % len(words)).cast("int"))
+    return F.concat(F.coalesce("text", F.lit("")), F.when(n % 3 == 0, F.concat(F.lit(" "), word, F.when(n % 2 == 0, "ing").otherwise(""))).when(n % 11 == 1, " he walked OFF, no eye contact!").otherwise(" unhelpful"))
+
+
+_STEMS_OF = f"list_transform(string_split({_NORM}, ' '), lambda w: {_STEM})"
+_MET = " OR ".join("regexp_matches({t}, '" + p.replace("'", "''") + "')" for p in LEXICONS.PHRASES)
+
+
+@query(f"WITH d AS (SELECT doc_id, {_spoken(LEXICONS.ACTION)} AS text FROM documents), n AS (SELECT doc_id, {_NORM} AS plain, {_STEMS_OF} AS stems FROM d) SELECT doc_id, {_MET.format(t='plain')} OR len(list_intersect(stems, {_sql_list(T.stem_words(LEXICONS.ACTION))})) > 0 AS action FROM n")
+def f3_action_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).select("doc_id", T.has_action(_spoken_column(LEXICONS.ACTION)).alias("action"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {_spoken(LEXICONS.JUDGMENT)} AS text FROM documents), n AS (SELECT doc_id, {_STEMS_OF} AS stems FROM d) SELECT doc_id, len(list_intersect(stems, {_sql_list(T.stem_words(LEXICONS.JUDGMENT))})) > 0 AS judgment FROM n")
+def f3_judgment_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).select("doc_id", T.has_judgment_signal(_spoken_column(LEXICONS.JUDGMENT)).alias("judgment"))
+
+
 @query(rf"WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents) SELECT doc_id, len(list_filter(string_split(t, ' '), lambda w: w <> '' AND w NOT IN ({', '.join(repr(w) for w in T.NOISE_WORDS)}))) < 25 AND CAST(contains(t, 'ou') AS INT) + CAST(contains(t, 'er') AS INT) >= 2 AND NOT regexp_matches(t, '\bof the\b') AS spam FROM n")
 def f4_name_only_spam(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", T.name_only_spam(F.col("text"), ["Ou", "er"], ["zzz"], list(_PHRASES)).alias("spam"))
@@ -433,11 +464,18 @@ def w7_active_speaker(spark: SparkSession, sf: str) -> DataFrame:
     return media.active_speaker(f)
 
 
-@query(None)
+#: Half-second samples of 24 s; the first, middle and last are taken, then the rest by change, as long as they lie apart.
+_PICKS = """RECURSIVE smp AS (SELECT clip_id, i, i * 0.5 + 0.25 AS sec, (clip_id * 7919 + i * 104729) % 1000 AS change FROM (SELECT DISTINCT conv_id AS clip_id, unnest(range(0, 48)) AS i FROM conversations)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY change DESC, i) AS rn FROM smp),
+walk AS (SELECT clip_id, 0::BIGINT AS rn, [0.25, 12.25, 23.75] AS chosen FROM (SELECT DISTINCT clip_id FROM smp) UNION ALL
+  SELECT r.clip_id, r.rn, CASE WHEN len(w.chosen) < 6 AND len(list_filter(w.chosen, lambda c: abs(c - r.sec) < 1)) = 0 THEN list_append(w.chosen, r.sec) ELSE w.chosen END FROM walk w JOIN ranked r ON r.clip_id = w.clip_id AND r.rn = w.rn + 1)"""
+
+
+@query(f"WITH {_PICKS} SELECT clip_id, unnest(chosen)::DOUBLE AS second FROM walk WHERE rn = 48")
 def q9_frame_picks(spark: SparkSession, sf: str) -> DataFrame:
-    """24 samples per conversation, their change from the conversation's number."""
+    """48 samples per conversation, their change from the conversation's number."""
     clips = table(spark, sf, "conversations").select(F.col("conv_id").alias("clip_id")).distinct().select("clip_id", F.lit(0.0).alias("start"), F.lit(24.0).alias("end"))
-    samples = clips.select("clip_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i")).select("clip_id", (F.col("i") + 0.5).alias("second"), F.pmod(F.xxhash64("clip_id", "i"), F.lit(1000)).cast("double").alias("change"))
+    samples = clips.select("clip_id", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("i")).select("clip_id", (F.col("i") * 0.5 + 0.25).alias("second"), ((F.col("clip_id") * 7919 + F.col("i") * 104_729) % 1000).cast("double").alias("change"))
     return media.frame_picks(samples, clips)
 
 
@@ -496,6 +534,68 @@ def s6_job_log_lines(spark: SparkSession, sf: str) -> DataFrame:
     return log_lines(spark, sf).where(F.col("line").startswith("PROGRESS")).select("event_id", "line")
 
 
+@query("SELECT line, count(*) AS n FROM (WITH " + LINES + " SELECT * FROM lines) GROUP BY line")
+def s6_log_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Log lines written as text files and read as job logs."""
+    path = _scratch(spark)
+    log_lines(spark, sf).select("line").write.text(path)
+    return files.read_job_logs(spark, path).groupBy("line").agg(F.count("event_id").alias("n"))
+
+
+def _json_files(spark: SparkSession, rows: DataFrame, key: str, fields: list[str]) -> str:
+    """One JSON document per source: source_id and its items under key."""
+    path = _scratch(spark)
+    docs = rows.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(key))
+    docs.select(F.to_json(F.struct(F.col("source_id").cast("string").alias("source_id"), key)).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query(f"WITH {WORDS}, c AS (SELECT DISTINCT conv_id AS source_id, turn FROM conversations) SELECT CAST(c.source_id AS VARCHAR) AS source_id, c.turn * 1024.0 AS start_at, c.turn % 7 * 10.0 AS score, coalesce(string_agg(w.text, ' ' ORDER BY w.s, w.word_idx), '') AS text FROM c LEFT JOIN words w ON w.source_id = c.source_id AND w.s >= c.turn * 1024 AND w.s < c.turn * 1024 + 5 GROUP BY ALL")
+def s2_moment_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Moments of each conversation, five seconds a turn, through checkpoint files."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("source_id"), "turn").distinct()
+    rows = turns.select("source_id", (F.col("turn") * 1024.0).alias("start"), (F.col("turn") * 1024.0 + 5).alias("end"), (F.col("turn") % 7 * 10.0).alias("score"), F.lit("t").alias("topic"), F.lit("r").alias("reason"))
+    path = _json_files(spark, rows, "moments", ["start", "end", "score", "topic", "reason"])
+    heard = words(spark, sf).withColumn("source_id", F.col("source_id").cast("string"))
+    return files.read_moments(spark, path, heard).select("source_id", F.col("start").alias("start_at"), "score", "text")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS source_id, o_orderkey * 1.0 AS gold_start, o_orderkey * 1.0 + 20 AS gold_end, o_orderstatus AS event_type FROM orders")
+def s3_gold_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as gold moments of their customers, through files."""
+    k = F.col("o_orderkey") * 1.0
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("source_id"), k.alias("gold_start"), (k + 20).alias("gold_end"), F.col("o_orderstatus").alias("event_type"))
+    return files.read_gold(spark, _json_files(spark, rows, "moments", ["gold_start", "gold_end", "event_type"])).select("source_id", "gold_start", "gold_end", "event_type")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS source_id, o_orderkey * 1.0 AS start_at, o_orderstatus AS topic FROM orders")
+def s3_prediction_files(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey") * 1.0
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("source_id"), k.alias("start"), (k + 20).alias("end"), F.lit(1.0).alias("score"), F.col("o_orderstatus").alias("topic"))
+    return files.read_predictions(spark, _json_files(spark, rows, "candidates", ["start", "end", "score", "topic"])).select("source_id", F.col("start").alias("start_at"), "topic")
+
+
+@query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS name")
+def s8_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of the given folder."""
+    listed = files.list_artifacts(spark, sf, "*.parquet").where("length > 0 and mtime is not null")
+    return listed.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+@query(f"WITH {CANDIDATES} SELECT candidate_id, s AS start_at, score FROM cands")
+def s10_written_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    path = _scratch(spark)
+    files.write_candidates(candidates(spark, sf), path)
+    return spark.read.schema("candidate_id long, start double, score double").json(path).select("candidate_id", F.col("start").alias("start_at"), "score")
+
+
+@query(f"WITH {CANDIDATES} SELECT candidate_id, score >= 36 AS selected FROM cands")
+def s11_scout_audit(spark: SparkSession, sf: str) -> DataFrame:
+    path = _scratch(spark)
+    files.write_scout_audit(candidates(spark, sf).withColumnRenamed("score", "preliminary_score"), path)
+    return spark.read.parquet(path).select("candidate_id", F.col("selected").cast("boolean").alias("selected"))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def s7_read_table(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_table(spark, f"{sf}/orders.parquet").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
@@ -536,12 +636,47 @@ def st6_strong_windows(spark: SparkSession, sf: str) -> DataFrame:
     return live.strong_windows(candidates(spark, sf)).select("candidate_id")
 
 
-@query(None)
+#: One row of a source per step: what waits, what this row flushes, and the number of flushes before it.
+_REPLAY = f"""RECURSIVE {CANDIDATES}, o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY e, s, score) AS rn FROM cands),
+walk AS (SELECT source_id, 0::BIGINT AS rn, CAST([] AS STRUCT(a DOUBLE, b DOUBLE, v DOUBLE)[]) AS pend, CAST([] AS STRUCT(a DOUBLE, b DOUBLE, v DOUBLE)[]) AS gone, 0::BIGINT AS n FROM (SELECT DISTINCT source_id FROM cands) UNION ALL
+  SELECT source_id, rn, CASE WHEN fl THEN CAST([] AS STRUCT(a DOUBLE, b DOUBLE, v DOUBLE)[]) ELSE p END, CASE WHEN fl THEN p ELSE CAST([] AS STRUCT(a DOUBLE, b DOUBLE, v DOUBLE)[]) END, n + CAST(fl AS BIGINT)
+  FROM (SELECT *, len(p) > 0 AND (e - p[len(p)].b > 18 OR e - p[1].a > 90) AS fl FROM (SELECT o.source_id, o.rn, o.e, w.n, CASE WHEN o.score >= 32 THEN list_append(w.pend, {{'a': o.s, 'b': o.e, 'v': CAST(o.score AS DOUBLE)}}) ELSE w.pend END AS p FROM walk w JOIN o ON o.source_id = w.source_id AND o.rn = w.rn + 1))),
+flushed AS (SELECT source_id, n - 1 AS flush_id, unnest(gone) AS m FROM walk UNION ALL SELECT source_id, n, unnest(pend) FROM walk QUALIFY rn = max(rn) OVER (PARTITION BY source_id))"""
+
+
+@query(f"WITH {_REPLAY} SELECT CAST(source_id AS VARCHAR) AS source_id, flush_id, m.a AS start_at, m.b AS end_at, m.v AS score FROM flushed")
 def st3_pending_moments(spark: SparkSession, sf: str) -> DataFrame:
     scored = candidates(spark, sf).withColumn("source_id", F.col("source_id").cast("string"))
     return live.pending_moments_batch(scored).select("source_id", "flush_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "score")
 
 
+def length_score(texts: list[str]) -> list[float]:
+    """A stand-in for a model: the text's length."""
+    return [float(len(t) * 7 % 101) for t in texts]
+
+
+@query(None)
+def st4_flushed_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips of each source, flush by flush, five at most; events are scored windows, their types topics and texts."""
+    scored = candidates(spark, sf).withColumns({"source_id": F.col("source_id").cast("string"), "text": F.col("topic")})
+    out = live.flushed_moments_batch(scored, length_score, most=5)
+    return out.select("source_id", "flush_id", "clip_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "score", "topic")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS source_id, turn * 100.0 AS start_at, turn * 100.0 + 180 AS end_at FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) * 100.0 + 400 AS safe FROM (SELECT DISTINCT conv_id, turn FROM conversations)) WHERE turn * 100.0 + 210 < safe AND safe >= 390")
+def st7_progressive_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of conversations, one per turn, through a file stream; each says how far its source is known."""
+    root = _scratch(spark)
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("source_id"), "turn").distinct()
+    last = turns.groupBy("source_id").agg(F.max("turn").alias("last"))
+    rows = turns.join(last.hint("shuffle_merge"), "source_id").select("source_id", (F.col("last") * 100.0 + 400).cast("double").alias("safe_end"), (F.col("turn") * 100.0).cast("double").alias("start"), (F.col("turn") * 100.0 + 180).cast("double").alias("end"))
+    rows.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    run = live.progressive_windows(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("source_id string, start double, end double").parquet(f"{root}/out").select("source_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
 @query(f"WITH {LINES}, {_RULED} SELECT category, count(*) AS n FROM ruled WHERE category IS NOT NULL GROUP BY 1")
 def st8_live_incidents(spark: SparkSession, sf: str) -> DataFrame:
     """Log lines through a file stream into a memory table of counts."""
@@ -555,7 +690,4 @@ def st8_live_incidents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/live-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="momentlake-") + "/live"
+    return f"{scratch_root(spark)}/live-{uuid.uuid4().hex}"

@@ -190,11 +190,34 @@ def _clip_scores(spark: SparkSession, sf: str) -> DataFrame:
     return spans(spark, sf).withColumnRenamed("clip_id", "candidate_id").withColumn("score", ((F.col("source_id") * 7 + F.col("candidate_id") * 13) % 100).cast("double"))
 
 
-@query(None)
+#: The uncertain words of each span, widened; the best span of a source, then the best that doesn't begin in it.
+_RANGES = f"""{WORDS}, {SPANS}, last AS (SELECT source_id, max(e) AS last FROM words GROUP BY 1),
+u AS (SELECT p.source_id, p.clip_id, (p.source_id * 7 + p.clip_id * 13) % 100 AS score, min(w.s) AS a, max(w.e) AS b FROM spans p JOIN words w ON w.source_id = p.source_id AND w.s >= p.s AND w.s < p.e AND w.confidence < 0.5 GROUP BY ALL),
+v AS (SELECT u.*, greatest(0, a - 5) AS x, least(least(last, b + 5), greatest(0, a - 5) + 60) AS y, row_number() OVER (PARTITION BY u.source_id ORDER BY score DESC, clip_id) AS rn FROM u JOIN last USING (source_id)),
+w1 AS (SELECT * FROM v WHERE rn = 1), w2 AS (SELECT v.* FROM v JOIN w1 ON v.source_id = w1.source_id AND NOT (w1.x <= v.x AND v.x <= w1.y) QUALIFY row_number() OVER (PARTITION BY v.source_id ORDER BY v.rn) = 1),
+ranges AS (SELECT source_id, 0 AS range_id, x::DOUBLE AS x, y::DOUBLE AS y FROM w1 UNION ALL SELECT source_id, 1, x::DOUBLE, y::DOUBLE FROM w2)"""
+
+
+@query(f"WITH {_RANGES} SELECT source_id, range_id, x AS start_at, y AS end_at FROM ranges")
 def q7_repair_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return transcript.repair_ranges(_clip_scores(spark, sf), words(spark, sf), 2).select("source_id", "range_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
+def _half_seconds(source: object, start: float, end: float) -> list[dict]:
+    """A stand-in for a transcriber: clear words every half second; sources of an odd number fail."""
+    if source % 2:
+        raise TimeoutError
+    return [{"text": "clear", "start": start + i / 2, "end": start + i / 2 + 0.25, "confidence": 0.75} for i in range(int((end - start) * 2))]
+
+
+@query(f"""WITH {_RANGES}, old AS (SELECT r.source_id, r.range_id, avg(w.confidence) AS c, count(*) AS n FROM ranges r JOIN words w ON w.source_id = r.source_id AND w.s >= r.x AND w.s < r.y GROUP BY 1, 2),
+ok AS (SELECT r.* FROM ranges r JOIN old o USING (source_id, range_id) WHERE r.source_id % 2 = 0 AND floor((y - x) * 2) > 0 AND 0.75 > o.c AND floor((y - x) * 2) >= o.n * 0.5)
+SELECT source_id, s AS start_at, text, confidence FROM words w WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.source_id = w.source_id AND w.s >= ok.x AND w.s < ok.y) UNION ALL SELECT source_id, x + i / 2, 'clear', 0.75 FROM (SELECT *, unnest(range(0, CAST(floor((y - x) * 2) AS BIGINT))) AS i FROM ok)""")
+def x5_repaired_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words after doubtful ranges were transcribed again by a callable."""
+    return transcript.repair(words(spark, sf), _clip_scores(spark, sf), _half_seconds, 2).select("source_id", F.col("start").alias("start_at"), "text", "confidence")
+
+
 _REPAIR = f"""{WORDS}, {SPANS}, old AS (SELECT p.source_id, p.clip_id, avg(w.confidence) AS c, count(*) AS n FROM spans p JOIN words w ON w.source_id = p.source_id AND w.s >= p.s AND w.s < p.e GROUP BY 1, 2),
 ok AS (SELECT p.source_id, p.clip_id, coalesce(o.c, 0) AS oc, coalesce(o.n, 0) AS n, (0.5 > coalesce(o.c, 0) AND 6 >= coalesce(o.n, 0) * 0.5) AS accepted, p.s, p.e FROM spans p LEFT JOIN old o USING (source_id, clip_id))"""
 

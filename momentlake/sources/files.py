@@ -36,11 +36,11 @@ def empty_transcripts(transcripts: DataFrame) -> DataFrame:
 
 
 def _rows(spark: SparkSession, path: str, key: str, item: str) -> DataFrame:
-    """Items of files that hold either a bare list or an object with the list under `key`."""
-    text = spark.read.text(path, wholetext=True).select(_name(F.input_file_name()).alias("source_id"), "value")
-    bare, wrapped = F.from_json("value", f"array<{item}>"), F.from_json("value", f"struct<{key}:array<{item}>>")[key]
-    items = F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped)
-    return text.select("source_id", F.posexplode(items).alias("item_id", "i")).select("source_id", F.col("item_id").cast("long").alias("item_id"), "i.*")
+    """Items of files that hold either a bare list or an object with the list under `key`; source_id is the file's name unless the object has one."""
+    text = spark.read.text(path, wholetext=True).select(_name(F.input_file_name()).alias("name"), "value")
+    bare, wrapped = F.from_json("value", f"array<{item}>"), F.from_json("value", f"struct<source_id:string,{key}:array<{item}>>")
+    items = F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped[key])
+    return text.select(F.coalesce(wrapped["source_id"], F.col("name")).alias("source_id"), F.posexplode(items).alias("item_id", "i")).select("source_id", F.col("item_id").cast("long").alias("item_id"), "i.*")
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:

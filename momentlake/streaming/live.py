@@ -8,13 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULTS, Settings
 from ..functions.links import chunk_start
 from ..operators.islands import fold_sorted
+from ..operators.scorers import Scorer
+from .flush import Moment, flush
 
 
 def live_words(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -78,7 +80,7 @@ _STATE = "starts array<double>, ends array<double>, scores array<double>, flushe
 def pending_moments(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Flushed groups of candidates from a stream of scored windows (source_id, ts, start, end, score): source_id, flush_id, start, end, score.
 
-    Rows of a micro-batch are taken in end order; windows without a score must come too, for they move the stream's time. A source
+    Rows of a micro-batch are taken by end, start and score; windows without a score must come too, for they move the stream's time. A source
     that falls silent is flushed when the watermark passes its last window by the maximal wait.
     """
 
@@ -90,7 +92,7 @@ def pending_moments(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFra
             out += [(key[0], flushes, *r) for r in done]
             state.remove()
         else:
-            rows = pd.concat(list(parts)).sort_values(["end", "start"])
+            rows = pd.concat(list(parts)).sort_values(["end", "start", "score"], na_position="first")
             for a, b, s in zip(rows["start"], rows["end"], rows["score"], strict=True):
                 done = waiting.take(float(a), float(b), None if pd.isna(s) else float(s))
                 out += [(key[0], flushes, *r) for r in done]
@@ -107,7 +109,7 @@ def pending_moments_batch(scored: DataFrame, settings: Settings = DEFAULTS) -> D
     """pending_moments over a table: each source's windows are replayed in end order; what still waits at the end is flushed last."""
 
     named = scored.select(F.col("source_id").cast("string").alias("source_id"), "start", "end", F.col("score").cast("double").alias("score"))
-    return fold_sorted(named, ["source_id"], ["end", "start"], ["start", "end", "score"], lambda: _Replay(settings), _Replay.take, FLUSHED, _Replay.finish)
+    return fold_sorted(named, ["source_id"], ["end", "start", "score"], ["start", "end", "score"], lambda: _Replay(settings), _Replay.take, FLUSHED, _Replay.finish)
 
 
 class _Replay:
@@ -126,6 +128,89 @@ class _Replay:
         return [(self.source, self.flushes, *r) for r in self.waiting.rows]
 
 
+MOMENTS = "source_id string, flush_id long, clip_id long, start double, end double, score double, topic string, text string"
+_WAITING = "starts array<double>, ends array<double>, scores array<double>, topics array<string>, texts array<string>, flushes long, clips long"
+
+
+class Channel:
+    """One source's waiting candidates, and how many flushes and clips it has had."""
+
+    def __init__(self, scorer: Scorer, settings: Settings, most: int | None, waiting: list[Moment] | None = None, flushes: int = 0, clips: int = 0) -> None:
+        self.scorer, self.settings, self.most = scorer, settings, most
+        self.waiting, self.flushes, self.clips = waiting or [], flushes, clips
+
+    def take(self, row: Moment | None, now: float) -> list[tuple]:
+        """A scored window (None only moves the time): the clips that it flushes."""
+        if row is not None and row.score >= self.settings.candidate_threshold:
+            self.waiting.append(row)
+        w, s = self.waiting, self.settings
+        return self.flush() if w and (now - w[-1].end > s.quiet_seconds or now - w[0].start > s.max_wait_seconds) else []
+
+    def flush(self) -> list[tuple]:
+        """(flush_id, clip_id, start, end, score, topic, text) of what is cut, as long as the source has clips left."""
+        rows, self.waiting = self.waiting, []
+        if not rows:
+            return []
+        moments = flush(rows, self.scorer, self.settings)
+        moments = moments if self.most is None else moments[: max(0, self.most - self.clips)]
+        out = [(self.flushes, self.clips + i, m.start, m.end, m.score, m.topic, m.text) for i, m in enumerate(moments)]
+        self.flushes, self.clips = self.flushes + 1, self.clips + len(out)
+        return out
+
+
+def _moment(start: float, end: float, score: float | None, topic: str | None, text: str | None) -> Moment | None:
+    return None if pd.isna(score) else Moment(float(start), float(end), float(score), topic or "", text or "")
+
+
+def flushed_moments(scored: DataFrame, scorer: Scorer, settings: Settings = DEFAULTS, most: int | None = None) -> DataFrame:
+    """Clips of a stream of scored windows (source_id, ts, start, end, score, topic, text), at most `most` per source over its life.
+
+    Candidates wait as in pending_moments; a flush groups them, scores the groups' texts anew, decides between merged moment, peak
+    and nothing, and takes repeats out, best first. Re-scoring runs inside the state handler, so the scorer should answer fast.
+    """
+
+    def handle(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *lists, flushes, clips = state.get if state.exists else ([], [], [], [], [], 0, 0)
+        channel, out = Channel(scorer, settings, most, [Moment(*r) for r in zip(*lists, strict=True)], flushes, clips), []
+        if state.hasTimedOut:
+            out += channel.flush()
+        else:
+            rows = pd.concat(list(parts)).sort_values(["end", "start", "score", "topic", "text"], na_position="first")
+            for r in rows[["start", "end", "score", "topic", "text"]].itertuples(index=False, name=None):
+                out += channel.take(_moment(*r), float(r[1]))
+        w = channel.waiting
+        # The count of clips outlives the timeout, for the cap holds for the source's life.
+        state.update(([m.start for m in w], [m.end for m in w], [m.score for m in w], [m.topic for m in w], [m.text for m in w], channel.flushes, channel.clips))
+        if w:
+            state.setTimeoutTimestamp(max(int(w[-1].end * 1000), state.getCurrentWatermarkMs()) + int(settings.max_wait_seconds * 1000))
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=[f.split()[0] for f in MOMENTS.split(", ")])
+
+    return scored.withWatermark("ts", "150 seconds").groupBy("source_id").applyInPandasWithState(handle, MOMENTS, _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class _ChannelReplay(Channel):
+    source = ""
+
+    def row(self, row: tuple) -> list[tuple]:
+        self.source, *rest = row
+        return [(self.source, *r) for r in self.take(_moment(*rest), rest[1])]
+
+    def finish(self) -> list[tuple]:
+        return [(self.source, *r) for r in self.flush()]
+
+
+def flushed_moments_batch(scored: DataFrame, scorer: Scorer, settings: Settings = DEFAULTS, most: int | None = None) -> DataFrame:
+    """flushed_moments over a table: each source's windows are replayed in end order; what still waits at the end is flushed last."""
+    named = scored.select(F.col("source_id").cast("string").alias("source_id"), "start", "end", F.col("score").cast("double").alias("score"), "topic", "text")
+    return fold_sorted(named, ["source_id"], ["end", "start", "score", "topic", "text"], ["start", "end", "score", "topic", "text"], lambda: _ChannelReplay(scorer, settings, most), _ChannelReplay.row, MOMENTS, _ChannelReplay.finish)
+
+
+def recent_chunks(chunks: DataFrame, keep: int = 20) -> DataFrame:
+    """The last `keep` chunks of each source (source_id, ts, path): what a cut can still reach; older media may be deleted."""
+    newest = Window.partitionBy("source_id").orderBy(F.desc("ts"), F.desc("path"))
+    return chunks.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= keep).drop("_age")
+
+
 def progressive_windows(windows: DataFrame, settings: Settings = DEFAULTS, lead: float = 30.0) -> DataFrame:
     """From a stream of (source_id, ts, safe_end, start, end): each window once, when its end plus 30 s is below the safe end and enough of the source is known."""
     out = "source_id string, start double, end double"
@@ -169,6 +254,27 @@ def live_progress(samples: DataFrame) -> DataFrame:
     return samples.withWatermark("ts", "10 seconds").groupBy("job_id").applyInPandasWithState(handle, out, "best double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def live_eta(samples: DataFrame, keep: int = 24) -> DataFrame:
+    """From a stream of (job_id, ts, stage_value), each sample's job_id, ts, overall and eta: jobs.job_eta over the changes so far."""
+    out = "job_id string, ts timestamp, overall double, eta double"
+
+    def handle(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, values, n = state.get if state.exists else ([], [], 0)
+        times, values, made = list(times), list(values), []
+        for ts, value in pd.concat(list(parts)).sort_values("ts")[["ts", "stage_value"]].itertuples(index=False, name=None):
+            overall = max([0.0 if pd.isna(value) else float(value), *values[-1:]])
+            t = ts.timestamp()
+            if not values or overall != values[-1]:
+                times, values, n = [*times, t][-keep:], [*values, overall][-keep:], n + 1
+            dt, dp = t - times[0], overall - values[0]
+            known = len(values) >= 3 and dt >= 5 and dp >= 2 and overall < 100
+            made.append((key[0], ts, overall, float(round((100 - overall) * dt / dp)) if known else None))
+        state.update((times, values, n))
+        yield pd.DataFrame(made, columns=["job_id", "ts", "overall", "eta"])
+
+    return samples.groupBy("job_id").applyInPandasWithState(handle, out, "times array<double>, shown array<double>, n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def upsert_results(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that appends rows whose key the result folder doesn't have yet; a repeated batch adds nothing."""
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import uuid
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from momentlake.operators import jobs, moments
 from momentlake.sources import files
 from momentlake.streaming import live
 
@@ -45,6 +48,63 @@ def test_pending_moments(spark, tmp_path, out):
     assert sorted(map(key, spark.table(out).collect())) == sorted(map(key, live.pending_moments_batch(df).collect()))
 
 
+def scored_windows(spark):
+    """Three channels, windows every 30 s, some without a score; topics and texts repeat so that groups, peaks and repeats occur."""
+    rng = random.Random(9)
+    rows = [(c, 90_000.0 + 30 * i + rng.randrange(3), 90_075.0 + 30 * i, rng.choice([None, 10.0, 35.0, 48.0, 55.0, 62.0, 70.0, 90.0]), rng.choice(["car stuck", "the car", "money", ""]), f"{c}{i} " * rng.randrange(1, 9)) for c in "xyz" for i in range(60)]
+    df = spark.createDataFrame(rows, "source_id string, start double, end double, score double, topic string, text string")
+    return df.withColumn("ts", F.timestamp_seconds("end"))
+
+
+def by_length(texts):
+    if any("z7 " in t for t in texts):
+        raise TimeoutError
+    return [float(len(t) * 7 % 101) for t in texts]
+
+
+def test_flushed_moments(spark, tmp_path, out):
+    df = scored_windows(spark)
+    for i in range(4):
+        df.where(F.floor((F.col("end") - 90_000) / 480) == i).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    drain(live.flushed_moments(stream, by_length, most=4), out)
+    batch = sorted(map(tuple, live.flushed_moments_batch(df, by_length, most=4).collect()))
+    got = sorted(map(tuple, spark.table(out).collect()))
+    # What still waits at the end is flushed by the batch only.
+    assert got and set(got) <= set(batch) and len(batch) <= 12
+    assert all(r in got or r[1] == max(x[1] for x in batch if x[0] == r[0]) for r in batch)
+
+
+def test_flushes_do_what_the_operators_do(spark):
+    """Groups, new scores, decisions and suppression of each flush, by the operators on whole tables."""
+    df = scored_windows(spark)
+    flushes = live.pending_moments_batch(df).select(F.concat_ws("|", "source_id", "flush_id").alias("key"), "source_id", "start", "end", "score")
+    c = flushes.join(df.select("source_id", "start", "end", "topic", "text"), ["source_id", "start", "end"]).select(F.col("key").alias("source_id"), F.col("start").cast("long").alias("candidate_id"), "start", "end", "score", "topic", "text", F.lit(None).cast("string").alias("moment_type"))
+    d = moments.merge_candidates(c, by_length).where("decision != 'drop'").select("source_id", F.col("group_id").alias("candidate_id"), F.col("out_start").alias("start"), F.col("out_end").alias("end"), F.col("out_score").alias("score"))
+    want = sorted((r["source_id"], r["start"], r["end"], r["score"]) for r in moments.suppress_repeats(d).collect())
+    got = sorted((f"{r['source_id']}|{r['flush_id']}", r["start"], r["end"], r["score"]) for r in live.flushed_moments_batch(df, by_length).collect())
+    assert got == want and len(got) > 5
+
+
+def test_live_eta(spark, tmp_path, out):
+    rng = random.Random(2)
+    rows = [(f"j{j}", i, float(1000 + i * 3), min(99.0, float(i + rng.randrange(3)))) for j in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "job_id string, seq long, t double, stage_value double").withColumn("ts", F.timestamp_seconds("t"))
+    for i in range(3):
+        df.where(F.floor(F.col("seq") / 20) == i).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    drain(live.live_eta(stream), out)
+    so_far = df.withColumn("overall", F.max("stage_value").over(Window.partitionBy("job_id").orderBy("seq")))
+    want = sorted((r["job_id"], r["overall"], r["eta"] or -1.0) for r in jobs.job_eta(so_far).collect())
+    assert sorted((r["job_id"], r["overall"], -1.0 if r["eta"] is None else r["eta"]) for r in spark.table(out).collect()) == want
+
+
+def test_recent_chunks(spark):
+    chunks = spark.createDataFrame([(s, i, f"chunk_{i}.ts") for s in "ab" for i in range(25)], "source_id string, ts long, path string")
+    left = live.recent_chunks(chunks).collect()
+    assert len(left) == 40 and min(r["ts"] for r in left) == 5
+
+
 def test_progressive_windows_come_once(spark, tmp_path, out):
     plan = [(200.0, [(0.0, 180.0)]), (430.0, [(0.0, 180.0), (160.0, 340.0)]), (700.0, [(160.0, 340.0), (320.0, 500.0)])]
     for i, (safe, spans) in enumerate(plan):
