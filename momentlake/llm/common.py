@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, release, scratch_root  # noqa: F401  for the operators beside this
+
 #: ASCII white space, the separator of words in most operators (as a Java and Python character class).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,40 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: By application, the temporary folder of a session that names no shared one (local tests).
-_own_roots: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        _own_roots[app] = tempfile.mkdtemp(prefix="momentlake-")
-    return _own_roots[app]
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and gives Spark true sizes."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._momentlake_path = path  # noqa: SLF001
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that df has not, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a materialized table that no later plan reads."""
-    path = getattr(df, "_momentlake_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm  # noqa: SLF001
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)  # noqa: SLF001
-
-
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
