@@ -15,7 +15,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = around.join(least.hint("shuffle_merge"), "a")
+    # Dealt anew before the join, so that adaptive execution can split the neighbours of a hub.
+    joined = around.join(least.hint("rebalance").hint("shuffle_merge"), "a")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

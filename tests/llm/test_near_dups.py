@@ -72,6 +72,21 @@ def test_odd_rows(odd_docs, no_docs):
     assert near_dups.keep_one_each(odd_docs).count() == odd_docs.count() - 1
 
 
+def test_repeated_ids_keep_all_links_and_rows(spark):
+    """Texts of one id are documents of their own: each keeps its links, and only near copies go."""
+    rng = random.Random(3)
+    fresh = lambda: " ".join(f"r{rng.randrange(10**6)}" for _ in range(40))
+    t, u, v = fresh(), fresh(), fresh()
+    rows = [(1, t, 0), (7, t, 1), (7, u, 2), (9, u, 3), (7, v, 4), (8, v + " more", 5), (8, v + " more", 6), (7, v + " less", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th int")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(docs).collect())
+    assert got == sorted([(1, 1, True), (7, 1, False), (7, 7, True), (9, 7, False), (7, 7, True), (8, 7, False), (8, 7, False), (7, 7, True)])
+    left = near_dups.keep_one_each(docs)
+    assert left.columns == docs.columns
+    stay = {r["th"] for r in left.collect()}
+    assert {0, 2} < stay and len(stay) == 3 and stay & {4, 7}
+
+
 def test_bayesian_thresholds_lose_little():
     for n, least in near_dups.least_matches(160, 32, 0.8, 1e-6):
         assert 0.4 * n < least < 0.8 * n
