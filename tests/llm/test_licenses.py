@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from momentlake.llm import licenses as L
@@ -28,6 +29,41 @@ def test_base_and_labels(spark):
     assert rows[5]["score"] > 0.6 and rows[5]["spans"][0]["first_word"] == 0
 
 
+def test_findings_of_every_template_with_edits(spark):
+    """Each template is found, whole, with words put in, taken out or replaced, and with a paragraph in its middle; its words stand where the span says."""
+    rng = random.Random(4)
+    noise = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    docs, want = [], []
+    for label, template in L.TEMPLATES:
+        words = template.split()
+        for kind in range(4):
+            body, n = list(words), len(words)
+            if kind == 1 and n > 20:
+                for _ in range(n // 25):
+                    at = rng.randrange(len(body))
+                    body[at : at + rng.randrange(2)] = noise(1)
+            elif kind == 2 and n > 20:
+                body[n // 2 : n // 2] = noise(12)
+            elif kind == 3 and n > 20:
+                body = body[: int(0.7 * n)]
+            before = noise(rng.randrange(9))
+            docs.append((len(docs), " ".join([*before, *body, *noise(5)]).capitalize()))
+            want.append((label, len(before), len(before) + len(body) - 1))
+    got = {r["doc_id"]: r for r in L.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, (label, first, last) in enumerate(want):
+        spans = [s for s in got[i]["spans"] or [] if s["label"] == label]
+        assert label in got[i]["labels"] and any(abs(s["first_word"] - first) <= 4 and abs(s["last_word"] - last) <= 4 for s in spans), (docs[i], want[i], spans)
+
+
+def test_words_alone_are_no_notice(spark):
+    """Parts of notices, their words in another order, and prose with their words give no label."""
+    rng = random.Random(6)
+    texts = ["licensed under the stars", "under the mit tree", "copies of the software and to permit persons", "you may not use this file today"]
+    texts += [" ".join(rng.sample(t.split(), len(t.split()))) for _, t in L.TEMPLATES if len(t.split()) > 8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r["labels"] == r["base_labels"] for r in L.scan_licenses(docs).collect())
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert L.scan_licenses(odd_docs).count() == odd_docs.count()
     assert L.scan_licenses(no_docs).count() == 0
