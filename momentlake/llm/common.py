@@ -33,6 +33,21 @@ def unused(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def agreed(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """One row per key whose labels are all the same."""
+    found = labels.groupBy(key).agg(F.min(label).alias(label), F.max(label).alias("_other"))
+    return found.where(F.col(label) == F.col("_other")).drop("_other")
+
+
+def list_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as arrays, without a Python object per value."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        offsets, values = np.asarray(chunk.offsets), np.asarray(chunk.values)
+        out += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

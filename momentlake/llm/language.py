@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_latin, text_chunks
+from .common import list_rows, lower_latin, text_chunks, unused
 
 BITS, DIMENSIONS, EPOCHS, RATE = 14, 16, 6, 0.5
 #: The sample: about this many labelled rows per language, chosen by a hash of the id, in at most so many languages.
 PER_LANGUAGE, MOST_LANGUAGES = 400, 512
+#: At most about this many in all, so that the driver holds a bounded sample of texts' distinct subwords whatever the languages.
+MOST_EXAMPLES = 20_000
 #: Of correctly predicted rows set aside, this share may fall below the rejection threshold, which is never over a half.
 REJECTED_SHARE, HIGHEST_THRESHOLD = 0.002, 0.5
 UNKNOWN = "und"
@@ -134,10 +136,10 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["label", "ids", "counts"])
 
 
-def sample_rates(labelled: DataFrame, label: str, wanted: int, most: int) -> dict:
-    """Per label value (the `most` frequent ones) the share of rows that gives about `wanted` of them."""
+def sample_rates(labelled: DataFrame, label: str, wanted: int, most: int, in_all: int = MOST_EXAMPLES) -> dict:
+    """Per label value (the `most` frequent ones) the share of rows that gives about `wanted` of them, and `in_all` of all of them at most."""
     found = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(most).collect()
-    return {r[0]: min(1.0, wanted / r[1]) for r in found}
+    return {r[0]: min(1.0, min(wanted, in_all / len(found)) / r[1]) for r in found}
 
 
 def sampled(doc_id: Column, label: Column, rates: dict) -> Column:
@@ -148,15 +150,18 @@ def sampled(doc_id: Column, label: Column, rates: dict) -> Column:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", usable: Column | None = None, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from the labelled rows of docs for which `usable` holds; only their text and language are looked at."""
+    """A model from the labelled rows of docs for which `usable` holds; only their text and language are looked at.
+
+    It learns from a sample of about per_language rows of each of the MOST_LANGUAGES most frequent languages; others can't be predicted.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (usable if usable is not None else F.lit(True)))
     rates = sample_rates(known, lang, per_language, MOST_LANGUAGES)
     if not rates:
         return Model((), np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
     languages = tuple(sorted(rates))
-    rows = known.where(sampled(F.col(doc_id), F.col(lang), rates)).select(F.col(lang).alias("label"), F.col(text).alias("text")).mapInArrow(_examples, "label string, ids array<int>, counts array<int>").toArrow().to_pylist()
+    rows = known.where(sampled(F.col(doc_id), F.col(lang), rates)).select(F.col(lang).alias("label"), F.col(text).alias("text")).mapInArrow(_examples, "label string, ids array<int>, counts array<int>").toArrow()
     rank = {x: i for i, x in enumerate(languages)}
-    examples = [(np.array(r["ids"], np.int64), np.array(r["counts"], np.float64), rank[r["label"]]) for r in rows]
+    examples = [(ids.astype(np.int64), counts.astype(np.float64), rank[x]) for x, ids, counts in zip(rows["label"].to_pylist(), list_rows(rows["ids"]), list_rows(rows["counts"]), strict=True)]
     examples.sort(key=lambda e: (e[2], len(e[0]), e[0][:8].tolist(), e[1].tolist()))
     return train([examples[i] for i in np.random.default_rng(1).permutation(len(examples))], languages)
 
@@ -192,7 +197,11 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 
 def keep_accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs whose text isn't rejected, all columns as they are."""
+    """The rows of docs whose text isn't rejected, all columns as they are, whatever their names.
+
+    A null text, or one without a letter, goes. If no language was learned, nothing else is rejected. Rows are judged one by one, so
+    repeated rows and rows of one id stay or go by their own text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +210,8 @@ def keep_accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFram
             has = np.array(batch.column(batch.num_columns - 1).to_pylist(), bool)
             plain = batch.select(range(batch.num_columns - 1))
             for i, j, data, offsets in text_chunks(plain.column(plain.schema.get_field_index(text))):
-                good = has[i:j] & (m.probabilities(m.logits(data, offsets)).max(axis=1) >= m.threshold) if m.languages else np.zeros(j - i, bool)
+                good = has[i:j] & (m.probabilities(m.logits(data, offsets)).max(axis=1) >= m.threshold) if m.languages else has[i:j]
                 yield plain.slice(i, j - i).filter(pa.array(good))
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.select("*", letter.alias("_has_letter")).mapInArrow(run, docs.schema)
+    return docs.select("*", letter.alias(unused(docs, "_has_letter")[0])).mapInArrow(run, docs.schema)

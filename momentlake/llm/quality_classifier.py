@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, materialize, occurrences, plain_spaces, words_between
+from .common import agreed, bind, materialize, occurrences, plain_spaces, words_between
 
 POOLED, SPHERE, LEAST_SCORE = 0.3, 0.05, 0.7
 #: Log-density differences are divided by this before the sigmoid: the statistics aren't normal, and their tails overstate.
@@ -89,12 +89,14 @@ def discriminant(found: dict[int, tuple[float, np.ndarray, np.ndarray]], size: i
 def classify_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", usable: Column | None = None) -> DataFrame:
     """Per row of docs: doc_id, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= 0.7).
 
-    Learns from labels rows with label 0 or 1 for which `usable` (a column over labels) holds. Null, empty and blank texts are scored
+    Learns from labels rows with label 0 or 1 for which `usable` (a column over labels) holds; repeated labels count once, ids with
+    both labels are left out. Null, empty and blank texts are scored
     by their statistics like any other. Where only one label occurs, every score is that label, where none does, 0.5. Null ids,
     repeated rows and repeated ids are rows of their own; other columns are ignored; an empty table gives no rows.
     """
     measured = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), statistics(F.col(text)).alias("x")), "statistics")
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (usable if usable is not None else F.lit(True))).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    known = agreed(known, "doc_id", "y")
     size = len(STATISTICS)
     found = moments(measured.join(known.hint("shuffle_merge"), "doc_id"), "y", "x", size)
     model = discriminant(found, size)

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_LETTER, lower_latin, mix64, text_chunks, word_hashes, word_starts
+from .common import _IS_LETTER, agreed, list_rows, lower_latin, mix64, text_chunks, word_hashes, word_starts
 from .language import sample_rates, sampled
 
 BITS, PREFIXES = 20, (4, 5, 6, 7)
 #: The sample: about this many labelled rows per label.
-PER_LABEL = 2500
+PER_LABEL, MOST_GRADES = 2500, 16
 #: A feature is kept from so many sampled texts on, and if its log odds lie so many standard errors from zero; at most so many.
 LEAST_TEXTS, LEAST_Z, MOST_FEATURES = 5, 3.5, 4000
 GRADES, STEPS, L2 = 3, 400, 0.02
@@ -93,7 +93,6 @@ def grade(rows: list[np.ndarray], toxic: np.ndarray, positive: np.ndarray) -> np
 
 def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of least penalised log-loss, by full-batch Adam; thresholds are a first one plus positive gaps."""
-    above = np.stack([grades >= j for j in range(1, n_grades + 1)], axis=1).astype(float)
     w, first, gaps = np.zeros(x.shape[1]), np.array([1.0]), np.zeros(n_grades - 1)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in (("w", w), ("f", first), ("g", gaps))}
     for t in range(1, STEPS + 1):
@@ -107,7 +106,6 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int) -> tuple[np.nd
         for j in range(n_grades):
             d[:, j] = np.where(grades == j + 1, slope[:, j] / cell, 0) - np.where(grades == j, slope[:, j] / cell, 0)
         d = np.clip(d, -5, 5)
-        assert above.shape == d.shape
         by_theta = -d.sum(axis=0) / len(x)
         grads = {"w": x.T @ d.sum(axis=1) / len(x) - L2 / len(x) ** 0.5 * w, "f": np.array([by_theta.sum()]), "g": np.array([by_theta[j + 1 :].sum() * np.exp(gaps[j]) for j in range(n_grades - 1)])}
         for key, value in (("w", w), ("f", first), ("g", gaps)):
@@ -145,17 +143,22 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, per_label: int = PER_LABEL) -> Model:
-    """A model from a bounded sample of the labelled documents for which `usable` holds; rows without a label are left out."""
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (usable if usable is not None else F.lit(True))).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
-    rates = sample_rates(known, "label", per_label, 16)
+    """A model from a bounded sample of the labelled documents for which `usable` holds.
+
+    Rows without a label are left out, and so are ids whose labels contradict each other; repeated ones count once. Labels are 0 and
+    1, or grades from 0 up; of more than MOST_GRADES values the most frequent are learned.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (usable if usable is not None else F.lit(True)))
+    known = agreed(known.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")), "doc_id", "label")
+    rates = sample_rates(known, "label", per_label, MOST_GRADES)
     if not rates:
         return train([], np.zeros(0, int))
-    # About per_label rows for each of 16 labels at most, of a few bytes each.
-    wanted = F.broadcast(known.where(sampled(F.col("doc_id"), F.col("label"), rates)).distinct())
+    # About per_label rows for each of MOST_GRADES labels at most, of a few bytes each.
+    wanted = F.broadcast(known.where(sampled(F.col("doc_id"), F.col("label"), rates)))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = texts.join(wanted, "doc_id").select("label", "text").mapInArrow(_examples, "label int, ids array<int>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["label"], len(r["ids"]), r["ids"]))
-    return train([np.array(r["ids"], np.int64) for r in rows], np.array([r["label"] for r in rows]))
+    rows = texts.join(wanted, "doc_id").select("label", "text").mapInArrow(_examples, "label int, ids array<int>").toArrow()
+    found = sorted(zip(rows["label"].to_pylist(), list_rows(rows["ids"]), strict=True), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+    return train([ids.astype(np.int64) for _, ids in found], np.array([y for y, _ in found], int))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("severity", pa.float64()), ("grade", pa.int32())])
