@@ -74,7 +74,7 @@ def accept_holds(holds: DataFrame, accounts: DataFrame) -> DataFrame:
 
     accounts: account_id, balance; an account without a row has 0. Holds stream through in order.
     """
-    joined = holds.join(accounts.select("account_id", "balance").hint("shuffle_merge"), "account_id", "left").withColumn("balance", F.coalesce("balance", F.lit(0.0)))
+    joined = holds.join(accounts.select("account_id", "balance"), "account_id", "left").withColumn("balance", F.coalesce("balance", F.lit(0.0)))
     types = dict(holds.dtypes)
 
     return fold_sorted(joined, ["account_id"], ["hold_id"], ["hold_id", "amount", "balance"], _Balance, _Balance.take, f"account_id {types['account_id']}, hold_id {types['hold_id']}, amount double, accepted boolean, balance double")

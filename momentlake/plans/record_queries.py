@@ -265,8 +265,11 @@ def w3_overall_progress(spark: SparkSession, sf: str) -> DataFrame:
     return progress(spark, sf).select("seq", "overall")
 
 
-@query(f"""WITH {_MAPPED}, c AS (SELECT *, coalesce(overall <> lag(overall) OVER (PARTITION BY job_id ORDER BY t), TRUE) AS changed FROM overall), n AS (SELECT *, count(*) FILTER (WHERE changed) OVER (PARTITION BY job_id ORDER BY t) AS k FROM c),
-j AS (SELECT n.*, f.t AS t0, f.overall AS p0 FROM n JOIN (SELECT job_id, k, t, overall FROM n WHERE changed) f ON f.job_id = n.job_id AND f.k = greatest(1, n.k - 23)) SELECT event_id AS seq, CASE WHEN least(k, 24) >= 3 AND t - t0 >= 5 AND overall - p0 >= 2 AND overall < 100 THEN CAST(round_even((100 - overall) * (t - t0) / (overall - p0), 0) AS DOUBLE) END AS eta FROM j""")
+_ETA = f"""WITH {_MAPPED}, c AS (SELECT *, coalesce(overall <> lag(overall) OVER (PARTITION BY job_id ORDER BY t), TRUE) AS changed FROM overall), n AS (SELECT *, count(*) FILTER (WHERE changed) OVER (PARTITION BY job_id ORDER BY t) AS k FROM c),
+j AS (SELECT n.*, f.t AS t0, f.overall AS p0 FROM n JOIN (SELECT job_id, k, t, overall FROM n WHERE changed) f ON f.job_id = n.job_id AND f.k = greatest(1, n.k - 23)) SELECT event_id AS seq, CASE WHEN least(k, 24) >= 3 AND t - t0 >= 5 AND overall - p0 >= 2 AND overall < 100 THEN CAST(round_even((100 - overall) * (t - t0) / (overall - p0), 0) AS DOUBLE) END AS eta FROM j"""
+
+
+@query(_ETA)
 def w4_job_eta(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.job_eta(progress(spark, sf)).select("seq", "eta")
 
@@ -689,5 +692,34 @@ def st8_live_incidents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").groupBy("category").agg(F.count("*").alias("n"))
 
 
+@query(_ETA)
+def st8_live_eta(spark: SparkSession, sf: str) -> DataFrame:
+    """w4's samples through a file stream, in one batch."""
+    root = _scratch(spark)
+    rows = progress(spark, sf).select(F.col("job_id").cast("string").alias("job_id"), F.timestamp_seconds("t").alias("ts"), F.col("overall").alias("stage_value"))
+    rows.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    run = live.live_eta(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("job_id string, ts timestamp, overall double, eta double").parquet(f"{root}/out").select(F.unix_timestamp("ts").alias("seq"), "eta")
+
+
+@query("SELECT event_id, user_id FROM events")
+def st9_upserts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in batches that overlap and repeat; each is kept once."""
+    path, events = _scratch(spark), table(spark, sf, "events").select("event_id", "user_id")
+    write = live.upsert_results(path, ["event_id"])
+    for epoch, batch in enumerate((events.where("event_id % 3 = 0"), events, events.where("event_id % 2 = 0"))):
+        write(batch, epoch)
+    return spark.read.parquet(path).select("event_id", "user_id")
+
+
+@query("SELECT user_id AS source_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 20")
+def st2_recent_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The last twenty events of each user, as chunks of its stream."""
+    chunks = table(spark, sf, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("ts"), F.concat(F.lit("chunk_"), "event_id").alias("path"), "event_id")
+    return live.recent_chunks(chunks).select("source_id", "event_id")
+
+
 def _scratch(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/live-{uuid.uuid4().hex}"

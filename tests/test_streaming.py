@@ -120,6 +120,8 @@ def test_upsert_is_idempotent(spark, tmp_path):
     for epoch in (0, 0, 1):
         write(batch, epoch)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    write(spark.createDataFrame([(3, "c"), (2, "other")], "k int, v string"), 2)
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, "a"), (2, "b"), (3, "c")]
 
 
 def test_live_progress(spark, tmp_path, out):
