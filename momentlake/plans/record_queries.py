@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -714,6 +715,21 @@ def st9_upserts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("event_id", "user_id")
 
 
+@query("SELECT make_timestamp(2024, 1, 1, 0, 0, 0.0) + to_seconds(30 * unnest(range(0, n))) AS ts FROM (SELECT count(DISTINCT conv_id) AS n FROM conversations)")
+def s9_live_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """One finished chunk per conversation, renamed as its writer would do, through a file stream."""
+    root = _scratch(spark)
+    table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("value")).distinct().write.option("maxRecordsPerFile", 1).text(f"{root}/in")
+    jvm, at = spark.sparkContext._jvm, lambda name: jvm.org.apache.hadoop.fs.Path(f"{root}/in/{name}")  # noqa: E731, SLF001
+    fs = at("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    parts = sorted(f.getPath().getName() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/in")) if f.getPath().getName().startswith("part-"))
+    for i, name in enumerate(parts):
+        fs.rename(at(name), at(f"chunk_{datetime(2024, 1, 1) + timedelta(seconds=30 * i):%Y%m%d_%H%M%S}.ts"))
+    run = live.live_chunks(spark, f"{root}/in").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("path string, length long, ts timestamp").parquet(f"{root}/out").where("length > 0").select(F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 @query("SELECT user_id AS source_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 20")
 def st2_recent_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The last twenty events of each user, as chunks of its stream."""

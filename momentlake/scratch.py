@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -25,8 +27,10 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = _own_roots.get(app) or tempfile.mkdtemp(prefix="momentlake-")
-        _own_roots[app] = root
+        if app not in _own_roots:
+            _own_roots[app] = tempfile.mkdtemp(prefix="momentlake-")
+            atexit.register(shutil.rmtree, _own_roots[app], ignore_errors=True)
+        root = _own_roots[app]
     return f"{root.rstrip('/')}/{app}"
 
 
