@@ -110,7 +110,7 @@ def judge_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """Per row of docs: doc_id, the base counts, base_failed, votes (by rule), posterior (of being good), kept.
 
     A null or empty text has no words and fails the base test. Null ids, repeated rows and repeated ids are rows of their own (each
-    counts in the estimate); other columns are ignored; an empty table gives no rows. Ties of the posterior at `least` are kept.
+    counts in the estimate, which holds the share of good texts between LEAST_GOOD and MOST_GOOD); other columns are ignored; an empty table gives no rows. Ties of the posterior at `least` are kept.
     """
     measured = materialize(measures(docs, doc_id, text), "measures").withColumns({f"v_{r}": vote(r) for r in RULES})
     names = [f"v_{r}" for r in RULES]
