@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import once
+from ..scratch import materialize, once
 from .intervals import points_in_intervals
 from .islands import fold_sorted, with_previous
 
@@ -162,9 +162,11 @@ def merge_overlaps(words: DataFrame, chunk_seconds: float, overlap: float) -> Da
         return _merged(words.withColumn("seam", F.lit(0)))
     words, index = once(words), F.col("index")
     ends = words.select("source_id", "index", "audio_start", "audio_end").distinct()
-    later = ends.select("source_id", (index - 1).alias("index"), F.col("audio_start").alias("next_start"))
-    earlier = ends.select("source_id", (index + 1).alias("index"), F.col("audio_end").alias("prev_end"))
-    placed = words.join(later.hint("shuffle_merge"), ["source_id", "index"], "left").join(earlier.hint("shuffle_merge"), ["source_id", "index"], "left")
+    order = Window.partitionBy("source_id").orderBy("index")  # one row per chunk
+    following, before = F.when(F.lead(index).over(order) == index + 1, F.lead("audio_start").over(order)), F.when(F.lag(index).over(order) == index - 1, F.lag("audio_end").over(order))
+    # Written, so that Spark knows how small the table of chunks is.
+    bounds = materialize(ends.select("source_id", "index", following.alias("next_start"), before.alias("prev_end")), "bounds")
+    placed = words.join(bounds, ["source_id", "index"], "left")
     right = F.coalesce(F.col("start") <= F.col("prev_end") + 1.55, F.lit(False))
     left = F.coalesce(F.col("end") >= F.col("next_start") - 1, F.lit(False)) & ~right
     seamed = placed.withColumn("seam", F.when(right, index - 1).when(left, index))
