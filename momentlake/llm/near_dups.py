@@ -159,7 +159,7 @@ def rare_shingle_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
     own = materialize(texts.select("id", "comp", "text").mapInArrow(_sets(k), "id long, comp long, n long, g long"), "shingles")
     shared = own.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     each = Window.partitionBy("id")  # one text's shingles
-    ranked = own.join(shared.hint("shuffle_merge"), "g").select("id", "comp", "n", "g", (F.col("n") - F.count("*").over(each) + F.row_number().over(each.orderBy("df", "g"))).alias("at"))
+    ranked = own.join(shared.hint("rebalance").hint("shuffle_merge"), "g").select("id", "comp", "n", "g", (F.col("n") - F.count("*").over(each) + F.row_number().over(each.orderBy("df", "g"))).alias("at"))
     n = F.col("n")
     prefix = materialize(ranked.where(F.col("at") <= n - F.ceil(n * percent / 100) + 1), "prefix")
     release(own)
@@ -233,21 +233,22 @@ def _near(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: flo
 
     spread = materialize(classes.select("id", "sig").mapInArrow(_bands(bands, rows), "bucket long, id long"), "bands")
     shared = spread.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("bucket")
-    buckets = materialize(spread.join(shared.hint("shuffle_merge"), "bucket", "left_semi"), "buckets")
+    buckets = materialize(spread.join(shared.hint("rebalance").hint("shuffle_merge"), "bucket", "left_semi"), "buckets")
     release(spread)
     involved = buckets.select("id").distinct()
     chosen = materialize(classes.join(involved.hint("shuffle_merge"), "id", "left_semi").select("id", "sig", F.col("did").alias("doc_id"), "th"), "chosen")
     members = materialize(texts.join(chosen.hint("shuffle_merge"), ["doc_id", "th"]).select("id", "sig", "text").dropDuplicates(["id"]), "members")
     release(chosen)
 
+    # Aggregates are dealt anew before they join what they were made of, so that adaptive execution can split a hot bucket.
     # Stars: each member against the smallest id of its bucket, and against one picked by a hash.
     centres = buckets.groupBy("bucket").agg(F.min("id").alias("least"), F.max_by("id", F.xxhash64("id")).alias("other"))
-    rays = buckets.join(centres.hint("shuffle_merge"), "bucket").select(F.explode(F.array_distinct(F.array("least", "other"))).alias("a"), F.col("id").alias("b")).where("a != b")
+    rays = buckets.join(centres.hint("rebalance").hint("shuffle_merge"), "bucket").select(F.explode(F.array_distinct(F.array("least", "other"))).alias("a"), F.col("id").alias("b")).where("a != b")
     links = _linked(rays.distinct(), members, steps, shingle, percent)
     component = connected_components(links)
     named = buckets.join(component.withColumnRenamed("node", "id").hint("shuffle_merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
     mixed = named.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("bucket")
-    left = materialize(named.join(mixed.hint("shuffle_merge"), "bucket", "left_semi").select("id", "comp").distinct(), "left")
+    left = materialize(named.join(mixed.hint("rebalance").hint("shuffle_merge"), "bucket", "left_semi").select("id", "comp").distinct(), "left")
     rest = materialize(rare_shingle_pairs(members.join(left.hint("shuffle_merge"), "id"), shingle, percent).distinct(), "rest")
     found = _linked(rest, members, steps, shingle, percent)
     if not found.isEmpty():
