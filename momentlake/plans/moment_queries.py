@@ -421,7 +421,7 @@ _REVIEWED = f"""WITH {CANDIDATES}, r AS (SELECT *, candidate_id % 4 = 0 AS seen,
 f AS (SELECT *, round(least(79, CASE WHEN payoff < 3 THEN least(49, 0.65 * m + 0.35 * 48.4) ELSE 0.65 * m + 0.35 * 48.4 END), 1) AS final FROM r),
 a AS (SELECT *, CASE WHEN sure THEN greatest(score - 12, least(score + 12, final)) ELSE score END AS applied FROM f)
 SELECT source_id, candidate_id, CASE WHEN sure THEN s - 2 ELSE s END AS start_at, CASE WHEN sure THEN e + 2 ELSE e END AS end_at, round(CASE WHEN seen AND payoff < 3 THEN least(applied, 49) WHEN seen THEN applied ELSE score END, 4) AS score,
-  CASE WHEN seen THEN round(m, 1) END AS moment_score, CASE WHEN seen THEN 48.4 END AS cut_score, CASE WHEN seen THEN printf('%.2f-%.2f', s + 5, e + 2) ELSE '' END AS suggested_trim FROM a"""
+  CASE WHEN seen THEN CAST(round(m, 1) AS DOUBLE) END AS moment_score, CASE WHEN seen THEN CAST(48.4 AS DOUBLE) END AS cut_score, CASE WHEN seen THEN printf('%.2f-%.2f', s + 5, e + 2) ELSE '' END AS suggested_trim FROM a"""
 
 
 @query(_REVIEWED)

@@ -554,7 +554,7 @@ def _json_files(spark: SparkSession, rows: DataFrame, key: str, fields: list[str
     return path
 
 
-@query(f"WITH {WORDS}, c AS (SELECT DISTINCT conv_id AS source_id, turn FROM conversations) SELECT CAST(c.source_id AS VARCHAR) AS source_id, c.turn * 1024.0 AS start_at, c.turn % 7 * 10.0 AS score, coalesce(string_agg(w.text, ' ' ORDER BY w.s, w.word_idx), '') AS text FROM c LEFT JOIN words w ON w.source_id = c.source_id AND w.s >= c.turn * 1024 AND w.s < c.turn * 1024 + 5 GROUP BY ALL")
+@query(f"WITH {WORDS}, c AS (SELECT DISTINCT conv_id AS source_id, turn FROM conversations) SELECT CAST(c.source_id AS VARCHAR) AS source_id, CAST(c.turn * 1024.0 AS DOUBLE) AS start_at, CAST(c.turn % 7 * 10.0 AS DOUBLE) AS score, coalesce(string_agg(w.text, ' ' ORDER BY w.s, w.word_idx), '') AS text FROM c LEFT JOIN words w ON w.source_id = c.source_id AND w.s >= c.turn * 1024 AND w.s < c.turn * 1024 + 5 GROUP BY ALL")
 def s2_moment_files(spark: SparkSession, sf: str) -> DataFrame:
     """Moments of each conversation, five seconds a turn, through checkpoint files."""
     turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("source_id"), "turn").distinct()
@@ -564,7 +564,7 @@ def s2_moment_files(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_moments(spark, path, heard).select("source_id", F.col("start").alias("start_at"), "score", "text")
 
 
-@query("SELECT CAST(o_custkey AS VARCHAR) AS source_id, o_orderkey * 1.0 AS gold_start, o_orderkey * 1.0 + 20 AS gold_end, o_orderstatus AS event_type FROM orders")
+@query("SELECT CAST(o_custkey AS VARCHAR) AS source_id, CAST(o_orderkey AS DOUBLE) AS gold_start, CAST(o_orderkey + 20 AS DOUBLE) AS gold_end, o_orderstatus AS event_type FROM orders")
 def s3_gold_files(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as gold moments of their customers, through files."""
     k = F.col("o_orderkey") * 1.0
@@ -572,7 +572,7 @@ def s3_gold_files(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_gold(spark, _json_files(spark, rows, "moments", ["gold_start", "gold_end", "event_type"])).select("source_id", "gold_start", "gold_end", "event_type")
 
 
-@query("SELECT CAST(o_custkey AS VARCHAR) AS source_id, o_orderkey * 1.0 AS start_at, o_orderstatus AS topic FROM orders")
+@query("SELECT CAST(o_custkey AS VARCHAR) AS source_id, CAST(o_orderkey AS DOUBLE) AS start_at, o_orderstatus AS topic FROM orders")
 def s3_prediction_files(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey") * 1.0
     rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("source_id"), k.alias("start"), (k + 20).alias("end"), F.lit(1.0).alias("score"), F.col("o_orderstatus").alias("topic"))
@@ -667,7 +667,7 @@ def st4_flushed_moments(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("source_id", "flush_id", "clip_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "score", "topic")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS source_id, turn * 100.0 AS start_at, turn * 100.0 + 180 AS end_at FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) * 100.0 + 400 AS safe FROM (SELECT DISTINCT conv_id, turn FROM conversations)) WHERE turn * 100.0 + 210 < safe AND safe >= 390")
+@query("SELECT CAST(conv_id AS VARCHAR) AS source_id, CAST(turn * 100 AS DOUBLE) AS start_at, CAST(turn * 100 + 180 AS DOUBLE) AS end_at FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) * 100.0 + 400 AS safe FROM (SELECT DISTINCT conv_id, turn FROM conversations)) WHERE turn * 100.0 + 210 < safe AND safe >= 390")
 def st7_progressive_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of conversations, one per turn, through a file stream; each says how far its source is known."""
     root = _scratch(spark)

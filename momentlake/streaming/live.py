@@ -275,7 +275,7 @@ def live_eta(samples: DataFrame, keep: int = 24) -> DataFrame:
     return samples.groupBy("job_id").applyInPandasWithState(handle, out, "times array<double>, shown array<double>, n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_results(path: str, key: list[str], parts: int = 256) -> Callable[[DataFrame, int], None]:
+def upsert_results(path: str, key: list[str], parts: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that appends rows whose key the result folder doesn't have yet; a repeated batch adds nothing.
 
     Results lie in `parts` folders by a hash of the key (column `part`), so a batch reads the keys of its own folders only.
@@ -290,6 +290,7 @@ def upsert_results(path: str, key: list[str], parts: int = 256) -> Callable[[Dat
             mine = [r[0] for r in batch.select(F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")).distinct().collect()]  # `parts` at most
             known = spark.read.parquet(path).where(F.col("part").isin(mine)).select(*key, "part")
             new = new.join(known.hint("shuffle_merge"), [*key, "part"], "left_anti")
-        new.write.mode("append").partitionBy("part").parquet(path)
+        # One file per folder and batch.
+        new.repartition("part").write.mode("append").partitionBy("part").parquet(path)
 
     return write
