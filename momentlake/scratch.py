@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: By application, the temporary folder of a local session that names no shared one (tests).
 _own_roots: dict[str, str] = {}
-#: Operators whose work is not to be done once per reader.
-_COSTLY = re.compile(r"\b(Join|Aggregate|Window|Generate|Sort|Distinct|Deduplicate|MapIn\w+|\w+InPandas)\b")
+#: Operators whose work is not to be done once per reader; explode is left out, for its output is larger than what it reads.
+_COSTLY = re.compile(r"\b(Join|Aggregate|Window|Sort|Distinct|Deduplicate|MapIn\w+|\w+InPandas)\b")
 
 
 def scratch_root(spark: SparkSession) -> str:
