@@ -26,9 +26,8 @@ POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95
 #: Rows of a chunk, anchors of a block, and rows of a group of chunks.
 CHUNK, BLOCK, GROUP = 8_192, 512, 1 << 20
-#: Rows with a component beyond this, after scaling, take no part: a 64-bit score could overflow.
-LARGEST = 1 << 27
-_ROWS = "vec_id long, label long, q array<int>"
+#: Rows with a component beyond this, after scaling, take no part: a score times 100 could overflow 64 bits in 4,096 dimensions.
+LARGEST = 1 << 22
 _CHUNK = "part long, n int, dim int, ids binary, labels binary, vectors binary"
 _BLOCK = "block long, n int, dim int, ids binary, labels binary, vectors binary, parent binary, edge binary"
 
@@ -291,8 +290,8 @@ def mine(rows: DataFrame, anchors: DataFrame, positives: int = POSITIVES, negati
     best = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     found = _met(blocks, chunks, groups, _Positives, positives)
     first = materialize(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= positives).drop("n"), "positives")
-    # The smallest and the greatest integer score of each window.
-    bounds = first.withColumns({"low": F.ceil(F.expr(f"{low} * positive_score") / 100).cast("long"), "high": F.floor(F.expr(f"{high} * positive_score") / 100).cast("long")})
+    # The smallest and the greatest integer score of each window, in integers.
+    bounds = first.withColumns({"low": F.expr(f"({low} * positive_score + pmod(-{low} * positive_score, 100)) div 100"), "high": F.expr(f"({high} * positive_score - pmod({high} * positive_score, 100)) div 100")})
     windows = _with_windows(blocks, bounds)
     of_positive = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     found = _met(windows, chunks, groups, _Negatives, negatives)

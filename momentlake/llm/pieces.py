@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .common import list_rows, text_chunks, tokenizer_file, unused
 
@@ -394,29 +395,32 @@ def load(name: str) -> Model:
     return _loaded[name]
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
     """docs with ids (array<int>) and ends (array<int>: the byte of the UTF-8 text at which each piece ends; it begins where the last one ended).
 
     A null or empty text has no pieces. Pieces tile the text's bytes; those that stand for nothing in the source, such as the space put
-    before a text, have empty spans. Rows, repeated ones too, keep their other columns, whatever their names; columns called ids or ends
-    are replaced. An empty table stays empty.
+    before a text, have empty spans. Rows, repeated ones too, keep their other columns (or those in `keep`), whatever their names;
+    columns called ids or ends are replaced. An empty table stays empty.
     """
+    others = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "ends")]
     (row,) = unused(docs, "_text")
-    others = [c for c in docs.columns if c not in ("ids", "ends")]
-    source = docs.select(*[F.col(c) for c in others], F.coalesce(F.col(text), F.lit("")).alias(row))
+    # The text is sent once, and sent back only if it is kept.
+    source = docs.select(*[F.col(c) for c in others if c != text], F.col(text).alias(row))
+    sent = [c for c in others if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for batch in batches:
-            rest = batch.columns[:-1]
-            for i, j, data, offsets in text_chunks(batch.column(len(rest)), TEXT_BYTES):
+            texts = batch.column(len(sent))
+            rest = {c: batch.column(i) for i, c in enumerate(sent)} | {text: texts}
+            for i, j, data, offsets in text_chunks(texts, TEXT_BYTES):
                 ids, ends, first = m.encode(data, offsets)
                 places = ends - np.repeat(offsets[:-1], np.diff(first))
                 cuts = pa.array(first.astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (ids, places.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in rest], *lists], names=[*others, "ids", "ends"])
+                yield pa.RecordBatch.from_arrays([*[rest[c].slice(i, j - i) for c in others], *lists], names=[*others, "ids", "ends"])
 
-    schema = docs.select(*others).schema.add("ids", "array<int>").add("ends", "array<int>")
+    schema = docs.select(*others).schema.add("ids", ArrayType(IntegerType())).add("ends", ArrayType(IntegerType()))
     return source.mapInArrow(run, schema)
 
 
@@ -437,7 +441,7 @@ def decode(coded: DataFrame, ids: str = "ids", model: str = MODEL, to: str = "de
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], m.decode(flat, first)], names=[*others, to])
 
-    return source.mapInArrow(run, coded.select(*others).schema.add(to, "string"))
+    return source.mapInArrow(run, coded.select(*others).schema.add(to, StringType()))
 
 
 def digest(ids: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import numbered
@@ -177,7 +177,7 @@ def bucket_counts(scanned: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, gain: floor(1000 ln) of the ratio of its smoothed shares in target and corpus; one row for each bucket."""
-    total = lambda c: F.coalesce(F.sum(c).over(), F.lit(0))  # noqa: E731  over the buckets, a number fixed by the parameter
+    total = lambda c: F.coalesce(F.sum(c).over(Window.partitionBy()), F.lit(0))  # noqa: E731  over the buckets, a number fixed by the parameter
     every = corpus.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
     both = every.join(corpus.withColumnRenamed("n", "s").hint("shuffle_merge"), "bucket", "left").join(target.withColumnRenamed("n", "t").hint("shuffle_merge"), "bucket", "left").fillna(0, ["s", "t"])
     wide = both.select("bucket", *[F.col(c).cast("double").alias(c) for c in ("s", "t")]).withColumns({"all_s": total("s"), "all_t": total("t")})
