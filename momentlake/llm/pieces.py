@@ -8,21 +8,22 @@ and their pieces are laid back over the text and projected to byte spans of the
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .common import list_rows, text_chunks, tokenizer_file, unused
+from .common import text_chunks, tokenizer_file, unused
 
 MODEL = "piece_bpe_32k.model"
 #: Texts are encoded in runs of about this many bytes.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 #: Segments of more characters are merged one by one with a heap, all others at once.
 SHORT = 24
 #: Fixed values of the model format: the sign for a space, piece types, and what a piece of type unknown decodes to.
@@ -169,12 +170,12 @@ class Model:
 
         Spaces, and the sign that stands for them, are the byte 0x20. A text that is empty, or of which nothing is left, has no bytes.
         """
-        source = np.arange(len(data), dtype=np.int64)
+        source = np.arange(len(data), dtype=np.int32)
         if len(self.map.units):
             data, source, offsets_now = self._replaced(data, offsets)
         else:
             offsets_now = offsets.astype(np.int64)
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets_now))
+        doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets_now))
         keep = np.ones(len(data), bool)
         if self.squeeze and len(data):
             space = data == 0x20
@@ -424,26 +425,38 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, keep: list[s
     return source.mapInArrow(run, schema)
 
 
-def decode(coded: DataFrame, ids: str = "ids", model: str = MODEL, to: str = "decoded") -> DataFrame:
-    """coded with the text of its ids (array<int>) in column `to`; other columns are kept.
+def decode(coded: DataFrame, ids: str = "ids", model: str = MODEL, to: str = "decoded", digest: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """coded with the text of its ids (array<int>) in column `to`, and in `digest`, if named, the SHA-256 of the decimal ids joined by commas.
 
-    Null or empty ids give an empty text; null entries and ids outside the vocabulary give nothing. Bytes that spell no character become U+FFFD.
+    Other columns (or those in `keep`) are kept. Null or empty ids give an empty text; null entries and ids outside the vocabulary give
+    nothing, and stand as -1 in the digest. Bytes that spell no character become U+FFFD.
     """
-    (row,) = unused(coded, "_ids")
-    others = [c for c in coded.columns if c != to]
-    source = coded.select(*[F.col(c) for c in others], F.coalesce(F.transform(F.col(ids), lambda x: F.coalesce(x, F.lit(-1))), F.array().cast("array<int>")).alias(row))
+    new = [to, *([digest] if digest else [])]
+    others = [c for c in (coded.columns if keep is None else keep) if c not in new]
+    source = coded.select(*[F.col(c) for c in others], F.coalesce(F.transform(F.col(ids), lambda x: F.coalesce(x, F.lit(-1))), F.array().cast("array<int>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for batch in batches:
-            lists = list_rows(pa.chunked_array([batch.column(batch.num_columns - 1)]))
-            first = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]) if lists else np.zeros(1, np.int64)
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], m.decode(flat, first)], names=[*others, to])
-
-    return source.mapInArrow(run, coded.select(*others).schema.add(to, StringType()))
+            lists = batch.column(batch.num_columns - 1)
+            at = np.asarray(lists.offsets).astype(np.int64)
+            i = 0
+            while i < len(lists):  # some rows at a time, for their texts are far larger than their ids
+                j = max(i + 1, int(np.searchsorted(at, at[i] + TEXT_BYTES // 4, "right")) - 1)
+                first, flat = at[i : j + 1] - at[i], np.asarray(lists.values)[at[i] : at[j]]
+                made = [m.decode(flat, first), *([_digests(flat, first)] if digest else [])]
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns[:-1]], *made], names=[*others, *new])
+                i = j
+
+    schema = coded.select(*others).schema
+    for c in new:
+        schema = schema.add(c, StringType())
+    return source.mapInArrow(run, schema)
 
 
-def digest(ids: Column) -> Column:
-    """SHA-256 of the decimal ids joined by commas."""
-    return F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").cast("binary"), 256)
+def _digests(ids: np.ndarray, first: np.ndarray) -> pa.Array:
+    values, which = np.unique(ids, return_inverse=True)
+    spelled = pa.array([b"%d," % v for v in values.tolist()] or [b""], pa.binary()).take(pa.array(which))
+    raw = memoryview(spelled.buffers()[2] or b"")
+    at = np.frombuffer(spelled.buffers()[1], np.int32)[: len(ids) + 1][first].tolist() if len(ids) else [0] * len(first)
+    return pa.array([hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())

@@ -72,10 +72,11 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coded = pieces.encode(docs.select("doc_id", "text", F.octet_length("text").alias("n_bytes")), keep=["doc_id", "n_bytes"])
-    back = pieces.decode(coded)
     # The pieces' spans end with the text.
     whole = F.coalesce(F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1), F.lit(0)) == F.coalesce("n_bytes", F.lit(0))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.digest(F.col("ids")).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), whole.alias("spans_cover"))
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), whole.alias("spans_cover"), "ids")
+    back = pieces.decode(coded, digest="ids_sha256", keep=["doc_id", "n_tokens", "spans_cover"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "spans_cover")
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
