@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import redact_secrets
 from ..scratch import once
-from .islands import running_before, with_island, with_previous
+from .islands import CHUNK_SECONDS, running_before, with_previous
 
 # Ordered rules of a log line's category.
 RULES = (
@@ -44,19 +44,37 @@ def incident(line: Column) -> Column:
     return F.when(category.isNotNull(), F.struct(category.alias("category"), F.when(category == "warning", "warning").otherwise("error").alias("severity"), F.substring(message, F.greatest(F.lit(1), F.length(message) - 1199), F.lit(1200)).alias("message"), action.alias("action")))
 
 
+def recovered(message: Column) -> Column:
+    """Whether the scout got over what a message tells of; such messages are never collapsed."""
+    return message.rlike(f"(?i){RECOVERED}")
+
+
 def incidents(lines: DataFrame) -> DataFrame:
     """Incidents of log lines (job_id, event_id, line)."""
     return lines.withColumn("i", incident(F.col("line"))).where("i is not null").select("job_id", "event_id", "i.*")
 
 
-def collapsed_incidents(found: DataFrame, last: int = 100) -> DataFrame:
-    """Runs of equal messages as one row with count; the last 100 runs of each job."""
-    at = found.withColumn("_at", F.col("event_id").cast("double"))
-    prev = with_previous(at, ["job_id"], "_at", ["event_id"], ["message"])
-    runs = with_island(prev, ["job_id"], "_at", ["event_id"], F.coalesce(F.col("prev.message") != F.col("message"), F.lit(True)), "run")
-    grouped = runs.groupBy("job_id", "run").agg(F.min("event_id").alias("event_id"), F.count("*").alias("count"), F.first("category").alias("category"), F.first("severity").alias("severity"), F.first("message").alias("message"))
+def collapsed_incidents(found: DataFrame, last: int = 100, chunk: float = CHUNK_SECONDS) -> DataFrame:
+    """Runs of equal messages as one row with count; the last 100 runs of each job. What recovered by itself is never collapsed.
+
+    Runs are found within chunks of ids; of each chunk only the first and the last run can go on over its bounds, and these are joined
+    over one row per chunk.
+    """
+    rows = found.withColumn("_chunk", F.floor(F.col("event_id").cast("double") / chunk))
+    inside = Window.partitionBy("job_id", "_chunk").orderBy("event_id")
+    fresh = F.coalesce(F.lag("message").over(inside) != F.col("message"), F.lit(True)) | recovered(F.col("message"))
+    numbered = rows.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(inside))
+    runs = numbered.groupBy("job_id", "_chunk", "_run").agg(F.min("event_id").alias("event_id"), F.count("*").alias("count"), F.first("category").alias("category"), F.first("severity").alias("severity"), F.first("message").alias("message"))
+    edges = runs.groupBy("job_id", "_chunk").agg(F.max("_run").alias("_runs"), F.min_by("message", "_run").alias("_head"), F.max_by(F.struct("message", "event_id"), "_run").alias("_tail"))
+    chunks = Window.partitionBy("job_id").orderBy("_chunk")
+    goes_on = F.coalesce((F.lag("_tail").over(chunks)["message"] == F.col("_head")) & ~recovered(F.col("_head")), F.lit(False))
+    edges = edges.withColumn("_goes_on", goes_on)
+    opener = F.when(~F.col("_goes_on") | (F.col("_runs") > 1), F.col("_tail.event_id"))
+    edges = edges.select("job_id", "_chunk", "_goes_on", F.last(opener, ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_opener"))
+    joined = runs.join(edges.hint("shuffle_merge"), ["job_id", "_chunk"]).withColumn("_first", F.when((F.col("_run") == 1) & F.col("_goes_on"), F.col("_opener")).otherwise(F.col("event_id")))
+    whole = joined.groupBy("job_id", "_first").agg(F.sum("count").alias("count"), F.first("category").alias("category"), F.first("severity").alias("severity"), F.first("message").alias("message")).withColumnRenamed("_first", "event_id")
     order = Window.partitionBy("job_id").orderBy(F.desc("event_id"))
-    return grouped.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= last).drop("_n", "run")
+    return whole.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= last).drop("_n")
 
 
 def parse_progress(line: Column) -> Column:

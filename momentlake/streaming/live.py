@@ -14,8 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULTS, Settings
 from ..functions.links import chunk_start
-from ..operators.islands import fold_sorted
+from ..operators.islands import fold_sorted, running_before
 from ..operators.scorers import Scorer
+from ..scratch import materialize
 from .flush import Moment, flush
 
 
@@ -74,62 +75,64 @@ class Pending:
 
 
 FLUSHED = "source_id string, flush_id long, start double, end double, score double"
-_STATE = "starts array<double>, ends array<double>, scores array<double>, flushes long"
 
 
-def pending_moments(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Flushed groups of candidates from a stream of scored windows (source_id, ts, start, end, score): source_id, flush_id, start, end, score.
+def _islands(scored: DataFrame, order: list[str], settings: Settings) -> DataFrame:
+    """scored with `island`: how many rows of its source before it certainly left nothing waiting.
 
-    Rows of a micro-batch are taken by end, start and score; windows without a score must come too, for they move the stream's time. A source
-    that falls silent is flushed when the watermark passes its last window by the maximal wait.
+    A row that is no candidate and ends over the quiet time after the last candidate flushes all that waits, whatever that is. So what
+    comes after it doesn't depend on what came before, and islands of one source can be replayed by different tasks.
     """
+    candidate = F.coalesce(~F.isnan("score") & (F.col("score") >= settings.candidate_threshold), F.lit(False))
+    marked = running_before(scored, ["source_id"], "end", order, "last", F.when(candidate, F.struct("end")), "_last")
+    empties = ~candidate & F.coalesce(F.col("end") - F.col("_last.end") > settings.quiet_seconds, F.lit(True))
+    return running_before(marked.withColumn("_empties", empties).drop("_last"), ["source_id"], "end", order, "sum", F.col("_empties").cast("long"), "island").drop("_empties")
 
-    def handle(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        starts, ends, scores, flushes = state.get if state.exists else ([], [], [], 0)
-        waiting, out = Pending(settings, list(zip(starts, ends, scores, strict=True))), []
-        if state.hasTimedOut:
-            done, waiting.rows = waiting.rows, []
-            out += [(key[0], flushes, *r) for r in done]
-            state.remove()
-        else:
-            rows = pd.concat(list(parts)).sort_values(["end", "start", "score"], na_position="first")
-            for a, b, s in zip(rows["start"], rows["end"], rows["score"], strict=True):
-                done = waiting.take(float(a), float(b), None if pd.isna(s) else float(s))
-                out += [(key[0], flushes, *r) for r in done]
-                flushes += bool(done)
-            state.update(([r[0] for r in waiting.rows], [r[1] for r in waiting.rows], [r[2] for r in waiting.rows], int(flushes)))
-            latest = int(rows["ts"].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + int(settings.max_wait_seconds * 1000))
-        yield pd.DataFrame(out, columns=["source_id", "flush_id", "start", "end", "score"])
 
-    return scored.withWatermark("ts", "150 seconds").groupBy("source_id").applyInPandasWithState(handle, FLUSHED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def _numbered(replayed: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows of replayed islands with flushes and clips numbered over the source: prefix sums over the islands' counts, which stand in rows without a start."""
+    replayed = materialize(replayed, "islands")
+    counts = replayed.where("start is null").select("source_id", "island", "flush_id", "clip_id")
+    ahead = running_before(counts, ["source_id"], "island", [], "sum", F.col("flush_id"), "_flushes")
+    ahead = running_before(ahead, ["source_id"], "island", [], "sum", F.col("clip_id"), "_clips").select("source_id", "island", "_flushes", "_clips")
+    rows = replayed.where("start is not null").join(ahead.hint("shuffle_merge"), ["source_id", "island"])
+    placed = rows.withColumns({"flush_id": F.col("flush_id") + F.col("_flushes"), "clip_id": F.col("clip_id") + F.col("_clips")}).drop("island", "_flushes", "_clips")
+    return placed if most is None else placed.where(F.col("clip_id") < most)
 
 
 def pending_moments_batch(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """pending_moments over a table: each source's windows are replayed in end order; what still waits at the end is flushed last."""
+    """pending_moments over a table: each source's windows are replayed in end order; what still waits at the end is flushed last.
 
+    Islands of windows (see _islands) are replayed apart and their flushes numbered by prefix sums, so a channel with a third of all
+    rows is spread over tasks; only candidates that follow each other without a quiet moment are taken by one. Some jobs run when this
+    is called.
+    """
     named = scored.select(F.col("source_id").cast("string").alias("source_id"), "start", "end", F.col("score").cast("double").alias("score"))
-    return fold_sorted(named, ["source_id"], ["end", "start", "score"], ["start", "end", "score"], lambda: _Replay(settings), _Replay.take, FLUSHED, _Replay.finish)
+    rows = _islands(named, ["start", "score"], settings)
+    schema = "source_id string, island long, flush_id long, clip_id long, start double, end double, score double"
+    return _numbered(fold_sorted(rows, ["source_id", "island"], ["end", "start", "score"], ["start", "end", "score"], lambda: _Replay(settings), _Replay.take, schema, _Replay.finish)).drop("clip_id")
 
 
 class _Replay:
-    """One source's windows in order, and the number of its next flush."""
+    """One island's windows in order, and the number of its next flush."""
 
     def __init__(self, settings: Settings) -> None:
-        self.waiting, self.flushes, self.source = Pending(settings), 0, ""
+        self.waiting, self.flushes, self.key = Pending(settings), 0, ("", 0)
 
     def take(self, row: tuple) -> list[tuple]:
-        self.source, start, end, score = row
-        done = [(self.source, self.flushes, *r) for r in self.waiting.take(start, end, None if pd.isna(score) else score)]
-        self.flushes += bool(done)
-        return done
+        *self.key, start, end, score = row
+        return self._done(self.waiting.take(start, end, None if pd.isna(score) else score))
+
+    def _done(self, rows: list[tuple]) -> list[tuple]:
+        out = [(*self.key, self.flushes, 0, *r) for r in rows]
+        self.flushes += bool(rows)
+        return out
 
     def finish(self) -> list[tuple]:
-        return [(self.source, self.flushes, *r) for r in self.waiting.rows]
+        return [*self._done(self.waiting.rows), (*self.key, self.flushes, 0, None, None, None)]
 
 
 MOMENTS = "source_id string, flush_id long, clip_id long, start double, end double, score double, topic string, text string"
-_WAITING = "starts array<double>, ends array<double>, scores array<double>, topics array<string>, texts array<string>, flushes long, clips long"
 
 
 class Channel:
@@ -158,51 +161,32 @@ class Channel:
         return out
 
 
-def _moment(start: float, end: float, score: float | None, topic: str | None, text: str | None) -> Moment | None:
+def moment(start: float, end: float, score: float | None, topic: str | None, text: str | None) -> Moment | None:
     return None if pd.isna(score) else Moment(float(start), float(end), float(score), topic or "", text or "")
 
 
-def flushed_moments(scored: DataFrame, scorer: Scorer, settings: Settings = DEFAULTS, most: int | None = None) -> DataFrame:
-    """Clips of a stream of scored windows (source_id, ts, start, end, score, topic, text), at most `most` per source over its life.
-
-    Candidates wait as in pending_moments; a flush groups them, scores the groups' texts anew, decides between merged moment, peak
-    and nothing, and takes repeats out, best first. Re-scoring runs inside the state handler, so the scorer should answer fast.
-    """
-
-    def handle(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *lists, flushes, clips = state.get if state.exists else ([], [], [], [], [], 0, 0)
-        channel, out = Channel(scorer, settings, most, [Moment(*r) for r in zip(*lists, strict=True)], flushes, clips), []
-        if state.hasTimedOut:
-            out += channel.flush()
-        else:
-            rows = pd.concat(list(parts)).sort_values(["end", "start", "score", "topic", "text"], na_position="first")
-            for r in rows[["start", "end", "score", "topic", "text"]].itertuples(index=False, name=None):
-                out += channel.take(_moment(*r), float(r[1]))
-        w = channel.waiting
-        # The count of clips outlives the timeout, for the cap holds for the source's life.
-        state.update(([m.start for m in w], [m.end for m in w], [m.score for m in w], [m.topic for m in w], [m.text for m in w], channel.flushes, channel.clips))
-        if w:
-            state.setTimeoutTimestamp(max(int(w[-1].end * 1000), state.getCurrentWatermarkMs()) + int(settings.max_wait_seconds * 1000))
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=[f.split()[0] for f in MOMENTS.split(", ")])
-
-    return scored.withWatermark("ts", "150 seconds").groupBy("source_id").applyInPandasWithState(handle, MOMENTS, _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 class _ChannelReplay(Channel):
-    source = ""
+    key: tuple = ("", 0)
 
     def row(self, row: tuple) -> list[tuple]:
-        self.source, *rest = row
-        return [(self.source, *r) for r in self.take(_moment(*rest), rest[1])]
+        *self.key, start, end, score, topic, text = row
+        return [(*self.key, *r) for r in self.take(moment(start, end, score, topic, text), end)]
 
     def finish(self) -> list[tuple]:
-        return [(self.source, *r) for r in self.flush()]
+        last = [(*self.key, *r) for r in self.flush()]
+        return [*last, (*self.key, self.flushes, self.clips, None, None, None, None, None)]
 
 
 def flushed_moments_batch(scored: DataFrame, scorer: Scorer, settings: Settings = DEFAULTS, most: int | None = None) -> DataFrame:
-    """flushed_moments over a table: each source's windows are replayed in end order; what still waits at the end is flushed last."""
+    """flushed_moments over a table: each source's windows are replayed in end order; what still waits at the end is flushed last.
+
+    Islands are replayed apart, as in pending_moments_batch; the cap on a source's clips holds over the numbers that prefix sums give them.
+    """
     named = scored.select(F.col("source_id").cast("string").alias("source_id"), "start", "end", F.col("score").cast("double").alias("score"), "topic", "text")
-    return fold_sorted(named, ["source_id"], ["end", "start", "score", "topic", "text"], ["start", "end", "score", "topic", "text"], lambda: _ChannelReplay(scorer, settings, most), _ChannelReplay.row, MOMENTS, _ChannelReplay.finish)
+    order = ["start", "score", "topic", "text"]
+    schema = MOMENTS.replace("flush_id", "island long, flush_id", 1)
+    replayed = fold_sorted(_islands(named, order, settings), ["source_id", "island"], ["end", *order], ["start", "end", "score", "topic", "text"], lambda: _ChannelReplay(scorer, settings, None), _ChannelReplay.row, schema, _ChannelReplay.finish)
+    return _numbered(replayed, most)
 
 
 def recent_chunks(chunks: DataFrame, keep: int = 20) -> DataFrame:

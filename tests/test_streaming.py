@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from momentlake.operators import jobs, moments
 from momentlake.sources import files
-from momentlake.streaming import live
+from momentlake.streaming import live, stateful
 
 
 @pytest.fixture
@@ -43,7 +43,7 @@ def test_pending_moments(spark, tmp_path, out):
     for i in range(3):
         df.where(F.floor((F.col("start") - 90_000) / 150) == i).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    drain(live.pending_moments(stream), out)
+    drain(stateful.pending_moments(stream), out)
     key = lambda r: (r["flush_id"], r["start"], r["end"], r["score"])
     assert sorted(map(key, spark.table(out).collect())) == sorted(map(key, live.pending_moments_batch(df).collect()))
 
@@ -67,7 +67,7 @@ def test_flushed_moments(spark, tmp_path, out):
     for i in range(4):
         df.where(F.floor((F.col("end") - 90_000) / 480) == i).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    drain(live.flushed_moments(stream, by_length, most=4), out)
+    drain(stateful.flushed_moments(stream, by_length, most=4), out)
     batch = sorted(map(tuple, live.flushed_moments_batch(df, by_length, most=4).collect()))
     got = sorted(map(tuple, spark.table(out).collect()))
     # What still waits at the end is flushed by the batch only.
