@@ -1,4 +1,4 @@
-"""Top-k per source, guaranteed peaks, caps and choices. Per-source ranks use Spark's window group limit, so only k rows a task are kept."""
+"""Top-k per source, guaranteed peaks, caps and choices. Ranks up to a fixed k use Spark's window group limit, so only k rows a task are kept; others are dealt by range."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import scan_priority
+from .ranks import numbered
 
 
 def top_n(df: DataFrame, n: int, keys: list[str] = ["source_id"], score: str = "score", ties: tuple[str, ...] = ("start", "candidate_id")) -> DataFrame:  # noqa: B006
@@ -24,11 +25,20 @@ def paying_off(df: DataFrame, least: float = DEFAULTS.min_payoff) -> DataFrame:
 
 
 def picked_indices(responses: DataFrame, counts: str = "n", response: str = "response", least: int = 3) -> DataFrame:
-    """(source_id, index): indices a model picked, in range and distinct; all of them for short lists or unreadable responses."""
-    parsed = F.from_json(response, "array<string>")
-    chosen = F.array_distinct(F.filter(F.transform(parsed, lambda x: x.try_cast("int")), lambda i: i.isNotNull() & (i >= 0) & (i < F.col(counts))))
+    """(source_id, index): indices a model picked, in range and distinct.
+
+    Everything for short lists and for answers that can't be read as JSON or hold nothing to look through (a number, true, null). Of a
+    list its whole numbers count, not digits in quotes; an empty list, and one without an index in range, picks nothing, and so do
+    objects and strings. Code fences around the answer are taken off.
+    """
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(response), "^```json", ""), "^```", ""), "```$", ""))
+    parsed = F.try_parse_json(bare)
+    kind = F.schema_of_variant(parsed)
+    listed = F.filter(F.coalesce(F.try_variant_get(parsed, "$", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x) == "BIGINT")
+    chosen = F.array_distinct(F.filter(F.transform(listed, lambda x: F.try_variant_get(x, "$", "bigint")), lambda i: (i >= 0) & (i < F.col(counts))).cast("array<int>"))
     everything = F.sequence(F.lit(0), F.col(counts) - 1)
-    rows = F.when((F.col(counts) <= least) | parsed.isNull() | (F.size(chosen) == 0), everything).otherwise(chosen)
+    readable = F.coalesce(kind.rlike("^(ARRAY|OBJECT|STRING)"), F.lit(False))
+    rows = F.when((F.col(counts) <= least) | ~readable, everything).otherwise(chosen)
     return responses.where(F.col(counts) > 0).select("source_id", F.explode(rows).alias("index"))
 
 
@@ -83,13 +93,16 @@ def keep_chosen(candidates: DataFrame, chosen: DataFrame, very_high: float = DEF
 
 
 def cap_exports(candidates: DataFrame, sources: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """At most 8 candidates per started hour (sources: source_id, duration), or as many as there are peaks; peaks always stay, the rest goes by score."""
+    """At most 8 candidates per started hour (sources: source_id, duration), or as many as there are peaks; peaks always stay, the rest goes by score.
+
+    The cap of a long source is no bound for a task, so ranks are dealt by range (ranks.numbered), which runs jobs when this is called.
+    """
     hours = F.greatest(F.lit(1.0), F.col("duration") / 3600)
     locked = F.col("score") >= settings.very_high
     totals = candidates.groupBy("source_id").agg(F.count_if(locked).alias("_locked"))
     caps = totals.join(sources.select("source_id", "duration").hint("shuffle_merge"), "source_id").select("source_id", F.greatest("_locked", (settings.clips_per_hour * hours).cast("int")).alias("_cap"))
-    order = Window.partitionBy("source_id").orderBy(F.desc(locked.cast("int")), F.desc("score"), "start", "candidate_id")
-    return candidates.join(caps.hint("shuffle_merge"), "source_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("_cap")).drop("_n", "_cap")
+    ranked = numbered(candidates.join(caps.hint("shuffle_merge"), "source_id").withColumn("_locked", locked.cast("int")), ["source_id"], [F.desc("_locked"), F.desc("score"), "start", "candidate_id"], "_n")
+    return ranked.where(F.col("_n") <= F.col("_cap")).drop("_n", "_cap", "_locked")
 
 
 def best_profile(profiles: DataFrame, max_wer: float, min_recall: float, max_errors: int, require: bool = False) -> DataFrame:
@@ -103,9 +116,9 @@ def best_profile(profiles: DataFrame, max_wer: float, min_recall: float, max_err
 
 
 def scan_order(windows: DataFrame, names: list[str], **keywords) -> DataFrame:
-    """windows with priority and rank within their source: the more promising first."""
-    order = Window.partitionBy("source_id").orderBy(F.desc("priority"), "window_id")
-    return windows.withColumn("priority", scan_priority(F.col("text"), names, **keywords)).withColumn("rank", F.row_number().over(order))
+    """windows with priority and rank within their source: the more promising first. Ranks are dealt by range, which runs jobs when this is called."""
+    ranked = windows.withColumn("priority", scan_priority(F.col("text"), names, **keywords))
+    return numbered(ranked, ["source_id"], [F.desc("priority"), "window_id"]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def latest_prior(jobs: DataFrame, key: list[str], id: str = "job_id", columns: list[str] | None = None) -> DataFrame:  # noqa: A002

@@ -328,10 +328,15 @@ def t3_max_clips(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.top_n(candidates(spark, sf), 3).select("source_id", "candidate_id")
 
 
-@query("SELECT o_orderkey AS source_id, CAST(i AS BIGINT) AS \"index\" FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 6 <= 3 OR o_orderkey % 4 = 0 THEN range(0, o_orderkey % 6) ELSE [1, 3] END) AS i FROM orders)")
+_EVERY = "range(0, o_orderkey % 6)"
+
+
+@query(f"SELECT o_orderkey AS source_id, CAST(i AS BIGINT) AS \"index\" FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 6 <= 3 THEN {_EVERY} ELSE CASE o_orderkey % 9 WHEN 0 THEN {_EVERY} WHEN 1 THEN [] WHEN 2 THEN [2] WHEN 3 THEN [0, 3] WHEN 4 THEN [] WHEN 5 THEN {_EVERY} WHEN 6 THEN {_EVERY} WHEN 7 THEN [] ELSE [1, 3] END END) AS i FROM orders)")
 def t4_picked_indices(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that are no JSON, empty, with digits in quotes, fenced, objects, numbers, null, out of range, and mixed."""
+    answers = ["no list", "[]", '["1", 2]', "```json\n[3, 0]\n```", '{"1": 2}', "7", "null", "[99, -1]", '[3, 1, 99, -2, "x", 3, 1.5, [0]]']
     k = F.col("o_orderkey")
-    r = table(spark, sf, "orders").select(k.alias("source_id"), (k % 6).cast("int").alias("n"), F.when(k % 4 == 0, "no list").otherwise('[3, 1, 99, -2, "x", 3]').alias("response"))
+    r = table(spark, sf, "orders").select(k.alias("source_id"), (k % 6).cast("int").alias("n"), F.get(F.array(*map(F.lit, answers)), (k % 9).cast("int")).alias("response"))
     return ranking.picked_indices(r).withColumn("index", F.col("index").cast("long"))
 
 

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import jobs, ledger, library, media, ranking, telemetry
 from ..scratch import scratch_root
 from ..sources import files
-from ..streaming import live
+from ..streaming import live, stateful
 from .bindings import CANDIDATES, LINES, WORDS, candidates, log_lines, table, words
 from .registry import Registry
 
@@ -342,13 +342,24 @@ def f27_settlement_rows(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.settlement_rows(settled(spark, sf))
 
 
-@query("WITH RECURSIVE h AS (SELECT o_custkey AS account_id, o_orderkey AS hold_id, floor(o_totalprice / 1024) AS amount, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders), r AS (SELECT h.account_id, h.hold_id, rn, amount <= floor(c_acctbal / 16) AS ok, CASE WHEN amount <= floor(c_acctbal / 16) THEN floor(c_acctbal / 16) - amount ELSE floor(c_acctbal / 16) END AS bal FROM h JOIN customer ON c_custkey = h.account_id WHERE rn = 1 UNION ALL SELECT h.account_id, h.hold_id, h.rn, h.amount <= r.bal, CASE WHEN h.amount <= r.bal THEN r.bal - h.amount ELSE r.bal END FROM r JOIN h ON h.account_id = r.account_id AND h.rn = r.rn + 1) SELECT hold_id, ok AS accepted, bal AS balance FROM r")
+_HOLDS_SQL = "WITH RECURSIVE h AS (SELECT o_custkey AS account_id, o_orderkey AS hold_id, floor(o_totalprice / 1024) AS amount, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders), r AS (SELECT h.account_id, h.hold_id, rn, amount <= floor(c_acctbal / 16) AS ok, CASE WHEN amount <= floor(c_acctbal / 16) THEN floor(c_acctbal / 16) - amount ELSE floor(c_acctbal / 16) END AS bal FROM h JOIN customer ON c_custkey = h.account_id WHERE rn = 1 UNION ALL SELECT h.account_id, h.hold_id, h.rn, h.amount <= r.bal, CASE WHEN h.amount <= r.bal THEN r.bal - h.amount ELSE r.bal END FROM r JOIN h ON h.account_id = r.account_id AND h.rn = r.rn + 1) SELECT hold_id, ok AS accepted, bal AS balance FROM r"
+
+
+@query(_HOLDS_SQL)
 def f30_accept_holds(spark: SparkSession, sf: str) -> DataFrame:
     holds = table(spark, sf, "orders").select(F.col("o_custkey").alias("account_id"), F.col("o_orderkey").alias("hold_id"), F.floor(F.col("o_totalprice") / 1024).cast("double").alias("amount"))
     accounts = table(spark, sf, "customer").select(F.col("c_custkey").alias("account_id"), F.floor(F.col("c_acctbal") / 16).cast("double").alias("balance"))
     return ledger.accept_holds(holds, accounts).select("hold_id", "accepted", "balance")
 
 
+@query(_HOLDS_SQL)
+def f30_large_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every account worked off in phases by all tasks, as those of very many holds are."""
+    holds = table(spark, sf, "orders").select(F.col("o_custkey").alias("account_id"), F.col("o_orderkey").alias("hold_id"), F.floor(F.col("o_totalprice") / 1024).cast("double").alias("amount"))
+    accounts = table(spark, sf, "customer").select(F.col("c_custkey").alias("account_id"), F.floor(F.col("c_acctbal") / 16).cast("double").alias("balance"))
+    return ledger.accept_holds(holds, accounts, large=0).select("hold_id", "accepted", "balance")
+
+
 @query("SELECT o_orderkey AS txn_id, sum(CASE WHEN o_orderkey % 3 = 0 THEN -floor(o_totalprice / 64) ELSE floor(o_totalprice / 128) END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS balance FROM orders")
 def w8_running_balance(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("o_totalprice")
@@ -730,6 +741,102 @@ def s9_live_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("path string, length long, ts timestamp").parquet(f"{root}/out").where("length > 0").select(F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+#: Micro-batches of candidates, and after each what the watermark, 150 s behind, tells every source.
+_LIVE = f"""RECURSIVE {CANDIDATES}, r AS (SELECT source_id, floor(e / 400) AS b, 0 AS hb, s, e, score FROM cands), t AS (SELECT b, max(max(e)) OVER (ORDER BY b) - 150 AS e FROM r GROUP BY b),
+o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY b, hb, e, s, score) AS rn FROM (SELECT * FROM r UNION ALL SELECT source_id, b, 1, NULL, e, NULL FROM t, (SELECT DISTINCT source_id FROM r))),
+walk AS (SELECT source_id, 0::BIGINT AS rn, CAST([] AS STRUCT(a DOUBLE, b DOUBLE, v DOUBLE)[]) AS pend, CAST([] AS STRUCT(a DOUBLE, b DOUBLE, v DOUBLE)[]) AS gone, 0::BIGINT AS n FROM (SELECT DISTINCT source_id FROM cands) UNION ALL
+  SELECT source_id, rn, CASE WHEN fl THEN CAST([] AS STRUCT(a DOUBLE, b DOUBLE, v DOUBLE)[]) ELSE p END, CASE WHEN fl THEN p ELSE CAST([] AS STRUCT(a DOUBLE, b DOUBLE, v DOUBLE)[]) END, n + CAST(fl AS BIGINT)
+  FROM (SELECT *, len(p) > 0 AND (e - p[len(p)].b > 18 OR e - p[1].a > 90) AS fl FROM (SELECT o.source_id, o.rn, o.e, w.n, CASE WHEN o.score >= 32 THEN list_append(w.pend, {{'a': o.s, 'b': o.e, 'v': CAST(o.score AS DOUBLE)}}) ELSE w.pend END AS p FROM walk w JOIN o ON o.source_id = w.source_id AND o.rn = w.rn + 1))),
+flushed AS (SELECT source_id, n - 1 AS flush_id, unnest(gone) AS m FROM walk UNION ALL SELECT source_id, n, unnest(pend) FROM walk QUALIFY rn = max(rn) OVER (PARTITION BY source_id))"""
+
+
+@query(f"WITH {_LIVE} SELECT CAST(source_id AS VARCHAR) AS source_id, flush_id, m.a AS start_at, m.b AS end_at, m.v AS score FROM flushed")
+def st3_live_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of all users through a stateful stream, 400 s of stream time per micro-batch, with restarts; a last row moves the watermark past all."""
+    rows = candidates(spark, sf).select(F.col("source_id").cast("string").alias("source_id"), F.timestamp_seconds("end").alias("ts"), "start", "end", "score", F.floor(F.col("end") / 400).alias("b"))
+    parts = [rows.where(F.col("b") == b).drop("b") for b in range(int(rows.agg(F.max("b")).first()[0] or 0) + 1)]
+    clock = spark.range(1).select(F.lit("clock").alias("source_id"), F.timestamp_seconds(F.lit(10.0**9)).alias("ts"), F.lit(0.0).alias("start"), F.lit(10.0**9).alias("end"), F.lit(None).cast("double").alias("score"))
+    out = stateful.ordered_runs([*parts, clock], stateful.pending_moments, _scratch(spark))
+    return out.select("source_id", "flush_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "score")
+
+
+@query(f"""WITH {LINES}, {_RULED}, m AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'x' ELSE line END AS msg FROM ruled WHERE category IS NOT NULL), c AS (SELECT *, coalesce(msg <> lag(msg) OVER (PARTITION BY job_id ORDER BY event_id), TRUE) AS fresh FROM m), r AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY job_id ORDER BY event_id) AS run FROM c), g AS (SELECT job_id, run, min(event_id) AS event_id, count(*) AS n FROM r GROUP BY 1, 2)
+SELECT event_id, CAST(run - 1 AS BIGINT) AS run, n FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY event_id DESC) AS k FROM g) WHERE k <= 100""")
+def st8_collapsed_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    """Log lines of all users in three micro-batches, through rings of runs that go on over batches."""
+    lines = log_lines(spark, sf).select("job_id", "event_id", "line")
+    n = (lines.agg(F.max("event_id")).first()[0] or 0) + 1
+    parts = [lines.where((F.col("event_id") >= n * i // 3) & (F.col("event_id") < n * (i + 1) // 3)) for i in range(3)]
+    out = stateful.ordered_runs(parts, stateful.live_collapsed_incidents, _scratch(spark))
+    return stateful.current_runs(out).select("event_id", "run", F.col("count").alias("n"))
+
+
+#: Words of conversations, a turn a minute; some come one or four turns late, and two turns make a micro-batch.
+_ARRIVED = f"""{WORDS}, v AS (SELECT source_id, word_idx, text, turn * 60 + (word_idx - turn * 100000) * 0.5 AS s, least(3, (turn + CASE WHEN word_idx % 13 = 5 THEN 4 WHEN word_idx % 11 = 3 THEN 1 ELSE 0 END) // 2) AS b FROM words),
+a AS (SELECT *, coalesce(s < max(s) OVER (PARTITION BY source_id ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 150, FALSE) AS late FROM v)"""
+
+
+def _late_words(spark: SparkSession, sf: str) -> DataFrame:
+    i, turn = F.col("word_idx"), F.floor(F.col("word_idx") / 100_000)
+    batch = F.least(F.lit(3), F.floor((turn + F.when(i % 13 == 5, 4).when(i % 11 == 3, 1).otherwise(0)) / 2))
+    rows = words(spark, sf).select("source_id", (turn * 60 + (i - turn * 100_000) * 0.5).cast("double").alias("start"), "word_idx", "text", batch.alias("b"))
+    return stateful.ordered_runs([rows.where(F.col("b") == b).drop("b") for b in range(4)], stateful.buffered_windows, _scratch(spark))
+
+
+@query(f"WITH {_ARRIVED} SELECT source_id, CAST(s AS DOUBLE) AS start_at, text FROM a WHERE late")
+def st2_late_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that came over 150 s behind: the side table."""
+    return stateful.late_words(_late_words(spark, sf)).select("source_id", F.col("start").alias("start_at"), "text")
+
+
+@query(f"WITH {_ARRIVED}, k AS (SELECT *, unnest(range(CAST(floor((s - 75) / 30) AS BIGINT) + 1, CAST(floor(s / 30) AS BIGINT) + 1)) AS k, max(s) OVER (PARTITION BY source_id) AS last FROM a WHERE NOT late) SELECT source_id, CAST(k * 30 AS DOUBLE) AS win_start, count(*) AS n_words, string_agg(text, ' ' ORDER BY s, word_idx) AS text FROM k WHERE k * 30 + 75 <= last GROUP BY 1, 2")
+def st2_buffered_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows that closed, as words up to 150 s late have left them."""
+    return stateful.latest_windows(_late_words(spark, sf)).select("source_id", "win_start", "n_words", "text")
+
+
+_BOOKED = """RECURSIVE h AS (SELECT o_custkey AS a, o_orderkey AS k, floor(o_totalprice / 1024) AS amount, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
+f AS (SELECT *, CASE WHEN k % 3 = 0 THEN 0 WHEN k % 2 = 0 THEN least(40.0, amount) ELSE amount END AS take FROM h),
+r AS (SELECT c_custkey AS a, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS amount, CAST(NULL AS DOUBLE) AS take, FALSE AS ok, CAST(greatest(0, floor(c_acctbal / 16)) AS DOUBLE) AS bal FROM customer
+  UNION ALL SELECT f.a, f.rn, f.k, f.amount, f.take, f.amount <= r.bal, r.bal - CASE WHEN f.amount <= r.bal THEN f.take ELSE 0 END FROM r JOIN f ON f.a = r.a AND f.rn = r.rn + 1)"""
+
+
+def account_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A payment per customer, and of each order a hold and, half a second later, its end."""
+    k = F.col("o_orderkey")
+    none = lambda t: F.lit(None).cast(t)
+    paid = table(spark, sf, "customer").select(F.col("c_custkey").alias("account_id"), F.lit(1000.0).alias("at"), (-F.col("c_custkey")).alias("event_id"), F.lit("purchase").alias("kind"), (-F.col("c_custkey")).alias("job_id"), F.greatest(F.lit(0.0), F.floor(F.col("c_acctbal") / 16).cast("double")).alias("amount"), none("long").alias("kept"), none("boolean").alias("crashed"), none("double").alias("capture_amount"))
+    orders = table(spark, sf, "orders")
+    held = orders.select(F.col("o_custkey").alias("account_id"), (k + 2000.0).alias("at"), (2 * k).alias("event_id"), F.lit("hold").alias("kind"), k.alias("job_id"), F.floor(F.col("o_totalprice") / 1024).cast("double").alias("amount"), none("long"), none("boolean"), none("double"))
+    ended = orders.select(F.col("o_custkey").alias("account_id"), (k + 2000.5).alias("at"), (2 * k + 1).alias("event_id"), F.lit("finish").alias("kind"), k.alias("job_id"), none("double"), (k % 3).alias("kept"), (k % 7 == 0).alias("crashed"), F.when(k % 2 == 0, 40.0).alias("capture_amount"))
+    return paid.union(held).union(ended).withColumn("ts", F.timestamp_seconds("at"))
+
+
+_LEDGER_SQL = f"""WITH {_BOOKED} SELECT a AS account_id, -a AS event_id, 'purchase' AS kind, bal AS amount, bal AS balance, 0.0 AS held FROM r WHERE rn = 0 AND bal > 0 UNION ALL SELECT a, 2 * k, CASE WHEN ok THEN 'hold' ELSE 'rejected' END, amount, CASE WHEN ok THEN bal + take - amount ELSE bal END, CASE WHEN ok THEN amount ELSE 0.0 END FROM r WHERE rn > 0 AND (amount > 0 OR NOT ok)
+UNION ALL SELECT a, 2 * k + 1, 'refund', amount, bal, 0.0 FROM r WHERE ok AND k % 3 = 0 AND amount > 0 UNION ALL SELECT a, 2 * k + 1, 'capture', take, bal + take - amount, amount - take FROM r WHERE ok AND k % 3 <> 0 AND take > 0 UNION ALL SELECT a, 2 * k + 1, 'release', amount - take, bal, 0.0 FROM r WHERE ok AND k % 3 <> 0 AND amount > take"""
+
+
+@query(_LEDGER_SQL)
+def f30_ledger_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Payments, holds and ends of all orders, with every fifth event once more."""
+    events = account_events(spark, sf)
+    return ledger.replay(events.unionByName(events.where("event_id % 5 = 0"))).drop("job_id")
+
+
+@query(_LEDGER_SQL)
+def f30_live_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through a stateful stream in three micro-batches; each repeats a fifth of the one before, and ends may come before their holds."""
+    events = account_events(spark, sf)
+    n = (events.agg(F.max("at")).first()[0] or 0) + 1
+    # Events of odd jobs' holds come a batch late where that is within the watermark.
+    late = F.when((F.col("kind") == "hold") & (F.col("job_id") % 2 == 1), 100.0).otherwise(0.0)
+    part = lambda i: ((F.col("at") + late) >= n * i / 3) & ((F.col("at") + late) < n * (i + 1) / 3 + (1000 if i == 2 else 0))
+    parts = [events.where(part(i)).unionByName(events.where(part(i - 1) & (F.col("event_id") % 5 == 0))) for i in range(3)]
+    clock = events.limit(0).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("account_id"), F.lit(1e9).alias("at"), F.lit(-(10**15)).cast("long").alias("event_id"), F.lit("purchase").alias("kind"), F.lit(0).cast("long").alias("job_id"), F.lit(0.0).alias("amount"), F.lit(None).cast("long").alias("kept"), F.lit(None).cast("boolean").alias("crashed"), F.lit(None).cast("double").alias("capture_amount"), F.timestamp_seconds(F.lit(1e9)).alias("ts")))
+    out = stateful.ordered_runs([*parts, clock], stateful.live_ledger, _scratch(spark))
+    return out.drop("job_id")
+
+
 @query("SELECT user_id AS source_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 20")
 def st2_recent_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The last twenty events of each user, as chunks of its stream."""

@@ -297,6 +297,7 @@ class _Ledger(Keyed):
         if ready:
             account = Account(*(self.money.get() if self.money.exists() else (0.0, 0.0)), _Jobs(self.jobs))
             out = [row for e in ready for row in account.apply(*e[1:])]
+            account.jobs.write()
             self.money.update((account.balance, account.held))
             wait = events[len(ready) :]
             self.early.put(wait) if wait else self.early.clear()
@@ -305,16 +306,24 @@ class _Ledger(Keyed):
 
 
 class _Jobs:
-    """The jobs of an account, as a mapping over its map state."""
+    """The jobs of an account, as a mapping over its map state; read once and written once in a call."""
 
     def __init__(self, state) -> None:
-        self.state = state
+        self.state, self.seen, self.changed = state, {}, set()
 
     def get(self, job: int) -> tuple | None:
-        return tuple(self.state.getValue((job,))) if self.state.containsKey((job,)) else None
+        if job not in self.seen:
+            found = self.state.getValue((job,))
+            self.seen[job] = None if found is None else tuple(found)
+        return self.seen[job]
 
     def __setitem__(self, job: int, value: tuple) -> None:
-        self.state.updateValue((job,), value)
+        self.seen[job] = value
+        self.changed.add(job)
+
+    def write(self) -> None:
+        for job in self.changed:
+            self.state.updateValue((job,), self.seen[job])
 
 
 def live_ledger(events: DataFrame, watermark: str = "150 seconds") -> DataFrame:
