@@ -3,7 +3,8 @@
 One pass over the texts rolls k-grams of words and keeps those whose hash some known notice has, with their words. They are joined
 with the positions at which notices have them, word by word. A hit votes for the diagonal text position minus template position;
 votes are grouped per text, template and diagonal, diagonals that lie close together are merged (words put in or left out shift a
-match), and so are runs that follow each other in text and template. What covers enough of its template is a finding.
+match), and so are runs that follow each other in text and template. What covers enough of its template, all of a short one, is a
+finding if it holds the words that tell its licence from the others of its family.
 """
 
 from __future__ import annotations
@@ -15,6 +16,13 @@ from .common import bind, lower_ascii, materialize
 
 #: k-grams; merged are diagonals at most SHIFT apart, and runs in order with at most GAP words between them.
 K, SHIFT, GAP, COVERAGE = 3, 3, 40, 0.6
+#: Notices of up to so many words are found only whole: a word more or less makes another licence of them.
+SHORT_WORDS = 12
+#: Names that tell a licence from those with nearly the same notice; a finding covers one of them that its notice has.
+TELLING = {
+    "gpl": ("gnu general public license",), "lgpl": ("gnu lesser general public license",), "agpl": ("gnu affero general public license",), "mpl-2.0": ("mozilla public license",), "epl-2.0": ("eclipse public license",),
+    "boost-1.0": ("any person or organization obtaining", "boost software license"), "isc": ("copy modify and or distribute this software for any purpose with or without fee",), "zlib": ("alter it and redistribute it freely",), "unlicense": ("released into the public domain",),
+}
 #: Phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Public licences that fit a page, and the notices of longer ones, by label.
@@ -60,11 +68,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
+def _telling_grams(label: str, words: list[str]) -> list[list[int]]:
+    """The k-grams, by position, that lie within or across each place of the licence's telling names; none if the notice has no such name."""
+    out = []
+    for name in TELLING.get(label, ()):
+        n = name.split(" ")
+        out += [list(range(i, i + len(n) - K + 1)) for i in range(len(words) - len(n) + 1) if words[i : i + len(n)] == n]
+    return out
+
+
 def template_grams(spark: SparkSession) -> DataFrame:
-    """h, own (its words), template, label, at, grams: a fixed table of under two thousand rows."""
-    known = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(TEMPLATES)], "template int, label string, text string")
+    """h, own (its words), template, label, at, grams, least (the share to be found), telling: a fixed table of under two thousand rows."""
+    rows = [(i, label, text, 1.0 if len(text.split(" ")) <= SHORT_WORDS else None, _telling_grams(label, text.split(" "))) for i, (label, text) in enumerate(TEMPLATES)]
+    known = spark.createDataFrame(rows, "template int, label string, text string, least double, telling array<array<int>>")
     rolled = known.withColumn("w", F.split("text", " ")).withColumn("g", F.transform(F.sequence(F.lit(1), F.size("w") - (K - 1)), lambda i: F.slice("w", i, K)))
-    return rolled.select("template", "label", F.size("g").alias("grams"), F.posexplode("g").alias("at", "own")).withColumn("h", F.xxhash64("own"))
+    return rolled.select("template", "label", F.size("g").alias("grams"), "least", "telling", F.posexplode("g").alias("at", "own")).withColumn("h", F.xxhash64("own"))
 
 
 def base_places(w: Column) -> Column:
@@ -107,7 +125,7 @@ def _findings(measured: DataFrame, known: DataFrame, coverage: float, shift: int
     rolled = measured.where(F.size("hits") > 0).select("doc_id", "th", F.explode("hits").alias("x")).select("doc_id", "th", "x.*")
     # The templates are fixed; equal hashes count only with equal words.
     hits = rolled.join(F.broadcast(known), "h").where(F.col("words") == F.col("own")).withColumn("diagonal", F.col("pos") - F.col("at"))
-    key = ["doc_id", "th", "template", "label", "grams"]
+    key = ["doc_id", "th", "template", "label", "grams", "least", "telling"]
     votes = hits.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("at").alias("from"), F.max("at").alias("to"))
     one = Window.partitionBy("doc_id", "th", "template")
 
@@ -122,7 +140,9 @@ def _findings(measured: DataFrame, known: DataFrame, coverage: float, shift: int
     before = one.orderBy("lo", F.desc("hi"), F.desc(F.size("ats")), "from").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("reach", F.max("hi").over(before)).where(F.col("reach").isNull() | (F.col("hi") > F.col("reach"))).drop("run", "reach")
     apart = (F.col("from") <= F.lag("from").over(in_text)) | (F.col("to") <= F.lag("to").over(in_text)) | (F.col("lo") - F.lag("hi").over(in_text) > gap + K)
-    found = merged(runs, apart, ["lo", "hi", "from"]).withColumn("score", F.size("ats") / F.col("grams")).where(F.col("score") >= coverage)
+    found = merged(runs, apart, ["lo", "hi", "from"]).withColumn("score", F.size("ats") / F.col("grams"))
+    told = (F.size("telling") == 0) | F.exists("telling", lambda t: F.size(F.array_except(t, F.col("ats"))) == 0)
+    found = found.where((F.col("score") >= F.coalesce("least", F.lit(coverage))) & told)
     return found.select("doc_id", "th", "label", "template", F.col("lo").alias("first_word"), (F.col("hi") + K - 1).alias("last_word"), "score")
 
 
@@ -135,7 +155,8 @@ def find_notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", co
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE, shift: int = SHIFT) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels and labels (arrays), score, spans.
 
-    Labels are the base ones and those of verified notices; the score is 1 with a base place, else the best coverage, else 0.
+    Labels are the base ones and those of verified notices: notices of up to SHORT_WORDS words whole, of longer ones the share `coverage`,
+    and a name that tells the licence from its family wherever the notice has one; the score is 1 with a base place, else the best coverage, else 0.
     A null, empty or blank text has no words. Null ids are allowed; repeated rows get the same answer each; other columns are
     ignored; an empty table gives no rows.
     """
