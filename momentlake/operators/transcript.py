@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize, once
 from .intervals import points_in_intervals
-from .islands import fold_sorted, with_previous
+from .islands import fold_sorted, running_before, with_island, with_previous
 
 
 def chunk_plan(sources: DataFrame, minutes: float = 15, overlap: float = 8) -> DataFrame:
@@ -148,18 +149,30 @@ def _merged(words: DataFrame) -> DataFrame:
     return fold_sorted(words, ["source_id", "seam"], ["audio_start", "index", "start", "end", "text"], columns, _Seam, _Seam.take, _MERGE_SCHEMA, _Seam.finish)
 
 
+#: Words whose starts lie further apart than this are neither one word nor rivals (0.55 and 0.15 s).
+PAUSE = 0.6
+
+
+def _between_pauses(words: DataFrame) -> DataFrame:
+    """words with `seam`: what is said, in any chunk, without a pause. Chunks that share such a stretch are folded together there, and only there."""
+    order = ["index", "end", "text"]
+    before = with_previous(words, ["source_id"], "start", order, ["start"])
+    islands = with_island(before, ["source_id"], "start", order, F.coalesce(F.col("start") - F.col("prev.start") > PAUSE, F.lit(True)), "seam")
+    return islands.drop("prev").withColumn("seam", F.col("seam.start"))
+
+
 def merge_overlaps(words: DataFrame, chunk_seconds: float, overlap: float) -> DataFrame:
     """One transcript from overlapping chunks' words (source_id, index, audio_start, audio_end, text, start, end, confidence, speaker, uncertain).
 
     A word heard twice (same letters, start within 0.55 s, end within 0.75 s) is kept once, the more confident way; words that disagree
     at the same time are both kept and marked uncertain. Seams between chunks don't touch each other if chunk_seconds is over twice
-    the overlap plus 3 s; then only the words near a seam are grouped, a minute of audio each, and the rest pass by. Otherwise whole
-    sources are grouped.
+    the overlap plus 3 s; then only the words near a seam are grouped, a minute of audio each, and the rest pass by. Otherwise every
+    word may be heard several times, and what is said between two pauses is grouped.
     """
     words = words.select(F.col("source_id").cast("string").alias("source_id"), "index", "audio_start", "audio_end", "text", "start", "end", "confidence", "speaker", "uncertain")
     columns = ["source_id", "text", "start", "end", "confidence", "speaker", "uncertain"]
     if chunk_seconds <= 2 * overlap + 3:
-        return _merged(words.withColumn("seam", F.lit(0)))
+        return _merged(_between_pauses(words))
     words, index = once(words), F.col("index")
     ends = words.select("source_id", "index", "audio_start", "audio_end").distinct()
     order = Window.partitionBy("source_id").orderBy("index")  # one row per chunk
@@ -189,24 +202,47 @@ def caption_groups(clips: DataFrame, words: DataFrame, size: int = 4) -> DataFra
     return grouped.select("source_id", "clip_id", "line", (F.get("o", F.lit(0))["_at"] - F.col("start")).alias("rel_start"), (F.element_at("o", -1)["_to"] - F.col("start")).alias("rel_end"), F.array_join(F.transform("o", lambda x: x["_w"]), " ").alias("text"), F.array_join(F.transform("o", lambda x: x["_tag"]), " ").alias("karaoke"))
 
 
+class _Ranges:
+    """The ranges of one island that have been taken, by start."""
+
+    def __init__(self) -> None:
+        self.kept: list[tuple[float, float]] = []
+        self.longest = 0.0
+
+    def take(self, row: tuple) -> tuple | None:
+        source, _, rank, candidate, start, end = row
+        at = bisect_right(self.kept, (start, float("inf")))
+        while at and self.kept[at - 1][0] >= start - self.longest:
+            at -= 1
+            if self.kept[at][1] >= start:
+                return None
+        insort(self.kept, (start, end))
+        self.longest = max(self.longest, end - start)
+        return source, rank, candidate, start, end
+
+
 def repair_ranges(candidates: DataFrame, words: DataFrame, limit: int, least: float = 0.5, margin: float = 5.0, longest: float = 60.0) -> DataFrame:
-    """At most `limit` ranges per source to transcribe again: uncertain words of the best candidates, widened, none starting in an earlier one."""
+    """At most `limit` ranges per source to transcribe again: uncertain words of the best candidates, widened, none starting in an earlier one.
+
+    A range can only start in one that it touches, so islands of touching ranges are gone through apart, best first; the limit ends the
+    choice among what they take, in the same order. A source of any length is spread over its islands.
+    """
     doubtful = low_confidence(words, least).select("source_id", F.col("start").alias("_at"), F.col("end").alias("_to"))
     found = points_in_intervals(candidates.select("source_id", "candidate_id", "start", "end", "score"), doubtful, at="_at")
     ends = words.groupBy("source_id").agg(F.max("end").alias("_last"))
     spans = found.groupBy("source_id", "candidate_id", "score").agg(F.min("_at").alias("a"), F.max_by("_to", "_at").alias("b")).join(ends.hint("shuffle_merge"), "source_id")
     begin = F.greatest(F.lit(0.0), F.col("a") - margin)
     stop = F.least(F.least("_last", F.col("b") + margin), begin + longest)
-    ranked = spans.select("source_id", (-F.col("score")).alias("rank"), "candidate_id", begin.cast("double").alias("start"), stop.cast("double").alias("end"))
-
-    def take(kept: list[tuple], row: tuple) -> tuple | None:
-        source, start, end = row
-        if len(kept) >= limit or any(a <= start <= b for a, b in kept):
-            return None
-        kept.append((start, end))
-        return source, len(kept) - 1, start, end
-
-    return fold_sorted(ranked, ["source_id"], ["rank", "candidate_id"], ["start", "end"], list, take, f"source_id {dict(words.dtypes)['source_id']}, range_id int, start double, end double")
+    ranked = once(spans.select("source_id", (-F.col("score")).alias("rank"), "candidate_id", begin.cast("double").alias("start"), stop.cast("double").alias("end")))
+    reached = running_before(ranked, ["source_id"], "start", ["candidate_id"], "max", F.col("end"), "_reach")
+    islands = with_island(reached, ["source_id"], "start", ["candidate_id"], F.coalesce(F.col("start") > F.col("_reach"), F.lit(True)))
+    kinds = dict(ranked.dtypes)
+    schema = f"source_id {kinds['source_id']}, rank {kinds['rank']}, candidate_id {kinds['candidate_id']}, start double, end double"
+    small = islands.withColumn("island", F.xxhash64("island"))
+    taken = fold_sorted(small, ["source_id", "island"], ["rank", "candidate_id"], ["rank", "candidate_id", "start", "end"], _Ranges, _Ranges.take, schema)
+    order = Window.partitionBy("source_id").orderBy("rank", "candidate_id")
+    chosen = taken.withColumn("range_id", F.row_number().over(order)).where(F.col("range_id") <= limit)
+    return chosen.select("source_id", (F.col("range_id") - 1).alias("range_id"), "start", "end")
 
 
 def repair_decisions(ranges: DataFrame, words: DataFrame, improved: DataFrame) -> DataFrame:

@@ -599,9 +599,11 @@ def s8_artifacts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CANDIDATES} SELECT candidate_id, s AS start_at, score FROM cands")
 def s10_written_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark)
-    files.write_candidates(candidates(spark, sf), path)
-    return spark.read.schema("candidate_id long, start double, score double").json(path).select("candidate_id", F.col("start").alias("start_at"), "score")
+    """Replaced twice; the reader follows the pointer to the last version."""
+    path, rows = _scratch(spark), candidates(spark, sf)
+    files.write_candidates(rows.withColumn("score", F.lit(0.0)), path)
+    files.write_candidates(rows, path)
+    return files.read_replaced(spark, path, "candidate_id long, start double, score double").select("candidate_id", F.col("start").alias("start_at"), "score")
 
 
 @query(f"WITH {CANDIDATES} SELECT candidate_id, score >= 36 AS selected FROM cands")
@@ -611,9 +613,9 @@ def s11_scout_audit(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("candidate_id", F.col("selected").cast("boolean").alias("selected"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey, o_custkey FROM orders")
 def s7_read_table(spark: SparkSession, sf: str) -> DataFrame:
-    return files.read_table(spark, f"{sf}/orders.parquet").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    return files.read_table(spark, f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
 
 
 _AT = "printf('%d:%02d:%05.2f', CAST(floor({0} / 3600) AS INT), CAST(floor(({0} % 3600) / 60) AS INT), {0} % 60)"
@@ -726,21 +728,37 @@ def st9_upserts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("event_id", "user_id")
 
 
-@query("SELECT make_timestamp(2024, 1, 1, 0, 0, 0.0) + to_seconds(30 * unnest(range(0, n))) AS ts FROM (SELECT count(DISTINCT conv_id) AS n FROM conversations)")
-def s9_live_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """One finished chunk per conversation, renamed as its writer would do, through a file stream."""
-    root = _scratch(spark)
+def _chunk_files(spark: SparkSession, sf: str, root: str) -> None:
+    """One chunk file per conversation in root/in, renamed as its writer would do."""
     table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("value")).distinct().write.option("maxRecordsPerFile", 1).text(f"{root}/in")
     jvm, at = spark.sparkContext._jvm, lambda name: jvm.org.apache.hadoop.fs.Path(f"{root}/in/{name}")  # noqa: E731, SLF001
     fs = at("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
     parts = sorted(f.getPath().getName() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/in")) if f.getPath().getName().startswith("part-"))
     for i, name in enumerate(parts):
         fs.rename(at(name), at(f"chunk_{datetime(2024, 1, 1) + timedelta(seconds=30 * i):%Y%m%d_%H%M%S}.ts"))
+
+
+@query("SELECT make_timestamp(2024, 1, 1, 0, 0, 0.0) + to_seconds(30 * unnest(range(0, n))) AS ts FROM (SELECT count(DISTINCT conv_id) AS n FROM conversations)")
+def s9_live_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """One finished chunk per conversation through a file stream."""
+    root = _scratch(spark)
+    _chunk_files(spark, sf, root)
     run = live.live_chunks(spark, f"{root}/in").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("path string, length long, ts timestamp").parquet(f"{root}/out").where("length > 0").select(F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+@query("SELECT make_timestamp(2024, 1, 1, 0, 0, 0.0) + to_seconds(30 * i) AS ts, CAST(i = n - 1 AS BIGINT) AS epoch FROM (SELECT n, unnest(range(0, n)) AS i FROM (SELECT count(DISTINCT conv_id) AS n FROM conversations))")
+def s9_finished_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files, found by three polls: the newest is held back until its length has stood still."""
+    root = _scratch(spark)
+    _chunk_files(spark, sf, root)
+    poll = live.poll_chunks(f"{root}/in", f"{root}/out")
+    for epoch in range(3):
+        poll(spark.range(1), epoch)
+    return spark.read.parquet(f"{root}/out/chunks").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "epoch")
+
+
 #: Micro-batches of candidates, and after each what the watermark, 150 s behind, tells every source.
 _LIVE = f"""RECURSIVE {CANDIDATES}, r AS (SELECT source_id, floor(e / 400) AS b, 0 AS hb, s, e, score FROM cands), t AS (SELECT b, max(max(e)) OVER (ORDER BY b) - 150 AS e FROM r GROUP BY b),
 o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY b, hb, e, s, score) AS rn FROM (SELECT * FROM r UNION ALL SELECT source_id, b, 1, NULL, e, NULL FROM t, (SELECT DISTINCT source_id FROM r))),

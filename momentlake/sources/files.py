@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,9 +113,48 @@ def with_chunk_start(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("chunk_start", chunk_start(F.col(path)))
 
 
+POINTER, KEPT_VERSIONS = "_current", 2
+
+
+def replace_table(df: DataFrame, path: str, format: str = "parquet", keep: int = KEPT_VERSIONS) -> None:  # noqa: A002
+    """Replace what stands at path for all readers at once (read_replaced): a version of its own is written whole, then a pointer to it is moved in place.
+
+    A reader sees the old version or the new one, never a mixture or nothing, and a write that fails leaves the old one. The newest
+    `keep` versions stay, so that a reader that began on the one before can end. Writers must not run at the same time.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    fs = at("x").getFileSystem(conf)
+    versions = sorted(f.getPath().getName() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.isDirectory() and f.getPath().getName().startswith("v-")) if fs.exists(jvm.org.apache.hadoop.fs.Path(path)) else []
+    name = f"v-{int(versions[-1].split('-')[1]) + 1 if versions else 0:012d}-{uuid.uuid4().hex[:8]}"
+    df.write.format(format).save(f"{path}/{name}")
+    staged = at(f".{POINTER}-{uuid.uuid4().hex}")
+    out = fs.create(staged, True)
+    out.write(f"{name} {format}".encode())
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)  # noqa: SLF001
+    overwrite[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    qualified = fs.makeQualified(staged)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), conf).rename(qualified, fs.makeQualified(at(POINTER)), overwrite)
+    for old in [*versions, name][: -max(1, keep)]:
+        fs.delete(at(old), True)
+
+
+def read_replaced(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """What replace_table has put at path, as it stands now; later replacements don't change a DataFrame made before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    stream = pointer.getFileSystem(conf).open(pointer)
+    name, kind = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split(" ")
+    stream.close()
+    reader = spark.read.format(kind)
+    return (reader.schema(schema) if schema else reader).load(f"{path}/{name}")
+
+
 def write_candidates(df: DataFrame, path: str, format: str = "json") -> None:  # noqa: A002
-    """Replace a folder of candidates, timings or scores; the commit protocol makes readers see all or nothing of each file."""
-    df.write.mode("overwrite").format(format).save(path)
+    """Replace a folder of candidates, timings or scores for all its readers at once; see replace_table and read_replaced."""
+    replace_table(df, path, format)
 
 
 def write_scout_audit(candidates: DataFrame, path: str, threshold: float = 36.0) -> None:

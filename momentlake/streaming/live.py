@@ -16,7 +16,8 @@ from ..config import DEFAULTS, Settings
 from ..functions.links import chunk_start
 from ..operators.islands import fold_sorted, running_before
 from ..operators.scorers import Scorer
-from ..scratch import materialize
+from ..scratch import materialize, release
+from ..sources.files import POINTER, list_artifacts, read_replaced, replace_table
 from .flush import Moment, flush
 
 
@@ -33,6 +34,46 @@ def live_chunks(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", chunk_start(F.col("path")).alias("ts"))
 
 
+def finished_chunks(listing: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Of a listing of files (path, length), those whose writer is done with them: all but the newest name of each folder, and that one too if it is as long as in `before`, an earlier listing."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    named = listing.withColumns({"_name": name, "_folder": F.regexp_extract("path", r"^(.*)/[^/]+$", 1)})
+    newest = named.groupBy("_folder").agg(F.max("_name").alias("_newest"))
+    rows = named.join(newest.hint("shuffle_merge"), "_folder")
+    if before is None:
+        return rows.where("_name < _newest").select(*listing.columns)
+    known = before.select("path", F.col("length").alias("_length"))
+    return rows.join(known.hint("shuffle_merge"), "path", "left").where((F.col("_name") < F.col("_newest")) | F.coalesce(F.col("length") == F.col("_length"), F.lit(False))).select(*listing.columns)
+
+
+def poll_chunks(path: str, out: str, pattern: str = "chunk_*.ts") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for writers that don't rename: each trigger lists the folder and appends to out/chunks the chunks that are finished.
+
+    Rows are path, length, ts (from the name) and epoch. The newest chunk of a folder is held back until a newer one appears, or until
+    its length stood still from one trigger to the next; each chunk comes once, also if a trigger is repeated. The listing before is a
+    replaced table at out/listing.
+    """
+
+    def poll(trigger: DataFrame, epoch: int) -> None:
+        spark = trigger.sparkSession
+        exists = lambda name: _exists(spark, f"{out}/{name}")
+        listing = materialize(list_artifacts(spark, path, pattern).select("path", "length"), "listing")
+        ready = finished_chunks(listing, read_replaced(spark, f"{out}/listing") if exists(f"listing/{POINTER}") else None)
+        if exists("chunks"):
+            ready = ready.join(spark.read.parquet(f"{out}/chunks").select("path").hint("shuffle_merge"), "path", "left_anti")
+        done = ready.withColumns({"ts": chunk_start(F.col("path")), "epoch": F.lit(epoch).cast("long")})
+        done.write.mode("append").parquet(f"{out}/chunks")
+        replace_table(listing, f"{out}/listing")
+        release(listing)
+
+    return poll
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)  # noqa: SLF001
+
+
 def rolling_windows(words: DataFrame, settings: Settings = DEFAULTS, watermark: str = "150 seconds") -> DataFrame:
     """Windows of 75 s every 30 s per source (source_id, ts, start, text): win_start, win_end, text, n_words. Works on streams and tables."""
     if words.isStreaming:
@@ -267,8 +308,7 @@ def upsert_results(path: str, key: list[str], parts: int = 64) -> Callable[[Data
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)  # noqa: SLF001
+        there = _exists(spark, path)
         new = batch.dropDuplicates(key).withColumn("part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
         if there:
             mine = [r[0] for r in batch.select(F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")).distinct().collect()]  # `parts` at most
