@@ -4,7 +4,7 @@ One pass over the texts rolls k-grams of words and keeps those whose hash some k
 with the positions at which notices have them, word by word. A hit votes for the diagonal text position minus template position;
 votes are grouped per text, template and diagonal, diagonals that lie close together are merged (words put in or left out shift a
 match), and so are runs that follow each other in text and template. What covers enough of its template, all of a short one, is a
-finding if it holds the words that tell its licence from the others of its family.
+finding; where several variants of one notice match the same place, the one with the most words of it is.
 """
 
 from __future__ import annotations
@@ -18,15 +18,16 @@ from .common import bind, lower_ascii, materialize
 K, SHIFT, GAP, COVERAGE = 3, 3, 40, 0.6
 #: Notices of up to so many words are found only whole: a word more or less makes another licence of them.
 SHORT_WORDS = 12
-#: Names that tell a licence from those with nearly the same notice; a finding covers one of them that its notice has.
-TELLING = {
-    "gpl": ("gnu general public license",), "lgpl": ("gnu lesser general public license",), "agpl": ("gnu affero general public license",), "mpl-2.0": ("mozilla public license",), "epl-2.0": ("eclipse public license",),
-    "boost-1.0": ("any person or organization obtaining", "boost software license"), "isc": ("copy modify and or distribute this software for any purpose with or without fee",), "zlib": ("alter it and redistribute it freely",), "unlicense": ("released into the public domain",),
-}
+#: Templates that share this part of the shorter one's k-grams are variants of one notice, of which a place in a text has the best one only.
+VARIANT = 0.6
 #: Phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Public licences that fit a page, and the notices of longer ones, by label.
+_FREE = "this {0} is free software you can redistribute it and or modify it under the terms of the gnu {1}general public license as published by the free software foundation either version {2} of the license or at your option any later version"
+_HOPE = "this {0} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {1}general public license for more details you should have received a copy of the gnu {1}general public license along with this {0}"
+_GNU = (("gpl", "program", "", "3"), ("lgpl", "library", "lesser ", "2 1"), ("agpl", "program", "affero ", "3"))
 TEMPLATES = (
+    *((label, text.format(what, kind, version)) for text in (_FREE, _HOPE) for label, what, kind, version in _GNU),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
@@ -35,12 +36,8 @@ TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("gpl", "licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program"),
     ("lgpl", "licensed under the gnu lesser general public license"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
     ("agpl", "licensed under the gnu affero general public license"),
-    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("warranty", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
@@ -68,21 +65,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def _telling_grams(label: str, words: list[str]) -> list[list[int]]:
-    """The k-grams, by position, that lie within or across each place of the licence's telling names; none if the notice has no such name."""
-    out = []
-    for name in TELLING.get(label, ()):
-        n = name.split(" ")
-        out += [list(range(i, i + len(n) - K + 1)) for i in range(len(words) - len(n) + 1) if words[i : i + len(n)] == n]
+def _notices() -> list[int]:
+    """Of each template the first one that it is a variant of, or itself."""
+    grams = [{tuple(w[i : i + K]) for i in range(len(w) - K + 1)} for _, text in TEMPLATES for w in [text.split(" ")]]
+    out: list[int] = []
+    for i, g in enumerate(grams):
+        out.append(next((out[j] for j in range(i) if len(g & grams[j]) >= VARIANT * min(len(g), len(grams[j]))), i))
     return out
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """h, own (its words), template, label, at, grams, least (the share to be found), telling: a fixed table of under two thousand rows."""
-    rows = [(i, label, text, 1.0 if len(text.split(" ")) <= SHORT_WORDS else None, _telling_grams(label, text.split(" "))) for i, (label, text) in enumerate(TEMPLATES)]
-    known = spark.createDataFrame(rows, "template int, label string, text string, least double, telling array<array<int>>")
+    """h, own (its words), template, label, notice, at, grams, least (the share to be found): a fixed table of under two thousand rows."""
+    rows = [(i, label, text, notice, 1.0 if len(text.split(" ")) <= SHORT_WORDS else None) for i, ((label, text), notice) in enumerate(zip(TEMPLATES, _notices(), strict=True))]
+    known = spark.createDataFrame(rows, "template int, label string, text string, notice int, least double")
     rolled = known.withColumn("w", F.split("text", " ")).withColumn("g", F.transform(F.sequence(F.lit(1), F.size("w") - (K - 1)), lambda i: F.slice("w", i, K)))
-    return rolled.select("template", "label", F.size("g").alias("grams"), "least", "telling", F.posexplode("g").alias("at", "own")).withColumn("h", F.xxhash64("own"))
+    return rolled.select("template", "label", "notice", F.size("g").alias("grams"), "least", F.posexplode("g").alias("at", "own")).withColumn("h", F.xxhash64("own"))
 
 
 def base_places(w: Column) -> Column:
@@ -125,7 +122,7 @@ def _findings(measured: DataFrame, known: DataFrame, coverage: float, shift: int
     rolled = measured.where(F.size("hits") > 0).select("doc_id", "th", F.explode("hits").alias("x")).select("doc_id", "th", "x.*")
     # The templates are fixed; equal hashes count only with equal words.
     hits = rolled.join(F.broadcast(known), "h").where(F.col("words") == F.col("own")).withColumn("diagonal", F.col("pos") - F.col("at"))
-    key = ["doc_id", "th", "template", "label", "grams", "least", "telling"]
+    key = ["doc_id", "th", "template", "label", "notice", "grams", "least"]
     votes = hits.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("at").alias("from"), F.max("at").alias("to"))
     one = Window.partitionBy("doc_id", "th", "template")
 
@@ -141,8 +138,13 @@ def _findings(measured: DataFrame, known: DataFrame, coverage: float, shift: int
     runs = runs.withColumn("reach", F.max("hi").over(before)).where(F.col("reach").isNull() | (F.col("hi") > F.col("reach"))).drop("run", "reach")
     apart = (F.col("from") <= F.lag("from").over(in_text)) | (F.col("to") <= F.lag("to").over(in_text)) | (F.col("lo") - F.lag("hi").over(in_text) > gap + K)
     found = merged(runs, apart, ["lo", "hi", "from"]).withColumn("score", F.size("ats") / F.col("grams"))
-    told = (F.size("telling") == 0) | F.exists("telling", lambda t: F.size(F.array_except(t, F.col("ats"))) == 0)
-    found = found.where((F.col("score") >= F.coalesce("least", F.lit(coverage))) & told)
+    found = found.where(F.col("score") >= F.coalesce("least", F.lit(coverage)))
+    # Variants that match one place overlap there.
+    variants = Window.partitionBy("doc_id", "th", "notice").orderBy("lo", "hi", "template")
+    apart = F.col("lo") > F.max("hi").over(variants.rowsBetween(Window.unboundedPreceding, -1))
+    placed = found.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("place", F.sum("apart").over(variants))
+    best = Window.partitionBy("doc_id", "th", "notice", "place").orderBy(F.desc(F.size("ats")), F.desc("score"), "template")
+    found = placed.withColumn("nth", F.row_number().over(best)).where("nth = 1")
     return found.select("doc_id", "th", "label", "template", F.col("lo").alias("first_word"), (F.col("hi") + K - 1).alias("last_word"), "score")
 
 
@@ -156,7 +158,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels and labels (arrays), score, spans.
 
     Labels are the base ones and those of verified notices: notices of up to SHORT_WORDS words whole, of longer ones the share `coverage`,
-    and a name that tells the licence from its family wherever the notice has one; the score is 1 with a base place, else the best coverage, else 0.
+    and of the variants of one notice the one that matches best; the score is 1 with a base place, else the best coverage, else 0.
     A null, empty or blank text has no words. Null ids are allowed; repeated rows get the same answer each; other columns are
     ignored; an empty table gives no rows.
     """

@@ -70,18 +70,18 @@ def test_odd_rows(odd_docs, no_docs):
 
 
 def labels_of(spark, texts):
-    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    rows = L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     return [(set(r["base_labels"]), set(r["labels"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def test_every_notice_gives_its_own_label_only(spark):
-    found = labels_of(spark, [f"Some words before it. {t} And more words after it." for _, t in licenses.TEMPLATES])
-    for (label, text), (base, got) in zip(licenses.TEMPLATES, found, strict=True):
+    found = labels_of(spark, [f"Some words before it. {t} And more words after it." for _, t in L.TEMPLATES])
+    for (label, text), (base, got) in zip(L.TEMPLATES, found, strict=True):
         assert got == base | {label}, text
 
 
 def test_short_notices_with_a_changed_word_give_nothing(spark):
-    short = [t.split(" ") for _, t in licenses.TEMPLATES if len(t.split(" ")) <= licenses.SHORT_WORDS]
+    short = [t.split(" ") for _, t in L.TEMPLATES if len(t.split(" ")) <= L.SHORT_WORDS]
     changed = [" ".join([*w[:i], "umbrella", *w[i + 1 :]]) for w in short for i in range(len(w))]
     assert len(changed) > 60
     for text, (base, got) in zip(changed, labels_of(spark, changed), strict=True):
@@ -93,7 +93,7 @@ def test_families_are_told_apart(spark):
     hope = " This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details."
     cc = "This work is licensed under a Creative Commons Attribution{0} 4.0 International License."
     texts = {
-        free.format("program", "", "2"): {"gpl"}, (free + hope).format("program", "", "3"): {"gpl"}, (free + hope).format("library", "Lesser ", "2.1"): {"lgpl"}, (free + hope).format("program", "Affero ", "3"): {"agpl"}, hope.format("library", "Lesser "): set(),
+        free.format("program", "", "2"): {"gpl"}, (free + hope).format("program", "", "3"): {"gpl"}, (free + hope).format("library", "Lesser ", "2.1"): {"lgpl"}, (free + hope).format("program", "Affero ", "3"): {"agpl"}, hope.format("library", "Lesser "): {"lgpl"},
         cc.format(""): {"cc-by"}, cc.format("-NonCommercial"): {"cc-by-nc"}, cc.format("-ShareAlike"): {"cc-by-sa"}, cc.format("-NonCommercial-ShareAlike"): set(), cc.format("-NoDerivatives"): set(), "he was released under the MIT umbrella": set(),
     }
     for (text, want), (base, got) in zip(texts.items(), labels_of(spark, list(texts)), strict=True):
