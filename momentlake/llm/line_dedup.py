@@ -3,8 +3,8 @@
 A line is lower-cased, tokens with a digit become `<*>`, and the tree has fixed depth: token count, then the leading tokens. A leaf
 may hold many templates, so its lines are looked at by bands: runs of tokens, one more than the tokens in which a line may leave its
 template, so that a line shares a band with any line that has the same template's text there. Lines of one band are compared with
-its first and its last line (by hash); those that agree with it in enough tokens are one template, whose other tokens are variable
-fields. A line recurs if its masked form, or its template, stands in enough documents; recurring lines are dropped from every
+two of them; those that agree with one in enough tokens are one template, whose other tokens are variable fields. What neither took is
+banded again, by other cuts of the tokens, until nothing is left. A line recurs if its masked form, or its template, stands in enough documents; recurring lines are dropped from every
 document but the one with the smallest id.
 
 Only hashes of lines are shuffled: forms are combined before the shuffle, so a line that a third of all documents share costs one
@@ -60,20 +60,27 @@ def _placed(described: DataFrame, *columns: str) -> DataFrame:
     return described.select("did", "th", F.posexplode(zipped).alias("pos", "line")).select("did", "th", "pos", *[f"line.{c}" for c in columns])
 
 
+def _runs(t: Column) -> Column:
+    """How many parts the tokens after the leading ones are cut into: one more than the tokens in which a form may leave its template."""
+    return F.floor(F.size(t) * (1 - AGREEMENT)).cast("int") + 1
+
+
 def _bands(t: Column) -> Column:
-    """Hashes of consecutive runs of the tokens after the leading ones: one run more than the tokens in which a form may leave its template."""
-    free, runs = F.size(t) - LEADING_TOKENS, F.floor(F.size(t) * (1 - AGREEMENT)).cast("int") + 1
+    """Hashes of consecutive runs of the tokens after the leading ones."""
+    free, runs = F.size(t) - LEADING_TOKENS, _runs(t)
     start = lambda i: F.ceil(i * free / runs).cast("int")
     return F.transform(F.sequence(F.lit(0), runs - 1), lambda i: F.xxhash64(i, F.slice(t, start(i) + LEADING_TOKENS + 1, start(i + 1) - start(i))))
 
 
-def _templated(forms: DataFrame) -> DataFrame:
-    """h, keeper of the forms (h, leaf, first, last, t) that belong to a recurring template of their leaf; written."""
-    banded = materialize(forms.select("h", "first", "last", F.explode(F.transform(_bands(F.col("t")), lambda b: F.xxhash64("leaf", b))).alias("g")), "bands")
-    groups = banded.groupBy("g").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("first").alias("first"), F.max("last").alias("last"))
-    groups = groups.where("a != b and first != last").select("g", "a", "b").hint("rebalance")
-    pairs = banded.join(groups.hint("shuffle_merge"), "g").select("h", F.explode(F.array("a", "b")).alias("centre")).where("h != centre").distinct()
-    pairs = materialize(pairs, "pairs")
+def _classes(t: Column, level: int) -> Column:
+    """Hashes of the same tokens cut another way at each level: every runs-th token, shifted by level - 1 from one stretch to the next."""
+    free, runs = F.slice(t, LEADING_TOKENS + 1, F.size(t)), _runs(t)
+    part = lambda k: F.filter(free, lambda _, i: F.pmod(i + (level - 1) * F.floor(i / runs).cast("int"), runs) == k)
+    return F.transform(F.sequence(F.lit(0), runs - 1), lambda k: F.xxhash64(k, part(k)))
+
+
+def _linked(forms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """h, keeper of the forms that agree with a centre, and of the centres, where several documents have them; written. pairs: h, centre."""
     own = forms.select("h", "first", "last", "t")
     centres = forms.select(F.col("h").alias("centre"), F.col("first").alias("c_first"), F.col("last").alias("c_last"), F.col("t").alias("c_t"))
     same = F.aggregate(F.zip_with("t", "c_t", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
@@ -82,12 +89,51 @@ def _templated(forms: DataFrame) -> DataFrame:
     keepers = links.groupBy("centre").agg(F.min(F.least("first", "c_first")).alias("keeper"), F.max(F.greatest("last", "c_last")).alias("final")).where("keeper != final").select("centre", "keeper")
     keepers = materialize(keepers, "keepers")
     members = links.select("h", "centre").join(keepers.hint("shuffle_merge"), "centre").select("h", "keeper").unionByName(keepers.withColumnRenamed("centre", "h"))
-    out = materialize(members.groupBy("h").agg(F.min("keeper").alias("keeper")), "templated")
-    for done in (banded, pairs, links, keepers):
-        release(done)
+    out = materialize(members.groupBy("h").agg(F.min("keeper").alias("keeper")), "members")
+    release(links)
+    release(keepers)
     return out
 
 
+def _templated(forms: DataFrame) -> DataFrame:
+    """h, keeper of the forms (h, leaf, first, last, t) that belong to a recurring template of their leaf; written.
+
+    Two forms of one template share a part of their tokens however these are cut. So groups are the forms that share a part; a group's
+    forms are compared with two of it. What neither took goes on, without the two, in smaller groups: those that share a part of another
+    cut as well. A group ends when it holds one form, forms of one document, or no form that is still without a template. Every
+    group loses its centres, which have met all of it, so nothing is left in the end, and no pair of a template's forms was passed by.
+    """
+    found, level = None, 0
+    rows = materialize(forms.select("h", "first", "last", F.explode(F.transform(_bands(F.col("t")), lambda b: F.xxhash64("leaf", b))).alias("g")), "bands")
+    while True:
+        by = F.xxhash64("h", F.lit(level))
+        groups = rows.groupBy("g").agg(F.min_by("h", by).alias("a"), F.max_by("h", by).alias("b"), F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n"))
+        groups = materialize(groups.where("a != b and first != last").select("g", "a", "b", "n"), "groups")
+        met = rows.join(groups.hint("rebalance").hint("shuffle_merge"), "g")
+        pairs = materialize(met.select("h", F.explode(F.array("a", "b")).alias("centre")).where("h != centre").distinct(), "pairs")
+        new = _linked(forms, pairs)
+        release(pairs)
+        if found is not None:
+            both = materialize(found.unionByName(new).groupBy("h").agg(F.min("keeper").alias("keeper")), "templated")
+            release(found)
+            release(new)
+            new = both
+        found = new
+        left = met.where("n > 2 and h != a and h != b").select("g", "h", "first", "last").join(found.select("h", F.lit(1).alias("done")).hint("shuffle_merge"), "h", "left")
+        left = materialize(left, "left")
+        open_groups = left.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("done").isNull()).alias("open"), F.min("first").alias("_f"), F.max("last").alias("_l")).where("n > 1 and open > 0 and _f != _l").select("g")
+        going = materialize(left.drop("done").join(open_groups.hint("rebalance").hint("shuffle_merge"), "g", "left_semi"), "going")
+        for done in (rows, groups, left):
+            release(done)
+        if going.isEmpty():
+            release(going)
+            return found
+        level += 1
+        again = going.join(forms.select("h", "t").hint("shuffle_merge"), "h")
+        rows = materialize(again.select("h", "first", "last", F.explode(F.transform(_classes(F.col("t"), level), lambda c: F.xxhash64("g", c))).alias("g")), "bands")
+        release(going)
+
+
 def _recurring(described: DataFrame) -> DataFrame:
     """h, keeper of all forms that recur; written."""
     # Of each form the place in the smallest document, as one number.

@@ -108,3 +108,36 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert L.drop_recurring_lines(no_docs).count() == 0
     names = {"lang": "_dropped", "source": "_n", "n_chars": "_line_did", "id": "_gone"}
     assert L.drop_recurring_lines(odd_docs.withColumnsRenamed(names)).count() == odd_docs.count()
+
+
+def crowded(rng, templates, fields, docs=6):
+    """Templates of 12 words that begin and end alike and have a variable word in each band but the last; a document per line."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows, planted = [], set()
+    for _ in range(templates):
+        pattern = ["see", "all", "news", *(word() for _ in range(7)), "read", "more"]
+        for j in range(docs):
+            if j:
+                planted.add((len(rows), 0))
+            rows.append((len(rows), " ".join(word() if i in fields else w for i, w in enumerate(pattern))))
+    return rows, planted
+
+
+def test_many_templates_that_share_a_band_are_all_found(spark):
+    rng = random.Random(8)
+    for templates, fields in ((20, (5, 7, 9)), (20, (4, 6, 8)), (200, (5, 7, 9))):
+        rows, planted = crowded(rng, templates, fields)
+        assert drops(L.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == planted
+
+
+def test_lines_of_one_leaf_against_all_pairs(spark):
+    """Lines from few words, so that many agree in part: exactly those go that agree in three quarters of their words with another document's."""
+    rng = random.Random(4)
+    rows = [(i, "one two three " + " ".join(rng.choice("abcd") for _ in range(9))) for i in range(160)]
+    words = [t.split() for _, t in rows]
+    agree = lambda x, y: sum(a == b for a, b in zip(x, y, strict=True)) >= 9
+    near = {i for i in range(160) if any(i != j and agree(words[i], words[j]) for j in range(160))}
+    got = {d for d, _ in drops(L.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")))}
+    # Of each group a line stays; which lines make a group is a matter of its centres.
+    assert got <= near and all(i in got or all(j in got or not agree(words[i], words[j]) for j in range(160) if j != i) or any(agree(words[i], words[j]) and j in got for j in range(160) if j != i) for i in near)
+    assert len(near - got) < len(near) / 2
