@@ -6,11 +6,11 @@ bucket they share. Sizes after explode can't be estimated, so each join names it
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import once
-from .islands import running_before
+from .islands import CHUNK_SECONDS, running_before
 
 BUCKET = 64.0
 
@@ -101,23 +101,27 @@ def missing_clusters(clusters: DataFrame, candidates: DataFrame, tolerance: floa
     return marked.join(wide.hint("shuffle_merge"), same, "left_anti").drop("_bucket")
 
 
-def nearest(times: DataFrame, marks: DataFrame, key: list[str], within: float, at: str = "at", mark: str = "mark") -> DataFrame:
+def nearest(times: DataFrame, marks: DataFrame, within: float, at: str = "at", mark: str = "mark", chunk: float = CHUNK_SECONDS) -> DataFrame:
     """times with `nearest`: the mark of its source closest to `at`, the earlier one on ties, null if none lies within `within` seconds.
 
-    As-of joins in both directions over the union, by windows in time chunks.
+    One pass over the union of both by time chunks: within a chunk the last mark before and the first after, across chunks those of the
+    nearest chunks that have marks. Both are read twice, so costly ones are written first. Rows without a time have no nearest mark.
     """
-    times = once(times)
-    t = times.select("source_id", *key, F.col(at).alias("_t"), F.lit(1).alias("_kind"))
-    m = marks.select("source_id", *[F.lit(None).cast(dict(times.dtypes)[k]).alias(k) for k in key], F.col(mark).alias("_t"), F.lit(0).alias("_kind")).distinct()
-    both = t.unionByName(m)
-    value = F.when(F.col("_kind") == 0, F.struct(F.col("_t").alias("v")))
-    both = running_before(both, ["source_id"], "_t", ["_kind", *key], "last", value, "_prev")
-    turned = both.withColumns({"_back": -F.col("_t"), "_other": F.col("_kind")})
-    both = running_before(turned, ["source_id"], "_back", ["_other", *key], "last", value, "_next").where("_kind = 1")
-    before, after = F.col("_t") - F.col("_prev.v"), F.col("_next.v") - F.col("_t")
-    pick = F.when(F.col("_prev").isNotNull() & (F.col("_next").isNull() | (before <= after)), F.col("_prev.v")).otherwise(F.col("_next.v"))
-    found = both.withColumn("nearest", F.when(F.abs(pick - F.col("_t")) <= within, pick)).select("source_id", *key, "nearest")
-    return times.join(found.hint("shuffle_merge"), ["source_id", *key], "left")
+    times, m = once(times), once(marks.select("source_id", F.col(mark).alias("_t")).where("_t is not null"))
+    rows = times.withColumns({"_t": F.col(at), "_kind": F.lit(1)}).unionByName(m.distinct().withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    rows = rows.withColumns({"_chunk": F.floor(F.col("_t") / chunk), "_mark": F.when(F.col("_kind") == 0, F.col("_t"))})
+    by = Window.partitionBy("source_id", "_chunk").orderBy("_t", "_kind")
+    # A mark at the very time comes first, and so counts as one before.
+    rows = rows.withColumns({"_prev": F.last("_mark", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)), "_next": F.expr("lead(_mark) IGNORE NULLS OVER (PARTITION BY source_id, _chunk ORDER BY _t, _kind)")})
+    held = rows.where("_kind = 1").groupBy("source_id", "_chunk").agg(F.lit(None).cast("double").alias("_low"), F.lit(None).cast("double").alias("_high"))
+    held = held.unionByName(m.groupBy("source_id", F.floor(F.col("_t") / chunk).alias("_chunk")).agg(F.min("_t").cast("double").alias("_low"), F.max("_t").cast("double").alias("_high")))
+    held = held.groupBy("source_id", "_chunk").agg(F.max("_low").alias("_low"), F.max("_high").alias("_high"))
+    chunks = Window.partitionBy("source_id").orderBy("_chunk")
+    around = held.select("source_id", "_chunk", F.last("_high", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_behind"), F.expr("lead(_low) IGNORE NULLS OVER (PARTITION BY source_id ORDER BY _chunk)").alias("_ahead"))
+    near = rows.where("_kind = 1").alias("r").join(around.alias("c").hint("shuffle_merge"), (F.col("r.source_id") == F.col("c.source_id")) & F.col("r._chunk").eqNullSafe(F.col("c._chunk")), "left")
+    prev, following = F.coalesce("_prev", "_behind"), F.coalesce("_next", "_ahead")
+    pick = F.when(prev.isNotNull() & (following.isNull() | (F.col("_t") - prev <= following - F.col("_t"))), prev).otherwise(following)
+    return near.select(*[F.col(f"r.{c}") for c in times.columns], F.when(F.abs(pick - F.col("_t")) <= within, pick).alias("nearest"))
 
 
 def nearest_edges(clips: DataFrame, words: DataFrame, pad_before: float, pad_after: float, least: float, most: float | None) -> DataFrame:

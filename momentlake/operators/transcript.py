@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize, once
 from .intervals import points_in_intervals
-from .islands import fold_sorted, running_before, with_island, with_previous
+from .islands import CHUNK_SECONDS, fold_sorted, running_before, with_island, with_previous
 
 
 def chunk_plan(sources: DataFrame, minutes: float = 15, overlap: float = 8) -> DataFrame:
@@ -76,10 +76,14 @@ def safe_prefix(words: DataFrame, chunks: DataFrame, overlap: float) -> DataFram
 
 def boundaries(words: DataFrame, pause: float = 0.6) -> DataFrame:
     """(source_id, mark): ends of words that close a sentence or come before a pause."""
-    turned = words.select("source_id", "text", "start", "end", "word_idx", (-F.col("start")).alias("_back"), (-F.col("word_idx")).alias("_bidx"))
-    after = with_previous(turned, ["source_id"], "_back", ["_bidx"], ["start"], "_next")
-    closes = F.rtrim("text").rlike(r"[.?!]$") | F.coalesce(F.col("_next.start") - F.col("end") >= pause, F.lit(False))
-    return after.where(closes).select("source_id", F.col("end").alias("mark"))
+    rows = words.withColumn("_chunk", F.floor(F.col("start") / CHUNK_SECONDS))
+    following = F.lead("start").over(Window.partitionBy("source_id", "_chunk").orderBy("start", "word_idx"))
+    heads = rows.groupBy("source_id", "_chunk").agg(F.min("start").alias("_head"))
+    # What follows the last word of a chunk is the first one of the next chunk that has words.
+    after = heads.select("source_id", "_chunk", F.lead("_head").over(Window.partitionBy("source_id").orderBy("_chunk")).alias("_after"))
+    joined = rows.withColumn("_next", following).join(after.hint("shuffle_merge"), ["source_id", "_chunk"])
+    closes = F.rtrim("text").rlike(r"[.?!]$") | F.coalesce(F.coalesce("_next", "_after") - F.col("end") >= pause, F.lit(False))
+    return joined.where(closes).select("source_id", F.col("end").alias("mark"))
 
 
 def pauses(words: DataFrame, least: float = 0.4) -> DataFrame:

@@ -21,8 +21,8 @@ def semantic_windows(words: DataFrame, settings: Settings = DEFAULTS, target: fl
     grid = spans.where("last > t0").select("source_id", "t0", "last", F.explode(F.sequence(F.lit(0), steps)).alias("window_id"))
     grid = grid.select("source_id", "window_id", (F.col("t0") + F.col("window_id") * hop).alias("t"), "last").withColumn("e", F.least(F.col("t") + target, F.col("last")))
     marks = boundaries(words, settings.pause_seconds)
-    ends = grid.select("source_id", "window_id", F.lit("s").alias("side"), F.col("t").alias("at")).unionByName(grid.select("source_id", "window_id", F.lit("e").alias("side"), F.col("e").alias("at")))
-    snapped = nearest(ends, marks, ["window_id", "side"], settings.snap_seconds)
+    sides = F.array(F.struct(F.lit("s").alias("side"), F.col("t").alias("at")), F.struct(F.lit("e").alias("side"), F.col("e").alias("at")))
+    snapped = nearest(grid.select("source_id", "window_id", F.explode(sides).alias("x")).select("source_id", "window_id", "x.*"), marks, settings.snap_seconds)
     at = F.coalesce("nearest", "at")
     both = snapped.groupBy("source_id", "window_id").agg(F.max(F.when(F.col("side") == "s", F.when(F.col("window_id") == 0, F.col("at")).otherwise(at))).alias("start"), F.max(F.when(F.col("side") == "e", at)).alias("end"))
     spoken = words_text(both.where(F.col("end") > F.col("start")), words, ["window_id"], trim=True)

@@ -113,12 +113,12 @@ def _grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {WORDS}, {MARKS}, {_GRID}, ok AS (SELECT g.source_id, g.turn, m.mark, row_number() OVER (PARTITION BY g.source_id, g.turn ORDER BY abs(m.mark - g.t), m.mark) AS n FROM grid g JOIN marks m ON m.source_id = g.source_id AND abs(m.mark - g.t) <= 8) SELECT g.source_id, g.turn, o.mark AS nearest FROM grid g LEFT JOIN (SELECT * FROM ok WHERE n = 1) o USING (source_id, turn)")
 def j11_nearest_boundary(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.nearest(_grid(spark, sf), transcript.boundaries(words(spark, sf)), ["turn"], 8.0).select("source_id", "turn", "nearest")
+    return intervals.nearest(_grid(spark, sf), transcript.boundaries(words(spark, sf)), 8.0).select("source_id", "turn", "nearest")
 
 
 @query(f"WITH {WORDS}, {_GRID}, gaps AS (SELECT source_id, pe AS mark FROM (SELECT source_id, s, lag(e) OVER (PARTITION BY source_id ORDER BY s, word_idx) AS pe FROM words) WHERE s - pe >= 0.4), ok AS (SELECT g.source_id, g.turn, m.mark, row_number() OVER (PARTITION BY g.source_id, g.turn ORDER BY abs(m.mark - g.t), m.mark) AS n FROM grid g JOIN gaps m ON m.source_id = g.source_id AND abs(m.mark - g.t) <= 500) SELECT g.source_id, g.turn, o.mark AS nearest FROM grid g LEFT JOIN (SELECT * FROM ok WHERE n = 1) o USING (source_id, turn)")
 def j12_snap_to_pause(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.nearest(_grid(spark, sf), transcript.pauses(words(spark, sf)), ["turn"], 500.0).select("source_id", "turn", "nearest")
+    return intervals.nearest(_grid(spark, sf), transcript.pauses(words(spark, sf)), 500.0).select("source_id", "turn", "nearest")
 
 
 @query(f"""WITH {WORDS}, {SPANS}, p AS (SELECT *, greatest(0, s - 0.8) AS ps, e + 1.2 AS pe FROM spans), q AS (SELECT p.source_id, p.clip_id, p.ps, p.pe, min(w.s) FILTER (WHERE w.s >= p.ps - 0.4) AS f, max(w.e) FILTER (WHERE w.e <= p.pe + 0.4) AS l FROM p LEFT JOIN words w USING (source_id) GROUP BY 1, 2, 3, 4),

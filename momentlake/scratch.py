@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import atexit
-import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: By application, the temporary folder of a local session that names no shared one (tests).
 _own_roots: dict[str, str] = {}
-#: Operators whose work is not to be done once per reader; explode is left out, for its output is larger than what it reads.
-_COSTLY = re.compile(r"\b(Join|Aggregate|Window|Sort|Distinct|Deduplicate|MapIn\w+|\w+InPandas)\b")
+#: Plan nodes whose work is not to be done once per reader; explode is left out, for its output is larger than what it reads.
+_COSTLY = ("Join", "Aggregate", "Window", "Sort", "Distinct", "Deduplicate", "MapIn", "InPandas", "InArrow", "EvalPython", "RebalancePartitions", "RepartitionByExpression")
+#: Per open scope, the tables written in it.
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
     """This application's part of the shared folder that the cluster names in spark.checkpoint.dir.
 
     A temporary folder serves only local sessions that set none; elsewhere executors couldn't read it. Tables that no later step
-    reads are deleted as soon as they are done with; what a returned DataFrame reads stays until clear() or the folder's end.
+    reads are deleted as soon as they are done with; what a returned DataFrame reads stays until the end of its scope(), clear() or the folder's end.
     """
     sc = spark.sparkContext
     root, app = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"), sc.applicationId
@@ -41,13 +44,34 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._momentlake_path = path  # noqa: SLF001
+    if _scopes:
+        _scopes[-1].append((spark, path))
     return out
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """What operators write within is deleted at the end: make DataFrames, and write or collect what is wanted of them, inside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _costly(plan) -> bool:
+    """Whether a node of a logical plan does costly work."""
+    name = plan.nodeName()
+    if any(c in name for c in _COSTLY):
+        return True
+    children = plan.children()
+    return any(_costly(children.apply(i)) for i in range(children.size()))
+
+
 def once(df: DataFrame) -> DataFrame:
     """df itself if it is a scan with projections and filters; else df written, for operators that read it several times."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
-    return materialize(df, "once") if not df.isStreaming and _COSTLY.search(plan) else df
+    return materialize(df, "once") if not df.isStreaming and _costly(df._jdf.queryExecution().optimizedPlan()) else df  # noqa: SLF001
 
 
 def _delete(spark: SparkSession, path: str) -> None:

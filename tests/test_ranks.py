@@ -39,3 +39,25 @@ def test_hot_key_is_spread(spark):
 
 def test_empty(spark):
     assert numbered(rows(spark, 0), ["k"], ["id"]).count() == 0 and numbered(rows(spark, 0), [], ["id"]).count() == 0
+
+
+def test_scopes_delete_what_was_written(spark):
+    from momentlake import scratch
+
+    root = scratch.scratch_root(spark)
+    list_of = lambda: {str(f.getPath()) for f in spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root))}
+    outer = scratch.materialize(spark.range(3), "outer")
+    before = list_of()
+    with scratch.scope():
+        inner = numbered(rows(spark, 100), ["k"], ["id"])
+        assert inner.count() == 100 and list_of() > before
+    assert list_of() == before and outer.count() == 3
+
+
+def test_only_costly_plans_are_written(spark):
+    from momentlake.scratch import once
+
+    named = spark.range(3).selectExpr("id AS `Sort Window Join`")
+    assert once(named) is named
+    for costly in (named.distinct(), named.orderBy(named.columns[0]), named.mapInPandas(lambda it: it, named.schema), named.select(F.udf(lambda x: x, "long")(named.columns[0]).alias("u"))):
+        assert once(costly) is not costly
