@@ -13,6 +13,7 @@ EVENT_CLASSES = (
     "CONFESSION", "CONTROVERSY", "PUBLIC_INTERACTION", "GAMEPLAY_CLUTCH", "FAIL", "CHALLENGE", "SECURITY_AUTHORITY", "STATUS", "CHAOS",
 )
 ACTION_CLASSES = ("IRL_ACTION", "IRL_REACTION", "CHAOS", "STATUS", "FLEX_FAIL", "MONEY_STATUS", "PUBLIC_INTERACTION", "SECURITY_AUTHORITY", "FAIL", "CHALLENGE")
+# Kinds of payoff, and those that are seen.
 PAYOFF_TYPES = ("verbal", "physical", "reaction", "reveal", "silence", "consequence", "none")
 VISUAL_PAYOFFS = ("physical", "reaction", "reveal", "silence", "consequence")
 

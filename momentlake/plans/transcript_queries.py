@@ -172,7 +172,8 @@ def p6_safe_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return transcript.safe_prefix(words(spark, sf), plan, 15.0).groupBy("source_id").agg(F.count("*").alias("n"), F.max("end").alias("last_end"))
 
 
-@query(None)
+@query(f"""WITH {WORDS}, {CHUNKS}, h AS (SELECT w.source_id, w.word_idx, w.text, p.idx, w.s + p.idx % 2 * 0.125 AS s, w.e + p.idx % 2 * 0.125 AS e, (w.confidence + p.idx * 0.25) % 1.0 AS c FROM words w JOIN plan p ON p.source_id = w.source_id AND w.s >= p.a_s AND w.s < p.a_e)
+SELECT CAST(source_id AS VARCHAR) AS source_id, CAST(s AS DOUBLE) AS start_at, CAST(e AS DOUBLE) AS end_at, text, CAST(c AS DOUBLE) AS confidence, FALSE AS uncertain FROM h QUALIFY row_number() OVER (PARTITION BY source_id, word_idx ORDER BY c DESC, idx) = 1""")
 def q2_merge_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     """Each chunk hears its words with a jitter of an eighth of a second at most."""
     plan = chunks(spark, sf)
@@ -181,6 +182,22 @@ def q2_merge_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return transcript.merge_overlaps(shifted, 240, 15).select("source_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "text", "confidence", "uncertain")
 
 
+#: The same words in one-minute chunks that overlap by half, so that most are heard by two or three.
+_HALF = f"""{WORDS}, plan AS (SELECT source_id, k AS idx, greatest(0.0, k * 60.0 - 30) AS a_s, least(d, (k + 1) * 60.0 + 30) AS a_e FROM (SELECT source_id, d, unnest(range(0, CAST(ceil(d / 60.0) AS BIGINT))) AS k FROM (SELECT source_id, max(e) AS d FROM words GROUP BY source_id)))"""
+
+
+@query(f"""WITH {_HALF}, h AS (SELECT w.source_id, w.word_idx, w.text, p.idx, w.s + p.idx % 2 * 0.125 AS s, w.e + p.idx % 2 * 0.125 AS e, (w.confidence + p.idx * 0.25) % 1.0 AS c FROM words w JOIN plan p ON p.source_id = w.source_id AND w.s >= p.a_s AND w.s < p.a_e)
+SELECT CAST(source_id AS VARCHAR) AS source_id, CAST(s AS DOUBLE) AS start_at, CAST(e AS DOUBLE) AS end_at, text, CAST(c AS DOUBLE) AS confidence, FALSE AS uncertain FROM h QUALIFY row_number() OVER (PARTITION BY source_id, word_idx ORDER BY c DESC, idx) = 1""")
+def q2_half_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of a minute that overlap by half: words are merged between pauses."""
+    plan = chunks(spark, sf, 1, 30)
+    points = words(spark, sf).withColumns({"at": F.col("start")}).drop("start", "end")
+    inside = intervals.points_in_intervals(plan.select("source_id", "index", "audio_start", "audio_end"), points, "audio_start", "audio_end")
+    jitter = (F.col("index") % 2) * 0.125
+    shifted = inside.withColumns({"start": F.col("at") + jitter, "end": F.col("at") + 0.25 + jitter, "confidence": F.pmod(F.col("confidence") + F.col("index") * 0.25, F.lit(1.0))})
+    return transcript.merge_overlaps(shifted, 60, 30).select("source_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "text", "confidence", "uncertain")
+
+
 @query(f"WITH {WORDS}, {SPANS}, n AS (SELECT p.source_id, p.clip_id, p.s AS cs, w.*, row_number() OVER (PARTITION BY p.source_id, p.clip_id ORDER BY w.s, w.word_idx) - 1 AS r FROM spans p JOIN words w ON w.source_id = p.source_id AND w.s BETWEEN p.s AND p.e) SELECT source_id, clip_id, r // 4 AS line, min(s) - any_value(cs) AS rel_start, max(e) - any_value(cs) AS rel_end, string_agg(trim(text), ' ' ORDER BY r) AS text FROM n GROUP BY 1, 2, 3")
 def w2_caption_groups(spark: SparkSession, sf: str) -> DataFrame:
     return transcript.caption_groups(spans(spark, sf), words(spark, sf)).select("source_id", "clip_id", "line", "rel_start", "rel_end", "text")
