@@ -72,11 +72,11 @@ def _bands(t: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), runs - 1), lambda i: F.xxhash64(i, F.slice(t, start(i) + LEADING_TOKENS + 1, start(i + 1) - start(i))))
 
 
-def _classes(t: Column, level: int) -> Column:
-    """Hashes of the same tokens cut another way at each level: every runs-th token, shifted by level - 1 from one stretch to the next."""
-    free, runs = F.slice(t, LEADING_TOKENS + 1, F.size(t)), _runs(t)
-    part = lambda k: F.filter(free, lambda _, i: F.pmod(i + (level - 1) * F.floor(i / runs).cast("int"), runs) == k)
-    return F.transform(F.sequence(F.lit(0), runs - 1), lambda k: F.xxhash64(k, part(k)))
+def _recut(t: Column, level: int) -> Column:
+    """t with the tokens after the leading ones in another order at each level, so that their bands are another cut: every runs-th token, shifted by level - 1 from one stretch to the next."""
+    runs = _runs(t)
+    free = F.transform(F.slice(t, LEADING_TOKENS + 1, F.size(t)), lambda w, i: F.struct(F.pmod(i + (level - 1) * F.floor(i / runs).cast("int"), runs).alias("part"), i.alias("at"), w.alias("w")))
+    return F.concat(F.slice(t, 1, LEADING_TOKENS), F.transform(F.array_sort(free), lambda x: x["w"]))
 
 
 def _linked(forms: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def _templated(forms: DataFrame) -> DataFrame:
             return found
         level += 1
         again = going.join(forms.select("h", "t").hint("shuffle_merge"), "h")
-        rows = materialize(again.select("h", "first", "last", F.explode(F.transform(_classes(F.col("t"), level), lambda c: F.xxhash64("g", c))).alias("g")), "bands")
+        rows = materialize(again.select("h", "first", "last", F.explode(F.transform(bind(_recut(F.col("t"), level), _bands), lambda c: F.xxhash64("g", c))).alias("g")), "bands")
         release(going)
 
 
