@@ -2,7 +2,7 @@
 
 All statistics are native columns. Class moments are sums over all labelled rows, combined before the shuffle, so no sample is
 needed. Class covariances shrink towards the pooled one and towards a sphere; their Cholesky factors are computed once, and a
-text's score is the calibrated sigmoid of the difference of its Mahalanobis log-densities.
+text's score is the sigmoid of the scaled difference of its Mahalanobis log-densities.
 """
 
 from __future__ import annotations

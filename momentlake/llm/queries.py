@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hard_negatives, language, licenses, line_dedup, near_dups, packing, pieces, quality_classifier, quality_rules, resampling, secrets, toxicity
+from . import base_queries, decontamination, hard_negatives, language, licenses, line_dedup, near_dups, packing, pieces, quality_classifier, quality_rules, resampling, secrets, toxicity
 from .common import in_three, table
 
 
@@ -96,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_secrets, op3_decontamination, op4_line_dedup, op5_language, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_licenses, op10_near_dups, op11_sentencepiece, op12_hard_negatives, op13_resampling, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_secrets, op3_decontamination, op4_line_dedup, op5_language, op6_toxicity, op7_quality_rules, op8_quality_classifier, op9_licenses, op10_near_dups, op11_sentencepiece, op12_hard_negatives, op13_resampling, pipeline)} | base_queries.QUERIES
 
 #: All pairs that share a shingle, compared in full, and the smallest id reachable: quadratic, for small tables.
 _NEAR_SQL = r"""
@@ -138,4 +138,4 @@ k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FRO
 SELECT v.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM k) THEN rank END AS rank FROM v LEFT JOIN k ON k.doc_id = v.doc_id
 """
 
-ORACLES = {"op10_near_dups": _NEAR_SQL, "op12_hard_negatives": _NEGATIVES_SQL, "op13_resampling": _RESAMPLE_SQL}
+ORACLES = {"op10_near_dups": _NEAR_SQL, "op12_hard_negatives": _NEGATIVES_SQL, "op13_resampling": _RESAMPLE_SQL} | base_queries.ORACLES
