@@ -590,11 +590,13 @@ def s3_prediction_files(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_predictions(spark, _json_files(spark, rows, "candidates", ["start", "end", "score", "topic"])).select("source_id", F.col("start").alias("start_at"), "topic")
 
 
-@query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS name")
+@query("SELECT len(CAST(conv_id AS VARCHAR)) + 1 AS length, count(*) AS n FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY 1")
 def s8_artifacts(spark: SparkSession, sf: str) -> DataFrame:
-    """The files of the given folder."""
-    listed = files.list_artifacts(spark, sf, "*.parquet").where("length > 0 and mtime is not null")
-    return listed.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    """The chunk files of all conversations by their length: an id and a line end."""
+    root = _scratch(spark)
+    _chunk_files(spark, sf, root)
+    listed = files.with_chunk_start(files.list_artifacts(spark, f"{root}/in", "chunk_*.ts")).where("mtime is not null and chunk_start is not null")
+    return listed.groupBy("length").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {CANDIDATES} SELECT candidate_id, s AS start_at, score FROM cands")
@@ -672,7 +674,27 @@ def length_score(texts: list[str]) -> list[float]:
     return [float(len(t) * 7 % 101) for t in texts]
 
 
-@query(None)
+_PEND = "STRUCT(a DOUBLE, b DOUBLE, v DOUBLE, t VARCHAR)[]"
+#: Flushes with topics; in each, groups by neighbours and span, a new score from the length of their topics, a decision, and no repeats, best first.
+_FLUSHED = f"""RECURSIVE {CANDIDATES}, o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY e, s, score, topic) AS rn FROM cands),
+walk AS (SELECT source_id, 0::BIGINT AS rn, CAST([] AS {_PEND}) AS pend, CAST([] AS {_PEND}) AS gone, 0::BIGINT AS n FROM (SELECT DISTINCT source_id FROM cands) UNION ALL
+  SELECT source_id, rn, CASE WHEN fl THEN CAST([] AS {_PEND}) ELSE p END, CASE WHEN fl THEN p ELSE CAST([] AS {_PEND}) END, n + CAST(fl AS BIGINT)
+  FROM (SELECT *, len(p) > 0 AND (e - p[len(p)].b > 18 OR e - p[1].a > 90) AS fl FROM (SELECT o.source_id, o.rn, o.e, w.n, CASE WHEN o.score >= 32 THEN list_append(w.pend, {{'a': o.s, 'b': o.e, 'v': CAST(o.score AS DOUBLE), 't': o.topic}}) ELSE w.pend END AS p FROM walk w JOIN o ON o.source_id = w.source_id AND o.rn = w.rn + 1))),
+flushed AS (SELECT source_id, n - 1 AS flush_id, unnest(gone) AS m FROM walk UNION ALL SELECT source_id, n, unnest(pend) FROM walk QUALIFY rn = max(rn) OVER (PARTITION BY source_id)),
+c AS (SELECT source_id, flush_id, m.a AS s, m.b AS e, m.v AS score, m.t AS topic, row_number() OVER (PARTITION BY source_id, flush_id ORDER BY m.a, m.b, m.v, m.t) AS rn FROM flushed),
+l AS (SELECT *, lag(score) OVER w AS p, s - lag(e) OVER w AS gap, topic = lag(topic) OVER w AS same FROM c WINDOW w AS (PARTITION BY source_id, flush_id ORDER BY rn)),
+j AS (SELECT *, coalesce(CASE WHEN greatest(score, p) >= 65 THEN same AND least(score, p) >= 50 AND gap <= 15 ELSE gap <= CASE WHEN same THEN 12 * 1.8 ELSE 12 END AND NOT (greatest(score, p) >= 60 AND least(score, p) < 45) AND (abs(score - p) <= 15 OR (same AND least(score, p) >= 50)) END, FALSE) AS joins FROM l),
+f AS (SELECT source_id, flush_id, rn, s AS head, 1 AS g FROM j WHERE rn = 1 UNION ALL SELECT j.source_id, j.flush_id, j.rn, CASE WHEN j.joins AND j.e - f.head <= 120 THEN f.head ELSE j.s END, f.g + CASE WHEN j.joins AND j.e - f.head <= 120 THEN 0 ELSE 1 END FROM f JOIN j ON j.source_id = f.source_id AND j.flush_id = f.flush_id AND j.rn = f.rn + 1),
+g AS (SELECT source_id, flush_id, g, count(*) AS n, arg_min(s, rn) AS s, arg_max(e, rn) AS e, arg_min(topic, rn) AS topic, len(string_agg(topic, ' ' ORDER BY rn)) * 7 % 101 AS m, max(score) AS peak, avg(score) AS mean, min_by({{'s': s, 'e': e, 't': topic}}, {{'v': -score, 'rn': rn}}) AS k FROM j JOIN f USING (source_id, flush_id, rn) GROUP BY 1, 2, 3),
+d AS (SELECT *, m < 60 OR (n > 1 AND peak - mean >= 20) AS alone FROM g WHERE NOT (m < 60 AND peak < 55)),
+pool AS (SELECT source_id AS src, flush_id, source_id || '|' || flush_id AS source_id, g AS candidate_id, CASE WHEN alone THEN k.s ELSE s END AS s, CASE WHEN alone THEN k.e ELSE e END AS e, CASE WHEN alone THEN peak ELSE CAST(m AS DOUBLE) END AS score, CASE WHEN alone THEN k.t ELSE topic END AS topic FROM d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, s, candidate_id) AS rn FROM pool),
+picks AS (SELECT source_id, rn, TRUE AS keep, [{{'a': s, 'b': e}}] AS kept FROM ranked WHERE rn = 1 UNION ALL
+  SELECT x.source_id, x.rn, x.ok, CASE WHEN x.ok THEN list_append(x.kept, {{'a': x.s, 'b': x.e}}) ELSE x.kept END FROM (SELECT r.*, picks.kept, len(list_filter(picks.kept, lambda k: abs((k.a + k.b) / 2 - (r.s + r.e) / 2) <= 18 OR (least(r.e - r.s, k.b - k.a) > 0 AND greatest(0, least(r.e, k.b) - greatest(r.s, k.a)) / least(r.e - r.s, k.b - k.a) >= 0.45))) = 0 AS ok FROM picks JOIN ranked r ON r.source_id = picks.source_id AND r.rn = picks.rn + 1) x),
+clips AS (SELECT r.src, r.flush_id, r.s, r.e, r.score, r.topic, row_number() OVER (PARTITION BY r.src ORDER BY r.flush_id, r.s, r.score DESC) - 1 AS clip_id FROM ranked r JOIN picks USING (source_id, rn) WHERE keep)"""
+
+
+@query(f"WITH {_FLUSHED} SELECT CAST(src AS VARCHAR) AS source_id, flush_id, clip_id, s AS start_at, e AS end_at, score, topic FROM clips WHERE clip_id < 5")
 def st4_flushed_moments(spark: SparkSession, sf: str) -> DataFrame:
     """Clips of each source, flush by flush, five at most; events are scored windows, their types topics and texts."""
     scored = candidates(spark, sf).withColumns({"source_id": F.col("source_id").cast("string"), "text": F.col("topic")})
