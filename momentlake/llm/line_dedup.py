@@ -23,6 +23,8 @@ LEADING_TOKENS = 3
 LONG_TOKENS, LONG_DOCS, SHORT_TOKENS, SHORT_DOCS = 8, 2, 3, 10
 #: The share of a line's tokens that agree with its template.
 AGREEMENT = 0.75
+#: Groups of so many forms at most are compared within, in one row each.
+SMALL_GROUP = 64
 _NO_ID = -(2**63)
 
 
@@ -79,12 +81,24 @@ def _recut(t: Column, level: int) -> Column:
     return F.concat(F.slice(t, 1, LEADING_TOKENS), F.transform(F.array_sort(free), lambda x: x["w"]))
 
 
+def _agree(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= AGREEMENT * F.size(a)
+
+
+def _compared_within(forms: DataFrame, rows: DataFrame) -> DataFrame:
+    """h, keeper of the forms that agree with another one of their group, where several documents have them. rows: g, h, first, last, of groups of SMALL_GROUP forms at most."""
+    whole = rows.join(forms.select("h", "t").hint("shuffle_merge"), "h").groupBy("g").agg(F.collect_list(F.struct("h", "first", "last", "t")).alias("m"))
+    near = F.transform("m", lambda x: F.struct(x["h"].alias("h"), F.transform(F.filter(F.col("m"), lambda y: _agree(x["t"], y["t"])), lambda y: F.struct(y["first"].alias("first"), y["last"].alias("last"))).alias("n")))
+    each = whole.select(F.explode(F.filter(near, lambda x: F.size(x["n"]) > 1)).alias("x"))
+    ends = each.select("x.h", F.array_min(F.transform("x.n", lambda y: y["first"])).alias("keeper"), F.array_max(F.transform("x.n", lambda y: y["last"])).alias("final"))
+    return ends.where("keeper != final").groupBy("h").agg(F.min("keeper").alias("keeper"))
+
+
 def _linked(forms: DataFrame, pairs: DataFrame) -> DataFrame:
     """h, keeper of the forms that agree with a centre, and of the centres, where several documents have them; written. pairs: h, centre."""
     own = forms.select("h", "first", "last", "t")
     centres = forms.select(F.col("h").alias("centre"), F.col("first").alias("c_first"), F.col("last").alias("c_last"), F.col("t").alias("c_t"))
-    same = F.aggregate(F.zip_with("t", "c_t", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
-    linked = pairs.join(own.hint("shuffle_merge"), "h").join(centres.hint("shuffle_merge"), "centre").where(same >= AGREEMENT * F.size("t"))
+    linked = pairs.join(own.hint("shuffle_merge"), "h").join(centres.hint("shuffle_merge"), "centre").where(_agree(F.col("t"), F.col("c_t")))
     links = materialize(linked.select("h", "centre", "first", "last", "c_first", "c_last"), "links")
     keepers = links.groupBy("centre").agg(F.min(F.least("first", "c_first")).alias("keeper"), F.max(F.greatest("last", "c_last")).alias("final")).where("keeper != final").select("centre", "keeper")
     keepers = materialize(keepers, "keepers")
@@ -99,11 +113,21 @@ def _templated(forms: DataFrame) -> DataFrame:
     """h, keeper of the forms (h, leaf, first, last, t) that belong to a recurring template of their leaf; written.
 
     Two forms of one template share a part of their tokens however these are cut. So groups are the forms that share a part; a group's
-    forms are compared with two of it. What neither took goes on, without the two, in smaller groups: those that share a part of another
-    cut as well. A group ends when it holds one form, forms of one document, or no form that is still without a template. Every
-    group loses its centres, which have met all of it, so nothing is left in the end, and no pair of a template's forms was passed by.
+    forms are compared with two of it. What neither took is compared with each other where at most SMALL_GROUP forms are left, and goes on,
+    without the two, in smaller groups elsewhere: those that share a part of another cut as well. A group ends when it holds one
+    form, forms of one document, or no form that is still without a template. Every group loses its centres, which have met all of it,
+    so nothing is left in the end, and no pair of a template's forms was passed by.
     """
     found, level = None, 0
+
+    def also(new: DataFrame) -> DataFrame:
+        if found is None:
+            return new
+        both = materialize(found.unionByName(new).groupBy("h").agg(F.min("keeper").alias("keeper")), "templated")
+        release(found)
+        release(new)
+        return both
+
     rows = materialize(forms.select("h", "first", "last", F.explode(F.transform(_bands(F.col("t")), lambda b: F.xxhash64("leaf", b))).alias("g")), "bands")
     while True:
         by = F.xxhash64("h", F.lit(level))
@@ -111,25 +135,21 @@ def _templated(forms: DataFrame) -> DataFrame:
         groups = materialize(groups.where("a != b and first != last").select("g", "a", "b", "n"), "groups")
         met = rows.join(groups.hint("rebalance").hint("shuffle_merge"), "g")
         pairs = materialize(met.select("h", F.explode(F.array("a", "b")).alias("centre")).where("h != centre").distinct(), "pairs")
-        new = _linked(forms, pairs)
+        found = also(_linked(forms, pairs))
         release(pairs)
-        if found is not None:
-            both = materialize(found.unionByName(new).groupBy("h").agg(F.min("keeper").alias("keeper")), "templated")
-            release(found)
-            release(new)
-            new = both
-        found = new
         left = met.where("n > 2 and h != a and h != b").select("g", "h", "first", "last").join(found.select("h", F.lit(1).alias("done")).hint("shuffle_merge"), "h", "left")
         left = materialize(left, "left")
-        open_groups = left.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("done").isNull()).alias("open"), F.min("first").alias("_f"), F.max("last").alias("_l")).where("n > 1 and open > 0 and _f != _l").select("g")
-        going = materialize(left.drop("done").join(open_groups.hint("rebalance").hint("shuffle_merge"), "g", "left_semi"), "going")
+        open_groups = left.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("done").isNull()).alias("open"), F.min("first").alias("_f"), F.max("last").alias("_l")).where("n > 1 and open > 0 and _f != _l").select("g", "n")
+        going = materialize(left.drop("done").join(open_groups.hint("rebalance").hint("shuffle_merge"), "g"), "going")
         for done in (rows, groups, left):
             release(done)
-        if going.isEmpty():
+        found = also(materialize(_compared_within(forms, going.where(F.col("n") <= SMALL_GROUP)), "within"))
+        large = going.where(F.col("n") > SMALL_GROUP)
+        if large.isEmpty():
             release(going)
             return found
         level += 1
-        again = going.join(forms.select("h", "t").hint("shuffle_merge"), "h")
+        again = large.join(forms.select("h", "t").hint("shuffle_merge"), "h")
         rows = materialize(again.select("h", "first", "last", F.explode(F.transform(bind(_recut(F.col("t"), level), _bands), lambda c: F.xxhash64("g", c))).alias("g")), "bands")
         release(going)
 
