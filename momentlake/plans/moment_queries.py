@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import evaluation, moments, ranking, review, scorers, scout
 from ..scratch import once
+from ..streaming import live
 from .bindings import CANDIDATES, WORDS, candidates, table, words
 from .registry import Registry
 
@@ -294,7 +296,7 @@ def a10_cluster_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CANDIDATES} SELECT candidate_id, score FROM cands WHERE score >= 32")
 def p12_candidate_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return strong(spark, sf).select("candidate_id", "score")
+    return live.strong_windows(candidates(spark, sf), DEFAULTS.candidate_threshold).select("candidate_id", "score")
 
 
 _POOL = """pool AS (SELECT d.source_id, d.group_id AS candidate_id, CASE WHEN decision = 'merged' THEN d.s ELSE p.s END AS s, CASE WHEN decision = 'merged' THEN d.e ELSE p.e END AS e, CASE WHEN decision = 'merged' THEN m ELSE peak_score END AS score FROM decided d

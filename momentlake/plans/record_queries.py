@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as LEXICONS
 from ..functions import links as L
 from ..functions import text as T
-from ..operators import jobs, ledger, library, media, ranking, telemetry
+from ..operators import jobs, ledger, library, media, ranking, telemetry, transcript
 from ..scratch import scratch_root
 from ..sources import files
 from ..streaming import live, stateful
@@ -501,8 +501,10 @@ def t7_library_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {WORDS} SELECT source_id, word_idx FROM words WHERE confidence >= 0.5 UNION ALL SELECT source_id, word_idx FROM words WHERE confidence < 0.5")
 def u1_union_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Repaired words where no repair was accepted: all as they were."""
     w = words(spark, sf)
-    return w.where("confidence < 0.5").unionByName(w.where("confidence >= 0.5")).select("source_id", "word_idx")
+    whole = w.groupBy("source_id").agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumns({"range_id": F.lit(0), "accepted": F.lit(False)})
+    return transcript.apply_repair(w, whole, w.withColumn("range_id", F.lit(0))).select("source_id", "word_idx")
 
 
 @query(f"WITH {CANDIDATES} SELECT source_id, s AS start_at, e AS end_at, min(candidate_id) AS candidate_id FROM cands GROUP BY 1, 2, 3")
@@ -546,7 +548,8 @@ def s1_transcript_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, line FROM (WITH " + LINES + " SELECT * FROM lines) WHERE line LIKE 'PROGRESS%'")
 def s6_job_log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return log_lines(spark, sf).where(F.col("line").startswith("PROGRESS")).select("event_id", "line")
+    """Log lines that hold progress."""
+    return log_lines(spark, sf).where(jobs.parse_progress(F.col("line")).isNotNull()).select("event_id", "line")
 
 
 @query("SELECT line, count(*) AS n FROM (WITH " + LINES + " SELECT * FROM lines) GROUP BY line")
