@@ -4,7 +4,7 @@ A line is lower-cased, tokens with a digit become `<*>`, and the tree has fixed
 may hold many templates, so its lines are looked at by bands: runs of tokens, one more than the tokens in which a line may leave its
 template, so that a line shares a band with any line that has the same template's text there. Lines of one band are compared with
 two of them; those that agree with one in enough tokens are one template, whose other tokens are variable fields. What neither took is
-banded again, by other cuts of the tokens, until nothing is left. A line recurs if its masked form, or its template, stands in enough documents; recurring lines are dropped from every
+compared with all that shares a band with it. A line recurs if its masked form, or its template, stands in enough documents; recurring lines are dropped from every
 document but the one with the smallest id.
 
 Only hashes of lines are shuffled: forms are combined before the shuffle, so a line that a third of all documents share costs one
@@ -23,8 +23,8 @@ LEADING_TOKENS = 3
 LONG_TOKENS, LONG_DOCS, SHORT_TOKENS, SHORT_DOCS = 8, 2, 3, 10
 #: The share of a line's tokens that agree with its template.
 AGREEMENT = 0.75
-#: Groups of so many forms at most are compared within, in one row each.
-SMALL_GROUP = 64
+#: Tokens of the forms that are compared with a group's other forms at a time.
+BLOCK_TOKENS = 1 << 14
 _NO_ID = -(2**63)
 
 
@@ -74,24 +74,28 @@ def _bands(t: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), runs - 1), lambda i: F.xxhash64(i, F.slice(t, start(i) + LEADING_TOKENS + 1, start(i + 1) - start(i))))
 
 
-def _recut(t: Column, level: int) -> Column:
-    """t with the tokens after the leading ones in another order at each level, so that their bands are another cut: every runs-th token, shifted by level - 1 from one stretch to the next."""
-    runs = _runs(t)
-    free = F.transform(F.slice(t, LEADING_TOKENS + 1, F.size(t)), lambda w, i: F.struct(F.pmod(i + (level - 1) * F.floor(i / runs).cast("int"), runs).alias("part"), i.alias("at"), w.alias("w")))
-    return F.concat(F.slice(t, 1, LEADING_TOKENS), F.transform(F.array_sort(free), lambda x: x["w"]))
-
-
 def _agree(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= AGREEMENT * F.size(a)
 
 
-def _compared_within(forms: DataFrame, rows: DataFrame) -> DataFrame:
-    """h, keeper of the forms that agree with another one of their group, where several documents have them. rows: g, h, first, last, of groups of SMALL_GROUP forms at most."""
-    whole = rows.join(forms.select("h", "t").hint("shuffle_merge"), "h").groupBy("g").agg(F.collect_list(F.struct("h", "first", "last", "t")).alias("m"))
-    near = F.transform("m", lambda x: F.struct(x["h"].alias("h"), F.transform(F.filter(F.col("m"), lambda y: _agree(x["t"], y["t"])), lambda y: F.struct(y["first"].alias("first"), y["last"].alias("last"))).alias("n")))
-    each = whole.select(F.explode(F.filter(near, lambda x: F.size(x["n"]) > 1)).alias("x"))
-    ends = each.select("x.h", F.array_min(F.transform("x.n", lambda y: y["first"])).alias("keeper"), F.array_max(F.transform("x.n", lambda y: y["last"])).alias("final"))
-    return ends.where("keeper != final").groupBy("h").agg(F.min("keeper").alias("keeper"))
+def _met_all(forms: DataFrame, groups: DataFrame) -> DataFrame:
+    """h, keeper of the open forms that agree with another form of a group, and of that form, where several documents have them; written. groups: g, h, first, last, done, open.
+
+    Open forms are dealt to blocks of about BLOCK_TOKENS tokens, and every form of the group meets every block: no pair is written, and a
+    group of any size is spread over its forms.
+    """
+    rows = materialize(groups.join(forms.select("h", "t").hint("shuffle_merge"), "h"), "meeting")
+    blocks = F.ceil(F.col("open") * F.size("t") / BLOCK_TOKENS)
+    held = rows.where("done is null").groupBy("g", F.pmod(F.xxhash64("h"), blocks).alias("block")).agg(F.collect_list(F.struct("h", "first", "last", "t")).alias("held"))
+    near = F.filter("held", lambda x: (x["h"] != F.col("h")) & _agree(x["t"], F.col("t")))
+    # Of two that agree, both learn of the other's documents.
+    ends = lambda h: F.transform(near, lambda x: F.struct(h(x).alias("h"), F.least(x["first"], F.col("first")).alias("keeper"), F.greatest(x["last"], F.col("last")).alias("final")))
+    both = F.concat(ends(lambda x: x["h"]), ends(lambda _: F.col("h")))
+    met = rows.join(held.hint("shuffle_merge"), "g").select(F.explode(both).alias("x")).select("x.*")
+    out = met.groupBy("h").agg(F.min("keeper").alias("keeper"), F.max("final").alias("final")).where("keeper != final").select("h", "keeper")
+    out = materialize(out, "met")
+    release(rows)
+    return out
 
 
 def _linked(forms: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -112,46 +116,26 @@ def _linked(forms: DataFrame, pairs: DataFrame) -> DataFrame:
 def _templated(forms: DataFrame) -> DataFrame:
     """h, keeper of the forms (h, leaf, first, last, t) that belong to a recurring template of their leaf; written.
 
-    Two forms of one template share a part of their tokens however these are cut. So groups are the forms that share a part; a group's
-    forms are compared with two of it. What neither took is compared with each other where at most SMALL_GROUP forms are left, and goes on,
-    without the two, in smaller groups elsewhere: those that share a part of another cut as well. A group ends when it holds one
-    form, forms of one document, or no form that is still without a template. Every group loses its centres, which have met all of it,
-    so nothing is left in the end, and no pair of a template's forms was passed by.
+    Two forms of one template share a band. So groups are the forms that share one; a group's forms are compared with two of it, which
+    takes the large templates. Forms that are still without one after that are compared with all others of their groups. So no
+    pair of a template's forms is passed by; the work of the second step grows with the forms that no centre took times the forms
+    that share a band with them.
     """
-    found, level = None, 0
-
-    def also(new: DataFrame) -> DataFrame:
-        if found is None:
-            return new
-        both = materialize(found.unionByName(new).groupBy("h").agg(F.min("keeper").alias("keeper")), "templated")
-        release(found)
-        release(new)
-        return both
-
     rows = materialize(forms.select("h", "first", "last", F.explode(F.transform(_bands(F.col("t")), lambda b: F.xxhash64("leaf", b))).alias("g")), "bands")
-    while True:
-        by = F.xxhash64("h", F.lit(level))
-        groups = rows.groupBy("g").agg(F.min_by("h", by).alias("a"), F.max_by("h", by).alias("b"), F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n"))
-        groups = materialize(groups.where("a != b and first != last").select("g", "a", "b", "n"), "groups")
-        met = rows.join(groups.hint("rebalance").hint("shuffle_merge"), "g")
-        pairs = materialize(met.select("h", F.explode(F.array("a", "b")).alias("centre")).where("h != centre").distinct(), "pairs")
-        found = also(_linked(forms, pairs))
-        release(pairs)
-        left = met.where("n > 2 and h != a and h != b").select("g", "h", "first", "last").join(found.select("h", F.lit(1).alias("done")).hint("shuffle_merge"), "h", "left")
-        left = materialize(left, "left")
-        open_groups = left.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("done").isNull()).alias("open"), F.min("first").alias("_f"), F.max("last").alias("_l")).where("n > 1 and open > 0 and _f != _l").select("g", "n")
-        going = materialize(left.drop("done").join(open_groups.hint("rebalance").hint("shuffle_merge"), "g"), "going")
-        for done in (rows, groups, left):
-            release(done)
-        found = also(materialize(_compared_within(forms, going.where(F.col("n") <= SMALL_GROUP)), "within"))
-        large = going.where(F.col("n") > SMALL_GROUP)
-        if large.isEmpty():
-            release(going)
-            return found
-        level += 1
-        again = large.join(forms.select("h", "t").hint("shuffle_merge"), "h")
-        rows = materialize(again.select("h", "first", "last", F.explode(F.transform(bind(_recut(F.col("t"), level), _bands), lambda c: F.xxhash64("g", c))).alias("g")), "bands")
-        release(going)
+    groups = rows.groupBy("g").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n"))
+    groups = materialize(groups.where("a != b and first != last").select("g", "a", "b", "n"), "groups")
+    met = rows.join(groups.hint("rebalance").hint("shuffle_merge"), "g")
+    pairs = materialize(met.select("h", F.explode(F.array("a", "b")).alias("centre")).where("h != centre").distinct(), "pairs")
+    found = _linked(forms, pairs)
+    # The centres have met all of their group.
+    left = met.where("n > 2 and h != a and h != b").select("g", "h", "first", "last").join(found.select("h", F.lit(1).alias("done")).hint("shuffle_merge"), "h", "left")
+    left = materialize(left, "left")
+    still = left.groupBy("g").agg(F.count("*").alias("size"), F.count_if(F.col("done").isNull()).alias("open"), F.min("first").alias("_f"), F.max("last").alias("_l")).where("size > 1 and open > 0 and _f != _l").select("g", "open")
+    more = _met_all(forms, left.join(still.hint("rebalance").hint("shuffle_merge"), "g"))
+    out = materialize(found.unionByName(more).groupBy("h").agg(F.min("keeper").alias("keeper")), "templated")
+    for done in (rows, groups, pairs, left, found, more):
+        release(done)
+    return out
 
 
 def _recurring(described: DataFrame) -> DataFrame:
