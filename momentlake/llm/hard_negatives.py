@@ -197,12 +197,12 @@ class _Positives(_Block):
         self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in self.ids]
 
     def meet(self, ids: np.ndarray, labels: np.ndarray, q: np.ndarray) -> None:
-        for k, _, high, score in self.score_ranges(ids, labels, q):
+        for k, low, high, score in self.score_ranges(ids, labels, q):
             known_ids, known = self.found[k]
-            wanted = (labels == self.labels[k]) & (ids != self.ids[k])
-            if len(known) == self.most:
-                wanted &= high >= known[-1]
-            wanted = np.flatnonzero(wanted)
+            wanted = np.flatnonzero((labels == self.labels[k]) & (ids != self.ids[k]))
+            # As many rows as are looked for surely reach the least of the best lower bounds.
+            sure = np.partition(low[wanted], -self.most)[-self.most] if len(wanted) > self.most else -np.inf
+            wanted = wanted[high[wanted] >= max(sure, known[-1] if len(known) == self.most else -np.inf)]
             if len(wanted):
                 self.found[k] = _best(np.concatenate([known_ids, ids[wanted]]), np.concatenate([known, score(wanted)]), self.most)
 
