@@ -37,25 +37,28 @@ def empty_transcripts(transcripts: DataFrame) -> DataFrame:
     return transcripts.where(F.col("words").isNull() | (F.size("words") == 0)).select("source_id")
 
 
-def _rows(spark: SparkSession, path: str, key: str, item: str) -> DataFrame:
-    """Items of files that hold either a bare list or an object with the list under `key`; source_id is the file's name unless the object has one."""
-    text = spark.read.text(path, wholetext=True).select(_name(F.input_file_name()).alias("name"), "value")
+def _rows(spark: SparkSession, path: str, key: str, item: str, lines: bool = False) -> DataFrame:
+    """Items of files that hold either a bare list or an object with the list under `key`; source_id is the file's name unless the object has one.
+
+    A file is one document, or with `lines` one a line, so that the documents of many sources need few files.
+    """
+    text = spark.read.text(path, wholetext=not lines).select(_name(F.input_file_name()).alias("name"), "value")
     bare, wrapped = F.from_json("value", f"array<{item}>"), F.from_json("value", f"struct<source_id:string,{key}:array<{item}>>")
     items = F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped[key])
     return text.select(F.coalesce(wrapped["source_id"], F.col("name")).alias("source_id"), F.posexplode(items).alias("item_id", "i")).select("source_id", F.col("item_id").cast("long").alias("item_id"), "i.*")
 
 
-def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    return _rows(spark, path, "moments", GOLD)
+def read_gold(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _rows(spark, path, "moments", GOLD, lines)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return _rows(spark, path, "candidates", MOMENT)
+def read_predictions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _rows(spark, path, "candidates", MOMENT, lines)
 
 
-def read_moments(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
+def read_moments(spark: SparkSession, path: str, words: DataFrame, lines: bool = False) -> DataFrame:
     """A moment checkpoint: candidates with their text rebuilt from the words in [start, end)."""
-    found = _rows(spark, path, "moments", MOMENT).withColumnRenamed("item_id", "candidate_id")
+    found = _rows(spark, path, "moments", MOMENT, lines).withColumnRenamed("item_id", "candidate_id")
     return words_text(found, words, ["candidate_id"])
 
 
