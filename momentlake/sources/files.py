@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,6 +168,28 @@ def write_scout_audit(candidates: DataFrame, path: str, threshold: float = 36.0)
     candidates.withColumn("selected", F.col("preliminary_score") >= threshold).write.mode("overwrite").partitionBy("selected").parquet(path)
 
 
+def write_named(rows: DataFrame, folder: str) -> int:
+    """A file per row (name, value) under folder, a path or URI that all executors reach; how many there are.
+
+    Tasks write and rename their own files, so none passes the driver, and one that runs again replaces its own. Spark's writer would
+    start a process or two per file on a local disk. Runs when it is called.
+    """
+    uri = f"file://{folder.removeprefix('file:')}" if folder.startswith("file:/") and not folder.startswith("file://") else folder
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = arrow_fs.FileSystem.from_uri(uri)
+        store.create_dir(base, recursive=True)
+        for pdf in parts:
+            for name, value in zip(pdf["name"], pdf["value"], strict=True):
+                staged = f"{base}/.{name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(staged) as out:
+                    out.write(value.encode())
+                store.move(staged, f"{base}/{name}")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return rows.select("name", "value").mapInPandas(run, "n long").groupBy().sum("n").first()[0] or 0
+
+
 def dialogue_lines(captions: DataFrame, text: str = "text") -> DataFrame:
     """(source_id, clip_id, line, value): caption lines as subtitle dialogue."""
     return captions.select("source_id", "clip_id", "line", F.concat(F.lit("Dialogue: 0,"), caption_time(F.col("rel_start")), F.lit(","), caption_time(F.col("rel_end")), F.lit(",Default,"), F.col(text)).alias("value"))
