@@ -37,11 +37,19 @@ def points_in_intervals(intervals: DataFrame, points: DataFrame, start: str = "s
 
 
 def words_text(intervals: DataFrame, words: DataFrame, key: list[str], start: str = "start", end: str = "end", closed: bool = False, name: str = "text", separator: str = " ", trim: bool = False) -> DataFrame:
-    """intervals with the text of the words that start in them, in word order; empty where there are none. key identifies an interval within its source."""
-    spoken = words.select("source_id", F.col("word_idx").alias("_idx"), F.col("start").alias("_at"), F.col("text").alias("_text"))
-    found = points_in_intervals(intervals.select("source_id", *key, F.col(start).alias("_s"), F.col(end).alias("_e")), spoken, "_s", "_e", "_at", closed=closed)
-    one = F.trim("_text") if trim else F.col("_text")
-    texts = found.groupBy("source_id", *key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col("_idx"), one.alias("w")))), lambda x: x["w"]), separator).alias(name))
+    """intervals with the text of the words that start in them, in word order; empty where there are none. key identifies an interval within its source.
+
+    Words meet intervals as one array per source and time bucket, and what an interval takes of a bucket is joined at once, so that
+    texts are shuffled instead of a row per interval and word.
+    """
+    one = F.trim("text") if trim else F.col("text")
+    spoken = words.select("source_id", bucket_of(F.col("start")).alias("_bucket"), F.struct(F.col("start").alias("at"), F.col("word_idx").alias("idx"), one.alias("w")).alias("_word")).where(F.col("_bucket").isNotNull())
+    held = spoken.groupBy("source_id", "_bucket").agg(F.array_sort(F.collect_list("_word")).alias("_words"))
+    asked = exploded(intervals.select("source_id", *key, F.col(start).alias("_s"), F.col(end).alias("_e")), F.col("_s"), F.col("_e"))
+    inside = lambda x: (x["at"] >= F.col("_s")) & ((x["at"] <= F.col("_e")) if closed else (x["at"] < F.col("_e"))) & x["w"].isNotNull()
+    taken = asked.join(held.hint("shuffle_merge"), ["source_id", "_bucket"]).select("source_id", *key, "_bucket", F.transform(F.filter("_words", inside), lambda x: x["w"]).alias("_taken"))
+    parts = taken.where(F.size("_taken") > 0).select("source_id", *key, F.struct("_bucket", F.array_join("_taken", separator).alias("part")).alias("_part"))
+    texts = parts.groupBy("source_id", *key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda x: x["part"]), separator).alias(name))
     return intervals.drop(name).join(texts.hint("shuffle_merge"), ["source_id", *key], "left").withColumn(name, F.coalesce(name, F.lit("")))
 
 

@@ -72,11 +72,13 @@ def scout_candidates(windows: DataFrame, response: str = "response", limit: Colu
 
 
 def strict_scores(batches: DataFrame, response: str = "response", expected: str = "n") -> DataFrame:
-    """(batch_id, index, score) of batches whose response is exactly `n` rows with unique integer indices below n and scores from 0 to 100; other batches give nothing."""
-    rows = batches.select("batch_id", F.col(expected).alias("n"), F.explode(F.from_json(response, "array<struct<index:string,score:string>>")).alias("r")).select("batch_id", "n", "r.index", "r.score")
-    good = F.col("index").rlike("^[0-9]+$") & (F.col("index").try_cast("int") < F.col("n")) & F.col("score").rlike(r"^-?[0-9.]+([eE][-+]?[0-9]+)?$") & F.col("score").try_cast("double").between(0, 100)
-    whole = rows.groupBy("batch_id").agg(F.count("*").alias("rows"), F.countDistinct("index").alias("unique"), F.first("n").alias("want"), F.bool_and(F.coalesce(good, F.lit(False))).alias("ok")).where("ok and rows = want and unique = want").select("batch_id")
-    return rows.join(whole.hint("shuffle_merge"), "batch_id", "left_semi").select("batch_id", F.col("index").cast("int").alias("index"), F.col("score").cast("double").alias("score"))
+    """(batch_id, index, score) of batches whose response is exactly `n` rows with unique integer indices below n and scores from 0 to 100; other batches give nothing. A batch is a row of batches."""
+    index, n = lambda x: x["index"].try_cast("int"), F.col(expected)
+    good = lambda x: F.coalesce(x["index"].rlike("^[0-9]+$") & (index(x) < n) & x["score"].rlike(r"^-?[0-9.]+([eE][-+]?[0-9]+)?$") & x["score"].try_cast("double").between(0, 100), F.lit(False))
+    whole = lambda rows: F.when((F.size(rows) == n) & F.forall(rows, good) & (F.size(F.array_distinct(F.transform(rows, index))) == n), rows)
+    # A batch is judged where its response lies; inside a transform, so that it is parsed once.
+    judged = F.get(F.transform(F.array(F.from_json(response, "array<struct<index:string,score:string>>")), whole), F.lit(0))
+    return batches.select("batch_id", F.explode(judged).alias("r")).select("batch_id", F.col("r.index").cast("int").alias("index"), F.col("r.score").cast("double").alias("score"))
 
 
 def unfenced(raw: Column) -> Column:
