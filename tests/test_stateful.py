@@ -161,3 +161,22 @@ def test_eta_over_batches(spark, tmp_path):
     so_far = df.withColumn("overall", F.max("stage_value").over(Window.partitionBy("job_id").orderBy("seq")))
     key = lambda d: sorted((r["job_id"], r["overall"], -1.0 if r["eta"] is None else r["eta"]) for r in d.collect())
     assert key(out) == key(jobs.job_eta(so_far))
+
+
+def test_older_jobs_leave_an_account_s_value():
+    """The oldest of many jobs lie in the map, and are still known."""
+
+    class Map(dict):
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+        def getValue(self, key):  # noqa: N802
+            return self.get(key)
+
+    there = Map()
+    jobs = stateful._Jobs(there, [(i, None, "completed") for i in range(10)], 0)
+    jobs[3] = (1.0, "running")  # the latest now
+    older, rest = jobs.parted(6)
+    assert older == 7 and [r[0] for r in rest] == [8, 9, 3]
+    again = stateful._Jobs(there, rest, older)
+    assert again.get(0) == (None, "completed") and again.get(3) == (1.0, "running") and again.get(99) is None
