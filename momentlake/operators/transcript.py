@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from operator import itemgetter
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,57 +95,70 @@ def pauses(words: DataFrame, least: float = 0.4) -> DataFrame:
     return before.where(F.col("start") - F.col("_prev.end") >= least).select("source_id", F.col("_prev.end").alias("mark"))
 
 
+@lru_cache(1 << 16)
 def _words_key(text: str) -> str:
     return re.sub(r"[^\w]", "", text.casefold())
 
 
-def _confidence(value: float | None) -> float:
-    return -1.0 if value is None or pd.isna(value) else value
+class _Word(NamedTuple):
+    source_id: object
+    text: str
+    start: float
+    end: float
+    confidence: float | None
+    speaker: str | None
+    uncertain: bool
 
 
 class _Seam:
-    """The words of one seam (or source), chunk by chunk; merged words stay in (start, end) order."""
+    """The words of one seam (or source), chunk by chunk; merged words stay in (start, end) order, and leave once no later chunk can hear them."""
 
     def __init__(self) -> None:
-        self.rows: list[dict] = []
+        self.rows: list[_Word] = []
         self.chunk: tuple | None = None
-        self.waiting: list[dict] = []
+        self.waiting: list[_Word] = []
 
-    def take(self, row: tuple) -> None:
+    def take(self, row: tuple) -> list[_Word] | None:
         source, _, audio_start, index, text, start, end, confidence, speaker, uncertain = row
-        if self.chunk not in (None, (audio_start, index)):
-            self.merge()
+        done = self.merge() if self.chunk not in (None, (audio_start, index)) else None
         self.chunk = audio_start, index
-        self.waiting.append({"source_id": source, "text": text, "start": start, "end": end, "confidence": None if pd.isna(confidence) else confidence, "speaker": speaker, "uncertain": uncertain})
+        self.waiting.append(_Word(source, text, start, end, confidence if confidence == confidence else None, speaker, uncertain))
+        return done
 
-    def merge(self) -> None:
-        """Words of the waiting chunk meet those that end no earlier than a second before its audio."""
+    def merge(self) -> list[_Word]:
+        """Words of the waiting chunk meet those that end no earlier than a second before its audio; the ones before are done, as chunks come by the start of their audio."""
         words, self.waiting = self.waiting, []
         first = len(self.rows)
-        while first and self.rows[first - 1]["end"] >= self.chunk[0] - 1:
+        while first and self.rows[first - 1].end >= self.chunk[0] - 1:
             first -= 1
-        seam, taken, fresh = self.rows[first:], set(), []
-        keys = [_words_key(x["text"]) for x in seam]
+        done, seam, taken, fresh = self.rows[:first], self.rows[first:], set(), []
+        keys, starts = [_words_key(x.text) for x in seam], [x.start for x in seam]
+        sorted_starts = all(x == x for x in starts)
         for word in words:
-            key = _words_key(word["text"])
-            near = [(i, abs(x["start"] - word["start"]), abs(x["end"] - word["end"])) for i, x in enumerate(seam)]
-            # The latest of equally near twins wins, as the seam is looked through from its end.
-            twins = [(a, -i) for i, a, b in near if a <= 0.55 and b <= 0.75 and i not in taken and keys[i] == key]
-            if twins:
-                i = -min(twins)[1]
+            key, start, end, twin, rivals = _words_key(word.text), word.start, word.end, None, []
+            # A word that took another's place starts 0.55 s from it at most, so twice that finds all that are near.
+            near = range(bisect_left(starts, start - NEAR), bisect_right(starts, start + NEAR)) if sorted_starts else range(len(seam))
+            for i in near:
+                a, b = abs(seam[i].start - start), abs(seam[i].end - end)
+                # The latest of equally near twins wins, as the seam is looked through from its end.
+                if a <= 0.55 and b <= 0.75 and keys[i] == key and i not in taken and (twin is None or a <= twin[0]):
+                    twin = a, i
+                if a < 0.15 and b < 0.2:
+                    rivals.append(i)
+            if twin:
+                i = twin[1]
                 taken.add(i)
-                if _confidence(word["confidence"]) > _confidence(seam[i]["confidence"]):
+                if (-1.0 if word.confidence is None else word.confidence) > (-1.0 if seam[i].confidence is None else seam[i].confidence):
                     seam[i] = word
                 continue
-            rivals = [i for i, a, b in near if a < 0.15 and b < 0.2]
             for i in rivals:
-                seam[i] = seam[i] | {"uncertain": True}
-            fresh.append(word | {"uncertain": True} if rivals else word)
-        self.rows[first:] = sorted(seam + fresh, key=lambda w: (w["start"], w["end"]))
+                seam[i] = seam[i]._replace(uncertain=True)
+            fresh.append(word._replace(uncertain=True) if rivals else word)
+        self.rows = sorted(seam + fresh, key=_place)
+        return done
 
-    def finish(self) -> list[tuple]:
-        self.merge()
-        return [tuple(r.values()) for r in self.rows]
+    def finish(self) -> list[_Word]:
+        return self.merge() + self.rows
 
 
 _MERGE_SCHEMA = "source_id string, text string, start double, end double, confidence double, speaker string, uncertain boolean"
@@ -155,14 +171,27 @@ def _merged(words: DataFrame) -> DataFrame:
 
 #: Words whose starts lie further apart than this are neither one word nor rivals (0.55 and 0.15 s).
 PAUSE = 0.6
+NEAR, _place = 1.2, itemgetter(2, 3)
 
 
 def _between_pauses(words: DataFrame) -> DataFrame:
-    """words with `seam`: what is said, in any chunk, without a pause. Chunks that share such a stretch are folded together there, and only there."""
-    order = ["index", "end", "text"]
-    before = with_previous(words, ["source_id"], "start", order, ["start"])
-    islands = with_island(before, ["source_id"], "start", order, F.coalesce(F.col("start") - F.col("prev.start") > PAUSE, F.lit(True)), "seam")
-    return islands.drop("prev").withColumn("seam", F.col("seam.start"))
+    """words with `seam`: what is said, in any chunk, without a pause. Chunks that share such a stretch are folded together there, and only there.
+
+    Stretches are named by their first start within time chunks; those that go on from the time chunk before take the name they have there.
+    """
+    by = Window.partitionBy("source_id", "_chunk").orderBy("start")
+    opens = F.coalesce(F.col("start") - F.lag("start").over(by) > PAUSE, F.lit(True))
+    rows = words.withColumn("_chunk", F.floor(F.col("start") / CHUNK_SECONDS)).withColumn("_opens", opens)
+    rows = once(rows.withColumn("seam", F.max(F.when(F.col("_opens"), F.col("start"))).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens"))
+    held = rows.groupBy("source_id", "_chunk").agg(F.min("start").alias("_head"), F.max("start").alias("_tail"), F.max("seam").alias("_last"))
+    over = Window.partitionBy("source_id").orderBy("_chunk")
+    held = held.withColumn("_fresh", F.coalesce(F.col("_head") - F.lag("_tail").over(over) > PAUSE, F.lit(True)))
+    named = F.when(F.col("_fresh") | (F.col("_last") > F.col("_head")), F.col("_last"))
+    carried = held.withColumn("_name", F.last(named, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    # Written, so that Spark knows how few go on.
+    on = materialize(carried.where(~F.col("_fresh")).select("source_id", "_chunk", "_head", "_name"), "carried")
+    joined = rows.join(on, ["source_id", "_chunk"], "left")
+    return joined.withColumn("seam", F.when(F.col("seam") == F.col("_head"), F.col("_name")).otherwise(F.col("seam"))).drop("_chunk", "_head", "_name")
 
 
 def merge_overlaps(words: DataFrame, chunk_seconds: float, overlap: float) -> DataFrame:
