@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from momentlake.operators import transcript
+from momentlake.functions import text
+from momentlake.operators import intervals, scout, transcript, windows
 
 
 def test_seam_keeps_only_what_can_be_heard_again():
@@ -39,3 +41,19 @@ def test_stretches_across_time_chunks(spark):
     got = transcript._between_pauses(words).select("source_id", "start", "seam").collect()
     assert len(got) == len(rows) and all(want[r[0], r[1]] == r[2] for r in got)
     assert len({r[2] for r in got if r[0] == "a"}) == 1
+
+
+def test_lexicon_in_one_look(spark):
+    """Inflected words in place of stemming each word, phrases as one pattern: the same texts are met, through one search and no lambda per word."""
+    lexicon, phrases = ["screaming", "fight", "hit", "seeding", "ed", "Off", "king"], (r"\b(on the (bonnet|hood))\b", r"\b(we'?re cooked)\b", r"\bof the\b")
+    said = ["screaming", "screamed", "scream", "fighting", "fights", "hit", "hiting", "hitting", "seed", "seeded", "seeding", "ed", "bed", "king", "kinging", "kinging!", "off", "On\tthe  HOOD", "on the hoods", "WE'RE cooked", "were cookeds", "end of the", "x-of-the-y", "", None, " ' ", "İk fight"]
+    df = spark.createDataFrame([(t,) for t in said], "t string")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower("t"), r"[^a-z0-9'\s]", " "), r"\s+", " "))
+    words = F.filter(F.split(F.coalesce(plain, F.lit("")), r"\s+"), lambda w: w != "")
+    slow = F.arrays_overlap(F.transform(words, text.stem), F.array(*[F.lit(w) for w in text.stem_words(lexicon)]))
+    for p in phrases:
+        slow = slow | plain.rlike(p)
+    got = df.select("t", text.stem_hit(F.col("t"), lexicon, phrases).alias("a"), F.coalesce(slow, F.lit(False)).alias("b"), text.normalize_text(F.col("t")).alias("n"), plain.alias("m"))
+    assert all(r["a"] == r["b"] and r["n"] == r["m"] for r in got.collect())
+    assert "lambda" not in got.select("a")._jdf.queryExecution().optimizedPlan().toString()
+    assert text._one_pattern(phrases) == [r"\b(on the (bonnet|hood)|we'?re cooked)\b", r"\bof the\b"]
