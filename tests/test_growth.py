@@ -43,6 +43,26 @@ def test_stretches_across_time_chunks(spark):
     assert len({r[2] for r in got if r[0] == "a"}) == 1
 
 
+def test_windows_of_silence_are_not_made(spark, monkeypatch):
+    """A word a day: the grid follows the words, and windows, texts and ids are those of the whole grid."""
+    rows = [("v", i, f"w{i}.", day * 86400.0 + 3.0 + i, day * 86400.0 + 3.9 + i) for day in range(5) for i in (0, 1, 4, 30)] + [("u", i, "x", -5.0 + i * 20, -4.5 + i * 20) for i in range(9)]
+    words = spark.createDataFrame(rows, "source_id string, word_idx long, text string, start double, end double").withColumns({"confidence": F.lit(1.0), "speaker": F.lit("s"), "uncertain": F.lit(False)})
+    asked = []
+    monkeypatch.setattr(windows, "nearest", lambda times, *a: asked.append(times.count()) or intervals.nearest(times, *a))
+    got = {tuple(r) for r in windows.semantic_windows(words, target=20.0, hop=10.0).collect()}
+    marks, want = transcript.boundaries(words).collect(), set()
+    for v in ("u", "v"):
+        mine = sorted((r[3], r[4], r[2]) for r in rows if r[0] == v)
+        t0, last = mine[0][0], mine[-1][1]
+        near = lambda t: min((m["mark"] for m in marks if m["source_id"] == v and abs(m["mark"] - t) <= 8), key=lambda m: (abs(m - t), m), default=t)  # noqa: B023, E731
+        for k in range(math.ceil((last - t0) / 10)):
+            t, e = t0 + k * 10, min(t0 + k * 10 + 20, last)
+            a, b = t if k == 0 else near(t), near(e)
+            if text := " ".join(w for s, _, w in mine if a <= s < b):
+                want.add((v, k, a, b, text))
+    assert got == want and asked[0] < 400
+
+
 def test_lexicon_in_one_look(spark):
     """Inflected words in place of stemming each word, phrases as one pattern: the same texts are met, through one search and no lambda per word."""
     lexicon, phrases = ["screaming", "fight", "hit", "seeding", "ed", "Off", "king"], (r"\b(on the (bonnet|hood))\b", r"\b(we'?re cooked)\b", r"\bof the\b")
