@@ -15,37 +15,45 @@ from ..functions.text import FALLBACK_SIGNALS, KEEP_SIGNALS, keep_local_window,
 from .intervals import points_in_intervals, words_text
 
 
+def _placed(x: Column, y: Column, ws: Column, we: Column, limit: Column, settings: Settings) -> Column:
+    """STRUCT<a, b>: two numbers as times of their window, null if either is."""
+    seconds = lambda c: F.when(c > 100_000, c / 1000).otherwise(c)
+    x, y, ws, we = seconds(x), seconds(y), ws.cast("double"), we.cast("double")
+    a, b = F.least(x, y), F.greatest(x, y)
+    relative = (b <= F.greatest(F.lit(0.1), we - ws) + 5) & (a < ws - 5)
+    a, b = F.when(relative, a + ws).otherwise(a), F.when(relative, b + ws).otherwise(b)
+    bound, known = _bound(we, limit), x.isNotNull() & y.isNotNull()
+    a = F.greatest(ws - settings.span_pad, F.greatest(F.lit(0.0), a))
+    b = F.least(F.least(we + settings.span_pad, F.least(bound, b)), bound)
+    return F.struct(F.when(known, a).alias("a"), F.when(known, b).alias("b"))
+
+
+def _bound(we: Column, limit: Column) -> Column:
+    return F.when(limit.isNull() | (limit == 0), we.cast("double")).otherwise(limit.cast("double"))
+
+
+def _decided(a: Column, b: Column, ws: Column, we: Column, limit: Column, settings: Settings) -> Column:
+    least, most, ws, bound = settings.min_span, settings.max_span, ws.cast("double"), _bound(we, limit)
+    inner, middle = F.least(we.cast("double"), bound), (a + b) / 2
+    grown_end = F.least(inner, F.greatest(ws, middle - least / 2) + least)
+    cut_start = F.greatest(ws, middle - most / 2)
+    out = lambda p, q, action: F.struct(F.round(p, 3).alias("start"), F.round(q, 3).alias("end"), F.lit(action).alias("action"))
+    none = F.lit(None).cast("double")
+    return (
+        F.when(a.isNull() | b.isNull(), out(none, none, "missing_timestamp")).when(b <= a, out(none, none, "end_le_start"))
+        .when(b - a < least, out(F.greatest(F.lit(0.0), grown_end - least), grown_end, "expand_short"))
+        .when(b - a > most, out(cut_start, F.least(inner, cut_start + most), "clamp_long")).otherwise(out(a, b, "keep"))
+    )
+
+
 def accept_span(start: Column, end: Column, window_start: Column, window_end: Column, limit: Column, settings: Settings = DEFAULTS) -> Column:
     """STRUCT<start, end, action>: a proposed span in seconds, clamped to its window; null times where it's refused.
 
     Values over 100,000 are milliseconds, reversed ends are swapped, spans relative to their window are shifted; short spans grow
     about their middle, long ones shrink about it.
     """
-    seconds = lambda c: F.when(c.try_cast("double") > 100_000, c.try_cast("double") / 1000).otherwise(c.try_cast("double"))
-    x, y, ws, we = seconds(start), seconds(end), window_start.cast("double"), window_end.cast("double")
-    bound = F.when(limit.isNull() | (limit == 0), we).otherwise(limit.cast("double"))
-    a, b = F.least(x, y), F.greatest(x, y)
-    relative = (b <= F.greatest(F.lit(0.1), we - ws) + 5) & (a < ws - 5)
-    a, b = F.when(relative, a + ws).otherwise(a), F.when(relative, b + ws).otherwise(b)
-    pad, least, most = settings.span_pad, settings.min_span, settings.max_span
-    a = F.greatest(ws - pad, F.greatest(F.lit(0.0), a))
-    b = F.least(F.least(we + pad, F.least(bound, b)), bound)
-
-    def decide(s: Column) -> Column:
-        a, b = s["a"], s["b"]
-        inner, middle = F.least(we, bound), (a + b) / 2
-        grown_end = F.least(inner, F.greatest(ws, middle - least / 2) + least)
-        cut_start = F.greatest(ws, middle - most / 2)
-        out = lambda p, q, action: F.struct(F.round(p, 3).alias("start"), F.round(q, 3).alias("end"), F.lit(action).alias("action"))
-        none = F.lit(None).cast("double")
-        return (
-            F.when(a.isNull() | b.isNull(), out(none, none, "missing_timestamp")).when(b <= a, out(none, none, "end_le_start"))
-            .when(b - a < least, out(F.greatest(F.lit(0.0), grown_end - least), grown_end, "expand_short"))
-            .when(b - a > most, out(cut_start, F.least(inner, cut_start + most), "clamp_long")).otherwise(out(a, b, "keep"))
-        )
-
-    known = x.isNotNull() & y.isNotNull()
-    return F.element_at(F.transform(F.array(F.struct(F.when(known, a).alias("a"), F.when(known, b).alias("b"))), decide), 1)
+    placed = F.array(_placed(start.try_cast("double"), end.try_cast("double"), window_start, window_end, limit, settings))
+    return F.element_at(F.transform(placed, lambda s: _decided(s["a"], s["b"], window_start, window_end, limit, settings)), 1)
 
 
 RESPONSE = "struct<candidates:array<struct<start:string,end:string,preliminary_score:string,needs_more_context_before:string,needs_more_context_after:string,reason:string,payoff_at_seconds:string,payoff_at:string>>>"
@@ -63,7 +71,11 @@ def scout_candidates(windows: DataFrame, response: str = "response", limit: Colu
         raw = F.col(f"c.{name}").try_cast("double")
         return F.coalesce(F.when(raw.isNotNull(), F.least(F.lit(hi), F.greatest(F.lit(0.0), raw))), F.lit(default))
 
-    spans = rows.withColumn("span", accept_span(F.col("c.start"), F.col("c.end"), F.col("_ws"), F.col("_we"), F.col("_limit"))).where("span.start is not null")
+    # Inlined in two steps, so that times are parsed once and placed once: filters and projections don't move through a generator.
+    sides = F.col("_ws"), F.col("_we"), F.col("_limit")
+    times = rows.select("*", F.inline(F.array(F.struct(F.col("c.start").try_cast("double").alias("_x"), F.col("c.end").try_cast("double").alias("_y")))))
+    placed = times.select("*", F.inline(F.array(_placed(F.col("_x"), F.col("_y"), *sides, DEFAULTS)))).where("b > a")
+    spans = placed.withColumn("span", _decided(F.col("a"), F.col("b"), *sides, DEFAULTS))
     payoff = F.coalesce(F.col("c.payoff_at_seconds"), F.col("c.payoff_at")).try_cast("double")
     return spans.select(
         "source_id", "window_id", "candidate_no", "span.start", "span.end", number("preliminary_score", 40.0, 100.0).alias("preliminary_score"), number("needs_more_context_before", 0.0, 45.0).alias("before"), number("needs_more_context_after", 0.0, 30.0).alias("after"),

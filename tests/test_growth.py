@@ -77,3 +77,11 @@ def test_lexicon_in_one_look(spark):
     assert all(r["a"] == r["b"] and r["n"] == r["m"] for r in got.collect())
     assert "lambda" not in got.select("a")._jdf.queryExecution().optimizedPlan().toString()
     assert text._one_pattern(phrases) == [r"\b(on the (bonnet|hood)|we'?re cooked)\b", r"\bof the\b"]
+
+
+def test_spans_are_worked_out_once(spark):
+    """A candidate's times are parsed once each in the plan, not once per use."""
+    w = spark.createDataFrame([("v", 0, 1000.0, 1200.0, '{"candidates": [{"start": "1010000", "end": "20"}, {"start": "x"}, null, {"start": 1100, "end": 1050.5, "reason": ""}, {"start": 1100, "end": 1100}]}')], "source_id string, window_id int, start double, end double, response string")
+    got = scout.scout_candidates(w)
+    assert [tuple(r)[2:5] + (r["action"],) for r in got.orderBy("candidate_no").collect()] == [(0, 998.0, 1010.0, "keep"), (3, 1050.5, 1100.0, "keep")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("try_cast(c#") <= 2 + 6 + 2
