@@ -135,19 +135,22 @@ def score_results(windows: DataFrame, responses: DataFrame) -> DataFrame:
     A window whose row is missing or lacks a weight key has a null breakdown; blank texts get zeros and the reason "skipped"; a quote
     that isn't in the text is blanked.
     """
-    rows = responses.select("batch_id", F.explode(F.from_json(unfenced(F.col("response")), SCORED)).alias("r")).select("batch_id", "r.*")
+    rows = responses.select("batch_id", F.posexplode(F.from_json(unfenced(F.col("response")), SCORED)).alias("_place", "r")).select("batch_id", "_place", "r.*")
     rows = rows.withColumn("subject", F.coalesce("subject", "novelty")).withColumn("index", F.col("index").try_cast("int"))
     numbers = {k: F.col(k).try_cast("double") for k in WEIGHTS}
     good = F.lit(True)
     for v in numbers.values():
-        good = good & v.isNotNull() & ~F.isnan(v) & v.between(0, 10)
-    breakdown = F.create_map(*[x for k, v in numbers.items() for x in (F.lit(k), v)])
+        good = good & F.coalesce(v.between(0, 10), F.lit(False))
     fields = editor_fields(F.coalesce("event_class", F.lit("")), F.col("tightness"), F.col("payoff_at_seconds"), F.coalesce("payoff_type", F.lit("")))
-    valid = rows.where(good).select("batch_id", "index", breakdown.alias("breakdown"), F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("topic", F.lit("")).alias("topic"), F.coalesce("quote", F.lit("")).alias("quote"), "safety_flag", "judgment_target", "predicted_reactions", fields.alias("fields")).dropDuplicates(["batch_id", "index"])
+    # Rows travel and are sorted as plain values, and once: the order in which the first of equal indices is taken is that of the join.
+    valid = rows.where(good).select("batch_id", "index", "_place", *[v.alias(f"_{k}") for k, v in numbers.items()], F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("topic", F.lit("")).alias("topic"), F.coalesce("quote", F.lit("")).alias("quote"), "safety_flag", "judgment_target", "predicted_reactions", fields.alias("fields"))
+    again = F.lag(F.lit(True)).over(Window.partitionBy("batch_id", "index").orderBy("_place"))
+    valid = valid.withColumn("_again", again).where("_again is null").drop("_again", "_place")
     joined = windows.join(valid.hint("shuffle_merge"), ["batch_id", "index"], "left")
+    breakdown = F.when(F.col("reason").isNotNull(), F.create_map(*[x for k in WEIGHTS for x in (F.lit(k), F.col(f"_{k}"))]))
     blank = F.trim("text") == ""
     zeros = F.create_map(*[F.lit(x) for k in WEIGHTS for x in (k, 0.0)])
-    return joined.select(*windows.columns, F.when(blank, zeros).otherwise(F.col("breakdown")).alias("breakdown"), F.when(blank, "skipped").otherwise(F.col("reason")).alias("reason"), "topic", quote_or_blank(F.col("quote"), F.col("text")).alias("quote"), "safety_flag", "judgment_target", "predicted_reactions", "fields.*")
+    return joined.select(*windows.columns, F.when(blank, zeros).otherwise(breakdown).alias("breakdown"), F.when(blank, "skipped").otherwise(F.col("reason")).alias("reason"), "topic", quote_or_blank(F.col("quote"), F.col("text")).alias("quote"), "safety_flag", "judgment_target", "predicted_reactions", "fields.*")
 
 
 def expand_context(candidates: DataFrame, words: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

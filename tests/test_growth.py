@@ -85,3 +85,14 @@ def test_spans_are_worked_out_once(spark):
     got = scout.scout_candidates(w)
     assert [tuple(r)[2:5] + (r["action"],) for r in got.orderBy("candidate_no").collect()] == [(0, 998.0, 1010.0, "keep"), (3, 1050.5, 1100.0, "keep")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("try_cast(c#") <= 2 + 6 + 2
+
+
+def test_score_rows_sorted_once(spark):
+    """Of rows with one index the first valid one counts; no aggregate sorts them apart from the join."""
+    row = lambda i, hook, reason: f'{{"index": {i}, "hook": {hook}, "payoff": 1, "emotion": 1, "standalone": 1, "subject": 1, "technical": 1, "reason": "{reason}"}}'
+    responses = spark.createDataFrame([(1, f'[{row(0, 11, "out")}, {row(0, 2, "first")}, {row(0, 3, "second")}, {row(1, chr(34) + "NaN" + chr(34), "nan")}, {row(2, 5, "blank")}]')], "batch_id int, response string")
+    asked = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "b", " ", "d"])], "batch_id int, index int, text string")
+    done = scout.score_results(asked, responses)
+    got = {r["index"]: (r["breakdown"] and r["breakdown"]["hook"], r["reason"]) for r in done.collect()}
+    assert got == {0: (2.0, "first"), 1: (None, None), 2: (0.0, "skipped"), 3: (None, None)}
+    assert "Aggregate" not in done._jdf.queryExecution().executedPlan().toString()
