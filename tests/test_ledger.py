@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,99 @@ def test_account_rules():
     assert [r[2:] for r in a.apply(7, "finish", 2, None, 1, True, 12.0)] == [("capture", 12.0, 20.0, 18.0), ("release", 18.0, 38.0, 0.0)] and a.apply(8, "finish", 2, None, 1, True, 12.0) == []
     assert [r[2:] for r in a.apply(9, "hold", 3, 8.0, None, None, None)] == [("hold", 8.0, 30.0, 8.0)] and [r[2:] for r in a.apply(10, "finish", 3, None, 0, False, None)] == [("refund", 8.0, 38.0, 0.0)]
     assert a.apply(11, "finish", 4, None, 1, False, None) == [] and a.apply(12, "hold", 4, 1.0, None, None, None) == []  # ended before it was held
+
+
+def applied(rows):
+    """Ledger rows of events, account by account, in plain Python."""
+    books, out = {}, []
+    for a, _, event, kind, job, amount, kept, crashed, capture in sorted(rows, key=lambda r: (r[1], r[2])):
+        out += [(a, *r) for r in books.setdefault(a, ledger.Account()).apply(event, kind, job, None if amount != amount else amount, kept, crashed, capture)]
+    return sorted(out, key=str)
+
+
+def many_accounts():
+    """Five hundred accounts of few events, one unknown, with ids beyond 2^53, endless credit, unknown amounts and jobs without a number."""
+    rng, big = random.Random(5), 2**60
+    rows = account_events(rng, 500, 3)
+    rows += [(None, 1000.0, big, "purchase", big, 50.0, None, None, None), (None, 1020.000001, big + 1, "hold", big + 1, 20.5, None, None, None), (None, 1090.0, big + 2, "finish", big + 1, None, 1, None, 3.25)]
+    rows += [("null", 1000.0, big + 3, "purchase", big, float("inf"), None, None, None), ("null", 1021.0, big + 4, "hold", None, 7.0, None, None, None), ("null", 1022.0, big + 5, "hold", big + 9, float("nan"), None, None, None)]
+    return rows
+
+
+def test_many_accounts_share_few_states(spark, tmp_path):
+    """What the state store is asked for grows with the groups, not with the accounts, and each account's rows are its own."""
+    rows = many_accounts()
+    rng = random.Random(6)
+    rng.shuffle(rows)
+    parts = [rows[:700], rows[700:] + rows[:300], [("clock", 50_000.0, 1, "purchase", 1, 1.0, None, None, None)]]
+    seen = []
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, EVENTS).withColumn("ts", F.timestamp_seconds("t")).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(f"{EVENTS}, ts timestamp").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        made = stateful.live_ledger(stream, watermark="1000 seconds", groups=5)
+        run = made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+        seen += [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    got = [tuple(r) for r in spark.read.schema(made.schema).parquet(f"{tmp_path}/out").where("account_id IS DISTINCT FROM 'clock'").collect()]
+    assert sorted(got, key=str) == applied(rows) and len(got) > 1_500
+    assert made.schema == spark.createDataFrame([], f"account_id string, {ledger.LEDGER}").schema
+    assert 0 < max(seen) < 100
+
+
+class Store:
+    """States of one group, and how often they are asked."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def __getattr__(self, name):
+        store = self
+
+        class State:
+            value, items = None, {}
+
+            def get(self):
+                store.calls += 1
+                return iter(self.value or ()) if name == "getListState" else self.value
+
+            def update(self, value):
+                store.calls, self.value = store.calls + 1, value
+
+            put = update
+
+            def appendValue(self, value):  # noqa: N802
+                store.calls, self.value = store.calls + 1, [*(self.value or ()), value]
+
+            def clear(self):
+                store.calls, self.value = store.calls + 1, None
+
+        return lambda *_: State()
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls, _ = self.calls + 1, self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls, _ = self.calls + 1, self.timers.remove(at)
+
+
+class Timers:
+    def __init__(self, seconds):
+        self.getCurrentWatermarkInMs = lambda: int(seconds * 1000)
+
+
+def test_calls_of_the_state_store_don_t_grow_with_accounts():
+    texts = lambda *e: json.dumps([None if x is None else str(x).lower() if isinstance(x, bool) else str(x) for x in e])
+    counts = []
+    for accounts in (3, 300):
+        store, ledgers, rows = Store(), stateful._Ledger(), account_events(random.Random(7), accounts, 4)
+        ledgers.init(store)
+        frame = pd.DataFrame({"at": [int(r[1] * 1e6) for r in rows], "event": [texts(r[0], int(r[1] * 1e6), *r[2:]) for r in rows]})
+        out = [*ledgers.handleInputRows((0,), iter([frame[:50], frame[50:]] if accounts > 3 else [frame]), Timers(0))]
+        for now in (1050.0005, 5000.0):
+            ring = [t for t in store.timers if t <= now * 1000]
+            assert len(store.timers) == len(ring) == 1
+            out += ledgers.handleExpiredTimer((0,), Timers(now), None)
+            store.timers -= set(ring)
+        assert not store.timers and sorted((tuple(r) for f in out for r in f.itertuples(index=False)), key=str) == applied(rows)
+        counts.append(store.calls)
+    assert counts[0] == counts[1] < 20
